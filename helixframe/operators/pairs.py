@@ -12,7 +12,7 @@ from .. import dims
 from ..functions import pairs as PF
 from ..functions import residues as RF
 from ..functions.bases import letters_of
-from ..functions.common import dist
+from ..functions.common import dist, let
 from . import regions as RG
 from .ranking import rank_within, top_n
 from .sequences import spread
@@ -27,16 +27,18 @@ def with_residues(seqs: DataFrame, coords=None, cooperative: bool = False) -> Da
     ``coords`` maps a 0-based position column to (x, y, z) columns.
     """
     labels = RG.viterbi_labels("seq") if cooperative else RG.tunnel_labels("seq")
-    base = seqs.select(*seqs.columns, letters_of("seq").alias("_aa"), RG.residue_regions(labels).alias("_rg"))
 
-    def item(aa, k):
-        rg = F.get(F.col("_rg"), k)
-        fields = [aa.alias("aa"), rg["kind"].alias("kind"), rg["start"].alias("start"), rg["end"].alias("end")]
-        if coords is not None:
-            fields += [v.alias(n) for n, v in zip("xyz", coords(k))]
-        return F.struct(*fields)
+    def pack(regions):
+        def item(aa, k):
+            rg = F.get(regions, k)
+            fields = [aa.alias("aa"), rg["kind"].alias("kind"), rg["start"].alias("start"), rg["end"].alias("end")]
+            if coords is not None:
+                fields += [v.alias(n) for n, v in zip("xyz", coords(k))]
+            return F.struct(*fields)
 
-    return base.select(*seqs.columns, F.transform("_aa", item).alias("res"))
+        return F.transform(letters_of("seq"), item)
+
+    return spread(seqs, "seq_id").select(*seqs.columns, let(RG.residue_regions(labels), pack).alias("res"))
 
 
 def residue_pairs(chains: DataFrame, gate: int = 1, max_sep: int | None = None, block: int = 128,

@@ -55,7 +55,13 @@ def R(expr: str, alias: str, digits: int = 6) -> str:
 
 def cl(name: str) -> str:
     """A constant as a SQL literal."""
-    return repr(float(getattr(C, name))) if isinstance(name, str) else repr(float(name))
+    return num(getattr(C, name) if isinstance(name, str) else name)
+
+
+def num(x) -> str:
+    """Float literal that DuckDB reads as DOUBLE, not DECIMAL."""
+    text = repr(float(x))
+    return text if "e" in text else text + "e0"
 
 
 LETTERS26 = "abcdefghijklmnopqrstuvwxyz"
@@ -85,6 +91,8 @@ def residues_sql(source: str, name: str = "res") -> str:
 
 
 def _vals(v):
+    if isinstance(v, float):
+        return num(v)
     return "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else repr(v))
 
 
@@ -93,7 +101,7 @@ AA0 = "aa0(aa,c,p,v,aromatic,branch,hetero,detail,element,vdw,polar,kd,pkr) AS (
         aa, *C.AA_WORDS[aa], *C.ELEMENT[C.AA_WORDS[aa][7]], float(C.HYDRO[aa]), C.PKR.get(aa))) + ")"
     for aa in C.AA20
 ) + ")"
-P, E_, G, PI_ = (repr(float(x)) for x in (C.PHI, C.E, C.GAMMA, C.PI))
+P, E_, G, PI_ = (num(x) for x in (C.PHI, C.E, C.GAMMA, C.PI))
 AA = f"""{AA0},
 aa1 AS (SELECT *, (p+v+branch+aromatic+detail)/5.0::DOUBLE AS spin, c+hetero/{P}+detail/({P}*{P}) AS charge,
  pow({P},-p)*exp(v/{PI_})*(CASE WHEN aromatic<>0 THEN {P} ELSE 1 END)*(CASE WHEN branch>0 THEN sqrt({P}) ELSE 1 END)
@@ -103,9 +111,9 @@ aa1 AS (SELECT *, (p+v+branch+aromatic+detail)/5.0::DOUBLE AS spin, c+hetero/{P}
  *(CASE WHEN hetero>0 THEN exp(1/{PI_}) WHEN hetero<0 AND aa<>'G' THEN exp(-1/({PI_}*{P})) ELSE 1 END)
  *(CASE WHEN aa='G' THEN 1/{P} ELSE 1 END)*pow({P},detail/{PI_}) AS volume,
  {G}*exp(abs(c)+p+1.0+0.5*abs(aromatic)) AS mu,
- CASE WHEN aa IN ('D','E','C','Y') THEN (CASE WHEN {C.PH!r}>pkr THEN -1.0 ELSE 0.0 END)
-  WHEN aa IN ('K','R') THEN (CASE WHEN {C.PH!r}<pkr THEN 1.0 ELSE 0.0 END)
-  WHEN aa='H' THEN 1.0/(1.0+pow(10.0,{C.PH!r}-pkr)) ELSE 0.0 END::DOUBLE AS q,
+ CASE WHEN aa IN ('D','E','C','Y') THEN (CASE WHEN {num(C.PH)}>pkr THEN -1.0 ELSE 0.0 END)
+  WHEN aa IN ('K','R') THEN (CASE WHEN {num(C.PH)}<pkr THEN 1.0 ELSE 0.0 END)
+  WHEN aa='H' THEN 1.0/(1.0+pow(10.0,{num(C.PH)}-pkr)) ELSE 0.0 END::DOUBLE AS q,
  CASE aa WHEN 'P' THEN 1/{P} WHEN 'G' THEN 1/{E_} ELSE {P}-p/({PI_}*{P})-abs(c)/({PI_}*{PI_}) END AS ra,
  CASE aa WHEN 'P' THEN 1/{P} WHEN 'G' THEN 1/{E_} ELSE exp((v-p)/{PI_}) END AS rb,
  CASE aa WHEN 'P' THEN 1/{P} WHEN 'G' THEN 1/{E_} ELSE

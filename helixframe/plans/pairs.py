@@ -10,12 +10,12 @@ from ..functions import pairs as PF
 from ..functions import residues as RF
 from ..operators import pairs as PR
 from ..operators import regions as RG
-from .base import AA, CHAINS, E_, P, PI_, R, TURNS, chains, cl, query, r6, residues_sql, turns, with_
+from .base import AA, CHAINS, E_, P, PI_, R, TURNS, chains, cl, num, query, r6, residues_sql, turns, with_
 from .chem import s_sql
 from .residues import labelled_sql, regions_sql
 
 FE = PR.FEATURES
-CONTACT = repr(C.CONTACT)
+CONTACT = num(C.CONTACT)
 
 
 def coords(k):
@@ -41,7 +41,7 @@ LINK_SQL = f"""CASE WHEN sep<=2 THEN 'backbone_covalent_geometry' WHEN i_aa='C'
 
 
 def by_link(values) -> str:
-    return "(CASE link " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items()) + " END)"
+    return "(CASE link " + " ".join(f"WHEN '{k}' THEN {num(v)}" for k, v in values.items()) + " END)"
 
 
 DOMS = {k: C.DOMAINS[d] for k, d in PF.LINK_DOMAIN.items()}
@@ -262,7 +262,7 @@ def same_kind_region_pairs(spark, sf):
 
 
 HARD = "link IN ('disulfide_covalent','salt_bridge_electrostatic','hydrophobic_packing','hbond_secondary')"
-BOOST = repr(1 + (C.PACKING_AMP / C.REGION_AMP) / C.PHI)
+BOOST = num(1 + (C.PACKING_AMP / C.REGION_AMP) / C.PHI)
 PTD = f"""d0 AS (SELECT *, {TARGET_SQL} AS t, greatest(m,1e-9) AS mm, 3.8*pow(sd,1/{PI_}) AS poly FROM pm),
 d1 AS (SELECT *, CASE sep WHEN 1 THEN 3.8 WHEN 2 THEN 3.8*sqrt({E_}/{P}) ELSE
  (CASE WHEN mm>loc*{P} THEN least((1-env)*poly+env*least(3.8/mm,{CONTACT}*{P}),{CONTACT}/(1+(mm-loc)*{P})) ELSE (1-env)*poly+env*least(3.8/mm,{CONTACT}*{P}) END) END AS d FROM d0),

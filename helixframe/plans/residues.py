@@ -31,13 +31,17 @@ def feature_query(key: str, **columns: tuple[str, object, int]):
 
     def run(spark, sf):
         return residue_counts(spark, sf).select("aa", "n", *[
-            F.col(c).alias(a) if d is None and isinstance(c, str) else c.alias(a) if d is None else r6(c, a, d)
-            for a, (_, c, d) in columns.items()])
+            column(c).alias(a) if d is None else r6(column(c), a, d) for a, (_, c, d) in columns.items()])
 
     run.__name__ = key
     return query(key, sql)(run)
 
 
+def column(c):
+    """Columns are built late: queries are registered before a session exists."""
+    return F.col(c) if isinstance(c, str) else c()
+
+
 def same(*names, digits=6):
     return {n: (n, n, digits) for n in names}
 
@@ -45,23 +49,22 @@ def same(*names, digits=6):
 feature_query("aa_opcode", **same("c", "p", "v", "aromatic", "branch", "hetero", "detail", digits=None))
 feature_query("aa_spin_charge", **same("spin", "charge"))
 feature_query("aa_volume_hydro", **same("volume", "hydro"))
-H0, V0, Q0, MU0 = RF.chem_base()
 feature_query(
     "aa_chem_base",
-    h0=(f"pow({P},-p)*exp(v/{PI_})", H0, 6), v0=(f"{PI_}*{E_}*pow({P},v)", V0, 6),
-    q0=("c", Q0, 6), mu0=(f"{C.GAMMA!r}*exp(abs(c)+p+1)", MU0, 6), mu=("mu", "mu", 6))
+    h0=(f"pow({P},-p)*exp(v/{PI_})", lambda: RF.chem_base()[0], 6), v0=(f"{PI_}*{E_}*pow({P},v)", lambda: RF.chem_base()[1], 6),
+    q0=("c", lambda: RF.chem_base()[2], 6), mu0=(f"{C.GAMMA!r}*exp(abs(c)+p+1)", lambda: RF.chem_base()[3], 6), mu=("mu", "mu", 6))
 feature_query("hydrophobicity_kd", **same("kd"))
 feature_query("formal_charge", q=("q", "q", 6),
               q_acid=("CASE WHEN aa IN ('D','E','C','Y') THEN (CASE WHEN 3.0>pkr THEN -1 ELSE 0 END) WHEN aa IN ('K','R') "
                       "THEN (CASE WHEN 3.0<pkr THEN 1 ELSE 0 END) WHEN aa='H' THEN 1/(1+pow(10.0,3.0-pkr)) ELSE 0 END",
-                      RF.formal_charge(3.0), 6))
+                      lambda: RF.formal_charge(3.0), 6))
 feature_query("vdw_polarizability", element=("element", "element", None), vdw=("vdw", "vdw", 6), polar=("polar", "polar", 6))
 feature_query("ss_propensity", **same("p_alpha", "p_beta", "p_coil"))
 feature_query("ss_propensity_expanded", **same("p_alpha_x", "p_beta_x", "p_coil_x"))
 feature_query("ss_dominant", label=(
-    "CASE WHEN p_alpha>=p_beta AND p_alpha>=p_coil THEN 'H' WHEN p_beta>=p_coil THEN 'E' ELSE 'C' END", RF.ss_dominant(), None))
+    "CASE WHEN p_alpha>=p_beta AND p_alpha>=p_coil THEN 'H' WHEN p_beta>=p_coil THEN 'E' ELSE 'C' END", RF.ss_dominant, None))
 INIT_SQL = f"CASE WHEN p_alpha>1/{E_} AND p_alpha>p_beta THEN 'H' WHEN p_beta>1/{E_} AND p_beta>p_alpha THEN 'E' ELSE 'C' END"
-feature_query("region_collapse", label=(INIT_SQL, RF.region_collapse(), None))
+feature_query("region_collapse", label=(INIT_SQL, RF.region_collapse, None))
 
 
 @query("aa_phase_alt", AC + "SELECT aa, n, c, p, v FROM ac JOIN (VALUES " + ",".join(
