@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,14 @@ def dist(a: str, b: str) -> Column:
 def let(value, body) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
     return F.get(F.transform(F.array(col(value)), body), 0)
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Stop filters from being pushed through deep column chains.
+
+    Pushing a predicate below a projection inlines every alias it uses; over a
+    chain of shared columns that multiplies the expression. Passing the row
+    through a one-element generator keeps each column computed once.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")

@@ -12,7 +12,7 @@ from .. import dims
 from ..functions import pairs as PF
 from ..functions import residues as RF
 from ..functions.bases import letters_of
-from ..functions.common import dist, let
+from ..functions.common import dist, freeze, let
 from . import regions as RG
 from .ranking import rank_within, top_n
 from .sequences import spread
@@ -163,15 +163,25 @@ def contact_evidence(scored: DataFrame) -> DataFrame:
     return out.withColumn("evidence", sum((F.col(t) for t in terms), F.col("m")))
 
 
+EVIDENCE = ["hydrophobic", "salt", "disulfide", "register_term", "polarizability", "evidence"]
+
+
+def slim(ev: DataFrame) -> DataFrame:
+    """Only what a ranked contact needs, so the sort moves few columns."""
+    extra = ["distance"] if "distance" in ev.columns else []
+    return ev.select("seq_id", "n", "i", "j", "sep", "i_aa", "j_aa", "m", *EVIDENCE, *extra,
+                     F.round("evidence", 9).alias("score"))
+
+
 def rank_contacts(scored: DataFrame, gate: int = C.GATE) -> DataFrame:
     ev = contact_evidence(scored.filter(F.col("sep") >= gate))
-    return rank_within(ev.withColumn("score", F.round("evidence", 9)), ["seq_id"], "score", ["i", "j"])
+    return rank_within(freeze(slim(ev)), ["seq_id"], "score", ["i", "j"])
 
 
 def top_contacts(scored: DataFrame, gate: int = C.GATE, n="n") -> DataFrame:
     """The top n pairs of each chain by evidence (n defaults to the chain length)."""
     ev = contact_evidence(scored.filter(F.col("sep") >= gate))
-    return top_n(ev.withColumn("score", F.round("evidence", 9)), ["seq_id"], "score", n, ["i", "j"])
+    return top_n(freeze(slim(ev)), ["seq_id"], "score", n, ["i", "j"])
 
 
 def native_distance(pairs: DataFrame) -> DataFrame:
@@ -180,7 +190,8 @@ def native_distance(pairs: DataFrame) -> DataFrame:
 
 def sparse_pairs(scored: DataFrame, local: int = 12, gate: int = C.GATE) -> DataFrame:
     """Local band plus the 2n strongest long-range pairs of each chain."""
-    far = scored.filter(F.col("sep") >= gate).withColumn("score", F.round("m", 9)).withColumn("n2", F.col("n") * 2)
+    far = freeze(scored.filter(F.col("sep") >= gate).select(
+        "seq_id", "i", "j", F.round("m", 9).alias("score"), (F.col("n") * 2).alias("n2")))
     best = top_n(far, ["seq_id"], "score", "n2", ["i", "j"]).select("seq_id", "i", "j")
     return scored.filter(F.col("sep") <= local).select("seq_id", "i", "j").unionByName(best).distinct()
 
@@ -205,7 +216,7 @@ def proximity_to_distance(scored: DataFrame, regions: DataFrame, gate: int = C.G
     poly = C.CA_CA * F.pow(sep, F.lit(1 / C.PI))
     env, bb = PF.env_scale(), PF.locality()
     blend = (1 - env) * poly + env * F.least(C.CA_CA / m, F.lit(C.CONTACT * C.PHI))
-    p = scored.withColumns({
+    p = freeze(scored).withColumns({
         "target": PF.link_target("link", "residual"),
         "d": F.when(F.col("sep") == 1, C.CA_CA).when(F.col("sep") == 2, C.CA_CA * math.sqrt(C.E / C.PHI)).otherwise(
             F.when(m > bb * C.PHI, F.least(blend, C.CONTACT / (1 + (m - bb) * C.PHI))).otherwise(blend)),
@@ -277,6 +288,7 @@ def measured_springs(pairs: DataFrame) -> DataFrame:
     snap = ((F.col("link") == "hbond_secondary") & F.col("sep").isin(3, 4, 7) & helical
             & (F.abs(F.col("distance") - ideal) < C.PHI))
     p = p.withColumn("d0", F.when(snap, ideal).otherwise(F.col("distance")))
+    p = freeze(p.select("seq_id", "n", "i", "j", "sep", "distance", "link", "r", "d0"))
     near = p.filter((F.col("sep") >= C.GATE) & (F.col("distance") < C.CONTACT))
     near = top_n(near.withColumn("score", -F.round("distance", 9)), ["seq_id"], "score", "n", ["i", "j"])
     near = near.select("seq_id", "i", "j", "d0", "r", "link", F.lit("contact").alias("source"))
@@ -301,5 +313,5 @@ def sep2_springs(pairs: DataFrame) -> DataFrame:
     is_e = ((b("i") > g) & (b("j") > g) & (b("i") >= a("i")) & (b("j") >= a("j"))
             & (F.abs(F.col("distance") - sheet) < C.PHI))
     d0 = F.when(is_h, helix).when(is_e, sheet)
-    return p.withColumn("d0", d0).filter(F.col("d0").isNotNull()).select(
+    return freeze(p.select("seq_id", "i", "j", d0.alias("d0"))).filter(F.col("d0").isNotNull()).select(
         "seq_id", "i", "j", "d0", F.lit(1.0).alias("r"))

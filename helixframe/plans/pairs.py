@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import pairs as PF
 from ..functions import residues as RF
+from ..functions.common import freeze
 from ..operators import pairs as PR
 from ..operators import regions as RG
 from .base import AA, CHAINS, E_, P, PI_, R, TURNS, chains, cl, num, query, r6, residues_sql, turns, with_
@@ -218,7 +219,7 @@ TOPK = ",".join(f"""t{t} AS (SELECT seq_id, {t} AS min_sep, avg(CASE WHEN distan
 def topk_precision(spark, sf):
     from ..operators.evaluate import topk_precision as op
 
-    p = scored(spark, sf).select("seq_id", "n", "i", "j", "sep", F.round("m", 9).alias("score"), "distance")
+    p = freeze(scored(spark, sf).select("seq_id", "n", "i", "j", "sep", F.round("m", 9).alias("score"), "distance"))
     return op(p, (6, 12, 24)).select("seq_id", "min_sep", r6("precision_half_l"))
 
 
