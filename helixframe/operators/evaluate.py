@@ -62,3 +62,54 @@ def confusion(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pre
         **{f"recall_{a.lower()}": r for a, r in recall.items()},
         "macro_recall": (recall["H"] + recall["E"] + recall["C"]) / 3.0,
     })
+
+
+def bin_error_stats(errors: DataFrame, bins: list[tuple[str, int, int]]) -> DataFrame:
+    """Count, mean, median, p90 of |error| and signed median per separation bin.
+
+    A separation may belong to several bins, so bins are attached as an array.
+    """
+    tags = F.array_compact(F.array(*[F.when(F.col("sep").between(lo, hi), name) for name, lo, hi in bins]))
+    e = errors.select("*", F.explode(tags).alias("bin"))
+    return e.groupBy("bin").agg(
+        F.count("*").alias("n_pairs"), F.avg(F.abs("err")).alias("mean_abs"),
+        F.percentile(F.abs("err"), 0.5).alias("median_abs"), F.percentile(F.abs("err"), 0.9).alias("p90_abs"),
+        F.percentile("err", 0.5).alias("signed_median"))
+
+
+def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "value", stat: str = "mean") -> DataFrame:
+    """Percentile bootstrap interval of the mean with Poisson(1) resampling weights.
+
+    Every row draws one weight per replicate from a hash of (row, replicate), so
+    rows never meet: a replicate is two partial sums, and the shuffle carries one
+    row per replicate and task.
+    """
+    u = (F.pmod(F.col(key) * 48271 + F.col("b") * 69621 + F.col(key) * F.col("b") % 7919, F.lit(10007)) + 0.5) / 10007.0
+    cdf, w, p = 0.0, F.lit(8), 0.36787944117144233
+    steps = []
+    for k in range(8):
+        cdf += p
+        steps.append((k, cdf))
+        p /= k + 1
+    for k, c in reversed(steps):
+        w = F.when(u < c, k).otherwise(w)
+    r = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
+    m = r.select("b", value, w.alias("w")).groupBy("b").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+    return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.count("m").alias("draws"))
+
+
+def parity_compare(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
+    """Full outer comparison of (key, value) results with a status per key."""
+    j = a.withColumnRenamed("value", "va").join(b.withColumnRenamed("value", "vb"), "key", "full_outer")
+    return j.withColumn("status", F.when(F.col("va").isNull(), "missing_left").when(F.col("vb").isNull(), "missing_right")
+                        .when(F.abs(F.col("va") - F.col("vb")) <= tol, "ok").otherwise("differs"))
+
+
+def channel_ablation(pairs: DataFrame, channels: list[str], min_sep: int = 6) -> DataFrame:
+    """Median and worst separation-centred correlation of every channel subset."""
+    masks = F.explode(F.sequence(F.lit(1), F.lit(2 ** len(channels) - 1))).alias("mask")
+    p = pairs.filter(F.col("sep") >= min_sep).select("*", masks)
+    score = sum((F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.col(c)).otherwise(0.0) for k, c in enumerate(channels)), F.lit(0.0))
+    p = p.withColumns({"score": score, "truth": 1 / F.col("distance")})
+    r = centred_pearson(p, ["seq_id", "mask"], "sep", "score", "truth")
+    return r.groupBy("mask").agg(F.percentile("pearson", 0.5).alias("median"), F.min("pearson").alias("worst"))

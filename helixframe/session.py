@@ -42,4 +42,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # kept while the checkpoint is written, so the plan runs once
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
