@@ -84,7 +84,8 @@ def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "v
     rows never meet: a replicate is two partial sums, and the shuffle carries one
     row per replicate and task.
     """
-    u = (F.pmod(F.col(key) * 48271 + F.col("b") * 69621 + F.col(key) * F.col("b") % 7919, F.lit(10007)) + 0.5) / 10007.0
+    h = F.pmod(F.col(key) * 7919 + F.col("b") * 104729 + F.col(key) * F.col("b") % 99991, F.lit(1000003))
+    u = (h * 48271 % 1000003 + 0.5) / 1000003.0
     cdf, w, p = 0.0, F.lit(8), 0.36787944117144233
     steps = []
     for k in range(8):
@@ -94,7 +95,7 @@ def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "v
     for k, c in reversed(steps):
         w = F.when(u < c, k).otherwise(w)
     r = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
-    m = r.select("b", value, w.alias("w")).groupBy("b").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+    m = r.select("b", value, w.alias("w")).groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w").cast("double")).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.count("m").alias("draws"))
 
 

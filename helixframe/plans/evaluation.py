@@ -8,7 +8,7 @@ from .. import constants as C
 from ..functions.common import freeze
 from ..operators import evaluate as EV
 from ..operators import pairs as PR
-from .base import R, query, r6, table, with_
+from .base import R, num, query, r6, table, with_
 from .pairs import EV as EVSQL
 from .pairs import P1, P3, chain_sql, scored
 from .structures import PTS, points
@@ -43,8 +43,8 @@ for _k in range(8):
     _p /= _k + 1
 
 
-@query("bootstrap_ci", with_(SS, ACC) + f""", w AS (SELECT b, a, CASE {" ".join(POIS)} ELSE 8 END AS w FROM (SELECT b, a, ((g*48271+b*69621+g*b%7919)%10007+0.5)/10007.0::DOUBLE AS u FROM acc, range(2000) t(b))),
- m AS (SELECT b, sum(a*w)/sum(w) AS m FROM w GROUP BY b) SELECT {R('quantile_cont(m,0.025)', 'lo')}, {R('quantile_cont(m,0.975)', 'hi')}, count(m) AS draws FROM m""")
+@query("bootstrap_ci", with_(SS, ACC) + f""", w AS (SELECT b, a, CASE {" ".join(POIS)} ELSE 8 END AS w FROM (SELECT b, a, ((g*7919+b*104729+g*b%99991)%1000003*48271%1000003+0.5::DOUBLE)/1000003.0::DOUBLE AS u FROM acc, range(2000) t(b))),
+ m AS (SELECT b, sum(a*w)/nullif(sum(w),0)::DOUBLE AS m FROM w GROUP BY b) SELECT {R('quantile_cont(m,0.025)', 'lo')}, {R('quantile_cont(m,0.975)', 'hi')}, count(m) AS draws FROM m""")
 def bootstrap_ci(spark, sf):
     acc = ss(spark, sf).groupBy("g").agg(F.avg((F.col("obs") == F.col("pred")).cast("double")).alias("value")).withColumnRenamed("g", "id")
     return EV.bootstrap_ci(acc, 2000).select(r6("lo"), r6("hi"), "draws")
@@ -108,9 +108,9 @@ def channel_validation(spark, sf):
     from .base import chains
 
     manifest = chains(spark, sf).select("seq_id", F.length("seq").cast("bigint").alias("expected"))
-    p = scored(spark, sf).select("seq_id", "n", "sep", "m", (1 / F.col("distance")).alias("truth"))
-    r = EV.centred_pearson(p, ["seq_id", "n"], "sep", "m", "truth").join(manifest, "seq_id")
-    return r.select("seq_id", F.col("expected").alias("length"), F.when(F.col("n") == F.col("expected"), "ok").otherwise("length_changed").alias("status"), r6("pearson"))
+    p = scored(spark, sf).select("seq_id", F.col("n").alias("len"), "sep", "m", (1 / F.col("distance")).alias("truth"))
+    r = EV.centred_pearson(p, ["seq_id", "len"], "sep", "m", "truth").join(manifest, "seq_id")
+    return r.select("seq_id", F.col("expected").alias("length"), F.when(F.col("len") == F.col("expected"), "ok").otherwise("length_changed").alias("status"), r6("pearson"))
 
 
 @query("nearest_pairs_recall", chain_sql(P1) + f""", nr AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY round(distance,9), i, j) AS k FROM p0 WHERE sep>={C.GATE})
@@ -126,9 +126,9 @@ def nearest_pairs_recall(spark, sf):
     return nat.join(best, "seq_id").select("seq_id", "n_native", r6(F.col("hits") / F.greatest("n_native", F.lit(1)), "recall"))
 
 
-@query("distance_wall", chain_sql(P1, P3) + f"""SELECT seq_id, distance<8 AS is_contact, count(*) AS n, {R('coalesce(corr(3.8/greatest(m,1e-9),distance),0)', 'corr')}, {R('avg(abs(3.8/greatest(m,1e-9)-distance))', 'mae', 4)} FROM pm GROUP BY ALL""")
+@query("distance_wall", chain_sql(P1, P3) + f"""SELECT seq_id, distance<8 AS is_contact, count(*) AS n, {R(f'coalesce(corr(least(3.8/greatest(m,1e-9),{num(C.CONTACT*C.PHI**2)}),distance),0)', 'corr')}, {R(f'avg(abs(least(3.8/greatest(m,1e-9),{num(C.CONTACT*C.PHI**2)})-distance))', 'mae', 4)} FROM pm GROUP BY ALL""")
 def distance_wall(spark, sf):
-    pred = C.CA_CA / F.greatest(F.col("m"), F.lit(1e-9))
+    pred = F.least(C.CA_CA / F.greatest(F.col("m"), F.lit(1e-9)), F.lit(C.CONTACT * C.PHI**2))
     return scored(spark, sf).withColumn("pred", pred).groupBy("seq_id", (F.col("distance") < 8).alias("is_contact")).agg(
         F.count("*").alias("n"), r6(EV.pearson("pred", "distance"), "corr"), r6(F.avg(F.abs(F.col("pred") - F.col("distance"))), "mae", 4))
 
@@ -326,7 +326,7 @@ def domain_resolve(spark, sf):
 
 
 @query("domain_coverage", with_(DMS) + """, cv AS (SELECT DISTINCT l_suppkey%40 AS gene, l_partkey%90+1 AS pos FROM lineitem WHERE l_quantity<=6), dd AS (SELECT DISTINCT * FROM dr)
-SELECT dd.gene, name, s, e, """ + R("count(cv.pos)/(e-s+1)::DOUBLE", "covered") + " FROM dd LEFT JOIN cv ON cv.gene=dd.gene AND cv.pos BETWEEN s AND e GROUP BY ALL HAVING count(cv.pos)/(e-s+1)::DOUBLE>=0.5")
+SELECT dd.gene, name, s, e, """ + R("count(cv.pos)/(e-s+1)::DOUBLE", "covered") + " FROM dd LEFT JOIN cv ON cv.gene=dd.gene AND cv.pos BETWEEN s AND e GROUP BY dd.gene, name, s, e HAVING count(cv.pos)/(e-s+1)::DOUBLE>=0.5")
 def domain_coverage(spark, sf):
     """Domains with at least half of their residues covered; spans are cut to positions first."""
     cv = table(spark, sf, "lineitem").filter("l_quantity <= 6").select((F.col("l_suppkey") % 40).alias("gene"), (F.col("l_partkey") % 90 + 1).alias("pos")).distinct()
