@@ -15,10 +15,10 @@ AA3L = list(C.AA3)[:20]
 HETL = ["ZN", "BEN", "HOH", "SEP", "MG", "NAG", "PSU"]
 ATOML = ["N", "CA", "C", "O", "CB", "HA", "DA"]
 RAW = f"""pl AS (SELECT l_orderkey//500 AS pdb, l_orderkey%500*10+l_linenumber AS line_no, min(l_partkey) AS k, min(l_suppkey) AS s, min(l_quantity)::BIGINT AS q, min(l_extendedprice) AS p FROM lineitem GROUP BY 1,2),
-at AS (SELECT 'p'||pdb AS pdb_id, line_no, CASE WHEN s%5<4 THEN 'ATOM' ELSE 'HETATM' END AS record, CASE WHEN s%5<4 THEN {ATOML!r}[s%7+1] ELSE 'C1''' END AS atom,
+atm AS (SELECT 'p'||pdb AS pdb_id, line_no, CASE WHEN s%5<4 THEN 'ATOM' ELSE 'HETATM' END AS record, CASE WHEN s%5<4 THEN {ATOML!r}[s%7+1] ELSE 'C1''' END AS atom,
  CASE WHEN s%5<4 THEN {AA3L!r}[k//80%20+1] ELSE {HETL!r}[k%7+1] END AS res, substring('ABC',(q%3+1)::INT,1) AS chain, (k%80)::VARCHAR AS resseq, q::DOUBLE AS x, floor(p)/100 AS y, (k%61)*0.5::DOUBLE AS z, k FROM pl)"""
 AA3D = "a3(res,aa) AS (VALUES " + ",".join(f"('{k}','{v}')" for k, v in C.AA3.items()) + ")"
-CAS = """ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id, chain, resseq ORDER BY line_no) AS r FROM at JOIN a3 USING (res) WHERE record='ATOM' AND atom='CA') WHERE r=1)"""
+CAS = """ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id, chain, resseq ORDER BY line_no) AS r FROM atm JOIN a3 USING (res) WHERE record='ATOM' AND atom='CA') WHERE r=1)"""
 PICK = lambda xs, k: F.get(F.array(*[F.lit(x) for x in xs]), k.cast("int"))
 
 
@@ -39,7 +39,7 @@ def atoms(spark, sf):
     return PDB.atoms(lines(spark, sf))
 
 
-@query("read_pdb_atoms", with_(RAW) + f"SELECT pdb_id, line_no, record, atom, res, chain, resseq, {R('x', 'x')}, {R('y', 'y')}, {R('z', 'z')} FROM at")
+@query("read_pdb_atoms", with_(RAW) + f"SELECT pdb_id, line_no, record, atom, res, chain, resseq, {R('x', 'x')}, {R('y', 'y')}, {R('z', 'z')} FROM atm")
 def read_pdb_atoms(spark, sf):
     return atoms(spark, sf).select("pdb_id", "line_no", "record", "atom", "res", "chain", "resseq", r6("x"), r6("y"), r6("z"))
 
@@ -49,12 +49,12 @@ def ca_trace(spark, sf):
     return PDB.ca_trace(atoms(spark, sf)).select("pdb_id", "chain", "resseq", "aa", "idx")
 
 
-@query("na_c1_trace", with_(RAW) + """SELECT pdb_id, chain, resseq, base, is_modified FROM (SELECT *, 'U' AS base, true AS is_modified, row_number() OVER (PARTITION BY pdb_id, chain, resseq ORDER BY line_no) AS r FROM at WHERE atom='C1''' AND res='PSU') WHERE r=1""")
+@query("na_c1_trace", with_(RAW) + """SELECT pdb_id, chain, resseq, base, is_modified FROM (SELECT *, 'U' AS base, true AS is_modified, row_number() OVER (PARTITION BY pdb_id, chain, resseq ORDER BY line_no) AS r FROM atm WHERE atom='C1''' AND res='PSU') WHERE r=1""")
 def na_c1_trace(spark, sf):
     return PDB.na_trace(atoms(spark, sf), "rna").select("pdb_id", "chain", "resseq", "base", "is_modified")
 
 
-@query("list_chains", with_(RAW) + "SELECT pdb_id, chain, row_number() OVER (PARTITION BY pdb_id ORDER BY min(line_no))-1 AS ord FROM at GROUP BY pdb_id, chain")
+@query("list_chains", with_(RAW) + "SELECT pdb_id, chain, row_number() OVER (PARTITION BY pdb_id ORDER BY min(line_no))-1 AS ord FROM atm GROUP BY pdb_id, chain")
 def list_chains(spark, sf):
     return PDB.list_chains(atoms(spark, sf)).select("pdb_id", "chain", "ord")
 
@@ -64,13 +64,13 @@ def first_valid_chain(spark, sf):
     return PDB.first_valid_chain(PDB.ca_trace(atoms(spark, sf)))
 
 
-@query("sidechain_atoms", with_(RAW, AA3D) + "SELECT pdb_id, chain, resseq, atom, count(*) AS n FROM at JOIN a3 USING (res) WHERE record='ATOM' AND atom NOT IN ('N','CA','C','O') AND atom NOT LIKE 'H%' GROUP BY ALL")
+@query("sidechain_atoms", with_(RAW, AA3D) + "SELECT pdb_id, chain, resseq, atom, count(*) AS n FROM atm JOIN a3 USING (res) WHERE record='ATOM' AND atom NOT IN ('N','CA','C','O') AND atom NOT LIKE 'H%' GROUP BY ALL")
 def sidechain_atoms(spark, sf):
     return PDB.sidechain_atoms(atoms(spark, sf)).groupBy("pdb_id", "chain", "resseq", "atom").agg(F.count("*").alias("n"))
 
 
 SC = """sc AS (SELECT pdb_id, chain, resseq, """ + ",".join(
-    f"coalesce(avg({k}) FILTER (atom NOT IN ('N','CA','C','O')), arg_max({k}, line_no) FILTER (atom='CA')) AS {k}" for k in "xyz") + """ FROM at JOIN a3 USING (res)
+    f"coalesce(avg({k}) FILTER (atom NOT IN ('N','CA','C','O')), arg_max({k}, line_no) FILTER (atom='CA')) AS {k}" for k in "xyz") + """ FROM atm JOIN a3 USING (res)
  WHERE record='ATOM' AND atom NOT LIKE 'H%' GROUP BY ALL HAVING count(*) FILTER (atom='CA')>0)"""
 
 
@@ -80,12 +80,12 @@ def sidechain_centroids(spark, sf):
 
 
 @query("hydrogen_atoms", with_(RAW, AA3D) + f"""SELECT pdb_id, chain, resseq, name, {R('x', 'x')} FROM (SELECT *, 'HA' AS name, row_number() OVER (PARTITION BY pdb_id, chain, resseq ORDER BY (atom='HA') DESC, CASE WHEN atom='HA' THEN -line_no ELSE line_no END) AS r
- FROM at JOIN a3 USING (res) WHERE record='ATOM' AND atom IN ('HA','DA')) WHERE r=1""")
+ FROM atm JOIN a3 USING (res) WHERE record='ATOM' AND atom IN ('HA','DA')) WHERE r=1""")
 def hydrogen_atoms(spark, sf):
     return PDB.hydrogen_atoms(atoms(spark, sf)).select("pdb_id", "chain", "resseq", "name", r6("x"))
 
 
-GRP = "SELECT pdb_id, res, chain, resseq, count(*) AS n_atoms, " + R("avg(x)", "x") + "," + R("avg(y)", "y") + " FROM at WHERE {w} GROUP BY ALL {h}"
+GRP = "SELECT pdb_id, res, chain, resseq, count(*) AS n_atoms, " + R("avg(x)", "x") + "," + R("avg(y)", "y") + " FROM atm WHERE {w} GROUP BY ALL {h}"
 
 
 @query("het_groups", with_(RAW) + GRP.format(w="record='HETATM' AND res IN ('BEN','PSU')", h="HAVING count(*)>=3"))
@@ -98,7 +98,7 @@ def ptm_groups(spark, sf):
     return PDB.ptm_groups(atoms(spark, sf)).select("pdb_id", "res", "chain", "resseq", "n_atoms", r6("x"), r6("y"))
 
 
-@query("metal_sites", with_(RAW) + "SELECT pdb_id, res, chain, count(*) AS n FROM at WHERE record='HETATM' AND res IN ('ZN','MG') GROUP BY ALL")
+@query("metal_sites", with_(RAW) + "SELECT pdb_id, res, chain, count(*) AS n FROM atm WHERE record='HETATM' AND res IN ('ZN','MG') GROUP BY ALL")
 def metal_sites(spark, sf):
     return PDB.metal_sites(atoms(spark, sf)).groupBy("pdb_id", "res", "chain").agg(F.count("*").alias("n"))
 
@@ -254,7 +254,7 @@ def write_results(spark, sf):
     ca = PDB.ca_trace(atoms(spark, sf)).withColumn("res", F.lit("ALA"))
     lines_ = ca.select("pdb_id", F.format_string("%-6s%5d %-4s %3s %s%4d    %8.3f%8.3f%8.3f%22s%2s", F.lit("ATOM"), F.col("idx") + 1, F.lit("CA"), F.col("res"), F.col("chain"),
                                                  F.col("idx") + 1, "x", "y", "z", F.lit(""), F.lit("C")).alias("value"))
-    lines_.write.partitionBy("pdb_id").text(out)
+    lines_.repartition("pdb_id").write.partitionBy("pdb_id").text(out)
     back = spark.read.text(out).select("pdb_id", F.monotonically_increasing_id().alias("line_no"), "value")
     return PDB.atoms(back, first_model=False).groupBy("pdb_id", "chain").agg(F.count("*").alias("n"))
 
