@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from .. import constants as C
@@ -66,7 +67,7 @@ def rmsd_of(s: DataFrame) -> DataFrame:
     return g.withColumn("rmsd", F.sqrt(F.greatest(F.lit(0.0), F.col("e0") - 2 * trace) / F.col("n")))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def _rotation(h: pd.Series) -> pd.Series:
     """Batched proper rotations from flattened 3x3 covariances."""
     if not len(h):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from ..operators.sequences import COUNTS, base_counts
@@ -50,7 +51,7 @@ def run_to_table(stream: DataFrame, out: str, mode: str) -> DataFrame:
          .trigger(availableNow=True).start())
     q.awaitTermination()
     spark = stream.sparkSession
-    return spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{out}/data/id=*")
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/data/id=*")
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
