@@ -337,3 +337,26 @@ def residue_frames(points: DataFrame, keys: list[str]) -> DataFrame:
     return p.withColumns({"ey_x": z("y") * e("z") - z("z") * e("y"), "ey_y": z("z") * e("x") - z("x") * e("z"),
                           "ey_z": z("x") * e("y") - z("y") * e("x")}).select(
         *keys, "idx", *[f"e{a}_{k}" for a in XYZ for k in XYZ])
+
+
+def ss_geometry(points: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """Agreement of helix i,i+4 and strand i,i+1 distances with the ideal, times compactness.
+
+    ``regions`` is (keys, kind, start, end).
+    """
+    ideal = math.sqrt(36 + (4.6 * math.sin(math.radians(200))) ** 2)
+    n = points.groupBy(*keys).agg(F.count("*").alias("n"), radius_of_gyration().alias("rg"))
+    w = W.partitionBy(*keys).orderBy("idx")
+    far = lambda k: F.sqrt(sum((F.pow(F.lead(c, k).over(w) - F.col(c), 2) for c in XYZ), F.lit(0.0)))
+    p = points.select(*keys, "idx", far(1).alias("d1"), far(4).alias("d4"))
+    size = F.col("end") - F.col("start") + 1
+    span = regions.filter(((F.col("kind") == "H") & (size >= 5)) | ((F.col("kind") == "E") & (size >= 3))).withColumn(
+        "idx", F.explode(F.sequence("start", "end")))
+    j = span.join(p, [*keys, "idx"]).join(n, keys)
+    helix = (F.col("kind") == "H") & (F.col("idx") < F.least(F.col("end") - 3, F.col("n") - 4))
+    strand = (F.col("kind") == "E") & (F.col("idx") < F.least(F.col("end"), F.col("n") - 1))
+    score = F.when(helix, F.exp(-F.abs(F.col("d4") - ideal) / C.PHI)).when(strand, F.exp(-F.abs(F.col("d1") - C.CA_CA)))
+    g = j.withColumn("s", score).groupBy(*keys).agg(F.avg("s").alias("mean"))
+    out = n.join(g, keys, "left")
+    compact = F.exp(-F.abs(F.col("rg") - RF.target_rg("n")) / (C.PHI * C.E))
+    return out.select(*keys, F.coalesce(F.col("mean") * compact, F.lit(0.0)).alias("ss_geometry"))

@@ -310,3 +310,17 @@ def residue_frames(spark, sf):
     return f.select(*KEYS, "idx", *[r6(f"e{a}_{k}") for a in "xyz" for k in "xyz"])
 
 
+
+
+SSG = """rg(kind,s,e) AS (VALUES ('H',0,7),('E',9,13),('H',14,20)), dd AS (SELECT target, model, idx, sqrt(pow(lead(x) OVER w-x,2)+pow(lead(y) OVER w-y,2)+pow(lead(z) OVER w-z,2)) AS d1,
+ sqrt(pow(lead(x,4) OVER w-x,2)+pow(lead(y,4) OVER w-y,2)+pow(lead(z,4) OVER w-z,2)) AS d4 FROM pts WINDOW w AS (PARTITION BY target,model ORDER BY idx)),
+sg AS (SELECT target, model, avg(CASE WHEN kind='H' AND idx<least(e-3,17) THEN exp(-abs(d4-sqrt(36+pow(4.6*sin(200*pi()/180),2)))/""" + P + """) WHEN kind='E' AND idx<least(e,20) THEN exp(-abs(d1-3.8)) END) AS m
+ FROM dd JOIN rg ON idx BETWEEN s AND e GROUP BY ALL)"""
+
+
+@query("ss_geometry", with_(PTS, SHAPE, SSG) + f"SELECT target, model, {R(f'm*exp(-abs(rg-tg)/({P}*{num(C.E)}))', 'ss_geometry')} FROM sg JOIN shp USING (target, model)")
+def ss_geometry(spark, sf):
+    p = points(spark, sf)
+    spans = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for k, a, b in (("H", 0, 7), ("E", 9, 13), ("H", 14, 20))])
+    rg = p.select(*KEYS).distinct().select(*KEYS, F.explode(spans).alias("r")).select(*KEYS, "r.*")
+    return ST.ss_geometry(p.select(*KEYS, "idx", "x", "y", "z"), rg, KEYS).select(*KEYS, r6("ss_geometry"))
