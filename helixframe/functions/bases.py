@@ -148,7 +148,7 @@ def trit_pack(trits) -> Column:
 
 def trit_unpack(word, n) -> Column:
     w = col(word)
-    field = lambda i: F.shiftrightunsigned(w, (2 * i).cast("int")).bitwiseAND(F.lit(3))
+    field = lambda i: F.call_function("shiftrightunsigned", w, (2 * i).cast("int")).bitwiseAND(F.lit(3).cast("bigint"))
     return F.transform(
         F.sequence(F.lit(0), col(n) - 1),
         lambda i: F.when(field(i) == 1, 1).when(field(i) == 3, -1).otherwise(0),

@@ -15,7 +15,7 @@ from ..functions.bases import letters_of
 from ..functions.common import dist, freeze, let
 from . import regions as RG
 from .ranking import rank_within, top_n
-from .sequences import spread
+from .sequences import spread, spread_if_few
 
 FEATURES = ["spin", "charge", "branch", "aromatic", "kd", "q", "mu", "polar", "vdw", "hydro",
             "p_alpha", "p_beta", "p_alpha_x", "p_beta_x"]
@@ -38,7 +38,7 @@ def with_residues(seqs: DataFrame, coords=None, cooperative: bool = False) -> Da
 
         return F.transform(letters_of("seq"), item)
 
-    return spread(seqs, "seq_id").select(*seqs.columns, let(RG.residue_regions(labels), pack).alias("res"))
+    return spread_if_few(seqs, "seq_id").select(*seqs.columns, let(RG.residue_regions(labels), pack).alias("res"))
 
 
 def residue_pairs(chains: DataFrame, gate: int = 1, max_sep: int | None = None, block: int = 128,

@@ -28,6 +28,16 @@ def spread(df: DataFrame, *keys, parts: int | None = None) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def spread_if_few(df: DataFrame, *keys) -> DataFrame:
+    """Repartition a scan only when it has fewer partitions than the cluster has slots.
+
+    A table of many files already scans in parallel and is left alone, so large
+    inputs are not shuffled; one small file would otherwise be one task.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else spread(df, *keys)
+
+
 def base_counts(seqs: DataFrame) -> DataFrame:
     """Row-local letter, codon, start and stop counts of each sequence chunk."""
     up = F.translate(F.upper(F.col("seq")), "U", "T")

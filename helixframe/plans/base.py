@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.common import rounded  # noqa: F401
 from ..functions.residues import clean_sequence
-from ..operators.sequences import spread
+from ..operators.sequences import spread, spread_if_few  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,16 +123,18 @@ aa AS (SELECT *, ra/(ra+rb+rc) AS p_alpha, rb/(ra+rb+rc) AS p_beta, rc/(ra+rb+rc
  ra/(ra+rbx+rc) AS p_alpha_x, rbx/(ra+rbx+rc) AS p_beta_x, rc/(ra+rbx+rc) AS p_coil_x FROM aa1)"""
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("seq_id"), "text")
+    return spread_if_few(d, "seq_id")
+
+
 def dna(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
     letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return spread(d.select(F.col("doc_id").alias("seq_id"),
-                           F.translate(letters, LETTERS26, BASES26).alias("seq")), "seq_id")
+    return documents(spark, sf).select("seq_id", F.translate(letters, LETTERS26, BASES26).alias("seq"))
 
 
 def protein(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return spread(d.select(F.col("doc_id").alias("seq_id"), clean_sequence("text").alias("seq")), "seq_id")
+    return documents(spark, sf).select("seq_id", clean_sequence("text").alias("seq"))
 
 
 def chains(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import msa as M
-from .base import P, R, num, query, r6, spread, table, with_
+from .base import P, R, num, query, r6, spread_if_few, table, with_
 
 WIDTH = 64
 CELLS = """emb AS (SELECT label AS family, vec_id AS row_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -39,8 +39,8 @@ neff AS (SELECT family, n_seqs, mean_id, CASE WHEN mean_id IS NULL THEN n_seqs E
 
 def rows(spark, sf):
     codes = F.transform("embedding", lambda x, k: F.pmod(F.floor(x.cast("double") * 20).cast("int") + k, 21))
-    e = table(spark, sf, "embeddings").select(F.col("label").alias("family"), F.col("vec_id").alias("row_id"), codes.alias("codes"))
-    return spread(e, "row_id")
+    e = spread_if_few(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "vec_id")
+    return e.select(F.col("label").alias("family"), F.col("vec_id").alias("row_id"), codes.alias("codes"))
 
 
 def stats(spark, sf):

@@ -12,7 +12,7 @@ from ..functions import residues as RF
 from ..functions.bases import letters_of
 from ..operators import regions as RG
 from ..operators import sequences as S
-from .base import (AA, PROTEIN, TURNS, E_, P, PI_, R, protein, query, r6, residues_sql, spread, turns, with_)
+from .base import (AA, PROTEIN, TURNS, E_, P, PI_, R, protein, query, r6, residues_sql, spread_if_few, turns, with_)
 
 AC = with_(PROTEIN, AA, "ac AS (SELECT aa, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq,'.')) AS aa FROM protein) GROUP BY aa)")
 
@@ -158,7 +158,7 @@ def label_sequence(spark, sf):
 @query("region_membership", with_(TURNS, AA, labelled_sql("turns"), regions_sql()) + """
 SELECT l.seq_id, l.pos, l.aa, r.region, r.kind FROM lab l LEFT JOIN regions r ON r.seq_id=l.seq_id AND l.pos BETWEEN r."start" AND r."end" """)
 def region_membership(spark, sf):
-    t = spread(turns(spark, sf), "seq_id")
+    t = spread_if_few(turns(spark, sf), "seq_id")
     res = t.select("seq_id", F.posexplode(letters_of("seq")).alias("pos", "aa"))
     return RG.region_membership(res, RG.detect_regions(t)).select("seq_id", "pos", "aa", "region", "kind")
 
@@ -181,5 +181,5 @@ vlab AS (SELECT seq_id, pos, s AS label FROM vb)"""
 @query("region_viterbi", with_(TURNS, AA, residues_sql("turns"), VITERBI).replace("WITH ", "WITH RECURSIVE ", 1)
        + "SELECT seq_id, string_agg(label,'' ORDER BY pos) AS labels FROM vlab GROUP BY seq_id")
 def region_viterbi(spark, sf):
-    t = spread(turns(spark, sf), "seq_id").filter(F.length("seq") > 0)
+    t = spread_if_few(turns(spark, sf), "seq_id").filter(F.length("seq") > 0)
     return t.select("seq_id", RG.viterbi_labels("seq").alias("labels"))
