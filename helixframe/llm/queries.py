@@ -23,6 +23,31 @@ def op3_topk(spark, sf):
     return search(table(spark, sf, "embeddings"))
 
 
+def op4_quality(spark, sf):
+    from .quality import classify
+
+    return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op6_decontaminate(spark, sf):
+    from .decontaminate import find_items
+
+    return find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op8_pii(spark, sf):
+    from .pii import digest, find_spans
+
+    return digest(find_spans(table(spark, sf, "documents")))
+
+
+def op9_warc(spark, sf):
+    from .warc import read_archive, write_archive
+
+    folder, _ = write_archive(table(spark, sf, "pages"))
+    return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_mix(spark, sf):
     from .mixing import mix
 
@@ -30,11 +55,13 @@ def op10_mix(spark, sf):
 
 
 def queries():
-    return {"op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op10_mix": op10_mix}
+    return {f.__name__: f for f in (op2_token_counts, op3_topk, op4_quality, op6_decontaminate, op8_pii, op9_warc, op10_mix)}
 
 
 def oracles():
+    from .decontaminate import find_sql
     from .mixing import mix_sql
     from .topk import SEARCH_SQL
+    from .warc import RECORDS_SQL
 
-    return {"op3_topk": SEARCH_SQL, "op10_mix": mix_sql()}
+    return {"op3_topk": SEARCH_SQL, "op6_decontaminate": find_sql(), "op9_warc": RECORDS_SQL, "op10_mix": mix_sql()}
