@@ -40,14 +40,20 @@ def _text(*w):
     return F.concat_ws(" ", *w)
 
 
+def _both(*w):
+    return F.struct(_text(*w).alias("shingle"), F.xxhash64(*w).alias("h"))
+
+
 def item_shingles(items: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(item, item_id, len, n, shingle, h): distinct shingles of each item; ``len`` are the words of a shingle."""
     it = items.select(F.col(id_col).cast("long").alias("item_id"), words_of(F.col(text_col).cast("string")).alias("w")).where(
         F.col("item_id").isNotNull() & (F.size("w") > 0)).distinct()
     it = it.withColumn("item", F.xxhash64("item_id", "w")).withColumn("len", F.least(F.size("w"), F.lit(k)))
-    own = F.array_distinct(F.when(F.size("w") < k, F.array(F.array_join("w", " "))).otherwise(_at(F.col("w"), k, _text)))
-    it = it.withColumn("s", own).withColumn("n", F.size("s"))
-    return it.select("item", "item_id", "len", "n", F.explode("s").alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+    own = F.lit(None)
+    for n in range(1, k + 1):
+        own = F.when(F.col("len") == n, _at(F.col("w"), n, _both)).otherwise(own)
+    it = it.withColumn("s", F.array_distinct(own)).withColumn("n", F.size("s"))
+    return it.select("item", "item_id", "len", "n", F.explode("s").alias("s")).select("item", "item_id", "len", "n", "s.shingle", "s.h")
 
 
 def signatures(shingles: DataFrame, share: float) -> DataFrame:
@@ -70,8 +76,7 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float
     rows = rows_of(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     worded = rows.select("doc_id", words_of(F.col("text")).alias("w"))
     none = rows.sparkSession.createDataFrame([], "doc_id long, item long")
-    # the hash of the joined words, as the items have it
-    found = [worded.select("doc_id", F.explode(_at(F.col("w"), n, lambda *w: F.xxhash64(_text(*w)))).alias("h"))
+    found = [worded.select("doc_id", F.explode(_at(F.col("w"), n, F.xxhash64)).alias("h"))
              .join(hint(signatures(shingles, share).where(F.col("len") == n).select("item", "h").distinct()), "h").select("doc_id", "item")
              for n in lengths]
     candidates = none

@@ -9,6 +9,12 @@ from .common import table
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_word_windows(spark, sf):
+    from .word_windows import remove_repeated
+
+    return remove_repeated(table(spark, sf, "documents"))
+
+
 def op2_token_counts(spark, sf):
     import public_tokenizers
 
@@ -55,7 +61,7 @@ def op10_mix(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op3_topk, op4_quality, op6_decontaminate, op8_pii, op9_warc, op10_mix)}
+    return {f.__name__: f for f in (op1_word_windows, op2_token_counts, op3_topk, op4_quality, op6_decontaminate, op8_pii, op9_warc, op10_mix)}
 
 
 def oracles():
