@@ -35,6 +35,12 @@ def op4_quality(spark, sf):
     return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op5_minhash(spark, sf):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 def op6_decontaminate(spark, sf):
     from .decontaminate import find_items
 
@@ -61,7 +67,7 @@ def op10_mix(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_word_windows, op2_token_counts, op3_topk, op4_quality, op6_decontaminate, op8_pii, op9_warc, op10_mix)}
+    return {f.__name__: f for f in (op1_word_windows, op2_token_counts, op3_topk, op4_quality, op5_minhash, op6_decontaminate, op8_pii, op9_warc, op10_mix)}
 
 
 def oracles():
