@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WORD, stored, task_count
 
@@ -75,23 +76,24 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = first[1] if len(first) > 1 else len(source)
             rank[:end] += seen
         last, seen = (bool(missing[-1]), text[-1]), int(rank[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank, pa.int64())], ["doc_id", "source", "size", "part", "rank"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank, pa.int64())], [*batch.schema.names, "rank"])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-        share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every document.
+        share: float = SHARE, most: float = MOST, seed: int = SEED, with_rows: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every document, and all its columns in ``row`` if asked for.
 
     Ranges over (source, size, id) number the documents: each partition counts its own and gets the counts of
     the partitions before it, so a source of any size is spread over as many tasks as its rows need.
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []))
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
     ranged = (slim.repartitionByRange(task_count(spark, 2), *order).sortWithinPartitions(*order)
               .withColumn("part", F.spark_partition_id()))
-    ranked = stored(ranged.mapInArrow(_number, "doc_id long, source string, size long, part int, rank long"))
+    ranked = stored(ranged.mapInArrow(_number, StructType([*ranged.schema.fields, StructField("rank", LongType())])))
     parts = ranked.groupBy("source", "part").agg(F.max("rank").alias("n"), F.sum("size").alias("size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(parts, weights, share, most)
@@ -104,7 +106,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = F.col("before") + F.col("rank")
     n = F.floor(F.col("each") * at + F.col("u")) - F.floor(F.col("each") * (at - 1) + F.col("u"))
     return (joined.withColumn("copies", n.cast("long"))
-            .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+            .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+                    *(["row"] if with_rows else [])))
+
+
+def emit(docs: DataFrame, **options) -> DataFrame:
+    """The mixture: every row of ``docs``, all columns kept, as often as it is taken; ``copy`` counts from 0."""
+    taken = mix(docs, with_rows=True, **options).where(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")).select("row.*", "copy")
 
 
 def mix_sql(weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, docs: str = "documents") -> str:

@@ -47,6 +47,12 @@ def op6_decontaminate(spark, sf):
     return find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op7_bwt_windows(spark, sf):
+    from .byte_windows import remove_repeated
+
+    return remove_repeated(table(spark, sf, "documents"))
+
+
 def op8_pii(spark, sf):
     from .pii import digest, find_spans
 
@@ -67,7 +73,7 @@ def op10_mix(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_word_windows, op2_token_counts, op3_topk, op4_quality, op5_minhash, op6_decontaminate, op8_pii, op9_warc, op10_mix)}
+    return {f.__name__: f for f in (op1_word_windows, op2_token_counts, op3_topk, op4_quality, op5_minhash, op6_decontaminate, op7_bwt_windows, op8_pii, op9_warc, op10_mix)}
 
 
 def oracles():

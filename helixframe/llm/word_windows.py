@@ -28,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asks import answers, by_bucket, repeated_in
+from .asks import address, answers, by_bucket, grouped_texts, key_of, repeated_in, with_repeated_anchors
 from .common import stored, task_count
-from .textcore import U, flat, gram_starts, grams, mix, slices, word_bounds, word_hashes
+from .textcore import U, flat, gram_starts, grams, mix, word_bounds, word_hashes
 
 WINDOW, PERIOD = 35, 21
 #: Hashes a bucket holds on average, and bytes of text of a group.
@@ -71,72 +71,6 @@ def _anchors(first: np.ndarray, h: np.ndarray, gram: int, period: int) -> tuple[
     return at, text, grams(h, gram)[at] if len(at) else np.zeros(0, U)
 
 
-def _address(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit value of an anchor hash."""
-    return ((h >> U(32)) % U(buckets)).astype(np.int64), h.astype(np.uint32)
-
-
-def _key(bucket: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return (bucket.astype(U) << U(32)) | value.astype(U)
-
-
-def _ask_anchors(window: int, period: int, buckets: int):
-    """Rows (to, bucket?, blob): anchors asked of their bucket, and repeated ones stated to their group."""
-    gram = window - period + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = flat(batch.column(1))
-            hashes, owners = [], []
-            for a, b in slices(offsets):
-                part = data[offsets[a]:offsets[b]]
-                starts, ends, first = word_bounds(part, offsets[a:b + 1] - offsets[a])
-                _, text, h = _anchors(first, word_hashes(part, starts, ends), gram, period)
-                hashes.append(h)
-                owners.append(group[a:b][text])
-            h, owner = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hashes, U), (owners, np.int64)))
-            bucket, value = _address(h, buckets)
-            key = _key(bucket, value)
-            known = repeated_in(key)
-            to, ask, blob = [], [], []
-            for b, packed in by_bucket(bucket, value, owner, known):
-                to.append(b)
-                ask.append(True)
-                blob.append(packed)
-            own, keys = owner[known], key[known]
-            order = np.argsort(own, kind="stable")
-            own, keys = own[order], keys[order]
-            for g in np.unique(own):
-                x, y = np.searchsorted(own, [g, g + 1])
-                to.append(int(g))
-                ask.append(False)
-                blob.append(np.unique(keys[x:y]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ask, pa.bool_()), pa.array(blob, pa.binary())], ["to", "ask", "blob"])
-
-    return run
-
-
-def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Asked blobs become the repeated keys of each group; statements pass."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        ask = batch.column(1).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(ask):
-            held.setdefault(batch.column(0)[int(i)].as_py(), []).append(batch.column(2)[int(i)].as_py())
-        if not ask.all():
-            rest = batch.filter(pa.array(~ask))
-            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(2)], ["group", "blob"])
-    for bucket, blobs in held.items():
-        found: dict[int, list[np.ndarray]] = {}
-        for owner, values, hit in answers(blobs):
-            if hit.any():
-                found.setdefault(owner, []).append(values[hit])
-        if found:
-            out = [_key(np.full(1, bucket), np.unique(np.concatenate(v))).tobytes() for v in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(out, pa.binary())], ["group", "blob"])
-
-
 def _sha(words) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -181,7 +115,7 @@ def _extend(window: int, period: int, buckets: int):
         starts, ends, first = word_bounds(data, offsets)
         h = word_hashes(data, starts, ends)
         at, text, a = _anchors(first, h, gram, period)
-        found = at[np.isin(_key(*_address(a, abuckets)), keys)] if len(keys) else at[:0]
+        found = at[np.isin(key_of(*address(a, abuckets)), keys)] if len(keys) else at[:0]
         candidate = np.zeros(len(h) + 1, np.int64)
         if len(found):
             np.add.at(candidate, np.maximum(found - (period - 1), 0), 1)
@@ -213,27 +147,9 @@ def _extend(window: int, period: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 32
-        group, keys = None, []
-        for batch in batches:
-            groups = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if groups[a] != group:
-                    group, keys = groups[a], []
-                part = batch.slice(a, b - a)
-                blobs = part.column(2)
-                told = len(blobs) - blobs.null_count
-                keys += [np.frombuffer(x.as_py(), U) for x in blobs.slice(0, told)]
-                if told == len(blobs):
-                    continue
-                keys = [np.unique(np.concatenate(keys))] if keys else []
-                part = part.slice(told)
-                texts = part.column(4).fill_null("")
-                _, offsets = flat(texts)
-                for x, y in slices(offsets, 1 << 18):
-                    uid += 1
-                    yield _rows(list(chunk(uid, part.column(3).slice(x, y - x).to_pylist(), texts.slice(x, y - x),
-                                           keys[0] if keys else np.zeros(0, U), buckets)))
+        for ids, texts, keys in grouped_texts(batches, 1 << 18):
+            uid += 1
+            yield _rows(list(chunk(uid, ids, texts, keys, buckets)))
 
     return run
 
@@ -314,13 +230,12 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     share = len(difference_cover(period)) / period
     buckets, groups = max(1, int(size / 6 * share / BUCKET)), max(1, int(size / GROUP))
     tasks = task_count(spark, 2)
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
 
-    asked = rows.select("group", "text").mapInArrow(_ask_anchors(window, period, buckets), "to long, ask boolean, blob binary")
-    told = asked.repartition(tasks, "to", "ask").mapInArrow(_answer_anchors, "group long, blob binary")
-    both = (told.select("group", F.lit(0).alias("tag"), "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-            .union(rows.select("group", F.lit(1).alias("tag"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text")))
-    both = both.repartition(max(tasks, min(groups, 4 * tasks)), "group").sortWithinPartitions("group", "tag")
+    def anchors_of(data, offsets):
+        starts, ends, first = word_bounds(data, offsets)
+        return _anchors(first, word_hashes(data, starts, ends), window - period + 1, period)[1:]
+
+    both = with_repeated_anchors(rows, anchors_of, buckets, groups)
     out = stored(both.mapInArrow(_extend(window, period, buckets), _C_SQL))
 
     final = out.where(F.col("kind") == FINAL).select("doc_id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept"))
