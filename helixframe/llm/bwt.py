@@ -1,17 +1,17 @@
 """Merging Burrows-Wheeler transforms of shards of strings by iterative interleave refinement.
 
-A shard is a list of strings. Its transform lists, in the order of its suffixes, the ``STEP`` symbols before each suffix. The
+A shard is a list of strings. Its transform lists, in the order of its suffixes, the ``step`` symbols before each suffix. The
 merged order is an interleave of the shards' orders, kept as the shard of each entry. A refinement walks the interleave,
 takes each entry's symbols and sorts them stably: that is the interleave of the suffixes extended by these symbols. Entries
 that agree in the symbols and were in one block stay in one block, so after r rounds the blocks are the intervals of
-suffixes with a common prefix of ``STEP * r`` or more. Suffixes are never compared again.
+suffixes with a common prefix of ``step * r`` or more. Suffixes are never compared again.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-STEP = 4
+STEPS = (4, 3, 2, 1)
 
 
 def _small(codes: np.ndarray) -> np.ndarray:
@@ -42,9 +42,10 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def merged_blocks(data: np.ndarray, first: np.ndarray, shard: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge the shards' transforms and return (entries, blocks) in suffix order.
 
-    String i is ``data[first[i]:first[i + 1]]``, all of ``STEP`` bytes or more, sorted by ``shard``. An entry is the place of a
+    String i is ``data[first[i]:first[i + 1]]``, of 4 bytes or more, sorted by ``shard``. An entry is the place of a
     suffix in ``data`` (-1 for a terminator); neighbours of one block have ``depth`` bytes in common, at least.
     """
+    step = next(x for x in STEPS if depth % x == 0)
     m, n = len(first) - 1, len(data) + len(first) - 1
     present = np.unique(data)
     dense = np.zeros(256, np.int64)
@@ -64,7 +65,7 @@ def merged_blocks(data: np.ndarray, first: np.ndarray, shard: np.ndarray, depth:
 
     def four(at: np.ndarray) -> np.ndarray:
         code = np.zeros(len(at), np.int64)
-        for j in range(STEP):
+        for j in range(step):
             inside = np.minimum(at + j, ends[owner[at]])
             code = code * base + symbols[inside]
         return code
@@ -77,17 +78,17 @@ def merged_blocks(data: np.ndarray, first: np.ndarray, shard: np.ndarray, depth:
     order = np.concatenate(orders)
     size = np.array([len(o) for o in orders])
     z = _small(np.repeat(np.arange(len(orders)), size))
-    # suffixes that no extension reaches: those of fewer than STEP symbols and their terminator
-    fixed = np.flatnonzero(ends[owner] - np.arange(n) < STEP)
-    reached = offset[order] >= STEP
-    codes = np.concatenate([four(fixed), four(order[reached] - STEP)])
+    # suffixes that no extension reaches: those of fewer than ``step`` symbols and their terminator
+    fixed = np.flatnonzero(ends[owner] - np.arange(n) < step)
+    reached = offset[order] >= step
+    codes = np.concatenate([four(fixed), four(order[reached] - step)])
     _, codes = np.unique(codes, return_inverse=True)
     codes = _small(codes)
     fixed_codes, transform = codes[:len(fixed)], np.zeros(n, codes.dtype)
     transform[reached] = codes[len(fixed):]
-    fixed_z = _small(np.repeat(np.arange(len(orders)), np.diff(cuts) * STEP)).astype(z.dtype)
+    fixed_z = _small(np.repeat(np.arange(len(orders)), np.diff(cuts) * step)).astype(z.dtype)
     block = np.zeros(n, np.int32)
-    for _ in range(-(-depth // STEP)):
+    for _ in range(depth // step):
         # the i-th entry of a shard in the interleave is the i-th of its order
         take = np.argsort(z, kind="stable")
         here, live = np.empty(n, codes.dtype), np.empty(n, bool)
