@@ -23,7 +23,7 @@ from .textcore import flat, slices, word_bounds, word_hashes
 
 SAMPLE = 20_000
 FOLDS = 5
-TREES, DEPTH, BINS, RATE, L2, LEAST = 80, 4, 64, 0.15, 1.0, 20
+TREES, DEPTH, BINS, RATE, L2, LEAST = 80, 4, 64, 0.15, 1.0, 5
 CUT = 0.3
 
 _CLASSES = {
