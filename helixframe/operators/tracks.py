@@ -81,27 +81,32 @@ def lineage_edges(edges: DataFrame, matches: DataFrame, predicted: DataFrame) ->
     return j.groupBy("dataset").agg(F.count("*").alias("n_gt_edges"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_matched"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Smallest-label connected components of (u, v) edges, as (node, comp).
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest-label connected components of (u, v) edges, as (node, comp); nodes are of any orderable type.
 
     Each round takes the smallest label among the neighbours and then the label
-    of that label, so long chains shrink geometrically. Lineage is cut per round.
+    of that label, so long chains shrink geometrically; it ends when no label changes.
+    Lineage is cut per round.
     """
     both = cut_lineage(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("comp")).withColumnRenamed("u", "node")
-    for _ in range(rounds):
+    changed = True
+    while changed:
         near = both.join(label.withColumnsRenamed({"node": "v", "comp": "c"}), "v").groupBy("u").agg(F.min("c").alias("c"))
         step = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = label.select(F.col("comp").alias("up"), F.col("node").alias("comp"))
         step = cut_lineage(step.join(jump, "comp", "left").select(
             "node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        changed = step.filter("old <> comp").limit(1).count()
+        changed = not step.filter("old <> comp").isEmpty()
         label = step.select("node", "comp")
-        if not changed:
-            break
     return label
 
 
+def _node(key: str, role: int = 0):
+    """Ids are unique within a dataset and a role only."""
+    return F.struct(F.col("dataset").cast("bigint").alias("dataset"), F.lit(role).alias("role"), F.col(key).cast("bigint").alias("id"))
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Minimum-cost one-to-one assignment of a rectangular matrix (shortest augmenting paths)."""
     flip = cost.shape[0] > cost.shape[1]
@@ -134,8 +139,9 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if flip else pairs
 
 
-def _link_component(pdf: pd.DataFrame, gate: float) -> pd.DataFrame:
+def _link_component(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["t", "det_id"]).reset_index(drop=True)
+    gate = pdf["gate"].iloc[0]
     pos, inten = pdf[["z", "y", "x"]].to_numpy() * np.array(C.SCALE_ZYX), pdf["intensity"].to_numpy()
     frames = {t: g.to_numpy() for t, g in pdf.groupby("t").groups.items()}
     parent: dict[int, int] = {}
@@ -160,24 +166,30 @@ def _link_component(pdf: pd.DataFrame, gate: float) -> pd.DataFrame:
 LINKS = "dataset bigint, src bigint, dst bigint, d double"
 
 
-def link_frames(dets: DataFrame, gate: float = C.LINK_UM) -> DataFrame:
+def link_frames(dets: DataFrame, gate: float = C.LINK_UM, gates: DataFrame | None = None) -> DataFrame:
     """One-to-one motion-predicted links between consecutive frames.
 
-    Two detections can only influence each other through steps within the actual
-    gate, so the step graph's connected components are solved independently.
+    ``gates`` has a gate per dataset and wins over ``gate``. Two detections can only
+    influence each other through steps within the actual gate, so the step graph's
+    connected components are solved independently.
     """
     steps = frame_step_join(dets, dets, C.STEP_UM)
-    comp = components(steps.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    rows = dets.join(comp.withColumnRenamed("node", "det_id"), "det_id").select(
-        "comp", *[F.col(k).cast("bigint").alias(k) for k in ("dataset", "det_id", "t")], *[F.col(k).cast("double").alias(k) for k in ("z", "y", "x", "intensity")])
-    return rows.groupBy("comp").applyInPandas(lambda pdf: _link_component(pdf, gate), LINKS)
+    comp = components(steps.select(_node("src").alias("u"), _node("dst").alias("v")))
+    rows = dets.select(_node("det_id").alias("node"), *[F.col(k).cast("bigint").alias(k) for k in ("dataset", "det_id", "t")],
+                       *[F.col(k).cast("double").alias(k) for k in ("z", "y", "x", "intensity")]).join(comp, "node").drop("node")
+    if gates is None:
+        rows = rows.withColumn("gate", F.lit(float(gate)))
+    else:
+        rows = rows.join(gates.select("dataset", F.col("gate").alias("own")), "dataset", "left").withColumn(
+            "gate", F.coalesce("own", F.lit(float(gate)))).drop("own")
+    return rows.groupBy("comp").applyInPandas(_link_component, LINKS)
 
 
 def link_residual_gate(dets: DataFrame) -> DataFrame:
-    """Link, widen the gate to phi x the median step if larger, and link again."""
-    first = link_frames(dets)
-    median = first.agg(F.percentile("d", 0.5)).first()[0]  # one number
-    return link_frames(dets, max(C.LINK_UM, C.PHI * median) if median is not None else C.LINK_UM)
+    """Link, widen each dataset's gate to phi x its median step if larger, and link again."""
+    first = cut_lineage(link_frames(dets))
+    gates = first.groupBy("dataset").agg(F.greatest(F.lit(C.LINK_UM), C.PHI * F.percentile("d", 0.5)).alias("gate"))
+    return link_frames(dets, gates=gates)
 
 
 def _gated(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,9 +207,8 @@ def gated_links(src: DataFrame, dst: DataFrame) -> DataFrame:
     """Optimal one-to-one links of two detection sets one frame apart, within phi^5."""
     e = cut_lineage(frame_step_join(src, dst, C.STEP_UM).select("dataset", "t", "src", "dst", "d", "cost"))
     # a detection is a source in one step and a target in another: keep the roles apart
-    comp = components(e.select((F.col("src") * 2).alias("u"), (F.col("dst") * 2 + 1).alias("v")))
-    rows = e.join(comp.select((F.col("node") / 2).cast("bigint").alias("src"), "comp", (F.col("node") % 2).alias("role"))
-                  .filter("role = 0"), "src").select(
+    comp = components(e.select(_node("src").alias("u"), _node("dst", 1).alias("v")))
+    rows = e.withColumn("node", _node("src")).join(comp, "node").select(
         "comp", *[F.col(k).cast("bigint").alias(k) for k in ("dataset", "src", "dst")], "d", "cost")
     return rows.groupBy("comp").applyInPandas(_gated, LINKS)
 
@@ -232,17 +243,54 @@ def _take(pdf: pd.DataFrame) -> pd.DataFrame:
 MATCHES = "dataset bigint, gt bigint, det_id bigint, d double"
 
 
-def greedy_match(truth: DataFrame, dets: DataFrame, r: float = C.MATCH_UM) -> DataFrame:
+def _matched(truth: DataFrame, dets: DataFrame, r: float, rule) -> DataFrame:
+    """``rule`` applied to each connected component of the candidates within r."""
+    c = cut_lineage(frame_match_join(truth, dets, r).select("dataset", "t", "gt", "det_id", "d"))
+    seen = dets.groupBy("dataset", "t").agg(F.count("*").alias("n_det"))
+    comp = components(c.select(_node("gt").alias("u"), _node("det_id", 1).alias("v")))
+    rows = c.join(seen, ["dataset", "t"]).withColumn("node", _node("gt")).join(comp, "node").select(
+        "comp", *[F.col(k).cast("bigint").alias(k) for k in ("dataset", "gt", "det_id", "n_det")], "d")
+    return rows.groupBy("comp").applyInPandas(rule, MATCHES)
+
+
+def greedy_match(truth: DataFrame, dets: DataFrame, r: float = C.MATCH_UM, seed: float | None = None, primary: bool = False,
+                 fill: bool = False) -> DataFrame:
     """Truth rows in id order take their nearest unused detection within r.
 
-    Order only matters among rows that compete for a detection, so each connected
-    component of the candidate graph is decided on its own.
+    With ``seed`` a tighter radius goes first and its matches stay. ``primary`` lets only first-tier
+    detections match, ``fill`` then gives what is left second-tier ones. Order only matters among rows that
+    compete for a detection, so each connected component of the candidate graph is decided on its own.
     """
-    c = cut_lineage(frame_match_join(truth, dets, r).select("dataset", "gt", "det_id", "d"))
-    comp = components(c.select((F.col("gt") * 2).alias("u"), (F.col("det_id") * 2 + 1).alias("v")))
-    gts = comp.filter("node % 2 = 0").select((F.col("node") / 2).cast("bigint").alias("gt"), "comp")
-    rows = c.join(gts, "gt").select("comp", *[F.col(k).cast("bigint").alias(k) for k in ("dataset", "gt", "det_id")], "d")
-    return rows.groupBy("comp").applyInPandas(_take, MATCHES)
+    tiers = ["tier = 1", *(["tier = 2"] if fill else [])] if primary else ["true"]
+    found = None
+    for radius in ([seed] if seed is not None and seed < r else []) + [r]:
+        for tier in tiers:
+            t, d = truth, dets.filter(tier)
+            if found is not None:
+                t = t.join(found.select("dataset", F.col("gt").alias("id")), ["dataset", "id"], "left_anti")
+                d = d.join(found.select("dataset", "det_id"), ["dataset", "det_id"], "left_anti")
+            new = _matched(t, d, radius, _take)
+            found = new if found is None and len(tiers) == 1 and radius == r else cut_lineage(new if found is None else found.unionByName(new))
+    return found
+
+
+def _assigned(pdf: pd.DataFrame, far: float) -> pd.DataFrame:
+    """The assignment of least total distance; a frame's only detection goes to the first truth row that reaches it."""
+    if pdf["n_det"].iloc[0] == 1:
+        return _take(pdf)
+    g, p = sorted(pdf["gt"].unique()), sorted(pdf["det_id"].unique())
+    cost = np.full((len(g), len(p)), far)
+    cost[np.searchsorted(g, pdf["gt"]), np.searchsorted(p, pdf["det_id"])] = pdf["d"]
+    out = [(pdf["dataset"].iloc[0], g[i], p[j], cost[i, j]) for i, j in assign(cost) if cost[i, j] < far]
+    return pd.DataFrame(out, columns=["dataset", "gt", "det_id", "d"])
+
+
+def optimal_match(truth: DataFrame, dets: DataFrame, r: float = C.MATCH_UM) -> DataFrame:
+    """One-to-one matches per frame of least total distance, pairs beyond r at four times r.
+
+    Such pairs all cost the same, so the optimum decomposes over the components of the near ones.
+    """
+    return _matched(truth, dets, r, lambda pdf: _assigned(pdf, 4 * r))
 
 
 def frame_stats(voxels: DataFrame) -> DataFrame:
@@ -270,69 +318,99 @@ def sample_intensity(points: DataFrame, voxels: DataFrame) -> DataFrame:
     return at.join(voxels, ["dataset", "t", "z", "y", "x"], "left")
 
 
-def _kernel(sigma: float) -> np.ndarray:
+CELL_KEYS = ["dataset", "t", "z", "y", "x"]
+SMOOTH = {"z": 0.4, "y": 0.8, "x": 0.8}
+
+
+def _kernel(sigma: float) -> list[float]:
     r = int(4 * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    return w / w.sum()
-
-
-def _along(vol: np.ndarray, axis: int, r: int, mode: str, fn) -> np.ndarray:
-    pad = [(r, r) if k == axis else (0, 0) for k in range(3)]
-    windows = np.lib.stride_tricks.sliding_window_view(np.pad(vol, pad, mode=mode), 2 * r + 1, axis=axis)
-    return fn(windows)
-
-
-def _peaks(pdf: pd.DataFrame) -> pd.DataFrame:
-    shape = tuple(int(pdf[k].max()) + 1 for k in "zyx")
-    full = np.zeros(shape, np.float32)
-    full[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
-    half = full[:, ::2, ::2]
-    scale = np.array([SZ, SY * 2, SX * 2])
-    sm = half
-    for axis, sigma in enumerate((0.4, 0.8, 0.8)):
-        k = _kernel(sigma)
-        sm = _along(sm, axis, len(k) // 2, "symmetric", lambda w, k=k: w @ k)
-    med = float(np.median(sm))
-    mad = float(np.median(np.abs(sm - med))) + 1e-6
-    thr = med + C.PHI * mad
-    if (sm >= thr).mean() > 1 / C.PHI:
-        thr = med + C.PHI**2 * mad
-    rad = np.maximum(1, np.round(C.NMS_UM / scale)).astype(int)
-
-    def local_max(v):
-        m = v
-        for axis in range(3):
-            m = _along(m, axis, int(round(C.NMS_UM / scale[axis])), "edge", lambda w: w.max(-1))
-        return (v == m) & (v >= thr)
-
-    first = local_max(sm)
-    rest = sm.copy()
-    for p in np.argwhere(first):
-        rest[tuple(slice(max(0, c - r), c + r + 1) for c, r in zip(p, rad))] = 0
-    out = []
-    for tier, mask in ((1, first), (2, local_max(rest))):
-        for z, y, x in np.argwhere(mask):
-            out.append((*_centroid(full, np.array([z, 2 * y, 2 * x])), tier, float(full[z, 2 * y, 2 * x])))
-    res = pd.DataFrame(out, columns=["z", "y", "x", "tier", "intensity"])
-    res.insert(0, "dataset", pdf["dataset"].iloc[0])
-    res.insert(1, "t", pdf["t"].iloc[0])
-    return res
-
-
-def _centroid(vol: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Centroid of what exceeds half the local peak."""
-    rad = np.maximum(1, np.round(C.NMS_UM / np.array(C.SCALE_ZYX))).astype(int)
-    lo = np.maximum(0, p - rad)
-    patch = vol[tuple(slice(a, b) for a, b in zip(lo, np.minimum(vol.shape, p + rad + 1)))].astype(float)
-    w = np.maximum(patch - 0.5 * patch.max(), 0)
-    if w.sum() < 1e-6:
-        return p.astype(float)
-    grid = np.indices(patch.shape, dtype=float)
-    return lo + np.array([(w * g).sum() / w.sum() for g in grid])
-
-
-def peak_detect(voxels: DataFrame) -> DataFrame:
-    """Two-pass local maxima per frame; the camera's volume bounds a frame."""
-    v = voxels.select(*[F.col(k).cast("bigint").alias(k) for k in ("dataset", "t", "z", "y", "x")], F.col("v").cast("double").alias("v"))
-    return v.groupBy("dataset", "t").applyInPandas(
-        _peaks, "dataset bigint, t bigint, z double, y double, x double, tier bigint, intensity double")
+    return (w / w.sum()).tolist()
+
+
+def _smoothed(grid: DataFrame, axis: str, value: str) -> DataFrame:
+    """One Gaussian pass along an axis of length ``n_<axis>``: every cell is spread over its neighbours, mirrored at both ends."""
+    w = _kernel(SMOOTH[axis])
+    r, n, at = len(w) // 2, F.col(f"n_{axis}"), F.col(axis)
+    spread = [F.struct(((at if side > 0 else -at - 1) + 2 * k * n + o).cast("bigint").alias("to"), F.lit(w[o + r]).alias("w"))
+              for k in range(-r, r + 1) for side in (1, -1) for o in range(-r, r + 1)]
+    rest = [c for c in grid.columns if c not in (axis, value)]
+    out = grid.select(*rest, value, F.explode(F.filter(F.array(*spread), lambda s: (s["to"] >= 0) & (s["to"] < n))).alias("s"))
+    return out.groupBy(*rest, F.col("s.to").alias(axis)).agg(F.sum(F.col(value) * F.col("s.w")).alias(value))
+
+
+def _box_max(grid: DataFrame, half: dict[str, int], value: str) -> DataFrame:
+    """Largest value of the box around every cell, an axis at a time; cells as (CELL_KEYS, top)."""
+    out = grid.select(*CELL_KEYS, F.col(value).alias("top"))
+    for axis, h in half.items():
+        rest = [c for c in CELL_KEYS if c != axis]
+        out = (out.select(*rest, "top", F.explode(F.sequence(F.col(axis) - h, F.col(axis) + h)).alias(axis))
+               .groupBy(*rest, axis).agg(F.max("top").alias("top")))
+    return out
+
+
+def _local_maxima(grid: DataFrame, half: dict[str, int], value: str) -> DataFrame:
+    top = _box_max(grid, half, value)
+    return grid.join(top, CELL_KEYS).filter((F.col(value) == F.col("top")) & (F.col(value) >= F.col("threshold"))).drop("top")
+
+
+def _half_box(stride: int, least: int) -> dict[str, int]:
+    scale = {"z": SZ, "y": SY * stride, "x": SX * stride}
+    return {k: max(least, int(round(C.NMS_UM / s))) for k, s in scale.items()}
+
+
+def centroids(peaks: DataFrame, voxels: DataFrame) -> DataFrame:
+    """Mean position of what exceeds half the largest value of the box around each peak; the peak itself if nothing does."""
+    half = _half_box(1, 1)
+    block = {k: F.floor(F.col(k) / (2 * h + 1)) for k, h in half.items()}
+    # a box of 2h + 1 cells meets at most two blocks of that size along an axis
+    around = peaks.select("dataset", "t", "tier", *[F.col(k).alias(f"p{k}") for k in half])
+    for k, h in half.items():
+        size = 2 * h + 1
+        around = around.withColumn(f"b{k}", F.explode(F.sequence(F.floor((F.col(f"p{k}") - h) / size), F.floor((F.col(f"p{k}") + h) / size))))
+    cells = voxels.select(*CELL_KEYS, "v", *[b.alias(f"b{k}") for k, b in block.items()])
+    near = around.join(cells, ["dataset", "t", *[f"b{k}" for k in half]])
+    for k, h in half.items():
+        near = near.filter(F.abs(F.col(k) - F.col(f"p{k}")) <= h)
+    key = ["dataset", "t", "tier", *[f"p{k}" for k in half]]
+    top = near.groupBy(*key).agg(F.max("v").alias("top"))
+    w = F.greatest(F.col("v") - 0.5 * F.greatest("top", F.lit(0.0)), F.lit(0.0))
+    mean = near.join(top, key).withColumn("w", w).groupBy(*key).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(k)).alias(f"s{k}") for k in half])
+    out = around.select(*key).distinct().join(mean, key, "left")
+    return out.select("dataset", "t", "tier", *[F.when(F.col("w") >= 1e-6, F.col(f"s{k}") / F.col("w")).otherwise(F.col(f"p{k}").cast("double")).alias(k) for k in half])
+
+
+def peak_detect(voxels: DataFrame, digits: int = 6) -> DataFrame:
+    """Two passes of local maxima per frame, at the centroid of their blob, with the intensity there.
+
+    Cells that are not given are 0. Smoothing, box maxima and centroids are grouped sums and maxima over cells, so a
+    volume of any size is spread over the cluster. Smoothed values are rounded, so that equal cells stay equal.
+    """
+    v = cut_lineage(voxels.select(*[F.col(k).cast("bigint").alias(k) for k in CELL_KEYS], F.col("v").cast("double").alias("v")))
+    shape = v.groupBy("dataset", "t").agg(*[(F.max(k) + 1).alias(f"full_{k}") for k in "zyx"])
+    shape = shape.withColumns({"n_z": F.col("full_z"), "n_y": F.ceil(F.col("full_y") / 2), "n_x": F.ceil(F.col("full_x") / 2)})
+    size = ["n_z", "n_y", "n_x"]
+    grid = shape.select("dataset", "t", *size)
+    for k in "zyx":
+        grid = grid.withColumn(k, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{k}") - 1)))
+    half_v = v.filter("y % 2 = 0 and x % 2 = 0").select("dataset", "t", "z", (F.col("y") / 2).cast("bigint").alias("y"), (F.col("x") / 2).cast("bigint").alias("x"), "v")
+    grid = grid.join(half_v, CELL_KEYS, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    for axis in SMOOTH:
+        grid = _smoothed(grid, axis, "v")
+    grid = cut_lineage(grid.select(*CELL_KEYS, F.round("v", digits).alias("v")))
+    threshold = mad_threshold(grid).select("dataset", "t", F.round("threshold", digits).alias("threshold"))
+    grid = cut_lineage(grid.join(threshold, ["dataset", "t"]))
+    first = cut_lineage(_local_maxima(grid, _half_box(2, 0), "v"))
+    ball = first.select(*CELL_KEYS)
+    for k, h in _half_box(2, 1).items():
+        ball = ball.withColumn(k, F.explode(F.sequence(F.col(k) - h, F.col(k) + h)))
+    rest = grid.join(ball.distinct().withColumn("hit", F.lit(True)), CELL_KEYS, "left").withColumn(
+        "v", F.when(F.col("hit"), F.lit(0.0)).otherwise(F.col("v"))).drop("hit")
+    second = _local_maxima(rest, _half_box(2, 0), "v")
+    peaks = first.withColumn("tier", F.lit(1)).unionByName(second.withColumn("tier", F.lit(2))).select(
+        "dataset", "t", "tier", "z", (F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x"))
+    at = cut_lineage(centroids(peaks, v)).join(shape, ["dataset", "t"])
+    cell = {f"c{k}": F.greatest(F.lit(0), F.least(F.rint(k).cast("bigint"), F.col(f"full_{k}") - 1)) for k in "zyx"}
+    there = v.select("dataset", "t", *[F.col(k).alias(f"c{k}") for k in "zyx"], F.col("v").alias("intensity"))
+    out = at.withColumns(cell).join(there, ["dataset", "t", "cz", "cy", "cx"], "left")
+    return out.select("dataset", "t", "z", "y", "x", F.col("tier").cast("bigint").alias("tier"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))

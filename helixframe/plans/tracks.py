@@ -55,13 +55,16 @@ def track_stats(spark, sf):
         r6(k) for k in ("span_z", "span_y", "span_x", "step_median", "step_mean")])
 
 
+LISTED = [0, 1, 2, 3, 99]
+
+
 @query("track_inventory", with_(DET) + """SELECT d.dataset, count(*) AS n_nodes, (SELECT count(*) FROM edge e WHERE e.dataset=d.dataset) AS n_edges,
  CASE WHEN (SELECT count(*) FROM edge e WHERE e.dataset=d.dataset)=0 THEN 'no_edges' END AS error FROM node d GROUP BY d.dataset
  UNION ALL SELECT 99, 0, 0, 'no_nodes'""")
 def track_inventory(spark, sf):
     """Counts per listed dataset; a dataset without nodes keeps an error row."""
     n = nodes(dets(spark, sf))
-    listed = n.select("dataset").union(n.agg(F.max("dataset") * 33).toDF("dataset")).distinct()
+    listed = spark.createDataFrame([(k,) for k in LISTED], "dataset long")
     a = n.groupBy("dataset").agg(F.count("*").alias("n_nodes"))
     b = edges(n).groupBy("dataset").agg(F.count("*").alias("n_edges"))
     j = listed.join(a, "dataset", "left").join(b, "dataset", "left")
@@ -141,13 +144,13 @@ def link_staged(spark, sf):
 @query("greedy_match")
 def greedy_match(spark, sf):
     d = dets(spark, sf)
-    return T.greedy_match(nodes(d), d)
+    return T.greedy_match(nodes(d), d, seed=C.NMS_UM, primary=True, fill=True)
 
 
 @query("centroid_recall")
 def centroid_recall(spark, sf):
     d = dets(spark, sf)
-    m = T.greedy_match(nodes(d), d).groupBy("dataset").agg(
+    m = T.optimal_match(nodes(d), d).groupBy("dataset").agg(
         F.count("*").alias("n_matched"), F.percentile("d", 0.5).alias("median_um"), F.avg("d").alias("mean_um"))
     n = nodes(d).groupBy("dataset").agg(F.count("*").alias("n_gt"))
     return n.join(m, "dataset", "left").select("dataset", "n_gt", "n_matched", r6(F.col("n_matched") / F.col("n_gt"), "recall"), r6("median_um"), r6("mean_um"))
