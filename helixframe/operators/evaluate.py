@@ -25,7 +25,7 @@ def centred_pearson(df: DataFrame, keys: list[str], group: str, x: str, y: str,
     g = g.filter(F.col("n") >= min_group)
     total = lambda c: F.sum(F.col(c) * F.col("n"))
     den = F.sqrt(total("vx") * total("vy"))
-    return g.groupBy(*keys).agg(F.when(den < 1e-15, 0.0).otherwise(total("cxy") / den).alias("pearson"))
+    return g.groupBy(*keys).agg(F.when(den < 1e-9, 0.0).otherwise(total("cxy") / den).alias("pearson"))
 
 
 def topk_precision(pairs: DataFrame, thresholds, cutoff: float = 8.0) -> DataFrame:
@@ -64,12 +64,12 @@ def confusion(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pre
     })
 
 
-def bin_error_stats(errors: DataFrame, bins: list[tuple[str, int, int]]) -> DataFrame:
+def bin_error_stats(errors: DataFrame, bins: list[tuple[str, int, int | None]]) -> DataFrame:
     """Count, mean, median, p90 of |error| and signed median per separation bin.
 
     A separation may belong to several bins, so bins are attached as an array.
     """
-    tags = F.array_compact(F.array(*[F.when(F.col("sep").between(lo, hi), name) for name, lo, hi in bins]))
+    tags = F.array_compact(F.array(*[F.when((F.col("sep") >= lo) & (F.lit(True) if hi is None else F.col("sep") <= hi), name) for name, lo, hi in bins]))
     e = errors.select("*", F.explode(tags).alias("bin"))
     return e.groupBy("bin").agg(
         F.count("*").alias("n_pairs"), F.avg(F.abs("err")).alias("mean_abs"),
@@ -78,7 +78,7 @@ def bin_error_stats(errors: DataFrame, bins: list[tuple[str, int, int]]) -> Data
 
 
 def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "value", stat: str = "mean") -> DataFrame:
-    """Percentile bootstrap interval of the mean with Poisson(1) resampling weights.
+    """Percentile bootstrap interval of the mean or the median (``stat``) with Poisson(1) resampling weights.
 
     Every row draws one weight per replicate from a hash of (row, replicate), so
     rows never meet: a replicate is two partial sums, and the shuffle carries one
@@ -86,16 +86,23 @@ def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "v
     """
     h = F.pmod(F.col(key) * 7919 + F.col("b") * 104729 + F.col(key) * F.col("b") % 99991, F.lit(1000003))
     u = (h * 48271 % 1000003 + 0.5) / 1000003.0
-    cdf, w, p = 0.0, F.lit(8), 0.36787944117144233
+    if stat not in ("mean", "median"):
+        raise ValueError(stat)
+    # u is at most 1 - 5e-7, so weights end long before 20
+    cdf, w, p = 0.0, F.lit(20), 0.36787944117144233
     steps = []
-    for k in range(8):
+    for k in range(20):
         cdf += p
         steps.append((k, cdf))
         p /= k + 1
     for k, c in reversed(steps):
         w = F.when(u < c, k).otherwise(w)
     r = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
-    m = r.select("b", value, w.alias("w")).groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w").cast("double")).alias("m"))
+    r = r.select("b", value, w.alias("w"))
+    if stat == "median":
+        m = r.filter("w > 0").groupBy("b").agg(F.percentile(value, 0.5, "w").alias("m"))
+    else:
+        m = r.groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w").cast("double")).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.count("m").alias("draws"))
 
 

@@ -115,7 +115,7 @@ def pair_identity() -> F.Column:
     return F.when(n >= 10, F.aggregate(seen, F.lit(0), lambda s, v: s + v) / n)
 
 
-def neff_analytic(rows: DataFrame, draws: int = 2000) -> DataFrame:
+def neff_analytic(rows: DataFrame, draws: int) -> DataFrame:
     """N / (1 + (N - 1) mean identity) over a fixed number of drawn row pairs."""
     numbered = numbered_rows(rows).select("family", "ord", "codes")
     size = rows.groupBy("family").agg(F.count("*").alias("n_seqs"))
@@ -133,14 +133,11 @@ def neff_analytic(rows: DataFrame, draws: int = 2000) -> DataFrame:
         F.when(F.col("mean_id").isNull(), n).otherwise(n / (1 + (n - 1) * m)).alias("neff_analytic"))
 
 
-def neff_clusters(rows: DataFrame, sample: int = 2000) -> DataFrame:
-    """Greedy identity clusters over a bounded row sample per family, scaled back.
-
-    The sample size bounds each group handed to Python.
-    """
+def neff_clusters(rows: DataFrame, sample: int | None = None) -> DataFrame:
+    """Greedy identity clusters of each family's rows, or of ``sample`` of them, scaled back."""
     size = rows.groupBy("family").agg(F.count("*").alias("n_seqs"))
     score = F.pmod(F.xxhash64("family", "row_id"), F.lit(1 << 20)).cast("double")
-    picked = top_n(rows.withColumn("_s", score), ["family"], "_s", sample, ["row_id"], step=1 << 14)
+    picked = rows if sample is None else top_n(rows.withColumn("_s", score), ["family"], "_s", sample, ["row_id"], step=1 << 14)
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")

@@ -149,10 +149,7 @@ def interface_energy(points: DataFrame, keys: list[str]) -> DataFrame:
     """Residual-weighted bond, clash and compactness terms of each model."""
     bonds = chain_steps(points, keys).groupBy(*keys).agg(F.sum(F.pow(F.col("bond") - C.CA_CA, 2)).alias("b"))
     shape = points.groupBy(*keys).agg(F.count("*").alias("n"), radius_of_gyration().alias("rg"))
-    pairs = idx_pairs(points, keys, 2)
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / 80))
-    pairs = pairs.filter((F.col("i") % step == 0) & ((F.col("j") - F.col("i") - 2) % step == 0))
-    clash = pairs.groupBy(*keys).agg(F.sum(
+    clash = idx_pairs(points, keys, 2).groupBy(*keys).agg(F.sum(
         F.when(F.col("distance") < CLASH, F.pow(CLASH - F.col("distance"), 2)).otherwise(0.0)).alias("c"))
     j = shape.join(bonds, keys, "left").join(clash, keys, "left")
     return j.select(

@@ -18,12 +18,13 @@ MIN_COVERAGE = 0.65
 TOP_K = 4
 
 
-def state_representatives(clusters: DataFrame, scored: DataFrame, pairs: DataFrame, max_clusters: int = 7) -> DataFrame:
-    """Representatives of the largest clusters of a target, with the reasons they were kept."""
+def state_representatives(clusters: DataFrame, scored: DataFrame, pairs: DataFrame, max_clusters: int | None = None) -> DataFrame:
+    """Representatives of a target's clusters, with the reasons they were kept; ``cluster_rank`` 1 is the largest."""
     m = clusters.join(scored, ["target", "model"])
     size = m.groupBy("target", "leader").agg(F.count("*").alias("size"))
     rank = F.row_number().over(W.partitionBy("target").orderBy(F.desc("size"), "leader"))
-    m = m.join(size.withColumn("cluster_rank", rank).filter(F.col("cluster_rank") <= max_clusters), ["target", "leader"])
+    size = size.withColumn("cluster_rank", rank)
+    m = m.join(size if max_clusters is None else size.filter(F.col("cluster_rank") <= max_clusters), ["target", "leader"])
     intact = F.col("bond_mse") <= BROKEN
     w = W.partitionBy("target", "leader")
     m = m.withColumn("usable", intact | ~F.max(intact).over(w)).filter("usable")
@@ -42,19 +43,20 @@ def state_representatives(clusters: DataFrame, scored: DataFrame, pairs: DataFra
     return out.filter("low or high or first or far").select("target", "model", "leader", "cluster_rank", "low", "high", "first", "far")
 
 
-def candidate_pool(hits: DataFrame, budget: int = 120, cap: float = IDENTITY_CAP) -> DataFrame:
-    """Ordered union of source lists, first occurrence wins, budgeted, filtered.
+def candidate_pool(hits: DataFrame, budget: int | None = None, cap: float = IDENTITY_CAP) -> DataFrame:
+    """Ordered union of source lists, first occurrence wins, filtered.
 
-    ``hits`` is (target, pdb_id, priority, ord, identity, coverage, sane). Priority 0
-    has no budget. The band is a semantic limit of the search.
+    ``hits`` is (target, pdb_id, priority, ord, identity, coverage, sane). A ``budget`` keeps so many
+    hits of lists other than priority 0. The band is a semantic limit of the search.
     """
     fresh = hits.filter(F.col("pdb_id") != F.col("target"))
     first = fresh.groupBy("target", "pdb_id").agg(F.min_by(
         F.struct("priority", "ord", "identity", "coverage", "sane"), F.struct("priority", "ord")).alias("h")).select("target", "pdb_id", "h.*")
-    free = first.filter("priority = 0")
-    rest = first.filter("priority > 0").withColumn(
-        "rk", F.row_number().over(W.partitionBy("target").orderBy("priority", "ord", "pdb_id"))).filter(F.col("rk") <= budget)
-    pool = free.unionByName(rest.drop("rk"))
+    pool = first
+    if budget is not None:
+        rest = first.filter("priority > 0").withColumn(
+            "rk", F.row_number().over(W.partitionBy("target").orderBy("priority", "ord", "pdb_id"))).filter(F.col("rk") <= budget)
+        pool = first.filter("priority = 0").unionByName(rest.drop("rk"))
     fit = (F.col("identity") <= cap) & (F.col("identity") >= MIN_IDENTITY) & (F.col("coverage") >= MIN_COVERAGE) & F.col("sane")
     return pool.filter(fit).withColumn("score", F.col("identity") * F.col("coverage"))
 
@@ -91,12 +93,12 @@ def authority_band(scored: DataFrame) -> DataFrame:
     return g.select("target", mode.alias("mode"), primary.alias("primary"), "n_band")
 
 
-def flip_partner(dev: DataFrame, pairs: DataFrame, scored: DataFrame) -> DataFrame:
-    """Intact in-band model that differs most from the primary yet shares its core.
+def flip_partner(dev: DataFrame, pairs: DataFrame, scored: DataFrame, primary: DataFrame) -> DataFrame:
+    """Intact model in the primary's band that differs most from it yet shares its core.
 
-    ``dev`` is (target, model, deviation) against the primary; ``pairs`` its RMSD.
+    ``dev`` is (target, model, deviation) against the primary, ``pairs`` its RMSD, ``primary`` (target, model).
     """
-    best = scored.groupBy("target").agg(F.max("score").alias("best"))
+    best = scored.join(primary, ["target", "model"]).select("target", F.col("score").alias("best"))
     d = dev.groupBy("target", "model").agg(
         F.avg((F.col("deviation") <= C.PHI).cast("double")).alias("core"))
     j = (pairs.join(d, ["target", "model"]).join(scored, ["target", "model"]).join(best, "target"))

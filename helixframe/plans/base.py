@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +11,29 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.common import rounded  # noqa: F401
 from ..functions.residues import clean_sequence
+from ..session import ship_package
 from ..operators.sequences import spread, spread_if_few  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def shipped(fn):
+    """A query that first sees to it that the executors have this package."""
+    @wraps(fn)
+    def run(spark, *args, **kwargs):
+        ship_package(spark)
+        return fn(spark, *args, **kwargs)
+
+    return run
+
+
 def query(key: str, sql: str | None = None):
     """Register a query with its SQL equivalent."""
     def register(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = fn
+        QUERIES[key] = shipped(fn)
         if sql is not None:
             ORACLES[key] = sql
         return fn

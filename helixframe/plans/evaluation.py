@@ -37,13 +37,13 @@ def confusion(spark, sf):
 ACC = "acc AS (SELECT g, avg(CASE WHEN obs=pred THEN 1.0 ELSE 0 END) AS a FROM ss GROUP BY g)"
 POIS = []
 _c, _p = 0.0, 0.36787944117144233
-for _k in range(8):
+for _k in range(20):
     _c += _p
     POIS.append(f"WHEN u<{_c!r} THEN {_k}")
     _p /= _k + 1
 
 
-@query("bootstrap_ci", with_(SS, ACC) + f""", w AS (SELECT b, a, CASE {" ".join(POIS)} ELSE 8 END AS w FROM (SELECT b, a, ((g*7919+b*104729+g*b%99991)%1000003*48271%1000003+0.5::DOUBLE)/1000003.0::DOUBLE AS u FROM acc, range(2000) t(b))),
+@query("bootstrap_ci", with_(SS, ACC) + f""", w AS (SELECT b, a, CASE {" ".join(POIS)} ELSE 20 END AS w FROM (SELECT b, a, ((g*7919+b*104729+g*b%99991)%1000003*48271%1000003+0.5::DOUBLE)/1000003.0::DOUBLE AS u FROM acc, range(2000) t(b))),
  m AS (SELECT b, sum(a*w)/nullif(sum(w),0)::DOUBLE AS m FROM w GROUP BY b) SELECT {R('quantile_cont(m,0.025)', 'lo')}, {R('quantile_cont(m,0.975)', 'hi')}, count(m) AS draws FROM m""")
 def bootstrap_ci(spark, sf):
     acc = ss(spark, sf).groupBy("g").agg(F.avg((F.col("obs") == F.col("pred")).cast("double")).alias("value")).withColumnRenamed("g", "id")
@@ -94,11 +94,10 @@ ac AS (SELECT seq_id, mask, s-avg(s) OVER w AS a, t-avg(t) OVER w AS b, count(*)
 ap AS (SELECT seq_id, mask, CASE WHEN sqrt(sum(a*a)*sum(b*b))<1e-9 THEN 0 ELSE sum(a*b)/sqrt(sum(a*a)*sum(b*b)) END AS r FROM ac WHERE k>=2 GROUP BY ALL)"""
 
 
-@query("channel_ablation", chain_sql(P1, P3, ABL) + f"SELECT mask::INT AS mask, {R('median(r)', 'median')}, {R('min(r)', 'worst')} FROM ap WHERE mask>1 GROUP BY mask")
+@query("channel_ablation", chain_sql(P1, P3, ABL) + f"SELECT mask::INT AS mask, {R('median(r)', 'median')}, {R('min(r)', 'worst')} FROM ap GROUP BY mask")
 def channel_ablation(spark, sf):
     p = scored(spark, sf).select("seq_id", "sep", "distance", "locality", "chemistry", "helix", "sheet")
-    # locality alone is constant inside a separation, so its correlation is pure rounding noise
-    return EV.channel_ablation(p, ["locality", "chemistry", "helix", "sheet"]).filter("mask > 1").select("mask", r6("median"), r6("worst"))
+    return EV.channel_ablation(p, ["locality", "chemistry", "helix", "sheet"]).select("mask", r6("median"), r6("worst"))
 
 
 @query("channel_validation", chain_sql(P1, P3, SEPC) + f"""SELECT c.item_id AS seq_id, length(regexp_replace(text,'[^ARNDCQEGHILKMFPSTWYVarndcqeghilkmfpstwyv]','','g')) AS length,
@@ -133,12 +132,12 @@ def distance_wall(spark, sf):
         F.count("*").alias("n"), r6(EV.pearson("pred", "distance"), "corr"), r6(F.avg(F.abs(F.col("pred") - F.col("distance"))), "mae", 4))
 
 
-BINS = [("backbone_sep1_2", 1, 2), ("helix_period_3_4_7", 3, 4), ("helix_period_3_4_7", 7, 7), ("mid_range_5_12", 5, 12), ("long_range_contacts", 13, 10**6)]
+BINS = [("backbone_sep1_2", 1, 2), ("helix_period_3_4_7", 3, 4), ("helix_period_3_4_7", 7, 7), ("mid_range_5_12", 5, 12), ("long_range_contacts", 13, None)]
 
 
-@query("bin_error_stats", chain_sql(P1) + f""", er AS (SELECT sep, 3.8*pow(sd,1/pi())-distance AS err FROM p0), bn(bin,lo,hi) AS (VALUES {",".join(f"('{a}',{b},{c})" for a, b, c in BINS)})
+@query("bin_error_stats", chain_sql(P1) + f""", er AS (SELECT sep, 3.8*pow(sd,1/pi())-distance AS err FROM p0), bn(bin,lo,hi) AS (VALUES {",".join(f"('{a}',{b},{'NULL' if c is None else c})" for a, b, c in BINS)})
 SELECT bin, count(*) AS n_pairs, {R('avg(abs(err))', 'mean_abs')}, {R('median(abs(err))', 'median_abs')}, {R('quantile_cont(abs(err),0.9)', 'p90_abs')}, {R('median(err)', 'signed_median')}
- FROM er JOIN bn ON sep BETWEEN lo AND hi GROUP BY bin""")
+ FROM er JOIN bn ON sep>=lo AND (hi IS NULL OR sep<=hi) GROUP BY bin""")
 def bin_error_stats(spark, sf):
     from .pairs import chain_pairs
 
@@ -275,11 +274,12 @@ def dedupe_first(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("first_part"))
 
 
-@query("metadata_select", "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_type='ECONOMY' AND p_size BETWEEN 5 AND 30 AND p_retailprice<950 ORDER BY p_partkey LIMIT 100")
-def metadata_select(spark, sf):
-    """Entries by method, length range and resolution, sorted by id, one page."""
+@query("metadata_select", "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_type='ECONOMY' AND p_size BETWEEN 5 AND 30 AND p_retailprice<950 ORDER BY p_partkey")
+def metadata_select(spark, sf, page: int = 0, size: int | None = None):
+    """Entries by method, length range and resolution, sorted by id; with ``size``, one page."""
     p = table(spark, sf, "part").filter("p_type = 'ECONOMY' and p_size between 5 and 30 and p_retailprice < 950")
-    return p.select("p_partkey", "p_size", "p_retailprice").orderBy("p_partkey").limit(100)
+    p = p.select("p_partkey", "p_size", "p_retailprice").orderBy("p_partkey")
+    return p if size is None else p.offset(page * size).limit(size)
 
 
 REASON = "CASE WHEN text IS NULL OR length(text)<200 THEN 'too_short' WHEN n_chars<>length(text) THEN 'unaligned' WHEN lang='de' THEN 'excluded' END"
@@ -325,11 +325,11 @@ def domain_resolve(spark, sf):
     return resolved(spark, sf).groupBy("gene", "name", "s", "e").agg(F.count("*").alias("n"))
 
 
-@query("domain_coverage", with_(DMS) + """, cv AS (SELECT DISTINCT l_suppkey%40 AS gene, l_partkey%90+1 AS pos FROM lineitem WHERE l_quantity<=6), dd AS (SELECT DISTINCT * FROM dr)
+@query("domain_coverage", with_(DMS) + """, cv AS (SELECT DISTINCT l_suppkey%40 AS gene, l_partkey%2000+1 AS pos FROM lineitem), dd AS (SELECT DISTINCT * FROM dr)
 SELECT dd.gene, name, s, e, """ + R("count(cv.pos)/(e-s+1)::DOUBLE", "covered") + " FROM dd LEFT JOIN cv ON cv.gene=dd.gene AND cv.pos BETWEEN s AND e GROUP BY dd.gene, name, s, e HAVING count(cv.pos)/(e-s+1)::DOUBLE>=0.5")
 def domain_coverage(spark, sf):
     """Domains with at least half of their residues covered; spans are cut to positions first."""
-    cv = table(spark, sf, "lineitem").filter("l_quantity <= 6").select((F.col("l_suppkey") % 40).alias("gene"), (F.col("l_partkey") % 90 + 1).alias("pos")).distinct()
+    cv = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 40).alias("gene"), (F.col("l_partkey") % 2000 + 1).alias("pos")).distinct()
     d = resolved(spark, sf).distinct().withColumn("pos", F.explode(F.sequence("s", "e").cast("array<bigint>")))
     j = d.join(cv.withColumn("hit", F.lit(1.0)), ["gene", "pos"], "left")
     g = j.groupBy("gene", "name", "s", "e").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("c"))

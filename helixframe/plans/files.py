@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import dims
+from ..session import shared_folder
 from ..sources import pdb as PDB
 from ..sources import text as TX
 from .base import R, query, r6, spread, table, with_
@@ -124,7 +126,7 @@ def pdb_method_flag(spark, sf):
     return PDB.header_flags(heads(spark, sf)).select("pdb_id", "is_neutron")
 
 
-@query("read_ss_records", with_(RAW, AA3D, CAS) + """, rc AS (SELECT 'p'||(p_partkey%30) AS pdb_id, p_partkey AS line_no, CASE WHEN p_size%2=0 THEN 'H' ELSE 'E' END AS kind, substring('ABC',p_partkey%3+1,1) AS chain, p_size AS s, p_size+4 AS e FROM part WHERE p_partkey<100000)
+@query("read_ss_records", with_(RAW, AA3D, CAS) + """, rc AS (SELECT 'p'||(p_partkey%30) AS pdb_id, p_partkey AS line_no, CASE WHEN p_size%2=0 THEN 'H' ELSE 'E' END AS kind, substring('ABC',p_partkey%3+1,1) AS chain, p_size AS s, p_size+4 AS e FROM part)
 SELECT ca.pdb_id, ca.chain, ca.resseq, coalesce(arg_max(kind, rc.line_no),'C') AS kind FROM ca LEFT JOIN rc ON rc.pdb_id=ca.pdb_id AND rc.chain=ca.chain AND ca.resseq::INT BETWEEN s AND e GROUP BY 1,2,3""")
 def read_ss_records(spark, sf):
     p, k, s = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
@@ -195,20 +197,15 @@ def content_hash_check(spark, sf):
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared checkpoint location, or a local one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="spark-")
-    import uuid
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/helixframe-{uuid.uuid4().hex}"
 
-    return f"{base.rstrip('/')}/helixframe-{uuid.uuid4().hex}"
 
-
-GENES = """SELECT l_suppkey AS gene, l_partkey AS pos, l_quantity AS q FROM lineitem WHERE l_quantity>45"""
+GENES = """SELECT l_suppkey AS gene, l_partkey AS pos, l_quantity AS q FROM lineitem"""
 
 
 def catalog(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity > 45")
+    li = table(spark, sf, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("gene")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("pos"), F.col("l_quantity").alias("q"))).alias("drivers"))
 
 
@@ -251,7 +248,8 @@ def read_ss_csv(spark, sf):
 def write_results(spark, sf):
     """CA models written as PDB text, one folder per structure, and counted after reading."""
     out = scratch(spark) + "/pdb"
-    ca = PDB.ca_trace(atoms(spark, sf)).withColumn("res", F.lit("ALA"))
+    names = dims.aa3_dim(spark).groupBy("aa").agg(F.min("res").alias("res"))
+    ca = PDB.ca_trace(atoms(spark, sf)).join(F.broadcast(names), "aa")
     lines_ = ca.select("pdb_id", F.format_string("%-6s%5d %-4s %3s %s%4d    %8.3f%8.3f%8.3f%22s%2s", F.lit("ATOM"), F.col("idx") + 1, F.lit("CA"), F.col("res"), F.col("chain"),
                                                  F.col("idx") + 1, "x", "y", "z", F.lit(""), F.lit("C")).alias("value"))
     lines_.repartition("pdb_id").write.partitionBy("pdb_id").text(out)
@@ -264,10 +262,9 @@ TRK = "SELECT user_id%4 AS dataset, count(*) AS n_nodes, " + R("sum(value*0.4062
 
 @query("read_tracks", TRK)
 def read_tracks(spark, sf):
-    """Node rows with per-axis scales joined on, voxel to micrometre."""
+    """Node rows scaled from voxels to micrometres."""
     n = table(spark, sf, "events").select((F.col("user_id") % 4).alias("dataset"), F.col("value").alias("x"))
-    scale = n.select("dataset").distinct().withColumn("sx", F.lit(C.SCALE_ZYX[2]))
-    return n.join(scale, "dataset").groupBy("dataset").agg(F.count("*").alias("n_nodes"), r6(F.sum(F.col("x") * F.col("sx")), "sum_um", 3))
+    return n.groupBy("dataset").agg(F.count("*").alias("n_nodes"), r6(F.sum(F.col("x") * C.SCALE_ZYX[2]), "sum_um", 3))
 
 
 @query("materialise_cache", TRK)

@@ -9,6 +9,7 @@ from ..operators import msa as M
 from .base import P, R, num, query, r6, spread_if_few, table, with_
 
 WIDTH = 64
+DRAWS = 2000  # row pairs drawn per family, as the original method does; the SQL below says the same
 CELLS = """emb AS (SELECT label AS family, vec_id AS row_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
 cells AS (SELECT family, row_id, pos, ((floor(x*20)::BIGINT+pos)%21+21)%21 AS aa FROM emb)"""
 LN20 = num(M.LN20)
@@ -52,7 +53,7 @@ def coev(spark, sf):
 
 
 def neff(spark, sf):
-    return M.neff_analytic(rows(spark, sf)).withColumnRenamed("neff_analytic", "neff")
+    return M.neff_analytic(rows(spark, sf), DRAWS).withColumnRenamed("neff_analytic", "neff")
 
 
 @query("msa_column_stats", with_(CELLS, STATS) + f"""SELECT family, pos, n_rows, covered, {R('entropy', 'entropy')}, {R('gap_frac', 'gap_frac')},

@@ -174,7 +174,7 @@ SCORE = "sco AS (SELECT DISTINCT target, model, 1.0::DOUBLE/(1+(model*5+target)%
 @query("leader_cluster")
 def leader_cluster(spark, sf):
     p = points(spark, sf)
-    return ST.leader_cluster(scores(p), pair_rmsd(spark, sf), C.PHI)
+    return ST.leader_cluster(scores(p), pair_rmsd(spark, sf))
 
 
 @query("state_representatives")
@@ -184,7 +184,7 @@ def state_representatives(spark, sf):
 
     p = points(spark, sf)
     pairs = pair_rmsd(spark, sf)
-    cl = ST.leader_cluster(scores(p), pairs, C.PHI)
+    cl = ST.leader_cluster(scores(p), pairs)
     en = ST.interface_energy(p, KEYS).select(*KEYS, "energy").join(ST.bond_integrity(p, KEYS), KEYS)
     return op(cl, scores(p).join(en, KEYS), pairs)
 

@@ -69,7 +69,7 @@ def provenance_class(spark, sf):
 HITS = """hits AS (SELECT l_suppkey%50 AS target, l_partkey%400 AS pdb_id, l_linenumber%6 AS priority, l_orderkey AS ord, 0.4+l_quantity*0.012 AS identity, 0.6+l_discount*4 AS coverage, l_tax<0.08 AS sane FROM lineitem),
 h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, pdb_id ORDER BY priority, ord, identity, coverage) AS k FROM hits WHERE pdb_id<>target) WHERE k=1),
 h2 AS (SELECT *, CASE WHEN priority>0 THEN row_number() OVER (PARTITION BY target, priority>0 ORDER BY priority, ord, pdb_id) ELSE 0 END AS rk FROM h1),
-pool AS (SELECT target, pdb_id, priority, identity::DOUBLE AS identity, coverage::DOUBLE AS coverage, (identity*coverage)::DOUBLE AS score FROM h2 WHERE rk<=120 AND identity<=0.95 AND identity>=0.45 AND coverage>=0.65 AND sane)"""
+pool AS (SELECT target, pdb_id, priority, identity::DOUBLE AS identity, coverage::DOUBLE AS coverage, (identity*coverage)::DOUBLE AS score FROM h2 WHERE identity<=0.95 AND identity>=0.45 AND coverage>=0.65 AND sane)"""
 
 
 def hits(spark, sf):
@@ -135,7 +135,9 @@ def flip_partner(spark, sf):
     p = points(spark, sf)
     dev = ST.per_residue_deviation(others(p), reference(p), ["target"], ["model"]).select("target", "model", "deviation")
     pairs = pair_rmsd(spark, sf).filter("m1 = 0").select("target", F.col("m2").alias("model"), "rmsd")
-    return TP.flip_partner(dev, pairs, scored(spark, sf)).select("target", "partner", r6("rmsd"))
+    s = scored(spark, sf)
+    primary = s.filter("model = 0").select("target", "model")
+    return TP.flip_partner(dev, pairs, s, primary).select("target", "partner", r6("rmsd"))
 
 
 @query("apparatus_min", with_(PTS) + ", " + """mp AS (SELECT a.target, b.model AS m2, b.x AS px, b.y AS py, b.z AS pz, a.x AS qx, a.y AS qy, a.z AS qz FROM pts a JOIN pts b ON a.target=b.target AND a.idx=b.idx AND a.model=0 AND b.model>0), """

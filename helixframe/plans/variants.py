@@ -11,11 +11,11 @@ from .. import dims
 from ..operators import variants as V
 from .base import AA, CHAINS, CODON_DIM, R, chains, num, query, r6, table, with_
 
-NG = 40
+N_GENES = "(SELECT count(*) FROM benchmark)"
 AA21 = C.AA20 + "*"
 GENES = CHAINS + ",\ngenes AS (SELECT seq_id AS gene, seq, length(seq) AS len FROM chains)"
 OBS = f"""obs AS (SELECT gene, pos, CASE WHEN l_quantity<=35+gene%10 THEN substring(seq,pos::INT,1) ELSE substring('{C.AA20}',(l_orderkey%20+1)::INT,1) END AS aa
- FROM (SELECT *, l_suppkey%{NG} AS gene, l_partkey%200+1 AS pos FROM lineitem) JOIN genes USING (gene) WHERE pos<=len)"""
+ FROM (SELECT l.*, gene, seq, len, l_partkey%len+1 AS pos FROM lineitem l JOIN genes ON gene=l_suppkey%{N_GENES} WHERE len>0))"""
 LN20 = num(math.log(20.0))
 PROFILE = f"""oc AS (SELECT gene, pos, aa, count(*) AS n FROM obs GROUP BY ALL),
 ot AS (SELECT gene, pos, sum(n) AS t FROM oc GROUP BY ALL),
@@ -30,7 +30,7 @@ BG = f"""bg AS (SELECT p.gene, p.pos, wt, m.mut, round(cons*(1-coalesce(n/t::DOU
  LEFT JOIN ot ON ot.gene=p.gene AND ot.pos=p.pos WHERE mut<>wt)"""
 VARS = f"""vars AS (SELECT gene, pos, CASE WHEN l_tax=0.08 THEN substring('{C.AA20}',l_linenumber,1) ELSE coalesce(nullif(substring(seq,pos::INT,1),''),'A') END AS wt,
  substring('{AA21}',(l_quantity::BIGINT%21+1)::INT,1) AS mut, max(l_discount*5) AS pop_af, count(*) AS n_obs FROM
- (SELECT *, l_suppkey%{NG} AS gene, l_partkey%220+1 AS pos FROM lineitem) JOIN genes USING (gene) GROUP BY ALL)"""
+ (SELECT l.*, gene, seq, l_partkey%(len+20)+1 AS pos FROM lineitem l JOIN genes ON gene=l_suppkey%{N_GENES}) GROUP BY ALL)"""
 SCORED = f"""v0 AS (SELECT v.*, p.wt AS seq_wt, cons, cover, ic, sh, CASE WHEN p.wt IS NULL THEN 'position_out_of_range' WHEN p.wt<>v.wt THEN
   'sequence_mismatch_expected_'||v.wt||'_found_'||p.wt END AS error FROM vars v LEFT JOIN profile p USING (gene,pos)),
 v1 AS (SELECT v0.*, CASE WHEN error IS NULL THEN (CASE WHEN mut='*' THEN 'nonsense' ELSE 'missense' END) END AS kind, coalesce(cover>0 AND cons>0,false) AS cov,
@@ -54,9 +54,16 @@ def genes(spark, sf):
     return chains(spark, sf).select(F.col("seq_id").alias("gene"), "seq")
 
 
-def line_genes(spark, sf, span):
-    li = table(spark, sf, "lineitem").withColumns({"gene": F.col("l_suppkey") % NG, "pos": F.col("l_partkey") % span + 1})
-    return li.join(genes(spark, sf), "gene")
+def n_genes(spark, sf):
+    """Number of genes, as a scalar subquery."""
+    return table(spark, sf, "benchmark").agg(F.count("*")).scalar()
+
+
+def line_genes(spark, sf, beyond):
+    """Lines dealt over all genes, at positions up to ``beyond`` letters past a gene's end."""
+    li = table(spark, sf, "lineitem").withColumn("gene", F.col("l_suppkey") % n_genes(spark, sf))
+    li = li.join(genes(spark, sf), "gene").filter(F.length("seq") + beyond > 0)
+    return li.withColumn("pos", F.col("l_partkey") % (F.length("seq") + beyond) + 1)
 
 
 def letter(text, k):
@@ -64,7 +71,7 @@ def letter(text, k):
 
 
 def observations(spark, sf):
-    li = line_genes(spark, sf, 200).filter(F.col("pos") <= F.length("seq"))
+    li = line_genes(spark, sf, 0)
     own = F.substring("seq", F.col("pos").cast("int"), F.lit(1))
     return li.select("gene", "pos", F.when(F.col("l_quantity") <= 35 + F.col("gene") % 10, own)
                      .otherwise(letter(C.AA20, F.col("l_orderkey") % 20)).alias("aa"))
@@ -75,7 +82,7 @@ def profile(spark, sf):
 
 
 def variants(spark, sf):
-    li = line_genes(spark, sf, 220)
+    li = line_genes(spark, sf, 20)
     own = F.coalesce(F.nullif(F.substring("seq", F.col("pos").cast("int"), F.lit(1)), F.lit("")), F.lit("A"))
     wt = F.when(F.col("l_tax") == 0.08, letter(C.AA20, F.col("l_linenumber") - 1)).otherwise(own)
     mut = letter(AA21, F.col("l_quantity").cast("bigint") % 21)
@@ -160,12 +167,12 @@ def variant_class(spark, sf):
     return V.classify_codon_change(ch).select("wt_codon", "codon_pos", "alt", "n", "aa_wt", "aa_mut", "kind")
 
 
-DOMS = f"doms AS (SELECT p_partkey%{NG} AS gene, p_partkey AS ord, p_brand AS pfam, p_size AS \"start\", p_size+10 AS \"end\" FROM part)"
+DOMS = f"doms AS (SELECT p_partkey%{N_GENES} AS gene, p_partkey AS ord, p_brand AS pfam, p_size AS \"start\", p_size+10 AS \"end\" FROM part)"
 
 
 def domains(spark, sf):
     return table(spark, sf, "part").select(
-        (F.col("p_partkey") % NG).alias("gene"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("pfam"),
+        (F.col("p_partkey") % n_genes(spark, sf)).alias("gene"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("pfam"),
         F.col("p_size").alias("start"), (F.col("p_size") + 10).alias("end"))
 
 
@@ -176,16 +183,15 @@ def position_domain(spark, sf):
     return V.position_domain(variants(spark, sf).select("gene", "pos").distinct(), domains(spark, sf))
 
 
-SRC = f"""src AS (SELECT l_suppkey%{NG} AS gene, l_partkey%200+1 AS pos, CASE WHEN l_returnflag='A' THEN 'cluster50' WHEN l_returnflag='N' THEN 'cluster90' ELSE 'family' END AS source,
- CASE WHEN l_returnflag='A' THEN 1 WHEN l_returnflag='N' THEN 2 ELSE 3 END AS priority FROM lineitem WHERE (l_returnflag='A' AND l_quantity<=3) OR (l_returnflag='N' AND l_quantity<=8+l_suppkey%20) OR l_returnflag='R')"""
+SRC = f"""src AS (SELECT l_suppkey%{N_GENES} AS gene, l_partkey%200+1 AS pos, CASE WHEN l_returnflag='A' THEN 'cluster50' WHEN l_returnflag='N' THEN 'cluster90' ELSE 'family' END AS source,
+ CASE WHEN l_returnflag='A' THEN 1 WHEN l_returnflag='N' THEN 2 ELSE 3 END AS priority FROM lineitem)"""
 
 
 def source_rows(spark, sf):
     li = table(spark, sf, "lineitem")
     flag = F.col("l_returnflag")
-    keep = (((flag == "A") & (F.col("l_quantity") <= 3)) | ((flag == "N") & (F.col("l_quantity") <= 8 + F.col("l_suppkey") % 20)) | (flag == "R"))
-    return li.filter(keep).select(
-        (F.col("l_suppkey") % NG).alias("gene"), (F.col("l_partkey") % 200 + 1).alias("pos"),
+    return li.select(
+        (F.col("l_suppkey") % n_genes(spark, sf)).alias("gene"), (F.col("l_partkey") % 200 + 1).alias("pos"),
         F.when(flag == "A", "cluster50").when(flag == "N", "cluster90").otherwise("family").alias("source"),
         F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).alias("priority"))
 

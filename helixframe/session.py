@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +29,46 @@ def get_session(app: str = "helixframe", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    A scratch folder is used only by a local master with nothing configured, which is how the tests run.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, for drivers that only extend ``sys.path``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_helixframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # executors fetch the file when they start, so it stays until the driver ends
+    folder = tempfile.mkdtemp(prefix="helixframe-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / "helixframe.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._helixframe_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder.
 
-    The folder comes from ``spark.checkpoint.dir``. A scratch folder is used only
-    by a local master with nothing configured, which is how the tests run.
+    The folder is the one of ``shared_folder``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     # kept while the checkpoint is written, so the plan runs once
     kept = df.persist()
     out = kept.checkpoint(eager=True)

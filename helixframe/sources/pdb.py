@@ -65,12 +65,14 @@ def first_valid_chain(trace: DataFrame, lo: int = 50, hi: int = 150) -> DataFram
     return n.filter(F.col("n").between(lo, hi)).groupBy("pdb_id").agg(F.min("chain").alias("chain"))
 
 
-def header_flags(lines: DataFrame, head: int = 5000) -> DataFrame:
-    """Ensemble and neutron flags of each file."""
+def header_flags(lines: DataFrame) -> DataFrame:
+    """Ensemble and neutron flags of each file; its header ends at the first coordinate record."""
     up = F.upper("value")
-    before = F.sum(F.length("value") + 1).over(W.partitionBy("pdb_id").orderBy("line_no")) - F.length("value") - 1
-    g = lines.withColumn("at", before).groupBy("pdb_id").agg(
-        F.max((up.contains("EXPDTA") & (F.col("at") < head)).cast("int")).alias("e"), F.max((up.contains("NMR") & (F.col("at") < head)).cast("int")).alias("m"),
+    first = F.col("value").startswith("ATOM") | F.col("value").startswith("HETATM")
+    at = lines.filter(first).groupBy("pdb_id").agg(F.min("line_no").alias("body"))
+    head = F.coalesce(F.col("line_no") < F.col("body"), F.lit(True))
+    g = lines.join(at, "pdb_id", "left").groupBy("pdb_id").agg(
+        F.max((up.contains("EXPDTA") & head).cast("int")).alias("e"), F.max((up.contains("NMR") & head).cast("int")).alias("m"),
         F.count_if(up.contains("ENDMDL")).alias("ends"), F.count_if(up.startswith("MODEL ") & (F.col("line_no") > 0)).alias("models"),
         F.max((up.startswith("EXPDTA") & up.contains("NEUTRON")).cast("int")).alias("neutron"))
     return g.select("pdb_id", (((F.col("e") == 1) & (F.col("m") == 1)) | (F.col("ends") >= 2) | (F.col("models") >= 2)).alias("is_ensemble"),

@@ -17,7 +17,7 @@ def fasta_records(texts: DataFrame, keep_insertions: bool = True) -> DataFrame:
     head = F.split("rec", "\n")[0]
     fields = F.split(head, r"\|")
     acc = F.when(F.size(fields) > 1, fields[1]).otherwise(F.split(head, r"\s+")[0])
-    body = F.regexp_replace(F.substring_index("rec", "\n", -1000000), r"^[^\n]*\n?", "")
+    body = F.regexp_replace("rec", r"^[^\n]*\n?", "")
     if keep_insertions:
         seq = clean_sequence(body)
     else:

@@ -14,9 +14,10 @@ from ..functions.common import dist
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table of a folder as a stream of files."""
+    """A parquet table of a folder, one file or many, as a stream of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a pattern for this one name: a stream takes a plain path for a folder only
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def genome_observables(chunks: DataFrame) -> DataFrame:
