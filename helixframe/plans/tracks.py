@@ -190,6 +190,55 @@ def sample_intensity(spark, sf):
     return T.sample_intensity(p, voxels(spark, sf)).select("event_id", "v")
 
 
-@query("peak_detect")
+def _pass_sql(axis: str, source: str, name: str) -> str:
+    """One smoothing pass: every cell gathers its mirrored neighbours."""
+    w = T._kernel(T.SMOOTH[axis])
+    rest = [k for k in "zyx" if k != axis]
+    values = ",".join(f"({o - len(w) // 2},{num(x)})" for o, x in enumerate(w))
+    return f"""{name} AS (SELECT g.dataset, g.t, g.z, g.y, g.x, g.nz, g.ny, g.nx, sum(k.w*s.v) AS v FROM {source} g, (VALUES {values}) k(o,w), {source} s
+ WHERE s.dataset=g.dataset AND s.t=g.t AND {" AND ".join(f"s.{r}=g.{r}" for r in rest)} AND s.{axis}=(CASE WHEN g.{axis}+o<0 THEN -g.{axis}-o-1
+ WHEN g.{axis}+o>=g.n{axis} THEN 2*g.n{axis}-1-g.{axis}-o ELSE g.{axis}+o END) GROUP BY ALL)"""
+
+
+def _maxima_sql(source: str, name: str) -> str:
+    """Cells that are the largest of their box and reach the threshold; the grid is dense, so rows are steps."""
+    parts, value = [], "v"
+    for axis, h in T._half_box(2, 0).items():
+        rest = ",".join(k for k in "zyx" if k != axis)
+        top = f"{name}_{axis}"
+        parts.append(f"{top} AS (SELECT *, max({value}) OVER (PARTITION BY dataset, t, {rest} ORDER BY {axis} ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) AS m{axis} FROM {source})")
+        source, value = top, f"m{axis}"
+    return ",\n".join([*parts, f"{name} AS (SELECT dataset, t, z, y, x FROM {source} WHERE v={value} AND v>=threshold)"])
+
+
+def _in_box(a: str, b: str, half: dict, scale: int = 1) -> str:
+    return " AND ".join([f"{a}.dataset={b}.dataset AND {a}.t={b}.t", *[f"abs({a}.{k}-{b}.{k}{'' if k == 'z' else f'*{scale}'})<={h}" for k, h in half.items()]])
+
+
+PEAKS = f"""shp AS (SELECT dataset, t, max(z)+1 AS fz, max(y)+1 AS fy, max(x)+1 AS fx FROM vox GROUP BY ALL),
+g0 AS (SELECT dataset, t, z, y, x, fz AS nz, (fy+1)//2 AS ny, (fx+1)//2 AS nx FROM shp, LATERAL (SELECT unnest(range(fz)) AS z), LATERAL (SELECT unnest(range((fy+1)//2)) AS y), LATERAL (SELECT unnest(range((fx+1)//2)) AS x)),
+g AS (SELECT g0.*, coalesce(vox.v,0)::DOUBLE AS v FROM g0 LEFT JOIN vox ON vox.dataset=g0.dataset AND vox.t=g0.t AND vox.z=g0.z AND vox.y=2*g0.y AND vox.x=2*g0.x),
+{_pass_sql("z", "g", "s1")},
+{_pass_sql("y", "s1", "s2")},
+{_pass_sql("x", "s2", "s3")},
+sm AS (SELECT dataset, t, z, y, x, round(v,6) AS v FROM s3),
+pm AS (SELECT dataset, t, median(v) AS med FROM sm GROUP BY ALL), pd AS (SELECT dataset, t, med, median(abs(v-med))+1e-6 AS mad FROM sm JOIN pm USING (dataset,t) GROUP BY ALL),
+po AS (SELECT dataset, t, med, mad, avg(CASE WHEN v>=med+{P}*mad THEN 1.0 ELSE 0 END) AS ov FROM sm JOIN pd USING (dataset,t) GROUP BY ALL),
+pt AS (SELECT dataset, t, round(med+mad*(CASE WHEN ov>1/{P} THEN {P}*{P} ELSE {P} END),6) AS threshold FROM po),
+one AS (SELECT sm.*, threshold FROM sm JOIN pt USING (dataset,t)),
+{_maxima_sql("one", "first")},
+two AS (SELECT one.dataset, one.t, one.z, one.y, one.x, CASE WHEN EXISTS (SELECT 1 FROM first WHERE {_in_box("first", "one", T._half_box(2, 1))}) THEN 0 ELSE one.v END AS v, threshold FROM one),
+{_maxima_sql("two", "second")},
+pk AS (SELECT *, 1 AS tier FROM first UNION ALL SELECT *, 2 FROM second),
+nb AS (SELECT pk.dataset, pk.t, pk.tier, pk.z AS pz, pk.y*2 AS py, pk.x*2 AS px, vox.z, vox.y, vox.x, vox.v FROM pk JOIN vox ON {_in_box("vox", "pk", T._half_box(1, 1), 2)}),
+tp AS (SELECT *, greatest(v-0.5*max(v) OVER (PARTITION BY dataset, t, tier, pz, py, px),0)::DOUBLE AS w FROM nb),
+ct AS (SELECT dataset, t, tier, pz, py, px, sum(w) AS w, sum(w*z) AS sz, sum(w*y) AS sy, sum(w*x) AS sx FROM tp GROUP BY ALL),
+"at" AS (SELECT pk.dataset, pk.t, pk.tier, CASE WHEN w>=1e-6 THEN sz/w ELSE pk.z END AS z, CASE WHEN w>=1e-6 THEN sy/w ELSE pk.y*2 END AS y, CASE WHEN w>=1e-6 THEN sx/w ELSE pk.x*2 END AS x
+ FROM pk LEFT JOIN ct ON ct.dataset=pk.dataset AND ct.t=pk.t AND ct.tier=pk.tier AND pz=pk.z AND py=pk.y*2 AND px=pk.x*2)
+SELECT a.dataset, a.t, {R('a.z', 'z')}, {R('a.y', 'y')}, {R('a.x', 'x')}, tier::BIGINT AS tier, coalesce(vox.v,0)::DOUBLE AS intensity FROM "at" a JOIN shp USING (dataset,t)
+ LEFT JOIN vox ON vox.dataset=a.dataset AND vox.t=a.t AND vox.z=least(greatest(round_even(a.z,0),0),fz-1) AND vox.y=least(greatest(round_even(a.y,0),0),fy-1) AND vox.x=least(greatest(round_even(a.x,0),0),fx-1)"""
+
+
+@query("peak_detect", with_(VOX, PEAKS.rpartition("\nSELECT a.dataset")[0]) + "SELECT a.dataset" + PEAKS.rpartition("\nSELECT a.dataset")[2])
 def peak_detect(spark, sf):
-    return T.peak_detect(voxels(spark, sf))
+    return T.peak_detect(voxels(spark, sf)).select("dataset", "t", r6("z"), r6("y"), r6("x"), "tier", "intensity")
