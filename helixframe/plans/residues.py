@@ -156,7 +156,8 @@ def label_sequence(spark, sf):
 
 
 @query("region_membership", with_(TURNS, AA, labelled_sql("turns"), regions_sql()) + """
-SELECT l.seq_id, l.pos, l.aa, r.region, r.kind FROM lab l LEFT JOIN regions r ON r.seq_id=l.seq_id AND l.pos BETWEEN r."start" AND r."end" """)
+SELECT l.seq_id, l.pos, l.aa, r.region, r.kind FROM lab l LEFT JOIN (SELECT seq_id, region, kind, unnest(range("start","end"+1)) AS pos FROM regions) r
+ ON r.seq_id=l.seq_id AND r.pos=l.pos""")
 def region_membership(spark, sf):
     t = spread_if_few(turns(spark, sf), "seq_id")
     res = t.select("seq_id", F.posexplode(letters_of("seq")).alias("pos", "aa"))
