@@ -132,13 +132,13 @@ def _writer(folder: str, limit: int):
 
 def shard_cuts(slim: DataFrame, shard_bytes: int) -> np.ndarray:
     """First page id of every shard but the first: a number per shard comes to the driver."""
-    order = F.col("page_id").asc_nulls_first()
-    ranged = (slim.select("page_id", "n_bytes").repartitionByRange(task_count(slim.sparkSession, 2), order).sortWithinPartitions(order)
+    order = [F.col("page_id").asc_nulls_first(), "n_bytes"]
+    ranged = (slim.select("page_id", "n_bytes").repartitionByRange(task_count(slim.sparkSession, 2), order[0]).sortWithinPartitions(*order)
               .withColumn("part", F.spark_partition_id()))
     ranged = stored(ranged)
     parts = ranged.groupBy("part").agg(F.sum("n_bytes").alias("bytes")).withColumn(
         "before", F.coalesce(F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("page_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
     at = ranged.withColumn("own", F.coalesce(F.sum("n_bytes").over(inside), F.lit(0))).join(F.broadcast(parts.select("part", "before")), "part")
     cuts = (at.withColumn("shard", F.floor((F.col("before") + F.col("own")) / shard_bytes)).groupBy("shard").agg(F.min("page_id").alias("first"))
             .where(F.col("shard") > 0).select("first").where(F.col("first").isNotNull()).distinct().orderBy("first"))
