@@ -32,7 +32,7 @@ from .common import stored, task_count
 from .textcore import U, flat, grams, slices, word_hashes
 
 LENGTH, GRAM = 100, 28
-BUCKET, GROUP, PIECE = 250_000, 16 << 20, 4 << 20
+BUCKET, GROUP, PIECE = 250_000, 16 << 20, 8 << 20
 #: Fragment bytes of a bucket on average, and of one merge.
 FRAGMENTS, MERGE = 1 << 20, 1 << 18
 #: Windows of a fragment at most; a longer run is several fragments.
@@ -148,8 +148,8 @@ def _cut_out(length: int, gram: int, anchors: int, buckets: int):
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = asks[a:b]
             raw, _ = _gather(data, start[own], size[own] + length - 1)
-            yield (ASKED, int(bucket[a]), _pack(np.array([uid]), h[own], name[own], doc[text[own]], text[own].astype(np.uint32),
-                                                (start[own] - offsets[text[own]]).astype(np.uint32), (size[own] + TWICE * twice[own]).astype(np.uint16), raw),
+            yield (ASKED, int(bucket[a]), _pack(np.array([uid]), h[own].astype(np.uint32), doc[text[own]], start[own].astype(np.uint32),
+                                                (size[own] + TWICE * twice[own]).astype(np.uint16), raw),
                    None, None, None, None, None, None, None)
         late = order[~first]
         # texts without fragments have left: number the rest anew
@@ -170,7 +170,7 @@ def _cut_out(length: int, gram: int, anchors: int, buckets: int):
     return run
 
 
-def repeated_windows(source: np.ndarray, anchor: np.ndarray, name: np.ndarray, earlier: tuple[np.ndarray, ...], size: np.ndarray,
+def repeated_windows(source: np.ndarray, anchor: np.ndarray, earlier: tuple[np.ndarray, ...], size: np.ndarray,
                      twice: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """Mask of the windows, of all fragments one after the other, that also start earlier.
 
@@ -182,6 +182,9 @@ def repeated_windows(source: np.ndarray, anchor: np.ndarray, name: np.ndarray, e
     first = np.concatenate(([0], np.cumsum(size)))
     out = np.zeros(first[-1], bool)
     # equal fragments: the earliest stands for all
+    at = np.concatenate(([0], np.cumsum(size + length - 1)))
+    raw, known = data.tobytes(), {}
+    name = np.array([known.setdefault(raw[a:b], i) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))], np.int64)
     order = np.lexsort((rank, size, name))
     head = np.ones(n, bool)
     head[1:] = (name[order][1:] != name[order][:-1]) | (size[order][1:] != size[order][:-1])
@@ -192,7 +195,6 @@ def repeated_windows(source: np.ndarray, anchor: np.ndarray, name: np.ndarray, e
     _, inverse, count = np.unique(anchor[left], return_inverse=True, return_counts=True)
     left = left[(count[inverse] > 1) | twice[left]]
     left = left[np.lexsort((source[left], anchor[left]))]
-    at = np.concatenate(([0], np.cumsum(size + length - 1)))
     total = np.cumsum(size[left] + length - 1)
     a = 0
     while a < len(left):
@@ -222,12 +224,12 @@ def _answer(length: int):
         bucket, blobs = None, []
 
         def make() -> pa.RecordBatch:
-            parts = [_unpack(b, np.int64, U, U, np.int64, np.uint32, np.uint32, np.uint16, np.uint8) for b in blobs]
+            parts = [_unpack(b, np.int64, np.uint32, np.int64, np.uint32, np.uint16, np.uint8) for b in blobs]
             uid = np.array([p[0][0] for p in parts])
             count = np.array([len(p[1]) for p in parts])
-            h, name, doc, row, start, size, data = (np.concatenate([p[i] for p in parts]) for i in range(1, 8))
+            h, doc, start, size, data = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
             twice, size, source = size >= TWICE, (size % TWICE).astype(np.int64), np.repeat(np.arange(len(parts)), count)
-            hit = repeated_windows(source, h, name, (doc, uid[source], row, start), size, twice, data, length)
+            hit = repeated_windows(source, h, (doc, uid[source], start), size, twice, data, length)
             edges = np.concatenate(([0], np.cumsum(np.bincount(source, size, len(parts)).astype(np.int64))))
             rows = [(int(u), np.packbits(hit[a:b]).tobytes()) for u, a, b in zip(uid, edges[:-1], edges[1:], strict=True) if hit[a:b].any()]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()),
