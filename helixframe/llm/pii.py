@@ -6,7 +6,8 @@ phone (8 to 15 digits). Failing matches are dropped without a retry.
 The method adds spans. A first transducer rewrites characters (look-alike letters, full-width, circled and other
 scripts' digits, invisible characters), a second one phrases (bracketed or spelled ``at`` and ``dot``, runs of spelled
 digits). Both keep, for every character written, the source span it stands for. Identifiers found in the rewritten
-text are mapped back through these spans; those that meet a base span of their kind are left out.
+text are mapped back through these spans; those that lie in a base span of their kind are left out. A wider one stays beside
+the base span, which is then a fragment of it.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows repeat as given. Work and memory
 are linear in a text's length, whatever it holds.
@@ -183,17 +184,18 @@ def all_spans(text: str) -> list[tuple[str, int, int, bool]]:
         own = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
         for k, a, b in base_spans(new):
             x, y = starts[a], ends[b - 1]
-            if not _meets(own[k], x, y):
+            if not _covered(own[k], x, y):
                 out.append((k, x, y, False))
     out.sort(key=lambda t: (KINDS.index(t[0]), t[1], t[2]))
     return out
 
 
-def _meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
+def _covered(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the sorted, disjoint spans holds a to b."""
+    from bisect import bisect_right
 
-    i = bisect_left(spans, (b, 0))
-    return i > 0 and spans[i - 1][1] > a
+    i = bisect_right(spans, a, key=lambda s: s[0])
+    return i > 0 and spans[i - 1][1] >= b
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

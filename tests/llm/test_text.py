@@ -142,6 +142,25 @@ def test_pii_added(text, kind, part):
     assert pii.redacted(text) == text.replace(part, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("text,kind,part,fragment", [
+    ("to jоhn@example.com now", "email", "jоhn@example.com", "hn@example.com"),
+    ("to john dot smith@example.com now", "email", "john dot smith@example.com", "smith@example.com"),
+    ("to user@mail.example dot com now", "email", "user@mail.example dot com", "user@mail.example"),
+    ("to user@example.cоm now", "email", "user@example.cоm", "user@example.c"),
+    ("to jоhn@example.cоm now", "email", "jоhn@example.cоm", "hn@example.c"),
+    ("at 10.20.30.4４ up", "ip", "10.20.30.4４", "10.20.30.4"),
+    ("call +1 743 555 382４ now", "phone", "+1 743 555 382４", "+1 743 555 382"),
+])
+def test_pii_added_beside_a_fragment(text, kind, part, fragment):
+    assert [(k, text[a:b], base) for k, a, b, base in sorted(pii.all_spans(text), key=lambda s: s[3])] == [(kind, part, False), (kind, fragment, True)]
+    assert pii.redacted(text) == text.replace(part, f"[{kind.upper()}]")
+
+
+def test_pii_adds_nothing_inside_a_base_span():
+    text = "Привет, a.b@c.de, 1.2.3.4, +1 743 555 3824"
+    assert all(base for *_, base in pii.all_spans(text)) and len(pii.all_spans(text)) == 3
+
+
 def test_pii_leaves_clean_texts_alone():
     for t in ("look at the dot there", "one two three", "I was at home (at last) on top", "two at one dot", "Привет, мир", "", "[at]"):
         assert pii.all_spans(t) == [] and pii.redacted(t) == t
