@@ -11,7 +11,10 @@ is removed. A transform of a whole corpus does not fit the tasks of a cluster, s
    the intervals with a common prefix of ``length`` are the repeated strings, and all but the earliest of each are answered.
 4. Pieces cut what was answered.
 
-A bucket is merged in parts of about ``MERGE`` bytes, cut between anchors. Null and empty texts have no bytes. Rows with the
+A bucket is merged in parts of about ``MERGE`` bytes, cut between anchors. An anchor with more than ``HOT`` bytes of differing
+fragments, as a frequent line has, is in no bucket: its windows are dealt by a 96-bit hash of all their bytes, each that a piece
+repeats once, and all but the earliest of a hash are answered. Pieces tell how much of an anchor they hold from ``TELL``
+fragments on; fewer are a few hundred bytes per piece. Null and empty texts have no bytes. Rows with the
 same id are ordered by where they are stored; a null id comes before all others. Repeated rows repeat each other.
 """
 
@@ -35,12 +38,16 @@ LENGTH, GRAM = 100, 28
 BUCKET, GROUP, PIECE = 250_000, 16 << 20, 8 << 20
 #: Fragment bytes of a bucket on average, and of one merge.
 FRAGMENTS, MERGE = 1 << 20, 1 << 18
+#: Fragment bytes from which an anchor is hot, fragments of a piece from which it tells them, and windows of a hot bucket.
+HOT, TELL, WINDOWS = 4 << 20, 4, 1 << 19
 #: Windows of a fragment at most; a longer run is several fragments.
 RUN = 512
 #: Marks, on a fragment's size, that it can repeat a window of its own.
 TWICE = 1 << 15
 NULL_ID = -(1 << 63)
-FINAL, TEXTS, ASKED = 0, 1, 2
+FINAL, TEXTS, ASKED, TOLD = 0, 1, 2, 3
+#: What a blob for a piece and bucket holds, by the offset of its bucket's name: bits of the merge, hot fragments, hot windows.
+BITS, SKIP, HITS = 0, 1, 2
 
 
 def _least(low: np.ndarray, width: int) -> np.ndarray:
@@ -107,6 +114,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _C, strict=True)], schema=_C)
 
 
+#: Arrays of an asked blob: the piece; anchor, id, start and size of each fragment; bytes.
+_ASKED = (np.int64, np.uint32, np.int64, np.uint32, np.uint16, np.uint8)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return np.array([a.nbytes for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
 
@@ -151,6 +162,10 @@ def _cut_out(length: int, gram: int, anchors: int, buckets: int):
             yield (ASKED, int(bucket[a]), _pack(np.array([uid]), h[own].astype(np.uint32), doc[text[own]], start[own].astype(np.uint32),
                                                 (size[own] + TWICE * twice[own]).astype(np.uint16), raw),
                    None, None, None, None, None, None, None)
+        anchor, own, count = np.unique(h[asks].astype(np.uint32) | (bucket.astype(U) << U(32)), return_inverse=True, return_counts=True)
+        total = np.bincount(own, size[asks] + length - 1)
+        for i in np.flatnonzero(count >= TELL):
+            yield (TOLD, int(anchor[i] >> U(32)), None, None, None, int(anchor[i] & U(0xFFFFFFFF)), int(total[i]), None, None, None)
         late = order[~first]
         # texts without fragments have left: number the rest anew
         kept = np.flatnonzero(has)
@@ -219,12 +234,98 @@ def repeated_windows(source: np.ndarray, anchor: np.ndarray, earlier: tuple[np.n
     return out
 
 
+def _without_hot(length: int, hot: dict[int, np.ndarray], parts: int):
+    """Rows (to, bucket, part, blob) of asked blobs: the rest of each, with a null part and bucket, what their pieces are told, with a
+    null part, and the windows of hot anchors by part of their hash."""
+    def windows(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Fragment, place in it and two hashes of every window."""
+        out = []
+        for a, b in slices(first):
+            at = first[a:b + 1] - first[a]
+            n = np.diff(at) - length + 1
+            begins = np.concatenate(([0], np.cumsum(n)))
+            inside = np.arange(begins[-1]) - np.repeat(begins[:-1], n)
+            start = inside + np.repeat(at[:-1], n)
+            own = data[first[a]:first[b]]
+            out.append((np.repeat(np.arange(a, b), n), inside, word_hashes(own, start, start + length), grams(own.astype(U), length)[start].astype(np.uint32)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def split(bucket: int, blob: bytes) -> Iterator[tuple]:
+        uid, h, doc, start, size, data = _unpack(blob, *_ASKED)
+        is_hot = np.isin(h, hot[bucket]) if bucket in hot else np.zeros(len(h), bool)
+        if not is_hot.any():
+            yield bucket, None, None, blob
+            return
+        uid, n = int(uid[0]), (size % TWICE).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(n + length - 1)))
+        bit = np.concatenate(([0], np.cumsum(n)))
+        rest = np.flatnonzero(~is_hot)
+        if len(rest):
+            yield bucket, None, None, _pack(np.array([uid]), h[rest], doc[rest], start[rest], size[rest], _gather(data, at[rest], n[rest] + length - 1)[0])
+        yield uid, 3 * bucket + SKIP, None, np.packbits(is_hot).tobytes()
+        own = np.flatnonzero(is_hot)
+        fragment, inside, x, y = windows(*_gather(data, at[own], n[own] + length - 1))
+        fragment = own[fragment]
+        doc, place, index = doc[fragment], start[fragment].astype(np.int64) + inside, (bit[fragment] + inside).astype(np.uint32)
+        # of a piece's equal windows the earliest asks
+        order = np.lexsort((place, doc, y, x))
+        later = np.zeros(len(order), bool)
+        later[1:] = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+        if later.any():
+            yield uid, 3 * bucket + HITS, None, index[order[later]].tobytes()
+        order = order[~later]
+        part = (x[order] % U(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        order, part = order[by], part[by]
+        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            o = order[a:b]
+            yield uid, bucket, int(part[a]), _pack(x[o], y[o], doc[o], place[o].astype(np.uint32), index[o])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for to, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = list(split(to, blob.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                                 ["to", "bucket", "part", "blob"])
+
+    return run
+
+
+def _answer_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of hot anchors that start earlier, by piece and bucket; the rows (part, to, bucket, blob) come sorted by part."""
+    def make(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        parts = [_unpack(b, U, np.uint32, np.int64, np.uint32, np.uint32) for _, _, b in held]
+        x, y, doc, place, index = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        uid = np.array([u for u, _, _ in held])[source]
+        order = np.lexsort((place, uid, doc, y, x))
+        later = np.zeros(len(order), bool)
+        later[1:] = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+        hit = np.sort(order[later])
+        cuts = np.searchsorted(source[hit], np.arange(len(parts) + 1))
+        rows = [(u, 3 * bucket + HITS, index[hit[a:b]].tobytes()) for (u, bucket, _), a, b in zip(held, cuts[:-1], cuts[1:], strict=True) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))],
+                                          ["to", "bucket", "blob"])
+
+    part, held = None, []
+    for batch in batches:
+        for p, to, bucket, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            if p != part:
+                if held:
+                    yield make(held)
+                part, held = p, []
+            held.append((to, bucket, blob.as_py()))
+    if held:
+        yield make(held)
+
+
 def _answer(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs = None, []
 
         def make() -> pa.RecordBatch:
-            parts = [_unpack(b, np.int64, np.uint32, np.int64, np.uint32, np.uint16, np.uint8) for b in blobs]
+            parts = [_unpack(b, *_ASKED) for b in blobs]
             uid = np.array([p[0][0] for p in parts])
             count = np.array([len(p[1]) for p in parts])
             h, doc, start, size, data = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
@@ -232,7 +333,7 @@ def _answer(length: int):
             hit = repeated_windows(source, h, (doc, uid[source], start), size, twice, data, length)
             edges = np.concatenate(([0], np.cumsum(np.bincount(source, size, len(parts)).astype(np.int64))))
             rows = [(int(u), np.packbits(hit[a:b]).tobytes()) for u, a, b in zip(uid, edges[:-1], edges[1:], strict=True) if hit[a:b].any()]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()),
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([3 * bucket + BITS] * len(rows), pa.int64()),
                                                pa.array([r[1] for r in rows], pa.binary())], ["to", "bucket", "blob"])
 
         for batch in batches:
@@ -252,7 +353,7 @@ def _finish(length: int, with_text: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
-    def piece(ids: list, texts: pa.Array, blob: bytes, told: dict[int, bytes]) -> list[tuple]:
+    def piece(ids: list, texts: pa.Array, blob: bytes, told: dict[int, list[bytes]]) -> list[tuple]:
         data, offsets = flat(texts)
         late, late_size, asks, asks_size, buckets, counts = _unpack(blob, np.uint32, np.uint16, np.uint32, np.uint16, np.int64, np.int64)
         edge = np.zeros(len(data) + 1, np.int32)
@@ -260,12 +361,18 @@ def _finish(length: int, with_text: bool):
         np.add.at(edge, late.astype(np.int64) + late_size + length - 1, -1)
         at = np.concatenate(([0], np.cumsum(counts)))
         for b, x, y in zip(buckets, at[:-1], at[1:], strict=True):
-            bits = told.get(int(b))
-            if bits is None:
+            bits, skip, hits = (told.get(3 * int(b) + i, []) for i in (BITS, SKIP, HITS))
+            if not bits and not hits:
                 continue
             size = asks_size[x:y].astype(np.int64)
             first = np.concatenate(([0], np.cumsum(size)))
-            hit = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=first[-1]))
+            hit = [np.frombuffer(i, np.uint32).astype(np.int64) for i in hits]
+            if bits:
+                merged = np.arange(first[-1])
+                if skip:
+                    merged = merged[~np.repeat(np.unpackbits(np.frombuffer(skip[0], np.uint8), count=len(size)).astype(bool), size)]
+                hit.append(merged[np.unpackbits(np.frombuffer(bits[0], np.uint8), count=len(merged)).astype(bool)])
+            hit = np.concatenate(hit)
             f = np.searchsorted(first, hit, side="right") - 1
             window = asks[x:y].astype(np.int64)[f] + hit - first[f]
             np.add.at(edge, window, 1)
@@ -287,7 +394,7 @@ def _finish(length: int, with_text: bool):
                 if to != uid:
                     uid, told = to, {}
                 if bucket is not None:
-                    told[bucket] = blob
+                    told.setdefault(bucket, []).append(blob)
                     continue
                 rows = piece(batch.column(3)[i].as_py(), batch.column(4)[i].values, blob, told)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -318,8 +425,25 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wit
 
     out = stored(with_repeated_anchors(rows, anchors_of, anchors, groups).mapInArrow(_cut_out(length, gram, anchors, buckets), _C_SQL))
     final = out.where(F.col("kind") == FINAL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.lit(None).cast("binary").alias("kept"))
-    bits = (out.where(F.col("kind") == ASKED).select("to", "blob").repartition(max(tasks, min(buckets, 8 * tasks)), "to").sortWithinPartitions("to")
+    asked = out.where(F.col("kind") == ASKED).select("to", "blob")
+    hot = (out.where(F.col("kind") == TOLD).groupBy("to", F.col("doc_id").alias("anchor")).agg(F.sum("n_bytes").alias("total"))
+           .where(F.col("total") > HOT).collect())
+    told = None
+    if hot:
+        # at most one anchor per HOT bytes
+        by_bucket: dict[int, list[int]] = {}
+        for r in hot:
+            by_bucket.setdefault(r["to"], []).append(r["anchor"])
+        parts = max(1, sum(r["total"] for r in hot) // WINDOWS)
+        split = stored(asked.mapInArrow(_without_hot(length, {b: np.array(a, np.uint32) for b, a in by_bucket.items()}, parts),
+                                        "to long, bucket long, part long, blob binary"))
+        asked = split.where("part is null and bucket is null").select("to", "blob")
+        told = (split.where("part is not null").select("part", "to", "bucket", "blob").repartition(max(tasks, min(parts, 8 * tasks)), "part")
+                .sortWithinPartitions("part").mapInArrow(_answer_hot, "to long, bucket long, blob binary")
+                .union(split.where("part is null and bucket is not null").select("to", "bucket", "blob")))
+    bits = (asked.repartition(max(tasks, min(buckets, 8 * tasks)), "to").sortWithinPartitions("to")
             .mapInArrow(_answer(length), "to long, bucket long, blob binary"))
+    bits = bits if told is None else bits.union(told)
     pieces = (bits.select("to", "bucket", "blob", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<string>").alias("texts"))
               .union(out.where(F.col("kind") == TEXTS).select("to", F.lit(None).cast("long").alias("bucket"), "blob", "ids", "texts")))
     pieces = pieces.repartition(2 * tasks, "to").sortWithinPartitions("to", F.col("bucket").asc_nulls_last())

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from helixframe.llm import byte_windows, near_dedup, word_windows
 from helixframe.llm.bwt import merged_blocks
@@ -120,6 +121,59 @@ def test_byte_windows(spark, rng, docs_of, monkeypatch, small):
         assert rows_of(byte_windows.remove_repeated(docs_of(rows[:90]), length=30, gram=8)) == brute_bytes(rows[:90], 30)
 
 
+def lines_around(rng, line, n):
+    """Texts that share a line and little else; every fifth also shares one side of it."""
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    side = ["".join(rng.choice(letters) for _ in range(90)) for _ in range(3)]
+    fresh = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(60, 160)))
+    return [(i, f"{fresh()}{rng.choice(side) if i % 5 == 0 else ''}{line}{rng.choice(side) if i % 10 == 0 else ''}{fresh()}") for i in range(n)]
+
+
+@pytest.mark.parametrize("line", ["The frequent line of 40 bytes: read on.\n", "A longer line. " * 11 + "End.\n"])
+def test_byte_windows_of_a_frequent_line(spark, rng, docs_of, monkeypatch, line):
+    for name, value in (("HOT", 3000), ("TELL", 2), ("WINDOWS", 4000), ("PIECE", 20_000), ("GROUP", 20_000), ("FRAGMENTS", 30_000)):
+        monkeypatch.setattr(byte_windows, name, value)
+    rows = lines_around(rng, line, 300)
+    rows += [(700, rows[0][1]), (None, rows[3][1]), (5, rows[5][1]), (701, line * 30), (702, None)] + passages(rng)[:60]
+    want = brute_bytes(rows, 100)
+    assert sum(r[2] > 0 for r in want) > 50
+    assert rows_of(byte_windows.remove_repeated(docs_of(rows))) == want
+
+
+def test_fragments_of_a_frequent_line_are_merged_nowhere(spark, rng, docs_of, monkeypatch):
+    largest = []
+    answer = byte_windows._answer
+
+    def watched(length):
+        run = answer(length)
+
+        def watch(batches):
+            size = {}
+            for batch in batches:
+                for to, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    size[to] = size.get(to, 0) + len(blob)
+                yield from run(iter([batch]))
+            seen.add(max(size.values(), default=0))
+        return watch
+
+    class Largest(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    for name, value in (("HOT", 10_000), ("PIECE", 40_000), ("GROUP", 40_000), ("FRAGMENTS", 20_000)):
+        monkeypatch.setattr(byte_windows, name, value, raising=False)
+    monkeypatch.setattr(byte_windows, "_answer", watched)
+    for n in (200, 1600):
+        seen = spark.sparkContext.accumulator(0, Largest())
+        byte_windows.remove_repeated(docs_of(lines_around(rng, "The frequent line of 40 bytes: read on.\n", n))).collect()
+        largest.append(seen.value)
+    # eight times the texts, eight times the buckets: none grows
+    assert largest[1] < 2 * max(largest[0], 20_000)
+
+
 def test_merged_transforms(rng):
     for depth in [8, 8, 6, 9, 7] * 5:
         strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(4, 50))) for _ in range(rng.randint(1, 12))]
