@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_LEVEL = "byte_bpe_50k.json"
 
 
 def op1_word_windows(spark, sf):
@@ -72,14 +73,38 @@ def op10_mix(spark, sf):
     return mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_align(spark, sf):
+    import public_tokenizers
+
+    from .align import align
+
+    docs, _ = align(table(spark, sf, "documents"), str(public_tokenizers.path(BYTE_LEVEL)), str(public_tokenizers.path(TOKENIZER)))
+    return docs
+
+
+def op12_vector_codes(spark, sf):
+    from .vector_codes import books_hash, encode, with_label_error
+
+    codes, books = encode(table(spark, sf, "embeddings"))
+    return with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(books_hash(books)).alias("codebooks_sha256"))
+
+
+def op13_secrets(spark, sf):
+    from .secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf, "documents")))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_word_windows, op2_token_counts, op3_topk, op4_quality, op5_minhash, op6_decontaminate, op7_bwt_windows, op8_pii, op9_warc, op10_mix)}
+    return {f.__name__: f for f in (op1_word_windows, op2_token_counts, op3_topk, op4_quality, op5_minhash, op6_decontaminate, op7_bwt_windows, op8_pii, op9_warc, op10_mix,
+                                    op11_align, op12_vector_codes, op13_secrets)}
 
 
 def oracles():
     from .decontaminate import find_sql
     from .mixing import mix_sql
     from .topk import SEARCH_SQL
+    from .vector_codes import codes_sql
     from .warc import RECORDS_SQL
 
-    return {"op3_topk": SEARCH_SQL, "op6_decontaminate": find_sql(), "op9_warc": RECORDS_SQL, "op10_mix": mix_sql()}
+    return {"op3_topk": SEARCH_SQL, "op6_decontaminate": find_sql(), "op9_warc": RECORDS_SQL, "op10_mix": mix_sql(), "op12_vector_codes": codes_sql()}
