@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.common import dist
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from .spatial import contact_join
 
 SZ, SY, SX = C.SCALE_ZYX
@@ -107,82 +110,137 @@ def _node(key: str, role: int = 0):
     return F.struct(F.col("dataset").cast("bigint").alias("dataset"), F.lit(role).alias("role"), F.col(key).cast("bigint").alias("id"))
 
 
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum-cost one-to-one assignment of a rectangular matrix (shortest augmenting paths)."""
-    flip = cost.shape[0] > cost.shape[1]
-    a = cost.T if flip else cost
-    n, m = a.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, seen = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while owner[j0]:
-            seen[j0] = True
-            i0 = owner[j0]
-            free = ~seen
-            free[0] = False
-            cur = np.full(m + 1, np.inf)
-            cur[1:] = a[i0 - 1] - u[i0] - v[1:]
-            better = free & (cur < least)
-            least[better], way[better] = cur[better], j0
-            j1 = int(np.argmin(np.where(free, least, np.inf)))
-            delta = least[j1]
-            u[owner[seen]] += delta
-            v[seen] -= delta
-            least[free] -= delta
-            j0 = j1
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return [(j, i) for i, j in pairs] if flip else pairs
+def assign(row: np.ndarray, col: np.ndarray, cost: np.ndarray, far: float) -> np.ndarray:
+    """The candidates chosen by the one-to-one assignment of least total cost, where an unmatched row costs ``far``.
+
+    Candidates are sparse (row, col, cost) triples and all cost less than ``far``. Shortest augmenting paths over the candidates
+    alone, so memory and work follow their number and not rows times columns.
+    """
+    rows, row = np.unique(row, return_inverse=True)
+    cols, col = np.unique(col, return_inverse=True)
+    n, m = len(rows), len(cols)
+    order = np.lexsort((col, row))
+    first = np.searchsorted(row[order], np.arange(n + 1)).tolist()
+    to, price, origin = col[order].tolist(), cost[order].tolist(), order.tolist()
+    u, v = [0.0] * n, [0.0] * (m + n)
+    owner, held = [-1] * (m + n), [-1] * n
+    for start in range(n):
+        best, via, done, heap = {}, {}, {}, []
+        i, reach = start, 0.0
+        while True:
+            base = reach - u[i]
+            for k in range(first[i], first[i + 1]):
+                j = to[k]
+                if j not in done and (r := base + price[k] - v[j]) < best.get(j, np.inf):
+                    best[j], via[j] = r, (i, k)
+                    heapq.heappush(heap, (r, j))
+            # column m + i stands for leaving row i unmatched
+            j = m + i
+            if j not in done and (r := base + far - v[j]) < best.get(j, np.inf):
+                best[j], via[j] = r, (i, -1)
+                heapq.heappush(heap, (r, j))
+            while True:
+                reach, j = heapq.heappop(heap)
+                if j not in done and reach == best[j]:
+                    break
+            done[j] = reach
+            if owner[j] < 0:
+                break
+            i = owner[j]
+        u[start] += reach
+        for k, d in done.items():
+            if owner[k] >= 0:
+                u[owner[k]] += reach - d
+            v[k] -= reach - d
+        while True:
+            i, k = via[j]
+            owner[j], j, held[i] = i, to[held[i]] if held[i] >= 0 else m + i, k
+            if i == start:
+                break
+    return np.array([origin[k] for k in held if k >= 0], int)
+
 
+STEP = ["dataset", "t", "src", "dst", "d", *(f"{s}{k}" for s in "lr" for k in "zyxi")]
+LINKS = "dataset bigint, src bigint, dst bigint, d double"
+CARRIED = "dataset bigint, t bigint, src bigint, dst bigint, d double, pz double, py double, px double"
+#: Candidate steps that one group may hold before time is cut into blocks of ``SPANS`` frames, one after the other.
+GROUP, SPANS = 200_000, (16, 1)
 
-def _link_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["t", "det_id"]).reset_index(drop=True)
-    gate = pdf["gate"].iloc[0]
-    pos, inten = pdf[["z", "y", "x"]].to_numpy() * np.array(C.SCALE_ZYX), pdf["intensity"].to_numpy()
-    frames = {t: g.to_numpy() for t, g in pdf.groupby("t").groups.items()}
-    parent: dict[int, int] = {}
+
+def step_links(steps: pd.DataFrame, parents: dict[int, tuple]) -> pd.DataFrame:
+    """Links of consecutive frames in time order, from candidate steps with both ends' places and intensities.
+
+    ``parents`` has the place of the parent of each detection of the first frame that has one, and is carried on: a detection is looked
+    for where its last step leads.
+    """
     out = []
-    for t in sorted(frames):
-        if t + 1 not in frames:
-            continue
-        a, b = frames[t], frames[t + 1]
-        guess = np.array([2 * pos[i] - pos[parent[i]] if i in parent else pos[i] for i in a])
-        act = np.linalg.norm(pos[a][:, None] - pos[b][None], axis=2)
-        inn = np.linalg.norm(guess[:, None] - pos[b][None], axis=2)
-        top = np.maximum(inten[a][:, None], inten[b][None]) + 1e-6
-        cost = inn * (1 + np.abs(inten[a][:, None] - inten[b][None]) / top)
-        ok = (inn <= gate) & (act <= C.STEP_UM)
-        for i, j in assign(np.where(ok, cost, 4 * gate)):
-            if ok[i, j]:
-                parent[b[j]] = a[i]
-                out.append((pdf["dataset"][0], pdf["det_id"][a[i]], pdf["det_id"][b[j]], float(act[i, j])))
-    return pd.DataFrame(out, columns=["dataset", "src", "dst", "d"])
+    for _, e in steps.groupby("t", sort=True):
+        at, to = e[["lz", "ly", "lx"]].to_numpy(), e[["rz", "ry", "rx"]].to_numpy()
+        src, dst = e["src"].to_numpy(), e["dst"].to_numpy()
+        back = np.array([parents.get(s, p) for s, p in zip(src.tolist(), map(tuple, at), strict=True)])
+        inn = np.sqrt(((2 * at - back - to) ** 2).sum(axis=1))
+        li, ri = e["li"].to_numpy(), e["ri"].to_numpy()
+        cost, gate = inn * (1 + np.abs(li - ri) / (np.maximum(li, ri) + 1e-6)), e["gate"].to_numpy()
+        near = np.flatnonzero(inn <= gate)
+        parents = {}
+        if len(near):
+            took = near[assign(src[near], dst[near], cost[near], 4 * gate[0])]
+            parents = dict(zip(dst[took].tolist(), map(tuple, at[took]), strict=True))
+            out.append(e.iloc[took][["dataset", "t", "src", "dst", "d"]].assign(pz=at[took, 0], py=at[took, 1], px=at[took, 2]))
+    return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in CARRIED.split(", ")])
 
 
-LINKS = "dataset bigint, src bigint, dst bigint, d double"
+def _link_component(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = pdf[pdf["pz"].notna()].drop_duplicates("src")
+    return step_links(pdf, dict(zip(own["src"].tolist(), zip(own["pz"], own["py"], own["px"], strict=True), strict=True)))
+
 
+def _blocked(steps: DataFrame, span: int | None) -> DataFrame:
+    """Steps with their block of ``span`` frames (all in one without) and their component within it."""
+    steps = steps.withColumn("block", F.lit(0).cast("long") if span is None else F.floor(F.col("t") / span))
+    node = lambda k: F.struct("dataset", "block", F.col(k).alias("id"))
+    comp = components(steps.select(node("src").alias("u"), node("dst").alias("v")))
+    return cut_lineage(steps.withColumn("node", node("src")).join(comp, "node").drop("node"))
 
-def link_frames(dets: DataFrame, gate: float = C.LINK_UM, gates: DataFrame | None = None) -> DataFrame:
+
+def link_frames(dets: DataFrame, gate: float = C.LINK_UM, gates: DataFrame | None = None, group: int = GROUP) -> DataFrame:
     """One-to-one motion-predicted links between consecutive frames.
 
-    ``gates`` has a gate per dataset and wins over ``gate``. Two detections can only
-    influence each other through steps within the actual gate, so the step graph's
-    connected components are solved independently.
+    ``gates`` has a gate per dataset and wins over ``gate``. Two detections can only influence each other through steps within the actual
+    gate, so connected components of the step graph are solved independently. Where a component over all frames has over ``group`` steps,
+    time is cut into blocks, of 16 frames or of one, whose components are solved block after block; the parents' places of
+    a block's last frame are carried to the next in a table. So the largest group is one step's component, with the same links.
     """
-    steps = frame_step_join(dets, dets, C.STEP_UM)
-    comp = components(steps.select(_node("src").alias("u"), _node("dst").alias("v")))
-    rows = dets.select(_node("det_id").alias("node"), *[F.col(k).cast("bigint").alias(k) for k in ("dataset", "det_id", "t")],
-                       *[F.col(k).cast("double").alias(k) for k in ("z", "y", "x", "intensity")]).join(comp, "node").drop("node")
+    steps = cut_lineage(frame_step_join(dets, dets, C.STEP_UM).select(
+        *[F.col(k).cast("bigint").alias(k) for k in STEP[:4]], *[F.col(k).cast("double").alias(k) for k in STEP[4:]]))
+    for span in (None, *SPANS):
+        rows = _blocked(steps, span)
+        if rows.groupBy("comp").count().filter(F.col("count") > group).isEmpty():
+            break
     if gates is None:
         rows = rows.withColumn("gate", F.lit(float(gate)))
     else:
         rows = rows.join(gates.select("dataset", F.col("gate").alias("own")), "dataset", "left").withColumn(
             "gate", F.coalesce("own", F.lit(float(gate)))).drop("own")
-    return rows.groupBy("comp").applyInPandas(_link_component, LINKS)
+    blocks = [r["block"] for r in rows.select("block").distinct().orderBy("block").collect()] if span else [0]
+    none = F.lit(None).cast("double")
+    folder, carried = f"{shared_folder(dets.sparkSession)}/links-{uuid.uuid4().hex}", None
+    for block in blocks:
+        part = rows.filter(F.col("block") == block)
+        if carried is None:
+            part = part.withColumns({"pz": none, "py": none, "px": none})
+        else:
+            part = part.join(carried, ["dataset", "t", "src"], "left")
+        links = part.groupBy("comp").applyInPandas(_link_component, CARRIED)
+        if span is None:
+            return links.select("dataset", "src", "dst", "d")
+        links.write.parquet(f"{folder}/block={block}")
+        done = dets.sparkSession.read.schema(CARRIED).parquet(f"{folder}/block={block}")
+        last = (block + 1) * span
+        carried = done.filter(F.col("t") == last - 1).select("dataset", F.lit(last).cast("long").alias("t"), F.col("dst").alias("src"), "pz", "py", "px")
+    if not blocks:
+        return dets.sparkSession.createDataFrame([], LINKS)
+    return dets.sparkSession.read.schema(CARRIED).parquet(*[f"{folder}/block={b}" for b in blocks]).select("dataset", "src", "dst", "d")
 
 
 def link_residual_gate(dets: DataFrame) -> DataFrame:
@@ -193,14 +251,8 @@ def link_residual_gate(dets: DataFrame) -> DataFrame:
 
 
 def _gated(pdf: pd.DataFrame) -> pd.DataFrame:
-    src, dst = sorted(pdf["src"].unique()), sorted(pdf["dst"].unique())
-    ri, rj = {k: i for i, k in enumerate(src)}, {k: j for j, k in enumerate(dst)}
-    cost = np.full((len(src), len(dst)), 4 * C.STEP_UM)
-    length = np.full(cost.shape, np.inf)
-    for s, e, d, c in zip(pdf["src"], pdf["dst"], pdf["d"], pdf["cost"]):
-        cost[ri[s], rj[e]], length[ri[s], rj[e]] = c, d
-    out = [(pdf["dataset"].iloc[0], src[i], dst[j], float(length[i, j])) for i, j in assign(cost) if np.isfinite(length[i, j])]
-    return pd.DataFrame(out, columns=["dataset", "src", "dst", "d"])
+    took = assign(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["cost"].to_numpy(), 4 * C.STEP_UM)
+    return pdf.iloc[took][["dataset", "src", "dst", "d"]]
 
 
 def gated_links(src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -278,11 +330,8 @@ def _assigned(pdf: pd.DataFrame, far: float) -> pd.DataFrame:
     """The assignment of least total distance; a frame's only detection goes to the first truth row that reaches it."""
     if pdf["n_det"].iloc[0] == 1:
         return _take(pdf)
-    g, p = sorted(pdf["gt"].unique()), sorted(pdf["det_id"].unique())
-    cost = np.full((len(g), len(p)), far)
-    cost[np.searchsorted(g, pdf["gt"]), np.searchsorted(p, pdf["det_id"])] = pdf["d"]
-    out = [(pdf["dataset"].iloc[0], g[i], p[j], cost[i, j]) for i, j in assign(cost) if cost[i, j] < far]
-    return pd.DataFrame(out, columns=["dataset", "gt", "det_id", "d"])
+    took = assign(pdf["gt"].to_numpy(), pdf["det_id"].to_numpy(), pdf["d"].to_numpy(), far)
+    return pdf.iloc[took][["dataset", "gt", "det_id", "d"]]
 
 
 def optimal_match(truth: DataFrame, dets: DataFrame, r: float = C.MATCH_UM) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import constants as C
 from ..operators.sequences import COUNTS, base_counts
 from ..operators.spatial import CELL, with_cell
-from ..operators.tracks import to_um
+from ..operators.tracks import step_links, to_um
 from ..functions.common import dist
 
 
@@ -25,7 +31,7 @@ def genome_observables(chunks: DataFrame) -> DataFrame:
     return base_counts(chunks).groupBy("seq_id").agg(*[F.sum(k).alias(k) for k in COUNTS])
 
 
-def frame_links(dets: DataFrame, delay: str = "1 day") -> DataFrame:
+def frame_steps(dets: DataFrame, delay: str) -> DataFrame:
     """Stream-stream join of detections with those one frame later, within the gate.
 
     ``dets`` has an event time ``ft`` at the start of its six-hour frame. Both sides
@@ -43,14 +49,141 @@ def frame_links(dets: DataFrame, delay: str = "1 day") -> DataFrame:
     return j.withColumn("d", dist("l", "r")).filter(F.col("d") <= C.STEP_UM).select("dataset", "src", "dst", "d")
 
 
+LINK_ROWS = "dataset long, t long, version long, src long, dst long, d double"
+_FRAME = "t long, det_id long, z double, y double, x double, intensity double, pz double, py double, px double"
+_FRAME_COLS = [c.split()[0] for c in _FRAME.split(", ")]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of points within r, by grid cells."""
+    cells: dict[tuple, list[int]] = {}
+    for j, c in enumerate(map(tuple, np.floor(b / r).astype(int).tolist())):
+        cells.setdefault(c, []).append(j)
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    left, right = [], []
+    for i, (x, y, z) in enumerate(np.floor(a / r).astype(int).tolist()):
+        for dx, dy, dz in around:
+            for j in cells.get((x + dx, y + dy, z + dz), ()):
+                left.append(i)
+                right.append(j)
+    left, right = np.array(left, int), np.array(right, int)
+    near = np.sqrt(((a[left] - b[right]) ** 2).sum(axis=1)) <= r
+    return left[near], right[near]
+
+
+class FrameLinker(StatefulProcessor):
+    """Links of one dataset's open frames, with the places of the parents of its last closed frame.
+
+    The state holds the frames that the watermark has not passed and the one before them. Every batch links them anew and
+    writes the links of each open step with a higher version, so a detection that comes late, but within the delay, changes what follows from it. A timer at the end
+    of each frame closes it: what is before it leaves the state.
+    """
+
+    def __init__(self, gate: float, step_ms: int):
+        self.gate, self.step_ms = gate, step_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.frames = handle.getListState("frames", _FRAME)
+        self.version = handle.getValueState("version", "n long")
+
+    def _held(self) -> pd.DataFrame:
+        rows = [tuple(r) for r in self.frames.get()] if self.frames.exists() else []
+        return pd.DataFrame(rows, columns=_FRAME_COLS)
+
+    def _steps(self, held: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        frames = dict(list(held.groupby("t")))
+        for t in sorted(frames):
+            if t + 1 not in frames:
+                continue
+            a, b = frames[t], frames[t + 1]
+            i, j = near_pairs(a[["z", "y", "x"]].to_numpy(), b[["z", "y", "x"]].to_numpy(), C.STEP_UM)
+            left, right = a.iloc[i].reset_index(drop=True), b.iloc[j].reset_index(drop=True)
+            part = pd.DataFrame({"t": left["t"], "src": left["det_id"], "dst": right["det_id"], "li": left["intensity"], "ri": right["intensity"]})
+            for k in "zyx":
+                part[f"l{k}"], part[f"r{k}"], part[f"p{k}"] = left[k], right[k], left[f"p{k}"]
+            part["d"] = np.sqrt(sum((part[f"l{k}"] - part[f"r{k}"]) ** 2 for k in "zyx"))
+            parts.append(part)
+        out = pd.concat(parts) if parts else pd.DataFrame(columns=["t", "src", "dst", "d", *(f"{s}{k}" for s in "lr" for k in "zyxi"), "pz", "py", "px"])
+        return out.assign(dataset=0, gate=self.gate)
+
+    def _links(self, held: pd.DataFrame) -> pd.DataFrame:
+        own = held[held["pz"].notna()]
+        return step_links(self._steps(held), dict(zip(own["det_id"].tolist(), zip(own["pz"], own["py"], own["px"], strict=True), strict=True)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        for t in new["t"].unique():
+            self.handle.registerTimer(int(t + 1) * self.step_ms)
+        self.frames.appendList([(int(r.t), int(r.det_id), float(r.z), float(r.y), float(r.x), float(r.intensity), None, None, None) for r in new.itertuples()])
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        self.version.update((version,))
+        held = self._held()
+        links = self._links(held)
+        steps = pd.DataFrame({"t": [t for t in sorted(held["t"].unique())]})
+        # a step without links still says so: an earlier version may have had some
+        out = steps.merge(links[["t", "src", "dst", "d"]].astype({"t": "int64"}), on="t", how="left")
+        out.insert(0, "dataset", key[0])
+        out.insert(2, "version", version)
+        yield out.astype({"src": "Int64", "dst": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = expiredTimerInfo.getExpiryTimeInMs() // self.step_ms - 1
+        held = self._held()
+        # the frame stays until the next one closes: what comes may still be linked to it
+        keep = held[held["t"] >= last]
+        if len(keep) < len(held):
+            links = self._links(held[held["t"] <= last])
+            parents = {r.dst: (r.pz, r.py, r.px) for r in links[links["t"] == last - 1].itertuples()}
+            rows = []
+            for r in keep.itertuples(index=False):
+                p = parents.get(r.det_id) if r.t == last else None
+                rows.append((int(r.t), int(r.det_id), r.z, r.y, r.x, r.intensity, *(map(float, p) if p else (None, None, None))))
+            self.frames.put(rows)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def frame_links(dets: DataFrame, delay: str, gate: float = C.LINK_UM, step_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """Motion-predicted one-to-one links of a stream of detections, as versions of each step's links.
+
+    ``dets`` has an event time ``ft`` at the start of its frame; frames are ``step_ms`` long. A detection may come up to ``delay`` after later
+    ones; what is later is dropped by the watermark and counted by ``run_to_table``. ``latest_links`` keeps the last version of each step.
+    """
+    points = to_um(dets.withColumn("t", F.floor(F.unix_millis("ft") / step_ms)), "", "dataset", "ft", "t", "det_id", "intensity")
+    spark = dets.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return (points.withWatermark("ft", delay).groupBy("dataset")
+            .transformWithStateInPandas(FrameLinker(gate, step_ms), LINK_ROWS, outputMode="append", timeMode="eventTime"))
+
+
+def latest_links(versions: DataFrame) -> DataFrame:
+    """The last version of each step's links."""
+    top = versions.groupBy("dataset", "t").agg(F.max("version").alias("version"))
+    return versions.join(top, ["dataset", "t", "version"]).filter(F.col("src").isNotNull()).select("dataset", "t", "src", "dst", "d")
+
+
+def late_rows(query) -> int:
+    """Rows that the watermark dropped in the batches of a query."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
 def run_to_table(stream: DataFrame, out: str, mode: str) -> DataFrame:
-    """Process what is available, writing each batch to a folder; returns the written table."""
+    """Process what is available, writing each batch to a folder; returns the written table.
+
+    Rows that came too late for the watermark are told by a warning.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/id={batch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if late := late_rows(q):
+        warnings.warn(f"{late} rows came after the watermark and were dropped", stacklevel=2)
     spark = stream.sparkSession
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/data/id=*")
 

@@ -1,6 +1,13 @@
 """Streams read a table whether it is one file or a folder of part files."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe import constants as C
+from helixframe.operators.tracks import link_frames
 from helixframe.plans import load
+from helixframe.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,3 +17,47 @@ def test_stream_of_a_folder(spark, tmp_path):
     query = load()[0]["stream_genome_observables"]
     rows = lambda sf: sorted(map(str, query(spark, sf).collect()))
     assert rows(str(tmp_path)) == rows(SF) != []
+
+
+def scene(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for ds in (0, 1):
+        for k in range(5):
+            p, v = rng.uniform(0, 16, 3), rng.normal(0, 2, 3)
+            for t in range(24):
+                q = (p + t % 6 * v + rng.normal(0, 1, 3)) / np.array(C.SCALE_ZYX)
+                rows.append((ds, t * 10 + k, t, *map(float, q), float(rng.uniform(1, 9))))
+    dets = spark.createDataFrame(rows, "dataset bigint, det_id bigint, t bigint, z double, y double, x double, intensity double")
+    return dets.withColumn("ft", F.timestamp_seconds(1_704_067_200 + F.col("t") * 21_600))
+
+
+def test_linked_stream_equals_the_batch(spark, tmp_path):
+    dets = scene(spark)
+    want = sorted(map(tuple, link_frames(dets).select("dataset", "src", "dst").collect()))
+    # in order, and with frames that come up to three frames late
+    for name, order in (("ordered", list(range(24))), ("late", [2, 0, 3, 1, 5, 6, 4, 7, 10, 9, 8, 11, 12, 15, 14, 13, 17, 16, 18, 21, 20, 19, 23, 22])):
+        folder = f"{tmp_path}/{name}"
+        for i in range(0, 24, 2):
+            part = dets.filter(F.col("t").isin(order[i:i + 2])).coalesce(1)
+            part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(dets.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        out = J.run_to_table(J.frame_links(stream, "1 day"), f"{tmp_path}/out-{name}", "append")
+        assert out.agg(F.max("version")).first()[0] > 5
+        assert sorted(map(tuple, J.latest_links(out).select("dataset", "src", "dst").collect())) == want
+
+
+def test_rows_after_the_watermark_are_told(spark, tmp_path):
+    dets = scene(spark)
+    folder = f"{tmp_path}/in"
+    for t in (10, 20, 1, 21):
+        dets.filter(F.col("t") == t).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(dets.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with pytest.warns(UserWarning, match="10 rows came after the watermark"):
+        J.run_to_table(J.frame_links(stream, "1 day"), f"{tmp_path}/out", "append")
+
+
+def test_registered_stream_equals_the_batch(spark):
+    queries = load()[0]
+    rows = lambda name: sorted(map(tuple, queries[name](spark, SF).select("dataset", "src", "dst").collect()))
+    assert rows("stream_link_frames") == rows("link_frames") != []
