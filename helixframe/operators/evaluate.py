@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import top_n, value_ranks
+from .ranking import top_n, value_ranks, with_quantiles
 
 
 def pearson(x, y) -> Column:
@@ -71,10 +71,8 @@ def bin_error_stats(errors: DataFrame, bins: list[tuple[str, int, int | None]])
     """
     tags = F.array_compact(F.array(*[F.when((F.col("sep") >= lo) & (F.lit(True) if hi is None else F.col("sep") <= hi), name) for name, lo, hi in bins]))
     e = errors.select("*", F.explode(tags).alias("bin"))
-    return e.groupBy("bin").agg(
-        F.count("*").alias("n_pairs"), F.avg(F.abs("err")).alias("mean_abs"),
-        F.percentile(F.abs("err"), 0.5).alias("median_abs"), F.percentile(F.abs("err"), 0.9).alias("p90_abs"),
-        F.percentile("err", 0.5).alias("signed_median"))
+    wanted = {"median_abs": (F.abs("err"), 0.5), "p90_abs": (F.abs("err"), 0.9), "signed_median": ("err", 0.5)}
+    return with_quantiles(e, ["bin"], wanted, F.count("*").alias("n_pairs"), F.avg(F.abs("err")).alias("mean_abs"))
 
 
 def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "value", stat: str = "mean") -> DataFrame:

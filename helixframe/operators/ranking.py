@@ -69,6 +69,55 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = 32) -
             .select(*keys, value, (F.col("_run") + F.col("_below")).alias("below"), "same", "total"))
 
 
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles per key, one row per key; ``wanted`` maps a name to (column, share). Nulls do not count.
+
+    Two passes, neither of which holds a key's values. A sketch brackets each rank between two values, whatever the distribution. Then every
+    row is below, inside or above the bracket; below and above are counted with a map-side combine, and only the values inside (a share of about
+    ``6 / accuracy`` of the rows, equal ones as one) are put in order. A key absent from ``df``, or with nulls only, has no row or a null.
+    """
+    share = 3 / accuracy
+    named = {f"_v{i}": (c if not isinstance(c, str) else F.col(c)).cast("double") for i, (c, _) in enumerate(wanted.values())}
+    # null keys are keys as well
+    same = {k: f"_k{i}" for i, k in enumerate(keys)}
+    rows = df.select(*keys, *[c.alias(n) for n, c in named.items()])
+    cuts = rows.groupBy(*[F.col(k).alias(n) for k, n in same.items()]).agg(*[
+        F.percentile_approx(f"_v{i}", [max(p - share, 0.0), min(p + share, 1.0)], F.lit(accuracy)).alias(f"_c{i}") for i, (_, p) in enumerate(wanted.values())])
+    if keys:
+        tagged = rows.join(cuts, [F.col(k).eqNullSafe(F.col(n)) for k, n in same.items()])
+    else:
+        tagged = rows.withColumn("_all", cuts.select(F.struct("*")).scalar()).select("*", "_all.*")
+    one = lambda i: F.struct(F.lit(i).alias("q"), F.when(F.col(f"_v{i}") < F.col(f"_c{i}")[0], -1).when(F.col(f"_v{i}") > F.col(f"_c{i}")[1], 1).otherwise(0).alias("side"),
+                             F.col(f"_v{i}").alias("v"))
+    long = tagged.select(*keys, F.explode(F.array(*[one(i) for i in range(len(wanted))])).alias("r")).select(*keys, "r.*").filter("v IS NOT NULL")
+    runs = long.groupBy(*keys, "q", "side", F.when(F.col("side") == 0, F.col("v")).alias("inside")).agg(
+        F.count("*").alias("c"), F.when(F.col("side") < 0, F.max("v")).otherwise(F.min("v")).alias("v"))
+    by = W.partitionBy(*keys, "q")
+    p = F.element_at(F.array(*[F.lit(float(p)) for _, p in wanted.values()]), F.col("q") + 1)
+    runs = runs.withColumns({"end": F.sum("c").over(by.orderBy("side", "inside")), "at": p * (F.sum("c").over(by) - 1)})
+
+    def value_at(rank):
+        hit = (F.col("end") - F.col("c") <= rank) & (rank < F.col("end"))
+        # of the values beside the bracket only the nearest is known; the sketch's error bound says that no other is asked for
+        known = (F.col("side") == 0) | ((F.col("side") < 0) & (rank == F.col("end") - 1)) | ((F.col("side") > 0) & (rank == F.col("end") - F.col("c")))
+        return F.max(F.when(hit & known, F.col("v")).when(hit, F.raise_error(F.lit("a rank is outside its bracket")).cast("double")))
+
+    low, high = F.floor("at"), F.ceil("at")
+    both = runs.groupBy(*keys, "q").agg(value_at(low).alias("a"), value_at(high).alias("b"), F.max("at").alias("at"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    return both.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == i, value)).alias(name) for i, name in enumerate(wanted)])
+
+
+def with_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple], *aggregates) -> DataFrame:
+    """Aggregates per key beside ``quantiles``."""
+    a = df.groupBy(*keys).agg(*aggregates)
+    q = quantiles(df, keys, wanted)
+    if not keys:
+        return a.withColumn("_q", q.select(F.struct("*")).scalar()).select(*a.columns, "_q.*")
+    q = q.withColumnsRenamed({k: f"_q{i}" for i, k in enumerate(keys)})
+    return a.join(q, [F.col(k).eqNullSafe(F.col(f"_q{i}")) for i, k in enumerate(keys)], "left").drop(*[f"_q{i}" for i in range(len(keys))])
+
+
 def percentile_below(df: DataFrame, background: DataFrame, keys: list[str], value: str,
                      name: str = "percentile") -> DataFrame:
     """100 x share of the key's background strictly below each row's value.

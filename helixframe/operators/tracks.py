@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.common import dist
 from ..session import cut_lineage, shared_folder
+from .ranking import quantiles, with_quantiles
 from .spatial import contact_join
 
 SZ, SY, SX = C.SCALE_ZYX
@@ -38,15 +39,14 @@ def track_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         *[((F.max(k) - F.min(k)) * s).alias(f"span_{k}") for k, s in zip("zyx", C.SCALE_ZYX)])
     out = edges.groupBy("dataset", "parent").agg(F.count("*").alias("k"))
     e = out.groupBy("dataset").agg(F.sum("k").alias("n_edges"), F.count_if(F.col("k") >= 2).alias("n_divisions"))
-    s = track_steps(nodes, edges).groupBy("dataset").agg(
-        F.percentile("step", 0.5).alias("step_median"), F.avg("step").alias("step_mean"))
+    s = with_quantiles(track_steps(nodes, edges), ["dataset"], {"step_median": ("step", 0.5)}, F.avg("step").alias("step_mean"))
     return n.join(e, "dataset", "left").join(s, "dataset", "left")
 
 
 def track_energy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Residual-weighted spread of step lengths around the dataset's median."""
     s = track_steps(nodes, edges)
-    m = s.groupBy("dataset").agg(F.percentile("step", 0.5).alias("median"), F.count("*").alias("n_steps"))
+    m = with_quantiles(s, ["dataset"], {"median": ("step", 0.5)}, F.count("*").alias("n_steps"))
     d = F.col("step") - F.col("median")
     return s.join(m, "dataset").groupBy("dataset", "median", "n_steps").agg(
         (C.RESIDUAL["Biochemistry"] * F.avg(d * d)).alias("energy"), F.avg(F.abs(d)).alias("mae"))
@@ -246,7 +246,7 @@ def link_frames(dets: DataFrame, gate: float = C.LINK_UM, gates: DataFrame | Non
 def link_residual_gate(dets: DataFrame) -> DataFrame:
     """Link, widen each dataset's gate to phi x its median step if larger, and link again."""
     first = cut_lineage(link_frames(dets))
-    gates = first.groupBy("dataset").agg(F.greatest(F.lit(C.LINK_UM), C.PHI * F.percentile("d", 0.5)).alias("gate"))
+    gates = quantiles(first, ["dataset"], {"m": ("d", 0.5)}).select("dataset", F.greatest(F.lit(C.LINK_UM), C.PHI * F.col("m")).alias("gate"))
     return link_frames(dets, gates=gates)
 
 

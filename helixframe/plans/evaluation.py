@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions.common import freeze
 from ..operators import evaluate as EV
 from ..operators import pairs as PR
+from ..operators.ranking import quantiles, with_quantiles
 from .base import R, num, query, r6, table, with_
 from .pairs import EV as EVSQL
 from .pairs import P1, P3, chain_sql, scored
@@ -155,27 +156,30 @@ def cases(spark, sf):
                                                (F.col("l_extendedprice") / 10000).alias("a"), (F.col("l_quantity") / 5).alias("b"))
 
 
-def head():
+def head(df, keys, *more):
+    """Counts and exact medians of both sides per key."""
     a, b = F.col("a"), F.col("b")
-    return [F.count("*").alias("n"), r6(F.percentile("a", 0.5), "median_a"), r6(F.percentile("b", 0.5), "median_b"),
-            F.count_if(a < b).alias("wins_a"), F.count_if(a <= b + 1.5).alias("within_15"), F.count_if(a < 2).alias("sub_2")]
+    out = with_quantiles(df, keys, {"median_a": ("a", 0.5), "median_b": ("b", 0.5)}, F.count("*").alias("n"),
+                         F.count_if(a < b).alias("wins_a"), F.count_if(a <= b + 1.5).alias("within_15"), F.count_if(a < 2).alias("sub_2"), *more)
+    return out.withColumns({k: r6(k) for k in ("median_a", "median_b")})
 
 
 @query("head_to_head", with_(CASES) + f"SELECT {HEAD}, {R('avg(a-b)', 'mean_gap')} FROM cs")
 def head_to_head(spark, sf):
-    return cases(spark, sf).agg(*head(), r6(F.avg(F.col("a") - F.col("b")), "mean_gap"))
+    return head(cases(spark, sf), [], r6(F.avg(F.col("a") - F.col("b")), "mean_gap"))
 
 
 @query("category_summary", with_(CASES) + f"SELECT category, {HEAD} FROM cs GROUP BY ROLLUP(category)")
 def category_summary(spark, sf):
-    return cases(spark, sf).rollup("category").agg(*head())
+    c = cases(spark, sf)
+    return head(c, ["category"]).unionByName(head(c, []).withColumn("category", F.lit(None).cast("string")))
 
 
 @query("best_routing", f"""WITH r AS (SELECT l_suppkey%6 AS routing, median(l_extendedprice) AS m FROM lineitem GROUP BY 1) SELECT routing, {R('m', 'median', 3)}, row_number() OVER (ORDER BY m, routing) AS place FROM r""")
 def best_routing(spark, sf):
     from pyspark.sql import Window as W
 
-    r = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 6).alias("routing")).agg(F.percentile("l_extendedprice", 0.5).alias("m"))
+    r = quantiles(table(spark, sf, "lineitem").withColumn("routing", F.col("l_suppkey") % 6), ["routing"], {"m": ("l_extendedprice", 0.5)})
     # six routings at most, so one ordered window is enough
     return r.select("routing", r6("m", "median", 3), F.row_number().over(W.orderBy("m", "routing")).cast("bigint").alias("place"))
 
@@ -183,8 +187,8 @@ def best_routing(spark, sf):
 @query("gate_checks", with_(CASES) + f""", m AS (SELECT count(*)>=100 AS g1, median(a)<=median(b) AS g2, count(*) FILTER (a<2)/count(*)::DOUBLE>=0.1 AS g3 FROM cs)
 SELECT name, required, CASE WHEN ok THEN 'pass' WHEN required THEN 'fail' ELSE 'warn' END AS status FROM (SELECT 'volume' AS name, true AS required, g1 AS ok FROM m UNION ALL SELECT 'median', true, g2 FROM m UNION ALL SELECT 'sub_2', false, g3 FROM m)""")
 def gate_checks(spark, sf):
-    m = cases(spark, sf).agg((F.count("*") >= 100).alias("g1"), (F.percentile("a", 0.5) <= F.percentile("b", 0.5)).alias("g2"),
-                             (F.count_if(F.col("a") < 2) / F.count("*") >= 0.1).alias("g3"))
+    m = with_quantiles(cases(spark, sf), [], {"ma": ("a", 0.5), "mb": ("b", 0.5)}, (F.count("*") >= 100).alias("g1"),
+                       (F.count_if(F.col("a") < 2) / F.count("*") >= 0.1).alias("g3")).withColumn("g2", F.col("ma") <= F.col("mb"))
     rows = m.selectExpr("stack(3, 'volume', true, g1, 'median', true, g2, 'sub_2', false, g3) as (name, required, ok)")
     return rows.select("name", "required", F.when(F.col("ok"), "pass").when(F.col("required"), "fail").otherwise("warn").alias("status"))
 
@@ -192,7 +196,7 @@ def gate_checks(spark, sf):
 @query("coverage_board", with_(CASES) + """, j AS (SELECT category, CASE WHEN median(a)<2 THEN 'missing' WHEN median(a)<5 THEN 'covered' ELSE 'partial' END AS status FROM cs GROUP BY category)
 SELECT status, count(*) AS n, string_agg(category,',' ORDER BY category) AS jobs FROM j GROUP BY status""")
 def coverage_board(spark, sf):
-    j = cases(spark, sf).groupBy("category").agg(F.percentile("a", 0.5).alias("m"))
+    j = quantiles(cases(spark, sf), ["category"], {"m": ("a", 0.5)})
     j = j.withColumn("status", F.when(F.col("m") < 2, "missing").when(F.col("m") < 5, "covered").otherwise("partial"))
     return j.groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("category")), ",").alias("jobs"))
 
@@ -221,7 +225,7 @@ def hotspots(spark, sf):
     p = points(spark, sf)
     m = ST.match_points(p.filter("model > 0").select("target", "model", "idx", "x", "y", "z"), p.filter("model = 0").select("target", "idx", "x", "y", "z"), ["target", "idx"])
     e = m.select("target", "model", "idx", dist("p", "q").alias("err")).withColumn("score", F.round("err", 9))
-    thr = e.groupBy("target", "model").agg(F.percentile("err", 0.8).alias("thr"))
+    thr = quantiles(e, ["target", "model"], {"thr": ("err", 0.8)})
     top = top_n(e, ["target", "model"], "score", 5, ["idx"]).join(thr, ["target", "model"]).filter("err >= thr")
     return top.groupBy("target", "model").agg(F.count("*").alias("n_hot"), F.count_if((F.col("idx") < 3) | (F.col("idx") >= 18)).alias("n_ends"))
 
