@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import cut_lineage
 from .ranking import rank_within, top_n
 
 GAP = 20
@@ -133,34 +134,77 @@ def neff_analytic(rows: DataFrame, draws: int) -> DataFrame:
         F.when(F.col("mean_id").isNull(), n).otherwise(n / (1 + (n - 1) * m)).alias("neff_analytic"))
 
 
+def near_codes(m: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Rows of ``m`` that share ten filled columns or more with ``row`` and agree on 1/e of them or more."""
+    both = (m != GAP) & (row != GAP)
+    shared = both.sum(1)
+    return (shared >= 10) & (((m == row) & both).sum(1) >= shared / math.e)
+
+
+def _lead(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The leaders among a block's rows, in row order."""
+    pdf = pdf.sort_values("row_id")
+    m = np.stack(pdf["codes"].to_numpy())
+    free, leaders = np.ones(len(m), bool), []
+    for i in range(len(m)):
+        if free[i]:
+            leaders.append(i)
+            free[i:] &= ~near_codes(m[i:], m[i])
+    return pdf.iloc[leaders][["family", "row_id", "codes"]]
+
+
+def _uncovered(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a chunk that are near none of the leaders."""
+    if not len(rows) or not len(leaders):
+        return rows[["family", "row_id", "ord", "codes"]]
+    m = np.stack(rows["codes"].to_numpy())
+    left = np.arange(len(m))
+    for row in leaders["codes"]:
+        if not len(left):
+            break
+        left = left[~near_codes(m[left], row)]
+    return rows.iloc[left][["family", "row_id", "ord", "codes"]]
+
+
+def identity_leaders(rows: DataFrame, block: int = 2048) -> DataFrame:
+    """The greedy leaders of each family: in row order, every row that is near no earlier leader.
+
+    A round takes the first ``block`` rows of each family that are left, finds the leaders among them, and drops from the rest what is near one of these, chunk
+    by chunk of ``block`` rows. It ends when nothing is left. So no group holds more than a block and a block's leaders; the work is that of the greedy rule,
+    rows times leaders.
+    """
+    left = cut_lineage(numbered_rows(rows).select("family", "row_id", "ord", "codes"))
+    kind = rows.schema["family"].dataType.simpleString()
+    codes = rows.schema["codes"].dataType.simpleString()
+    id_kind = rows.schema["row_id"].dataType.simpleString()
+    found = None
+    while True:
+        first = cut_lineage(top_n(left.withColumn("_s", -F.col("ord").cast("double")), ["family"], "_s", block, ["row_id"], step=float(block)).drop("_s", "rank"))
+        if first.isEmpty():
+            return found if found is not None else left.select("family", "row_id")
+        leaders = cut_lineage(first.groupBy("family").applyInPandas(_lead, f"family {kind}, row_id {id_kind}, codes {codes}"))
+        new = leaders.select("family", "row_id")
+        found = new if found is None else found.unionByName(new)
+        last = first.groupBy(F.col("family").alias("own")).agg(F.max("ord").alias("last"))
+        rest = left.join(last, F.col("family") == F.col("own")).filter("ord > last").withColumn("chunk", F.floor(F.col("ord") / block)).drop("own", "last")
+        rest = cut_lineage(rest)
+        if rest.isEmpty():
+            return found
+        chunks = rest.groupBy(F.col("family").alias("to"), F.col("chunk").alias("part")).count()
+        sent = leaders.join(chunks, F.col("family") == F.col("to")).select("to", "part", "codes")
+        left = cut_lineage(rest.groupBy("family", "chunk").cogroup(sent.groupBy("to", "part")).applyInPandas(
+            _uncovered, f"family {kind}, row_id {id_kind}, ord bigint, codes {codes}"))
+
+
 def neff_clusters(rows: DataFrame, sample: int | None = None) -> DataFrame:
     """Greedy identity clusters of each family's rows, or of ``sample`` of them, scaled back."""
-    size = rows.groupBy("family").agg(F.count("*").alias("n_seqs"))
     score = F.pmod(F.xxhash64("family", "row_id"), F.lit(1 << 20)).cast("double")
-    picked = rows if sample is None else top_n(rows.withColumn("_s", score), ["family"], "_s", sample, ["row_id"], step=1 << 14)
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        m = np.stack(pdf["codes"].to_numpy())
-        full = m != GAP
-        used = np.zeros(len(m), dtype=bool)
-        clusters = 0
-        for i in range(len(m)):
-            if used[i]:
-                continue
-            clusters += 1
-            both = full & full[i]
-            shared = both.sum(1)
-            ident = ((m == m[i]) & both).sum(1) / np.maximum(shared, 1)
-            near = (shared >= 10) & (ident >= 1 / math.e)
-            used |= near & (np.arange(len(m)) >= i)
-        return pd.DataFrame({"family": [pdf["family"].iloc[0]], "n_clusters": [clusters], "n_sampled": [len(m)]})
-
-    kind = rows.schema["family"].dataType.simpleString()
-    c = picked.select("family", "row_id", "codes").groupBy("family").applyInPandas(
-        lead, f"family {kind}, n_clusters bigint, n_sampled bigint")
-    return c.join(size, "family").withColumn(
-        "neff_clusters", F.col("n_clusters") * F.col("n_seqs") / F.col("n_sampled").cast("double"))
+    picked = rows if sample is None else top_n(rows.withColumn("_s", score), ["family"], "_s", sample, ["row_id"], step=1 << 14).drop("_s", "rank")
+    size = rows.groupBy("family").agg(F.count("*").alias("n_seqs"))
+    taken = size if sample is None else picked.groupBy("family").agg(F.count("*").alias("n_seqs"))
+    c = identity_leaders(picked).groupBy("family").agg(F.count("*").alias("n_clusters"))
+    c = c.join(taken.withColumnRenamed("n_seqs", "n_sampled"), "family").join(size, "family")
+    return c.withColumn("neff_clusters", F.col("n_clusters") * F.col("n_seqs") / F.col("n_sampled").cast("double"))
 
 
 def depth_ok(n_seqs: str = "n_seqs", neff: str = "neff") -> F.Column:

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from .. import constants as C
 from ..functions import residues as RF
 from ..functions.common import dist, freeze
+from ..session import cut_lineage
 
 XYZ = "xyz"
 
@@ -230,29 +231,32 @@ def medoid(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def leader_cluster(scored: DataFrame, pairs: DataFrame, radius: float = C.PHI**2) -> DataFrame:
-    """Score-ordered leader clusters over a target's pool, decided inside one row.
+    """Score-ordered leader clusters: a model that is near no better leader leads, the others follow the best leader near them.
 
-    The pool of a target is bounded, so its scores and near pairs fit in arrays and
-    the leader pass is a fold: the best unassigned model absorbs what lies near it.
+    Decided in rounds over the whole table: a model with no better undecided model nearby leads, and what is near it is no
+    leader. So each round settles the best of every neighbourhood at once and no target is held in one row. Equal scores go by model.
     """
-    near = (pairs.filter(F.col("rmsd") <= radius)
-            .select("target", F.explode(F.array(F.struct(F.col("m1").alias("a"), F.col("m2").alias("b")),
-                                                F.struct(F.col("m2").alias("a"), F.col("m1").alias("b")))).alias("e"))
-            .groupBy("target").agg(F.collect_list("e").alias("edges")))
-    order = scored.groupBy("target").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("s"), F.col("model")))).alias("o"))
-    j = order.join(near, "target", "left").withColumn(
-        "edges", F.coalesce("edges", F.array().cast("array<struct<a:bigint,b:bigint>>")))
-
-    def absorb(acc, item):
-        m = item["model"]
-        taken = F.exists(acc, lambda x: x["model"] == m)
-        mates = F.transform(F.filter("edges", lambda e: (e["a"] == m) & ~F.exists(acc, lambda x: x["model"] == e["b"])), lambda e: e["b"])
-        new = F.transform(F.concat(F.array(m), mates), lambda x: F.struct(x.alias("model"), m.alias("leader")))
-        return F.when(taken, acc).otherwise(F.concat(acc, new))
-
-    empty = F.array().cast("array<struct<model:bigint,leader:bigint>>")
-    return j.select("target", F.explode(F.aggregate("o", empty, absorb)).alias("r")).select("target", "r.model", "r.leader")
+    order = F.struct((-F.col("score")).alias("s"), F.col("model").alias("m"))
+    nodes = scored.select("target", "model", order.alias("o"))
+    side = lambda c, k: nodes.select("target", F.col("model").alias(c), F.col("o").alias(k))
+    e = (pairs.filter(F.col("rmsd") <= radius).select("target", "m1", "m2").join(side("m1", "o1"), ["target", "m1"]).join(side("m2", "o2"), ["target", "m2"]))
+    swap = F.col("o2") < F.col("o1")
+    pick = lambda a, b: F.when(swap, F.col(a)).otherwise(F.col(b))
+    e = cut_lineage(e.select("target", pick("m2", "m1").alias("first"), pick("o2", "o1").alias("o"), pick("m1", "m2").alias("second")).distinct())
+    open_ = cut_lineage(nodes.select("target", "model"))
+    leaders = None
+    while not open_.isEmpty():
+        undecided = e.join(open_.withColumnRenamed("model", "first"), ["target", "first"]).select("target", F.col("second").alias("model"))
+        new = cut_lineage(open_.join(undecided, ["target", "model"], "left_anti"))
+        leaders = new if leaders is None else leaders.unionByName(new)
+        near = e.join(new.withColumnRenamed("model", "first"), ["target", "first"]).select("target", F.col("second").alias("model"))
+        open_ = cut_lineage(open_.join(new.unionByName(near).distinct(), ["target", "model"], "left_anti"))
+    if leaders is None:
+        return open_.withColumn("leader", F.col("model"))
+    follow = e.join(leaders.withColumnRenamed("model", "first"), ["target", "first"]).groupBy("target", F.col("second").alias("model")).agg(
+        F.min_by("first", "o").alias("leader"))
+    follow = follow.join(leaders, ["target", "model"], "left_anti")
+    return leaders.withColumn("leader", F.col("model")).unionByName(follow)
 
 
 def gap_fill(points: DataFrame, keys: list[str], lengths: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def test_assign_is_optimal():
         cost = rng.random((n, m))
         best = min(sum(cost[i, j] for i, j in (zip(range(n), p) if n <= m else zip(p, range(m))))
                    for p in itertools.permutations(range(max(n, m)), min(n, m)))
-        pairs = T.assign(cost)
+        row, col = np.indices((n, m)).reshape(2, -1)
+        pairs = [(row[k], col[k]) for k in T.assign(row, col, cost.ravel(), 10.0)]
         assert len(pairs) == min(n, m) and abs(sum(cost[i, j] for i, j in pairs) - best) < 1e-12
 
 
