@@ -5,7 +5,7 @@ two cuts is divided at the first common end after its middle, else the last befo
 other's, and both halves go on; an interval without a common end inside is a leaf, a group. All intervals of a piece of texts are divided together, a level a round.
 A and B tokens whose bytes overlap are linked.
 
-Tokenizers see parts, cut at single spaces before letters where neither lets a token cross, and a part that a task has
+Tokenizers see parts, cut at single spaces before letters where neither lets a token cross, and a part that a worker has
 seen is not encoded again. Each chunk of documents (about ``CHUNK`` bytes of text) is stored once with its distinct pairs and, per document,
 their positions; pairs are counted on Spark, and each chunk gets back the counts of the pairs that it holds.
 
@@ -31,8 +31,8 @@ from .common import rows_of, stored
 
 CHUNK = 1 << 24
 PIECE = 1 << 18
-#: Bytes of parts whose encodings a task remembers before it starts afresh.
-REMEMBER = 1 << 23
+#: Characters of parts whose encodings a worker remembers, over its tasks, before it starts afresh.
+REMEMBER = 12 << 20
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
 _MARK = "▁"
 
@@ -93,7 +93,7 @@ class _Codes(dict):
 
 
 class Encodings:
-    """Ids of parts under both tokenizers, each part encoded once until ``REMEMBER`` bytes of parts are held."""
+    """Ids of parts under both tokenizers, each part encoded once until ``REMEMBER`` characters of parts are held."""
 
     def __init__(self, path_a: str, path_b: str):
         (self._a, self._bytes_a), (self._b, self._bytes_b) = byte_level(path_a), pieces(path_b)
@@ -142,6 +142,12 @@ class Encodings:
         return out[0], out[2], out[1], out[3]
 
 
+@lru_cache(maxsize=1)
+def remembered(path_a: str, path_b: str) -> Encodings:
+    """One memory for all tasks of a worker."""
+    return Encodings(path_a, path_b)
+
+
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of each range, one after the other."""
     ends = np.cumsum(size)
@@ -168,8 +174,9 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.nda
         found = cut_a > lo_a
         cut_a, cut_b = cut_a[found], cut_b[found]
         mark_a[cut_a], mark_b[cut_b] = True, True
-        lo_a, hi_a = np.concatenate((lo_a[found], cut_a)), np.concatenate((cut_a, hi_a[found]))
-        lo_b, hi_b = np.concatenate((lo_b[found], cut_b)), np.concatenate((cut_b, hi_b[found]))
+        # halves side by side: intervals stay in order, which makes the next bisects cheap
+        lo_a, hi_a = np.stack((lo_a[found], cut_a), 1).ravel(), np.stack((cut_a, hi_a[found]), 1).ravel()
+        lo_b, hi_b = np.stack((lo_b[found], cut_b), 1).ravel(), np.stack((cut_b, hi_b[found]), 1).ravel()
     return np.flatnonzero(mark_a), np.flatnonzero(mark_b)
 
 
@@ -244,7 +251,7 @@ def _chunks(path_a: str, path_b: str, keep_groups: bool, chunk: int, piece: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encodings, serial = Encodings(path_a, path_b), TaskContext.get().partitionId() << 32
+        encodings, serial = remembered(path_a, path_b), TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
