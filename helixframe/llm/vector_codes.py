@@ -17,6 +17,7 @@ gives an empty result. Ties go to the lower index. A component beyond ``LARGEST`
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,26 @@ BLOCK = 2048
 
 
 def undominated(cells: np.ndarray, entries: np.ndarray, cell: int) -> np.ndarray:
-    """Mask (cell, entry) of the entries that can be nearest to some integer point of each cell."""
-    low = cells[:, None, :] * cell
-    below, above = low - entries[None], entries[None] - (low + cell - 1)
+    """Mask (cell, entry) of the entries that can be nearest to some integer point of each cell.
+
+    Distances to the cells' centres leave out most entries; the least and the greatest distance over the box decide on the others.
+    """
+    low = cells * cell
+    centre, double = (2 * low + cell - 1).astype(float), 2.0 * entries
+    # in half units, so whole numbers
+    away = np.sqrt(np.maximum((centre * centre).sum(1)[:, None] - 2 * centre @ double.T + (double * double).sum(1), 0))
+    radius = (cell - 1) * math.sqrt(cells.shape[1])
+    row, entry = np.nonzero(away <= (away.min(axis=1) + 2 * radius)[:, None] * (1 + 1e-9) + 1e-3)
+    below = low[row] - entries[entry]
+    above = -below - (cell - 1)
     least = np.maximum(np.maximum(below, above), 0)
     greatest = np.maximum(np.abs(below), np.abs(above))
-    least, greatest = np.einsum("ijk,ijk->ij", least, least), np.einsum("ijk,ijk->ij", greatest, greatest)
-    return least <= greatest.min(axis=1)[:, None]
+    least, greatest = np.einsum("ij,ij->i", least, least), np.einsum("ij,ij->i", greatest, greatest)
+    smallest = np.minimum.reduceat(greatest, np.searchsorted(row, np.arange(len(cells)))) if len(cells) else greatest
+    out = np.zeros((len(cells), len(entries)), bool)
+    keep = least <= smallest[row]
+    out[row[keep], entry[keep]] = True
+    return out
 
 
 class Codebook:
