@@ -11,6 +11,8 @@ others; a null id sorts first. Repeated rows are separate documents. An empty ta
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,9 +113,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: every row of ``docs``, all columns kept, as often as it is taken; ``copy`` counts from 0."""
+    """The mixture: every row of ``docs``, all columns kept, as often as it is taken; ``copy`` counts from 0.
+
+    Where the documents have a column ``copy``, the count is ``copy_1``, and so on.
+    """
+    held = {c.lower() for c in docs.columns}
+    name = next(n for n in chain(["copy"], (f"copy_{i}" for i in count(1))) if n not in held)
     taken = mix(docs, with_rows=True, **options).where(F.col("copies") > 0)
-    return taken.select("row", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")).select("row.*", "copy")
+    return taken.select("row", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")).select("row.*", F.col("copy").alias(name))
 
 
 def mix_sql(weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, docs: str = "documents") -> str:

@@ -56,7 +56,7 @@ def shingles(t):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     sets = [(d, shingles(t)) for d, t in rows]
     parent = {d: d for d, _ in sets if d is not None}
 
@@ -67,7 +67,7 @@ def brute_near(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = root(a), root(b)
                 parent[max(p, q)] = min(p, q)
     return sorted(((d, len(x), None if d is None else root(d), None if d is None else root(d) == d) for d, x in sets), key=str)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import mixing, topk, warc
@@ -144,7 +145,7 @@ def test_pipeline_stages(spark, tmp_path, docs_of):
             right = [(q == 1) == (d in left) for d, q in truth.items() if zlib.crc32(str(d).encode()) % 5 == 0]
             assert sum(right) >= .9 * len(right)
         elif name == "near_dedup":
-            near = brute_near([(r["doc_id"], r["text"]) for r in before])
+            near = brute_near([(r["doc_id"], r["text"]) for r in before], 80)
             assert ids == Counter({**{d: 1 for d, _, _, k in near if k}, **({None: n} if (n := sum(r["doc_id"] is None for r in before)) else {})})
         elif name == "decontaminate":
             held = {d for d, *_ in brute_contained([(r["doc_id"], r["text"]) for r in before], [(r["item_id"], r["text"]) for r in bench.collect()])}
@@ -157,6 +158,30 @@ def test_pipeline_stages(spark, tmp_path, docs_of):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, rows))
 
 
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Repeated ids with different texts, overlaps between 80 and 85 per cent, clashing columns and a very long text."""
+    words = [f"w{i}" for i in range(400)]
+    text = " ".join(words[:100])
+    near = " ".join([*words[:90], *words[200:208]])  # 86 of 104 shingles
+    clean = " ".join(words[300:360])
+    item = " ".join(words[360:380])
+    rows = [(1, text, "a", 7), (2, near, "a", 1), (3, clean, "b", 2), (3, text, "b", 1), (4, " ".join(words[208:260]), "b", 9), (4, f"{item} and more", "a", 3), (5, item, None, 0), (6, clean + " x", "a", 5),
+            (7, "long " + " ".join(f"v{i}" for i in range(100_000)), "a", 5), (8, " ".join(words[260:290]), "a", 1), (8, " ".join(words[260:290]), "a", 2), (None, text, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int").withColumns({"row": F.lit("r"), "Score": F.lit(1.5), "kept": F.lit(True), "label": F.lit(2)})
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    once = stage["near_dedup"](spark, docs, str(tmp_path))
+    got = sorted(((r["doc_id"], (r["text"] or "")[:9], r["copy"]) for r in once.collect()), key=str)
+    # of the near copies {1, 2, 3: text}, {3: clean, 6} and {4: item, 5} the repeated id comes first
+    assert got == sorted([(3, clean[:9], 2), (3, text[:9], 1), (4, rows[4][1][:9], 9), (4, item[:9], 3), (7, "long v0 v", 5), (8, rows[9][1][:9], 1), (None, text[:9], 1)], key=str)
+    assert once.columns == docs.columns
+    left = stage["decontaminate"](spark, once, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["copy"]) for r in left.collect()) == [(0, 1), (3, 1), (3, 2), (4, 9), (7, 5), (8, 1)]
+    mixed = stage["mix"](spark, stage["pii"](spark, left, str(tmp_path)), str(tmp_path))
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    assert mixed.columns == [*docs.columns, "copy_1"]
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
