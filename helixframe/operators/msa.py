@@ -116,16 +116,20 @@ def pair_identity() -> F.Column:
     return F.when(n >= 10, F.aggregate(seen, F.lit(0), lambda s, v: s + v) / n)
 
 
-def neff_analytic(rows: DataFrame, draws: int) -> DataFrame:
-    """N / (1 + (N - 1) mean identity) over a fixed number of drawn row pairs."""
+def neff_analytic(rows: DataFrame, per_row: int) -> DataFrame:
+    """N / (1 + (N - 1) mean identity) over drawn row pairs.
+
+    Every row draws ``per_row`` partners of its family by a hash of its ordinal, so the draws grow with the family and all rows take part; the
+    mean's standard error is the deviation of one pair's identity over the root of ``per_row`` times the family's rows.
+    """
     numbered = numbered_rows(rows).select("family", "ord", "codes")
     size = rows.groupBy("family").agg(F.count("*").alias("n_seqs"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>"))
-    d = size.select("family", "n_seqs", k.alias("k")).select(
-        "family", "n_seqs", ((F.col("k") * 7919 + 13) % F.col("n_seqs")).alias("a"),
-        ((F.col("k") * 104729 + 31) % F.col("n_seqs")).alias("b")).filter("a <> b")
-    side = lambda o, c: numbered.select("family", F.col("ord").alias(o), F.col("codes").alias(c))
-    j = d.join(side("a", "ca"), ["family", "a"]).join(side("b", "cb"), ["family", "b"])
+    prime = F.lit((1 << 31) - 1)
+    k = F.explode(F.sequence(F.lit(0), F.lit(per_row - 1)).cast("array<bigint>"))
+    d = numbered.join(size, "family").select("family", "n_seqs", F.col("codes").alias("ca"), F.col("ord").alias("a"), k.alias("k"))
+    mixed = (F.col("a") * 48271 + F.col("k") * 104729 + 12345) % prime * 69621 % prime
+    d = d.withColumn("b", mixed % F.col("n_seqs")).filter("a <> b")
+    j = d.join(numbered.select("family", F.col("ord").alias("b"), F.col("codes").alias("cb")), ["family", "b"])
     ids = j.select("family", pair_identity().alias("identity")).groupBy("family").agg(F.avg("identity").alias("mean_id"))
     n = F.col("n_seqs").cast("double")
     m = F.least(F.greatest("mean_id", F.lit(0.0)), F.lit(1 - 1e-9))

@@ -51,20 +51,19 @@ def bootstrap_ci(spark, sf):
     return EV.bootstrap_ci(acc, 2000).select(r6("lo"), r6("hi"), "draws")
 
 
-@query("permutation_enrichment", with_(SS, ACC) + f""", pc AS (SELECT g, (rank() OVER (ORDER BY a)-1)/count(*) OVER ()::DOUBLE AS pct FROM acc), f AS (SELECT count(*) FILTER (g%10=3) AS k, avg(pct) FILTER (g%10=3) AS obs FROM pc),
- n AS (SELECT t, avg(pct) AS m FROM (SELECT t, pct, row_number() OVER (PARTITION BY t ORDER BY (g*7919+t*104729+g*t%6007)%100003, g) AS r FROM pc, range(500) x(t)), f WHERE r<=k GROUP BY t)
-SELECT max(k) AS n_set, {R('max(obs)', 'observed')}, {R('avg(CASE WHEN m>=obs THEN 1.0 ELSE 0 END)', 'p_value')} FROM n, f""")
+@query("permutation_enrichment", with_(SS, ACC) + f""", pc AS MATERIALIZED (SELECT g, s_nationkey AS kind, s_acctbal>5000 AS picked, (rank() OVER (ORDER BY a)-1)/count(*) OVER ()::DOUBLE AS pct FROM acc JOIN supplier ON s_suppkey=g),
+ f AS (SELECT count(*) FILTER (picked) AS k, avg(pct) FILTER (picked) AS obs FROM pc),
+ n AS (SELECT t, avg(pct) AS m FROM (SELECT t, pct, row_number() OVER (PARTITION BY t ORDER BY (g*7919+t*104729+g*t%6007)%100003, g) AS r FROM pc, range(20000) x(t)), f WHERE r<=k GROUP BY t),
+ pl AS (SELECT kind, pct, row_number() OVER (PARTITION BY kind ORDER BY g)-1 AS o, count(*) OVER (PARTITION BY kind) AS size FROM pc),
+ s AS (SELECT t, avg(pl.pct) AS m FROM (SELECT g, pc.kind, t, (g*48271+t*104729+7)%2147483647*69621%2147483647%z.size AS o FROM pc JOIN (SELECT DISTINCT kind, size FROM pl) z USING (kind), range(20000) x(t) WHERE picked) d JOIN pl USING (kind,o) GROUP BY t)
+SELECT max(k) AS n_set, {R('max(obs)', 'observed')}, {R('avg(CASE WHEN round(m,12)>=round(obs,12) THEN 1.0 ELSE 0 END)', 'p_value')},
+ {R('(SELECT avg(CASE WHEN round(m,12)>=round(obs,12) THEN 1.0 ELSE 0 END) FROM s, f)', 'p_same_kind')} FROM n, f""")
 def permutation_enrichment(spark, sf):
-    """Mean percentile of a set against equally large hash-ordered picks."""
-    from ..operators.ranking import top_n, value_ranks
-
-    acc = ss(spark, sf).groupBy("g").agg(F.avg((F.col("obs") == F.col("pred")).cast("double")).alias("a")).withColumn("all", F.lit(0))
-    pc = acc.join(value_ranks(acc, ["all"], "a"), ["all", "a"]).select("g", (F.col("below") / F.col("total")).alias("pct"), "all")
-    seen = pc.filter("g % 10 = 3").groupBy("all").agg(F.count("*").alias("k"), F.avg("pct").alias("obs"))
-    t = pc.select("*", F.explode(F.sequence(F.lit(0), F.lit(499)).cast("array<bigint>")).alias("t")).join(seen, "all")
-    t = t.withColumn("score", -((F.col("g") * 7919 + F.col("t") * 104729 + F.col("g") * F.col("t") % 6007) % 100003).cast("double"))
-    null = top_n(t, ["t"], "score", "k", ["g"], step=1000.0).groupBy("t", "k", "obs").agg(F.avg("pct").alias("m"))
-    return null.agg(F.max("k").alias("n_set"), r6(F.max("obs"), "observed"), r6(F.avg((F.col("m") >= F.col("obs")).cast("double")), "p_value"))
+    """Suppliers of a high balance; a supplier's kind is its nation."""
+    acc = ss(spark, sf).groupBy("g").agg(F.avg((F.col("obs") == F.col("pred")).cast("double")).alias("value"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("g"), F.col("s_nationkey").alias("kind"), (F.col("s_acctbal") > 5000).alias("picked"))
+    v = acc.join(s, "g").select(F.col("g").alias("id"), "value", "kind", "picked")
+    return EV.permutation_enrichment(v).select("n_set", *[r6(k) for k in ("observed", "p_value", "p_same_kind")])
 
 
 @query("spearman", f"""WITH r AS (SELECT l_suppkey AS g, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity)+(count(*) OVER (PARTITION BY l_suppkey,l_quantity)-1)/2.0::DOUBLE AS rx,

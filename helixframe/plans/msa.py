@@ -9,7 +9,7 @@ from ..operators import msa as M
 from .base import P, R, num, query, r6, spread_if_few, table, with_
 
 WIDTH = 64
-DRAWS = 2000  # row pairs drawn per family, as the original method does; the SQL below says the same
+PER_ROW = 8  # partners that every row draws; the SQL below says the same
 CELLS = """emb AS (SELECT label AS family, vec_id AS row_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
 cells AS (SELECT family, row_id, pos, ((floor(x*20)::BIGINT+pos)%21+21)%21 AS aa FROM emb)"""
 LN20 = num(M.LN20)
@@ -31,8 +31,8 @@ QROW = """qr AS (SELECT family, min(row_id) AS query_row FROM cells GROUP BY fam
 q AS (SELECT c.family, c.pos, c.aa AS query_aa FROM cells c JOIN qr ON qr.family=c.family AND qr.query_row=c.row_id)"""
 NEFF = """ord AS (SELECT family, row_id, row_number() OVER (PARTITION BY family ORDER BY row_id)-1 AS o FROM (SELECT DISTINCT family, row_id FROM cells)),
 sz AS (SELECT family, count(*) AS n_seqs FROM ord GROUP BY family),
-dr AS (SELECT family, n_seqs, k, (k*7919+13)%n_seqs AS a, (k*104729+31)%n_seqs AS b FROM sz, range(2000) t(k)),
-ii AS (SELECT dr.family, k, avg(CASE WHEN x.aa=y.aa THEN 1.0 ELSE 0 END) AS idn, count(*) AS c FROM dr JOIN ord p ON p.family=dr.family AND p.o=a JOIN ord q ON q.family=dr.family AND q.o=b
+dr AS (SELECT family, n_seqs, k, o AS a, (o*48271+k*104729+12345)%2147483647*69621%2147483647%n_seqs AS b FROM sz JOIN ord USING (family), range(8) t(k)),
+ii AS (SELECT dr.family, k, a, avg(CASE WHEN x.aa=y.aa THEN 1.0 ELSE 0 END) AS idn, count(*) AS c FROM dr JOIN ord p ON p.family=dr.family AND p.o=a JOIN ord q ON q.family=dr.family AND q.o=b
  JOIN cells x ON x.family=dr.family AND x.row_id=p.row_id AND x.aa<20 JOIN cells y ON y.family=dr.family AND y.row_id=q.row_id AND y.pos=x.pos AND y.aa<20 WHERE a<>b GROUP BY ALL),
 nf AS (SELECT sz.family, n_seqs, avg(idn) FILTER (c>=10) AS mean_id FROM sz LEFT JOIN ii USING (family) GROUP BY ALL),
 neff AS (SELECT family, n_seqs, mean_id, CASE WHEN mean_id IS NULL THEN n_seqs ELSE n_seqs/(1+(n_seqs-1)*least(greatest(mean_id,0),1-1e-9)) END AS neff FROM nf)"""
@@ -53,7 +53,7 @@ def coev(spark, sf):
 
 
 def neff(spark, sf):
-    return M.neff_analytic(rows(spark, sf), DRAWS).withColumnRenamed("neff_analytic", "neff")
+    return M.neff_analytic(rows(spark, sf), PER_ROW).withColumnRenamed("neff_analytic", "neff")
 
 
 @query("msa_column_stats", with_(CELLS, STATS) + f"""SELECT family, pos, n_rows, covered, {R('entropy', 'entropy')}, {R('gap_frac', 'gap_frac')},

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.common import dist
 from ..operators import spatial as SP
+from ..session import cut_lineage
 from ..operators import structures as ST
 from .base import R, num, query, r6, table, with_
 from .structures import PTS, kabsch_sql, points
@@ -49,27 +51,33 @@ def trace(a):
     return protein(a).groupBy("structure", "chain", "idx").agg(*[F.min(k).alias(k) for k in "xyz"])
 
 
-def hits(a, kind):
-    left = side(protein(a), "l", "chain", "idx")
-    if kind == "ppi":
-        right = side(protein(a), "r", F.col("chain").alias("other"), F.col("serial").alias("partner"))
-        return SP.contact_join(left, right, C.CONTACT, ["structure"]).filter("chain <> other")
-    right = side(a.filter(F.col("kind") == kind), "r", F.col("serial").alias("partner"))
-    return SP.contact_join(left, right, RADII[kind], ["structure"])
+def contacts(spark, sf):
+    """Contacts of protein atoms with partners of every kind, from one pass: a partner row brings its own radius and grid.
+
+    Returned with the atoms, both stored once.
+    """
+    a = cut_lineage(atoms(spark, sf))
+    radius = {**RADII, "ppi": C.CONTACT}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(r)).alias("r")) for k, r in radius.items()])
+    left = side(protein(a), "l", "chain", "idx").withColumn("k", F.explode(kinds)).select("*", "k.*").drop("k")
+    r = F.lit(None).cast("double")
+    for k, v in radius.items():
+        r = F.when(F.col("kind") == k, float(v)).otherwise(r)
+    right = side(a.withColumns({"other": F.when(F.col("kind") == "protein", F.col("chain")), "kind": F.when(F.col("kind") == "protein", "ppi").otherwise(F.col("kind"))}),
+                 "r", "kind", "other", F.col("serial").alias("partner")).withColumn("own", r)
+    right = SP.with_cell(right, "r", F.col("own"), spread=True)
+    j = SP.with_cell(left, "l", F.col("r")).join(right, ["structure", "kind", *SP.CELL]).withColumn("d", dist("l", "r")).filter(F.col("d") <= F.col("r"))
+    j = j.filter(F.col("other").isNull() | (F.col("chain") != F.col("other")))
+    return cut_lineage(j.select("structure", "kind", "chain", "idx", "partner", "d")), a
 
 
 @query("contact_join", BASE + " UNION ALL ".join(
     f"SELECT structure, '{k}' AS kind, count(*) AS n_contacts, count(DISTINCT chain||idx) AS n_residues, {R('min(d)', 'min_d')}, {R('avg(d)', 'mean_d')} FROM h_{k} GROUP BY structure"
     for k in (*RADII, "ppi")))
 def contact_join(spark, sf):
-    a = atoms(spark, sf)
-    out = None
-    for k in (*RADII, "ppi"):
-        h = hits(a, k).groupBy("structure").agg(
-            F.count("*").alias("n_contacts"), F.count_distinct(F.concat("chain", F.col("idx").cast("string"))).alias("n_residues"),
-            r6(F.min("d"), "min_d"), r6(F.avg("d"), "mean_d")).withColumn("kind", F.lit(k))
-        out = h if out is None else out.unionByName(h)
-    return out
+    return contacts(spark, sf)[0].groupBy("structure", "kind").agg(
+        F.count("*").alias("n_contacts"), F.count_distinct(F.concat("chain", F.col("idx").cast("string"))).alias("n_residues"),
+        r6(F.min("d"), "min_d"), r6(F.avg("d"), "mean_d"))
 
 
 SPRINGS = " UNION ALL ".join(f"""SELECT '{k}' AS source, c.structure, c.chain, c.i, c.j, c.partner, sqrt(pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2)) AS d0, {num(SP.RESIDUAL_OF[k])} AS r FROM
@@ -80,44 +88,43 @@ SPRINGS = " UNION ALL ".join(f"""SELECT '{k}' AS source, c.structure, c.chain, c
 SEPS = {"metal": 1, "ligand": 2, "dna": 3}
 
 
-def springs(spark, sf):
-    a = atoms(spark, sf)
+def springs(spark, sf, *kinds):
+    found, a = contacts(spark, sf)
     ca, out = trace(a), None
-    for k, s in SEPS.items():
-        c = hits(a, k).select("structure", "chain", "partner", F.col("idx").alias("i"))
-        d = SP.shared_contact_springs(c, ca, ["structure", "chain"], s).withColumns({"source": F.lit(k), "r": F.lit(SP.RESIDUAL_OF[k])})
+    for k in kinds:
+        c = found.filter(F.col("kind") == k).select("structure", "chain", "partner", F.col("idx").alias("i"))
+        d = SP.shared_contact_springs(c, ca, ["structure", "chain"], SEPS[k]).withColumns({"source": F.lit(k), "r": F.lit(SP.RESIDUAL_OF[k])})
         out = d if out is None else out.unionByName(d)
-    return out
+    return out, ca
 
 
 @query("shared_contact_springs", BASE + f", spr AS ({SPRINGS}) SELECT source, structure, chain, i, j, partner, {R('d0', 'd0')}, {R('r', 'r')} FROM spr")
 def shared_contact_springs(spark, sf):
-    return springs(spark, sf).select("source", "structure", "chain", "i", "j", "partner", r6("d0"), r6("r"))
+    return springs(spark, sf, *SEPS)[0].select("source", "structure", "chain", "i", "j", "partner", r6("d0"), r6("r"))
 
 
-AL = "(SELECT DISTINCT structure, chain, idx AS ti, (idx*7+3)%149 AS qi FROM ca WHERE idx%11<>0)"
+def aligned(ca):
+    """The query's index of every template residue."""
+    return ca.select("structure", "chain", F.col("idx").alias("ti"), ((F.col("idx") * 7 + 3) % 149).alias("qi"))
+
+
+AL = "(SELECT DISTINCT structure, chain, idx AS ti, (idx*7+3)%149 AS qi FROM ca)"
 
 
 @query("remap_springs", BASE + f""", spr AS ({SPRINGS}), m AS (SELECT s.structure, s.chain, s.i, s.j, d0, least(a.qi,b.qi) AS a, greatest(a.qi,b.qi) AS b FROM spr s JOIN {AL} a ON a.structure=s.structure AND a.chain=s.chain AND a.ti=s.i
  JOIN {AL} b ON b.structure=s.structure AND b.chain=s.chain AND b.ti=s.j WHERE source='ligand' AND a.qi<>b.qi)
 SELECT structure, chain, a, b, {R('d0', 'd0')} FROM (SELECT *, row_number() OVER (PARTITION BY structure, chain, a, b ORDER BY i, j) AS k FROM m) WHERE k=1""")
 def remap_springs(spark, sf):
-    a = atoms(spark, sf)
-    al = trace(a).filter("idx % 11 <> 0").select("structure", "chain", F.col("idx").alias("ti"), ((F.col("idx") * 7 + 3) % 149).alias("qi"))
-    c = hits(a, "ligand").select("structure", "chain", "partner", F.col("idx").alias("i"))
-    s = SP.shared_contact_springs(c, trace(a), ["structure", "chain"], 2)
-    return SP.remap_springs(s, al, ["structure", "chain"]).select("structure", "chain", "a", "b", r6("d0"))
+    s, ca = springs(spark, sf, "ligand")
+    return SP.remap_springs(s, aligned(ca), ["structure", "chain"]).select("structure", "chain", "a", "b", r6("d0"))
 
 
 @query("observer_springs", BASE + f""", spr AS ({SPRINGS}), m AS (SELECT s.structure, s.chain, s.i, s.j, d0, least(a.qi,b.qi) AS a, greatest(a.qi,b.qi) AS b FROM spr s JOIN {AL} a ON a.structure=s.structure AND a.chain=s.chain AND a.ti=s.i
  JOIN {AL} b ON b.structure=s.structure AND b.chain=s.chain AND b.ti=s.j WHERE source='dna' AND a.qi<>b.qi)
 SELECT structure, chain, count(DISTINCT a*1000+b) AS n_springs FROM m GROUP BY ALL""")
 def observer_springs(spark, sf):
-    a = atoms(spark, sf)
-    al = trace(a).filter("idx % 11 <> 0").select("structure", "chain", F.col("idx").alias("ti"), ((F.col("idx") * 7 + 3) % 149).alias("qi"))
-    c = hits(a, "dna").select("structure", "chain", "partner", F.col("idx").alias("i"))
-    s = SP.shared_contact_springs(c, trace(a), ["structure", "chain"], 3)
-    return SP.remap_springs(s, al, ["structure", "chain"]).groupBy("structure", "chain").agg(F.count("*").alias("n_springs"))
+    s, ca = springs(spark, sf, "dna")
+    return SP.remap_springs(s, aligned(ca), ["structure", "chain"]).groupBy("structure", "chain").agg(F.count("*").alias("n_springs"))
 
 
 @query("ptm_attach", BASE + f""", g AS (SELECT structure, serial, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms WHERE kind='ligand' GROUP BY ALL),
@@ -139,13 +146,12 @@ sites AS (SELECT rs.*, CASE WHEN rs.idx=999 THEN 'not_on_chain' WHEN metal THEN
 
 
 def sites(spark, sf):
-    a = atoms(spark, sf)
+    found, a = contacts(spark, sf)
     p = protein(a)
     rs = p.select("structure", "chain", "idx").union(p.select("structure", F.lit("A"), F.lit(999))).distinct()
-    for k in (*RADII, "ppi"):
-        rs = rs.join(hits(a, k).select("structure", "chain", "idx").distinct().withColumn(k, F.lit(True)), ["structure", "chain", "idx"], "left")
-    flag = {k: F.coalesce(k, F.lit(False)) for k in (*RADII, "ppi")}
-    rs = rs.withColumns(flag)
+    kinds = (*RADII, "ppi")
+    flags = found.groupBy("structure", "chain", "idx").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in kinds])
+    rs = rs.join(flags, ["structure", "chain", "idx"], "left").withColumns({k: F.coalesce(k, F.lit(False)) for k in kinds})
     return rs.withColumn("site", SP.site_class(F.col("idx") != 999, F.col("metal"), F.col("dna"), F.col("ligand"), F.col("ppi")))
 
 
@@ -171,13 +177,13 @@ def concordance_rule(spark, sf):
 
 @query("interface_card", BASE + f""", {SITES}, k AS (SELECT *, {KNOWN!r}[idx%5+1] AS known FROM sites), t AS (SELECT structure, chain, count(*) FILTER (ligand) AS n_ligand, count(*) FILTER (metal) AS n_metal,
  count(*) FILTER (dna) AS n_dna, count(*) FILTER (ppi) AS n_ppi FROM sites GROUP BY ALL)
-SELECT structure, chain, idx, known, site, {CONC} AS concordant, n_ligand, n_metal, n_dna, n_ppi FROM k JOIN t USING (structure, chain) WHERE idx%10=structure%10""")
+SELECT structure, chain, idx, known, site, {CONC} AS concordant, n_ligand, n_metal, n_dna, n_ppi FROM k JOIN t USING (structure, chain)""")
 def interface_card(spark, sf):
-    """One card per case; the cases are the residues a structure's case list names."""
+    """One card per case; every residue is one."""
     s = sites(spark, sf)
     t = s.groupBy("structure", "chain").agg(*[F.count_if(c).alias(n) for c, n in (
         ("ligand", "n_ligand"), ("metal", "n_metal"), ("dna", "n_dna"), ("ppi", "n_ppi"))])
-    cases = s.filter("idx % 10 = structure % 10").withColumn("known", known())
+    cases = s.withColumn("known", known())
     return cases.join(t, ["structure", "chain"]).select(
         "structure", "chain", "idx", "known", "site", SP.concordant("known", "site").alias("concordant"), "n_ligand", "n_metal", "n_dna", "n_ppi")
 
@@ -206,17 +212,17 @@ def structure_context(spark, sf):
                                                r6(F.avg(F.coalesce("h", F.lit(0.0))), "near_hetero"))
 
 
-@query("interface_mae", with_(PTS) + f""", nat AS (SELECT a.target, a.idx AS i, b.idx AS j, {D} AS d0 FROM pts a JOIN pts b ON a.target=b.target WHERE a.model=0 AND b.model=1 AND {D}<{num(C.CONTACT * C.PHI)}),
- prd AS (SELECT a.target, a.idx AS i, b.idx AS j, {D} AS d FROM pts a JOIN pts b ON a.target=b.target WHERE a.model=2 AND b.model=3)
-SELECT target, count(*) AS n_pairs, {R('avg(abs(d-d0))', 'mae')} FROM nat JOIN prd USING (target,i,j) GROUP BY target""")
+@query("interface_mae", with_(PTS) + f""", prs AS (SELECT a.target, a.model//2 AS pair, a.idx AS i, b.idx AS j, {D} AS d FROM pts a JOIN pts b ON a.target=b.target AND b.model=a.model+1 WHERE a.model%2=0)
+SELECT p.target, p.pair, count(*) AS n_pairs, {R('avg(abs(p.d-n.d))', 'mae')} FROM prs p JOIN prs n USING (target,i,j) WHERE n.pair=0 AND p.pair>0 AND n.d<{num(C.CONTACT * C.PHI)} GROUP BY ALL""")
 def interface_mae(spark, sf):
-    p = points(spark, sf)
-    pick = lambda m, s: p.filter(F.col("model") == m).select("target", F.col("idx").alias("i" if s == "l" else "j"), *[F.col(k).alias(f"{s}{k}") for k in "xyz"])
-    nat = SP.contact_join(pick(0, "l"), pick(1, "r"), C.CONTACT * C.PHI, ["target"], strict=True).select("target", "i", "j", F.col("d").alias("d0"))
-    q = pick(2, "l").join(nat, ["target", "i"]).join(pick(3, "r"), ["target", "j"])
-    from ..functions.common import dist
-
-    return q.groupBy("target").agg(F.count("*").alias("n_pairs"), r6(F.avg(F.abs(dist("l", "r") - F.col("d0"))), "mae"))
+    """Models in twos are the two sides of an interface: the first two the native one, all others against it."""
+    p = points(spark, sf).withColumn("pair", F.floor(F.col("model") / 2))
+    pick = lambda m, s: p.filter(F.col("model") % 2 == m).select(
+        "target", "pair", F.col("idx").alias("i" if s == "l" else "j"), *[F.col(k).alias(f"{s}{k}") for k in "xyz"])
+    native = SP.contact_join(pick(0, "l").filter("pair = 0"), pick(1, "r").filter("pair = 0").drop("pair"), C.CONTACT * C.PHI, ["target"], strict=True)
+    native = native.select("target", "i", "j", F.col("d").alias("d0"))
+    q = pick(0, "l").filter("pair > 0").join(native, ["target", "i"]).join(pick(1, "r"), ["target", "pair", "j"])
+    return q.groupBy("target", "pair").agg(F.count("*").alias("n_pairs"), r6(F.avg(F.abs(dist("l", "r") - F.col("d0"))), "mae"))
 
 
 @query("identity_match", with_(PTS) + """SELECT p.target, p.model, count(*) AS n_matched FROM pts p JOIN pts q ON q.target=p.target AND q.model=0 AND q.idx=p.idx
@@ -245,9 +251,12 @@ def site_rmsd(spark, sf):
     return subset_rmsd(spark, sf, ref.join(mid, "target").filter("x > mx").select("target", "idx"))
 
 
-@query("modified_base_rmsd", SITE.format(cond="(p.idx*5+p.target)%3=0"))
+@query("modified_base_rmsd", SITE.format(cond="p.idx IN (SELECT idx FROM pts s WHERE s.target=p.target AND s.model=0 AND s.z<(SELECT avg(z) FROM pts t WHERE t.target=p.target AND t.model=0))"))
 def modified_base_rmsd(spark, sf):
-    return subset_rmsd(spark, sf, points(spark, sf).filter("model = 0 and (idx * 5 + target) % 3 = 0").select("target", "idx"))
+    """RMSD over the modified residues: those of the reference below its mean z."""
+    ref = points(spark, sf).filter("model = 0")
+    mid = ref.groupBy("target").agg(F.avg("z").alias("mz"))
+    return subset_rmsd(spark, sf, ref.join(mid, "target").filter("z < mz").select("target", "idx"))
 
 
 @query("domain_rmsd", with_(PTS) + """, dm AS (SELECT p.target, p.model, p.idx//11 AS domain, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM pts p JOIN pts q

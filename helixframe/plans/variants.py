@@ -183,15 +183,14 @@ def position_domain(spark, sf):
     return V.position_domain(variants(spark, sf).select("gene", "pos").distinct(), domains(spark, sf))
 
 
-SRC = f"""src AS (SELECT l_suppkey%{N_GENES} AS gene, l_partkey%200+1 AS pos, CASE WHEN l_returnflag='A' THEN 'cluster50' WHEN l_returnflag='N' THEN 'cluster90' ELSE 'family' END AS source,
- CASE WHEN l_returnflag='A' THEN 1 WHEN l_returnflag='N' THEN 2 ELSE 3 END AS priority FROM lineitem)"""
+SRC = f"""src AS (SELECT gene, l_partkey%len+1 AS pos, CASE WHEN l_returnflag='A' THEN 'cluster50' WHEN l_returnflag='N' THEN 'cluster90' ELSE 'family' END AS source,
+ CASE WHEN l_returnflag='A' THEN 1 WHEN l_returnflag='N' THEN 2 ELSE 3 END AS priority FROM lineitem JOIN genes ON gene=l_suppkey%{N_GENES} WHERE len>0)"""
 
 
 def source_rows(spark, sf):
-    li = table(spark, sf, "lineitem")
     flag = F.col("l_returnflag")
-    return li.select(
-        (F.col("l_suppkey") % n_genes(spark, sf)).alias("gene"), (F.col("l_partkey") % 200 + 1).alias("pos"),
+    return line_genes(spark, sf, 0).select(
+        "gene", "pos",
         F.when(flag == "A", "cluster50").when(flag == "N", "cluster90").otherwise("family").alias("source"),
         F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).alias("priority"))
 
@@ -205,11 +204,10 @@ def profile_fallback(spark, sf):
     return V.profile_fallback(source_rows(spark, sf), lengths).select("gene", "chosen", "n_rows", r6("coverage"))
 
 
-@query("msa_source_fallback", with_(SRC) + """, g AS (SELECT gene AS target, source, priority, count(*) FILTER (pos%7=gene%7) AS n_rows FROM src GROUP BY ALL)
+@query("msa_source_fallback", with_(GENES, SRC) + """, g AS (SELECT gene AS target, source, priority, count(*) AS n_rows FROM src GROUP BY ALL)
 SELECT target, source, n_rows FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY priority) AS k FROM g WHERE n_rows>0) WHERE k=1""")
 def msa_source_fallback(spark, sf):
-    s = source_rows(spark, sf).groupBy(F.col("gene").alias("target"), "source", "priority").agg(
-        F.count_if(F.col("pos") % 7 == F.col("gene") % 7).alias("n_rows"))
+    s = source_rows(spark, sf).groupBy(F.col("gene").alias("target"), "source", "priority").agg(F.count("*").alias("n_rows"))
     return V.source_fallback(s)
 
 
