@@ -16,6 +16,7 @@ from ..functions.common import dist, freeze, let
 from . import regions as RG
 from .ranking import rank_within, top_n
 from .sequences import spread, spread_if_few
+from ..session import stored
 
 FEATURES = ["spin", "charge", "branch", "aromatic", "kd", "q", "mu", "polar", "vdw", "hydro",
             "p_alpha", "p_beta", "p_alpha_x", "p_beta_x"]
@@ -96,20 +97,47 @@ def with_regions(pairs: DataFrame) -> DataFrame:
     })
 
 
-def pair_scalars(pairs: DataFrame, hits=None, coev=None, cons=None) -> DataFrame:
-    """Link class, phase offsets, S and residual of each pair.
+def scalar_table(spark) -> DataFrame:
+    """The S law's factors by (link, residue, residue): without hits S is K (1 + n core), n the chain length up to the law's cap."""
+    links = F.explode(F.array(*[F.lit(k) for k in PF.LINK_DOMAIN])).alias("link")
+    letters = F.array(*[F.lit(a) for a in C.AA20])
+    base = spark.range(1).select(links, letters.alias("all"))
+    base = base.select("link", "all", F.explode("all").alias("i_aa")).select("link", "i_aa", F.explode("all").alias("j_aa"))
+    t = law_inputs(attach(attach(base, "i_"), "j_"))
+    s = RF.scalar_s("link_d", F.lit(0.0), quantised("dpsi"), "observed", F.lit(1.0), quantised("dtheta"))
+    return t.select("link", "i_aa", "j_aa", *LAW, (s / C.K - 1.0).alias("core"))
 
-    ``cons`` (two conservation columns) and ``coev`` feed the packing and
-    tertiary classes; without them those inputs are zero.
-    """
-    p = pairs.withColumn("link", PF.chem_link())
-    p = p.withColumns({
+
+LAW = ["link_d", "dpsi", "dtheta", "observed"]
+
+
+def law_inputs(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({
         "link_d": PF.link_param("link", 0).cast("double"),
         "dpsi": PF.delta_psi(PF.link_param("link", 2)),
         "dtheta": PF.delta_theta(),
-        "hits": F.lit(0.0) if hits is None else F.col(hits),
         "observed": F.col("link") != "backbone_covalent_geometry",
     })
+
+
+def quantised(c: str):
+    return F.rint(F.col(c) * 1000) / 1000
+
+
+def pair_scalars(pairs: DataFrame, hits=None, coev=None, cons=None, most_hits: float = 50.0, longest: int = 400) -> DataFrame:
+    """Link class, phase offsets, S and residual of each pair.
+
+    ``cons`` (two conservation columns) and ``coev`` feed the packing and tertiary classes; without them those inputs are zero. The law counts at most
+    ``most_hits`` hits and a chain length of at most ``longest``. Where there are no hits, a pair looks its factors up in a table of (link, residue,
+    residue), 2800 rows, instead of evaluating the law.
+    """
+    p = pairs.withColumn("link", PF.chem_link())
+    length = F.least(F.col("n"), F.lit(longest))
+    if hits is None and coev is None and cons is None:
+        p = p.join(F.broadcast(scalar_table(pairs.sparkSession)), ["link", "i_aa", "j_aa"])
+        p = p.withColumns({"hits": F.lit(0.0), "s": C.K * (1.0 + length * F.col("core"))}).drop("core")
+        return p.withColumns({"residual": RF.residual_scale("s"), "chaos": RF.chaos_factor("link_d")})
+    p = law_inputs(p).withColumn("hits", F.lit(0.0) if hits is None else F.col(hits))
     far = F.col("link").isin("tertiary_biochem", "hydrophobic_packing")
     if cons is not None:
         evo = F.sqrt(F.greatest(F.col(cons[0]), F.lit(0.0)) * F.greatest(F.col(cons[1]), F.lit(0.0)))
@@ -119,9 +147,7 @@ def pair_scalars(pairs: DataFrame, hits=None, coev=None, cons=None) -> DataFrame
         p = p.withColumns({
             "dpsi": F.when(far, F.col("dpsi") * (1 + boost / C.PHI)).otherwise(F.col("dpsi")),
             "hits": F.col("hits") + F.when(far, boost * C.E * C.PHI).otherwise(0.0)})
-    quantised = lambda c: F.rint(F.col(c) * 1000) / 1000
-    s = RF.scalar_s("link_d", F.rint(F.least(F.col("hits"), F.lit(50.0))), quantised("dpsi"), "observed",
-                    F.least(F.col("n"), F.lit(400)), quantised("dtheta"))
+    s = RF.scalar_s("link_d", F.rint(F.least(F.col("hits"), F.lit(most_hits))), quantised("dpsi"), "observed", length, quantised("dtheta"))
     p = p.withColumn("s", s)
     return p.withColumns({"residual": RF.residual_scale("s"), "chaos": RF.chaos_factor("link_d")})
 
@@ -175,13 +201,13 @@ def slim(ev: DataFrame) -> DataFrame:
 
 def rank_contacts(scored: DataFrame, gate: int = C.GATE) -> DataFrame:
     ev = contact_evidence(scored.filter(F.col("sep") >= gate))
-    return rank_within(freeze(slim(ev)), ["seq_id"], "score", ["i", "j"])
+    return rank_within(stored(slim(ev)), ["seq_id"], "score", ["i", "j"])
 
 
 def top_contacts(scored: DataFrame, gate: int = C.GATE, n="n") -> DataFrame:
     """The top n pairs of each chain by evidence (n defaults to the chain length)."""
     ev = contact_evidence(scored.filter(F.col("sep") >= gate))
-    return top_n(freeze(slim(ev)), ["seq_id"], "score", n, ["i", "j"])
+    return top_n(stored(slim(ev)), ["seq_id"], "score", n, ["i", "j"])
 
 
 def native_distance(pairs: DataFrame) -> DataFrame:
@@ -190,6 +216,7 @@ def native_distance(pairs: DataFrame) -> DataFrame:
 
 def sparse_pairs(scored: DataFrame, local: int = 12, gate: int = C.GATE) -> DataFrame:
     """Local band plus the 2n strongest long-range pairs of each chain."""
+    scored = stored(scored.select("seq_id", "n", "i", "j", "sep", "m"))
     far = freeze(scored.filter(F.col("sep") >= gate).select(
         "seq_id", "i", "j", F.round("m", 9).alias("score"), (F.col("n") * 2).alias("n2")))
     best = top_n(far, ["seq_id"], "score", "n2", ["i", "j"]).select("seq_id", "i", "j")
@@ -209,8 +236,13 @@ def region_pairs(regions: DataFrame, gate: int = C.GATE) -> DataFrame:
             .filter(F.col("mj") - F.col("mi") >= gate))
 
 
+DISTANCE_INPUTS = {"seq_id", "n", "i", "j", "sep", "m", "link", "residual", "region_same", "register_mult", "distance",
+                   *(f"{s}_{k}" for s in "ij" for k in ("aa", "kind", "p_alpha", "vdw", "kd", "q", "polar"))}
+
+
 def proximity_to_distance(scored: DataFrame, regions: DataFrame, gate: int = C.GATE) -> DataFrame:
-    """Layered target distance of every scored pair."""
+    """Layered target distance of every scored pair; the scores are stored once for the ranks and the distances."""
+    scored = stored(scored.select(*[c for c in scored.columns if c in DISTANCE_INPUTS]))
     sep = F.col("sep").cast("double")
     m = F.greatest(F.col("m"), F.lit(1e-9))
     poly = C.CA_CA * F.pow(sep, F.lit(1 / C.PI))

@@ -27,22 +27,33 @@ def top_n(df: DataFrame, keys: list[str], score: str, n, ties: list[str], step:
             .filter(F.col(rank) <= F.col("_n")).drop("_min", "_n"))
 
 
-def _bucketed(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
-    """Add ``_b``: the number of approximate quantile cuts of the key below the value."""
-    probs = [k / buckets for k in range(1, buckets)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(1000)).alias("_cuts"))
-    return df.join(cuts, keys).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+#: Rows a bucket of a large key holds, about; keys with fewer rows are one bucket. Cuts come from one row in ``SAMPLE``.
+BUCKET, SAMPLE, FINEST = 65_536, 64, 1024
 
 
-def rank_within(df: DataFrame, keys: list[str], score: str, ties: list[str], rank: str = "rank",
-                buckets: int = 32) -> DataFrame:
+def _bucketed(df: DataFrame, keys: list[str], value: str, by: list[str], bucket: int = BUCKET, sample: int = SAMPLE) -> DataFrame:
+    """Add ``_b``, the number of the key's cuts below the value.
+
+    A key gets as many buckets as its rows ask for, ``FINEST`` at most. Where the cuts lie does not matter to an exact rank, so they are quantiles of
+    a sample by the hash of ``by``.
+    """
+    some = df.filter(F.pmod(F.xxhash64(*keys, value, *by), F.lit(sample)) == 0)
+    cuts = some.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(value, [k / FINEST for k in range(1, FINEST)], F.lit(4 * FINEST)).alias("_q"))
+    n = F.least(F.ceil(F.col("_n") * sample / bucket), F.lit(FINEST)).cast("int")
+    cuts = cuts.filter(n > 1).select(*keys, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), n - 1), lambda i: F.element_at("_q", F.floor(i * FINEST / n).cast("int")))).alias("_cuts"))
+    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    return df.join(cuts, keys, "left").withColumn("_b", F.greatest(below, F.lit(0))).drop("_cuts")
+
+
+def rank_within(df: DataFrame, keys: list[str], score: str, ties: list[str], rank: str = "rank", bucket: int = BUCKET,
+                sample: int = SAMPLE) -> DataFrame:
     """Row number per key by score (descending) then ties, exact.
 
-    Each key is cut at approximate quantiles of its own scores; rows are numbered
+    A large key is cut at quantiles of its own scores; rows are numbered
     inside a bucket and shifted by the size of the better buckets.
     """
-    cut = _bucketed(df, keys, score, buckets)
+    cut = _bucketed(df, keys, score, ties, bucket, sample)
     sizes = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     above = (F.sum("_c").over(W.partitionBy(*keys).orderBy(F.desc("_b"))) - F.col("_c")).alias("_above")
     sizes = sizes.select(*keys, "_b", above)
@@ -52,13 +63,13 @@ def rank_within(df: DataFrame, keys: list[str], score: str, ties: list[str], ran
             .withColumn(rank, (F.col("_local") + F.col("_above")).cast("bigint")).drop("_b", "_local", "_above"))
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = 32) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, bucket: int = BUCKET, sample: int = SAMPLE) -> DataFrame:
     """Per distinct value of a key: rows strictly below it, rows equal to it, key total.
 
     Equal values are counted first, so ties never travel as rows.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("same"))
-    cut = _bucketed(counts, keys, value, buckets)
+    cut = _bucketed(counts, keys, value, [], bucket, sample)
     sizes = cut.groupBy(*keys, "_b").agg(F.sum("same").alias("_c"))
     by_key = W.partitionBy(*keys)
     sizes = sizes.select(
@@ -128,7 +139,7 @@ def percentile_below(df: DataFrame, background: DataFrame, keys: list[str], valu
     tagged = (background.select(*keys, F.col(value), F.lit(1).alias("_w"))
               .unionByName(df.select(*keys, F.col(value), F.lit(0).alias("_w"))))
     counts = tagged.groupBy(*keys, value).agg(F.sum("_w").alias("same"))
-    cut = _bucketed(counts, keys, value, 32)
+    cut = _bucketed(counts, keys, value, [])
     sizes = cut.groupBy(*keys, "_b").agg(F.sum("same").alias("_c"))
     by_key = W.partitionBy(*keys)
     sizes = sizes.select(*keys, "_b",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators.ranking import quantiles, with_quantiles
+from helixframe.operators.ranking import quantiles, rank_within, value_ranks, with_quantiles
 
 rng = np.random.default_rng(6)
 
@@ -26,3 +26,17 @@ def test_quantiles(spark, accuracy):
     assert np.allclose([one[f"q{i}"] for i in range(len(shares))], np.quantile(every, shares), rtol=1e-12)
     assert np.isclose(one["less"], np.quantile(-every, 0.1), rtol=1e-12)
     assert quantiles(df.limit(0), ["k"], wanted).collect() == []
+
+
+@pytest.mark.parametrize("bucket,sample", [(64, 1), (50, 4), (1 << 16, 64)])
+def test_ranks_over_buckets(spark, bucket, sample):
+    vals = [("hot", i, float(x)) for i, x in enumerate(np.round(rng.gamma(1, 5, 3000), 1))] + [("small", i, float(i % 7)) for i in range(40)] + [("one", 0, 1.0)]
+    df = spark.createDataFrame(vals, "g string, i int, s double").repartition(5)
+    got = {(r.g, r.i): r["rank"] for r in rank_within(df, ["g"], "s", ["i"], bucket=bucket, sample=sample).collect()}
+    want = {}
+    for g in ("hot", "small", "one"):
+        want |= {(g, i): k + 1 for k, (_, i) in enumerate(sorted((-s, i) for h, i, s in vals if h == g))}
+    assert got == want
+    for r in value_ranks(df, ["g"], "s", bucket, sample).collect():
+        mine = [s for g, _, s in vals if g == r.g]
+        assert (r.below, r.same, r.total) == (sum(s < r.s for s in mine), mine.count(r.s), len(mine))
