@@ -22,13 +22,19 @@ XYZ = "xyz"
 
 def matched_sums(matched: DataFrame, keys: list[str]) -> DataFrame:
     """Covariance sums of matched points (px..qz) per key, in one aggregate."""
+    return centred_sums(matched.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in moments().items()]), keys)
+
+
+def moments() -> dict[str, F.Column]:
+    """What a set of matched points is summed up by: count, first moments, products and squares."""
     p = {k: F.col(f"p{k}") for k in XYZ}
     q = {k: F.col(f"q{k}") for k in XYZ}
-    sums = [F.count("*").alias("n")]
-    sums += [F.sum(p[k]).alias(f"sp{k}") for k in XYZ] + [F.sum(q[k]).alias(f"sq{k}") for k in XYZ]
-    sums += [F.sum(p[a] * q[b]).alias(f"s{a}{b}") for a in XYZ for b in XYZ]
-    sums += [F.sum(sum((p[k] * p[k] + q[k] * q[k] for k in XYZ), F.lit(0.0))).alias("ss")]
-    g = matched.groupBy(*keys).agg(*sums)
+    return {"n": F.lit(1), **{f"sp{k}": p[k] for k in XYZ}, **{f"sq{k}": q[k] for k in XYZ}, **{f"s{a}{b}": p[a] * q[b] for a in XYZ for b in XYZ},
+            "ss": sum((p[k] * p[k] + q[k] * q[k] for k in XYZ), F.lit(0.0))}
+
+
+def centred_sums(g: DataFrame, keys: list[str]) -> DataFrame:
+    """Centred covariances, spread and centroids of summed moments."""
     n = F.col("n")
     h = [(F.col(f"s{a}{b}") - F.col(f"sp{a}") * F.col(f"sq{b}") / n).alias(f"h{a}{b}") for a in XYZ for b in XYZ]
     e0 = F.col("ss") - sum((F.pow(F.col(f"s{s}{k}"), 2) for s in "pq" for k in XYZ), F.lit(0.0)) / n
@@ -298,15 +304,36 @@ def centred(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hinge_split(matched: DataFrame, keys: list[str], min_seg: int = 6) -> DataFrame:
-    """Split index whose worse segment RMSD is smallest."""
-    n = matched.groupBy(*keys).agg(F.count("*").alias("len"))
-    ks = n.filter(F.col("len") >= 2 * min_seg).select(
-        *keys, F.explode(F.sequence(F.lit(min_seg), F.col("len") - min_seg - 1)).alias("k"))
-    seg = matched.join(ks, keys).withColumn("side", (F.col("idx") >= F.col("k")).cast("int"))
-    r = kabsch_rmsd(seg, [*keys, "k", "side"]).groupBy(*keys, "k").agg(F.max("rmsd").alias("worst"))
+    """Split index whose worse segment RMSD is smallest.
+
+    The moments run along the chain, so the segments of every split are a running sum and its difference from the chain's; no point is copied per split.
+    Points are centred on their chain first, which keeps the differences exact enough.
+    """
+    chain, so_far = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    own = matched.withColumns({f"{s}{k}": F.col(f"{s}{k}") - F.avg(f"{s}{k}").over(chain) for s in "pq" for k in XYZ})
+    own = own.withColumns({f"_{k}": v for k, v in moments().items()})
+    runs = own.select(*keys, F.col("idx").alias("k"), F.sum("_n").over(chain).alias("len"),
+                      F.struct(*[F.coalesce(F.sum(f"_{k}").over(so_far), F.lit(0)).alias(k) for k in moments()]).alias("head"),
+                      F.struct(*[F.sum(f"_{k}").over(chain).alias(k) for k in moments()]).alias("all"))
+    ok = (F.col("len") >= 2 * min_seg) & F.col("k").between(F.lit(min_seg), F.col("len") - min_seg - 1)
+    tail = F.struct(*[(F.col(f"all.{k}") - F.col(f"head.{k}")).alias(k) for k in moments()])
+    side = F.posexplode(F.array("head", tail)).alias("side", "m")
+    segs = runs.filter(ok).select(*keys, "k", side).select(*keys, "k", "side", "m.*").filter("n > 0")
+    r = freeze(rmsd_of(centred_sums(segs, [*keys, "k", "side"])).select(*keys, "k", "rmsd")).groupBy(*keys, "k").agg(F.max("rmsd").alias("worst"))
     return r.groupBy(*keys).agg(F.min_by("k", F.struct(F.round("worst", 9), F.col("k"))).alias("split"), F.min("worst").alias("worst"))
 
 
+def sharpest_turn(points: DataFrame, keys: list[str], w: int = 4) -> DataFrame:
+    """The residue where the directions from ``w`` residues before and to ``w`` after agree least; the chain's middle if it is too short for any."""
+    order = W.partitionBy(*keys).orderBy("idx")
+    p = points.select(*keys, "idx", *[(F.col(k) - F.lag(k, w).over(order)).alias(f"a{k}") for k in XYZ], *[(F.lead(k, w).over(order) - F.col(k)).alias(f"b{k}") for k in XYZ])
+    dot = lambda s, t: sum((F.col(f"{s}{k}") * F.col(f"{t}{k}") for k in XYZ), F.lit(0.0))
+    p = p.withColumn("cos", dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")) + 1e-12))
+    middle = F.floor(F.count("*") / 2).cast("int")
+    return p.groupBy(*keys).agg(
+        F.coalesce(F.min_by("idx", F.when(F.col("cos").isNotNull(), F.struct(F.round("cos", 9), F.col("idx")))), middle).alias("turn"), F.min("cos").alias("turn_cos"))
+
+
 def helix_handedness(points: DataFrame, helices: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of normalised triple products over helix quadruplets."""
     w = W.partitionBy(*keys).orderBy("idx")

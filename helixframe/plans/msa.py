@@ -121,7 +121,16 @@ def neff_analytic(spark, sf):
     return neff(spark, sf).select("family", "n_seqs", r6("mean_id"), r6("neff"))
 
 
-@query("neff_clusters")
+GREEDY = f"""np AS (SELECT x.family, x.row_id AS a, y.row_id AS b FROM cells x JOIN cells y ON x.family=y.family AND x.pos=y.pos AND x.row_id<y.row_id AND x.aa<20 AND y.aa<20
+ GROUP BY ALL HAVING count(*)>=10 AND count(*) FILTER (x.aa=y.aa)>=count(*)/{num(C.E)}),
+nl AS (SELECT family, b AS row_id, list(a) AS near FROM np GROUP BY ALL),
+nd AS (SELECT ord.family, ord.row_id, o, coalesce(near,[]) AS near FROM ord LEFT JOIN nl USING (family,row_id)),
+gr AS (SELECT DISTINCT family, -1::BIGINT AS o, []::BIGINT[] AS leaders FROM nd UNION ALL SELECT gr.family, gr.o+1, CASE WHEN len(list_intersect(leaders,near))>0 THEN leaders ELSE list_append(leaders,row_id) END
+ FROM gr JOIN nd ON nd.family=gr.family AND nd.o=gr.o+1)"""
+
+
+@query("neff_clusters", with_(CELLS, NEFF, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT family, n_seqs, n_clusters, {R('greatest(n_clusters,neff,1)', 'neff')} FROM neff
+ JOIN (SELECT family, max(len(leaders))::BIGINT AS n_clusters FROM gr GROUP BY family) USING (family)""")
 def neff_clusters(spark, sf):
     c = M.neff_clusters(rows(spark, sf)).join(neff(spark, sf).select("family", "neff"), "family")
     return c.select("family", "n_seqs", "n_clusters", r6(F.greatest("neff_clusters", "neff", F.lit(1.0)), "neff"))

@@ -171,7 +171,14 @@ def scores(p):
 SCORE = "sco AS (SELECT DISTINCT target, model, 1.0::DOUBLE/(1+(model*5+target)%8) AS score FROM pts)"
 
 
-@query("leader_cluster")
+LEADERS = f"""nr AS (SELECT target, a, list(b) AS near FROM (SELECT target, m1 AS a, m2 AS b FROM mr WHERE rmsd<={num(C.PHI**2)} UNION ALL SELECT target, m2, m1 FROM mr WHERE rmsd<={num(C.PHI**2)}) GROUP BY ALL),
+od AS (SELECT sco.target, model, coalesce(near,[]) AS near, row_number() OVER (PARTITION BY sco.target ORDER BY score DESC, model) AS k FROM sco LEFT JOIN nr ON nr.target=sco.target AND a=model),
+lr AS (SELECT DISTINCT target, 0 AS k, []::BIGINT[] AS leaders FROM od UNION ALL SELECT lr.target, lr.k+1, CASE WHEN len(list_intersect(leaders,near))>0 THEN leaders ELSE list_append(leaders,model) END
+ FROM lr JOIN od ON od.target=lr.target AND od.k=lr.k+1)"""
+
+
+@query("leader_cluster", with_(*MR, SCORE, LEADERS).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT od.target, model, list_filter(leaders, lambda x: x=model OR list_contains(near,x))[1] AS leader
+ FROM od JOIN (SELECT target, max_by(leaders,k) AS leaders FROM lr GROUP BY target) USING (target)""")
 def leader_cluster(spark, sf):
     p = points(spark, sf)
     return ST.leader_cluster(scores(p), pair_rmsd(spark, sf))
@@ -277,10 +284,18 @@ def soft_termini(spark, sf):
 SPLITS = """sg AS (SELECT mt.*, k, (idx>=k)::INT AS side FROM mt, (SELECT unnest(range(6,15)) AS k))"""
 
 
-@query("hinge_split", with_(PTS, MATCHED, SPLITS, kabsch_sql("sg", "target,model,k,side", "hs")) + f""", w AS (SELECT target, model, k, max(rmsd) AS worst FROM hs GROUP BY ALL)
-SELECT target, model, k AS split, {R('worst', 'worst')} FROM (SELECT *, row_number() OVER (PARTITION BY target,model ORDER BY round(worst,9), k) AS r FROM w) WHERE r=1""")
+TURN = """tn AS (SELECT target, model, idx, (ax*bx+ay*by_+az*bz)/(sqrt(ax*ax+ay*ay+az*az)*sqrt(bx*bx+by_*by_+bz*bz)+1e-12) AS cs FROM (SELECT target, model, idx,
+ px-lag(px,4) OVER w AS ax, py-lag(py,4) OVER w AS ay, pz-lag(pz,4) OVER w AS az, lead(px,4) OVER w-px AS bx, lead(py,4) OVER w-py AS by_, lead(pz,4) OVER w-pz AS bz FROM mt WINDOW w AS (PARTITION BY target,model ORDER BY idx))),
+tb AS (SELECT target, model, idx AS turn, cs FROM (SELECT *, row_number() OVER (PARTITION BY target,model ORDER BY round(cs,9), idx) AS r FROM tn WHERE cs IS NOT NULL) WHERE r=1)"""
+
+
+@query("hinge_split", with_(PTS, MATCHED, SPLITS, kabsch_sql("sg", "target,model,k,side", "hs"), TURN) + f""", w AS (SELECT target, model, k, max(rmsd) AS worst FROM hs GROUP BY ALL)
+SELECT target, model, k AS split, {R('worst', 'worst')}, turn, {R('cs', 'turn_cos')} FROM (SELECT *, row_number() OVER (PARTITION BY target,model ORDER BY round(worst,9), k) AS r FROM w) JOIN tb USING (target,model) WHERE r=1""")
 def hinge_split(spark, sf):
-    return ST.hinge_split(matched(spark, sf), KEYS).select(*KEYS, F.col("split").cast("bigint").alias("split"), r6("worst"))
+    m = matched(spark, sf)
+    turn = ST.sharpest_turn(m.select(*KEYS, "idx", *[F.col(f"p{k}").alias(k) for k in "xyz"]), KEYS)
+    return ST.hinge_split(m, KEYS).join(turn, KEYS).select(*KEYS, F.col("split").cast("bigint").alias("split"), r6("worst"),
+                                                           F.col("turn").cast("bigint").alias("turn"), r6("turn_cos"))
 
 
 QUAD = """qd AS (SELECT target, model, idx, """ + ",".join(
