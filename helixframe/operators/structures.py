@@ -265,32 +265,60 @@ def leader_cluster(scored: DataFrame, pairs: DataFrame, radius: float = C.PHI**2
     return leaders.withColumn("leader", F.col("model")).unionByName(follow)
 
 
-def gap_fill(points: DataFrame, keys: list[str], lengths: DataFrame) -> DataFrame:
-    """Linear fill between measured residues and straight walks off both ends."""
+def gap_fill(points: DataFrame, keys: list[str], lengths: DataFrame, apart: bool = False) -> DataFrame:
+    """Linear fill between measured residues and straight walks off both ends.
+
+    A measured residue carries its measured neighbours, so a gap sees the two points on either side and no row holds a chain. Chains with fewer
+    than two measured residues are left out. With ``apart``, a gap between two points at one place goes in steps of a bond along x.
+    """
+    order = W.partitionBy(*keys).orderBy("idx")
+    point = F.struct(F.col("idx").alias("i"), *XYZ)
+    known = points.select(*keys, "idx", *XYZ, F.lag(point).over(order).alias("before"), F.lead(point).over(order).alias("after"))
+    known = known.select(*keys, "idx", F.struct(F.col("idx").alias("i"), *XYZ, "before", "after").alias("p"))
     grid = lengths.select(*keys, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
-    g = grid.join(points.select(*keys, "idx", F.struct(F.col("idx").alias("i"), *XYZ).alias("p")), [*keys, "idx"], "left")
-    back = W.partitionBy(*keys).orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*keys).orderBy("idx").rowsBetween(0, W.unboundedFollowing)
-    whole = W.partitionBy(*keys)
-    g = g.select(*keys, "idx", F.last("p", True).over(back).alias("l"), F.first("p", True).over(ahead).alias("r"),
-                 F.array_sort(F.collect_list("p").over(whole)).alias("a"))
-    n = F.size("a")
-    g = g.select(*keys, "idx", "l", "r", *[F.get("a", k).alias(nm) for k, nm in ((0, "f0"), (1, "f1"))],
-                 F.get("a", n - 2).alias("e0"), F.get("a", n - 1).alias("e1")).filter("f1 is not null")
-
-    def walk(anchor: str, a: str, b: str, k: str):
-        step = [F.col(f"{b}.{c}") - F.col(f"{a}.{c}") for c in XYZ]
-        length = F.sqrt(sum((s * s for s in step), F.lit(0.0))) + 1e-9
-        away = F.col("idx") - F.col(f"{anchor}.i")
-        return F.col(f"{anchor}.{k}") + away * C.CA_CA * (F.col(f"{b}.{k}") - F.col(f"{a}.{k}")) / length
+    g = grid.join(known, [*keys, "idx"], "left")
+    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    g = g.select(*keys, "idx", F.last("p", True).over(back).alias("l"), F.first("p", True).over(ahead).alias("r"), F.count("p").over(W.partitionBy(*keys)).alias("c"))
+    g = g.filter("c > 1")
 
-    t = F.try_divide((F.col("idx") - F.col("l.i")).cast("double"), (F.col("r.i") - F.col("l.i")).cast("double"))
-    out = {k: F.when(F.col("l").isNull(), walk("f0", "f0", "f1", k)).when(F.col("r").isNull(), walk("e1", "e0", "e1", k))
-           .when(F.col("l.i") == F.col("r.i"), F.col(f"l.{k}"))
-           .otherwise(F.col(f"l.{k}") + (F.col(f"r.{k}") - F.col(f"l.{k}")) * t) for k in XYZ}
+    def walk(anchor: str, other: str, k: str):
+        step = [F.col(f"{anchor}.{c}") - F.col(f"{anchor}.{other}.{c}") for c in XYZ]
+        length = F.sqrt(sum((s * s for s in step), F.lit(0.0))) + 1e-9
+        away = F.abs(F.col("idx") - F.col(f"{anchor}.i"))
+        return F.col(f"{anchor}.{k}") + away * C.CA_CA * (F.col(f"{anchor}.{k}") - F.col(f"{anchor}.{other}.{k}")) / length
+
+    into = (F.col("idx") - F.col("l.i")).cast("double")
+    t = F.try_divide(into, (F.col("r.i") - F.col("l.i")).cast("double"))
+    chord = F.sqrt(sum((F.pow(F.col(f"r.{k}") - F.col(f"l.{k}"), 2) for k in XYZ), F.lit(0.0)))
+    line = {k: F.col(f"l.{k}") + (F.col(f"r.{k}") - F.col(f"l.{k}")) * t for k in XYZ}
+    if apart:
+        line = {k: F.when(chord < 1e-6, F.col(f"l.{k}") + (into * C.CA_CA if k == "x" else 0.0)).otherwise(v) for k, v in line.items()}
+    out = {k: F.when(F.col("l").isNull(), walk("r", "after", k)).when(F.col("r").isNull(), walk("l", "before", k))
+           .when(F.col("l.i") == F.col("r.i"), F.col(f"l.{k}")).otherwise(line[k]) for k in XYZ}
     return g.select(*keys, "idx", *[v.alias(k) for k, v in out.items()])
 
 
+def loop_rebuild(points: DataFrame, reference: DataFrame, mask: DataFrame, group: list[str], each: list[str]) -> DataFrame:
+    """The reference with its masked residues rebuilt, centred.
+
+    ``mask`` is (group, idx, masked). Models as long as the reference are fitted to it on the residues that are not masked, four or more; with
+    two fitted models a masked residue takes their mean. Otherwise the islands of the mask are filled: along the chord between their ends,
+    or by a straight walk at the chain's ends. Where fewer than two residues are free nothing changes.
+    """
+    free = mask.filter(~F.col("masked")).select(*group, "idx")
+    size = reference.groupBy(*group).agg(F.count("*").cast("int").alias("n"))
+    finite = F.bool_and(~sum((F.isnan(k).cast("int") + F.col(k).isNull().cast("int") for k in XYZ), F.lit(0)).cast("boolean"))
+    whole = points.groupBy(*group, *each).agg(F.count("*").cast("int").alias("n"), finite.alias("ok")).filter("ok").join(size, [*group, "n"]).select(*group, *each)
+    models = points.select(*group, *each, "idx", *XYZ).join(whole, [*group, *each], "left_semi")
+    fit = match_points(models, reference, [*group, "idx"]).join(free, [*group, "idx"], "left_semi")
+    moved = apply_rotation(models, rotations(fit, [*group, *each]), [*group, *each])
+    mean = moved.groupBy(*group, "idx").agg(F.count("*").alias("w"), *[F.avg(k).alias(f"m{k}") for k in XYZ]).filter("w > 1").drop("w")
+    chord = gap_fill(reference.join(free, [*group, "idx"], "left_semi"), group, size, apart=True).withColumnsRenamed({k: f"g{k}" for k in XYZ})
+    j = reference.join(mask.select(*group, "idx", "masked"), [*group, "idx"]).join(mean, [*group, "idx"], "left").join(chord, [*group, "idx"], "left")
+    built = j.select(*group, "idx", *[F.when(F.col("masked"), F.coalesce(f"m{k}", f"g{k}", k)).otherwise(F.col(k)).alias(k) for k in XYZ])
+    return centred(built, group)
+
+
 def soft_termini(points: DataFrame, keys: list[str], lengths: DataFrame, n_term: int = 1, c_term: int = 3) -> DataFrame:
     """Drop the ends and rebuild them as straight walks, then centre."""
     core = points.join(lengths, keys).filter(

@@ -221,15 +221,11 @@ def consensus_atoms(spark, sf):
 
 @query("loop_rebuild")
 def loop_rebuild(spark, sf):
-    """Masked residues take the consensus of the superposed models, the rest stay."""
+    """Residues on which the superposed models disagree, rebuilt from the models fitted on the others."""
     p = points(spark, sf)
     all_ = p.select("target", "model", "idx", "x", "y", "z")
     mask = ST.superposed_mask(all_, reference(p), ["target"], ["model"]).select("target", "idx", "masked")
-    w = scores(p).select("target", "model", F.lit(1.0).alias("w"))
-    mean = ST.consensus(all_, reference(p), w, ["target"], ["model"]).select("target", "idx", *[F.col(k).alias(f"m{k}") for k in "xyz"])
-    j = reference(p).join(mask, ["target", "idx"]).join(mean, ["target", "idx"])
-    built = j.select("target", "idx", *[F.when(F.col("masked"), F.col(f"m{k}")).otherwise(F.col(k)).alias(k) for k in "xyz"])
-    return ST.centred(built, ["target"]).select("target", "idx", r6("x"), r6("y"), r6("z"))
+    return ST.loop_rebuild(all_, reference(p), mask, ["target"], ["model"]).select("target", "idx", r6("x"), r6("y"), r6("z"))
 
 
 KEEP = "(idx*7+model*3+target)%5<>0 AND idx BETWEEN 2 AND 17"
