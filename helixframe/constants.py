@@ -200,6 +200,7 @@ CELL_BIAS = {"pyr": (1.15, 0.95, 1.10, 1.0), "pv": (1.25, 1.45, 0.70, 0.95),
 RESTING_S = 0.46
 NEURO_D = 13.0
 NEURO_CHANNELS = 4.0
+NEURO_P = 3.0
 
 
 def domain_scalar(d: float, hits: float, dpsi: float, observed: bool, n: float = 1.0,

@@ -51,33 +51,37 @@ def observation_scalar(round_idx, n_rounds, chain_len, stress) -> Column:
                        F.greatest(chain_len, F.lit(1.0)), dtheta)
 
 
-AA_NAMES = {
-    "GLY": "G", "ALA": "A", "VAL": "V", "LEU": "L", "ILE": "I", "MET": "M", "PHE": "F",
-    "TRP": "W", "PRO": "P", "SER": "S", "THR": "T", "CYS": "C", "TYR": "Y", "ASN": "N",
-    "GLN": "Q", "ASP": "D", "GLU": "E", "LYS": "K", "ARG": "R", "HIS": "H",
-}
+#: Residue names in the order in which they are looked for: every full name but the last holds a three-letter one.
+AA_NAMES = {**{k: v for k, v in C.AA3.items() if k not in ("MSE", "SEC")}, "TRYPTOPHAN": "W"}
+
+
+def residue_of(name) -> Column:
+    """One letter of a residue name: the letter itself, else the first of ``AA_NAMES`` that starts it or that its part before an underscore holds."""
+    head = F.split(name, "_")[0]
+    out = F.when(name.rlike(f"^[{C.AA20}]$"), name)
+    for alias, aa in AA_NAMES.items():
+        out = out.when(name.startswith(alias) | head.contains(alias), aa)
+    return out
 
 
 def section_router(records: DataFrame) -> DataFrame:
     """Route (ord, section, name, value) records into chemistry slots.
 
-    Hydrophobicity and pK records are keyed by residue, radius and
-    polarizability records by element; the last record of a slot wins.
+    Hydrophobicity and pK records are keyed by residue, radius and polarizability records by element (as written and in
+    capitals), folding records by name; the last record of a slot wins.
     """
-    head = F.upper(F.split(F.trim("name"), "[_ ]")[0])
-    names = F.create_map(*[F.lit(x) for kv in AA_NAMES.items() for x in kv])
-    aa = F.when(head.rlike(f"^[{C.AA20}]$"), head).otherwise(
-        F.try_element_at(names, F.substring(head, 1, 3)))
-    tail = F.upper(F.trim("name"))
-    slot = (F.when(tail.rlike("PK_?R|SIDE"), "pKR").when(tail.rlike("PK_?2"), "pK2")
-            .when(tail.rlike("PK_?1"), "pK1").when(tail.rlike("R[^_]*$"), "pKR")
-            .when(tail.rlike("2[^_]*$"), "pK2").otherwise("pK1"))
-    kind = (F.when(F.col("section").contains("§36"), "hydro").when(F.col("section").contains("§22"), "pka")
-            .when(F.col("section").contains("§25"), "vdw").when(F.col("section").contains("§26"), "polar"))
-    routed = records.select(
-        "ord", "value", kind.alias("kind"),
-        F.when(kind.isin("hydro", "pka"), aa).otherwise(head).alias("key"),
-        F.when(kind == "pka", slot).otherwise(F.lit("value")).alias("slot"),
-    ).filter(F.col("kind").isNotNull() & F.col("key").isNotNull())
-    return routed.groupBy("kind", "key").pivot("slot", ["value", "pK1", "pK2", "pKR"]).agg(
-        F.max_by("value", "ord"))
+    name = F.trim("name")
+    up = F.upper(name)
+    last = F.element_at(F.split(up, "_"), -1)
+    slot = (F.when(up.rlike("PK_?R|SIDE"), "pKR").when(up.rlike("PK[2₂]|PK_2"), "pK2").when(up.rlike("PK[1₁]|PK_1"), "pK1")
+            .when(last.contains("R"), "pKR").when(up.rlike("[2₂]"), "pK2").otherwise("pK1"))
+    kinds = {"§36": "hydro", "§22": "pka", "§25": "vdw", "§26": "polar", "§21": "fold"}
+    kind = F.lit(None).cast("string")
+    for mark, k in reversed(kinds.items()):
+        kind = F.when(F.col("section").contains(mark), k).otherwise(kind)
+    element = F.split(name, r"\s+")[0]
+    keys = (F.when(kind.isin("hydro", "pka"), F.array(residue_of(up))).when(kind == "fold", F.array(name))
+            .otherwise(F.when(F.length(element) > 0, F.array_distinct(F.array(element, F.upper(element))))))
+    routed = records.select("ord", "value", kind.alias("kind"), F.explode(keys).alias("key"),
+                            F.when(kind == "pka", slot).otherwise(F.lit("value")).alias("slot")).filter("kind IS NOT NULL AND key IS NOT NULL")
+    return routed.groupBy("kind", "key").pivot("slot", ["value", "pK1", "pK2", "pKR"]).agg(F.max_by("value", "ord"))

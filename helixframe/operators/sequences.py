@@ -200,6 +200,8 @@ def phenotypes(programs: DataFrame) -> DataFrame:
         clamp(-70.0 - 3.0 * (leak - 1) + 1.5 * (scn - 1), -80, -55).alias("vrest_mv"),
         F.when(F.col("sx") > 1e-12, F.col("sw") / F.col("sx")).otherwise(0.0).alias("composite_spin"),
         (F.col("sq") / 4.0).alias("composite_charge"),
+        F.lit(C.NEURO_P).alias("p_props"),
+        *[e.cast("double").alias(f"{g}_expression") for g, e in (("scn", scn), ("kcn", kcn), ("cacna", ca), ("leak", leak))],
     )
     return nudge(base)
 

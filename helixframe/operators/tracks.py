@@ -25,6 +25,18 @@ def to_um(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
                      (F.col("z") * SZ).alias(f"{prefix}z"))
 
 
+def read_tracks(nodes: DataFrame, edges: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their place in micrometres, and edges with the length of their step where both ends exist.
+
+    ``scales`` is (dataset, sz, sy, sx), micrometres per voxel; a missing dataset or value takes the usual scale.
+    """
+    at = nodes.join(scales.withColumnRenamed("dataset", "own"), F.col("dataset") == F.col("own"), "left")
+    at = at.select(*nodes.columns, *[(F.col(k) * F.coalesce(F.col(f"s{k}"), F.lit(float(s)))).alias(f"u{k}") for k, s in zip("zyx", C.SCALE_ZYX)])
+    side = lambda end, p: at.select("dataset", F.col("id").alias(end), *[F.col(f"u{k}").alias(f"{p}{k}") for k in "zyx"])
+    j = edges.join(side("parent", "l"), ["dataset", "parent"], "left").join(side("child", "r"), ["dataset", "child"], "left")
+    return at, j.select("dataset", "parent", "child", dist("l", "r").alias("step"))
+
+
 def track_steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Length of every parent-child step whose two ends exist."""
     a = to_um(nodes, "l", "dataset", F.col("id").alias("parent"))

@@ -120,30 +120,26 @@ def domain_slices(spark, sf):
 
 
 SECTIONS = ["§36 hydrophobicity", "§22 pKa", "§25 radii", "§26 polarizability", "§21 folding"]
-NAMES3 = list(CH.AA_NAMES)
-SUFFIX = ["_pK1", "_pK2", "_pKR", "_side", ""]
-ELEMENTS = ["H", "C", "N", "O", "S"]
+NAMES = ["Gly", "ALA", "Val", "Leu", "Ile", "Met", "Phe", "Trp", "Pro", "Ser", "Thr", "Cys", "Tyr", "Asn", "Gln", "Asp", "Glu", "Lys", "Arg", "His",
+         "Tryptophan", "Isoleucine", "Phenylalanine", "Histidine", "W", "x"]
+SUFFIX = ["_pK1", "_pK2", "_pKR", "_side", "", "_pK₂", "_pK_1", " 2", "_nr"]
+ELEMENTS = ["H", "c", "N", "O radius", "S"]
+RES_SQL = "CASE WHEN length(u)=1 AND contains('" + C.AA20 + "',u) THEN u " + " ".join(f"WHEN starts_with(u,'{k}') OR contains(split_part(u,'_',1),'{k}') THEN '{v}'" for k, v in CH.AA_NAMES.items()) + " END"
 
 
 @query("section_router", f"""WITH rec AS (SELECT p_partkey AS ord, {SECTIONS!r}[p_size%5+1] AS section, p_retailprice/100 AS value,
- {NAMES3!r}[p_partkey%20+1] AS res, {SUFFIX!r}[p_partkey%7%5+1] AS sfx, {ELEMENTS!r}[p_partkey%5+1] AS el FROM part),
- rt AS (SELECT ord, value, section, CASE WHEN section LIKE '%§36%' THEN 'hydro' WHEN section LIKE '%§22%' THEN 'pka' WHEN section LIKE '%§25%'
- THEN 'vdw' WHEN section LIKE '%§26%' THEN 'polar' END AS kind,
- CASE WHEN section LIKE '%§36%' OR section LIKE '%§22%' THEN (SELECT a FROM (VALUES {",".join(f"('{k}','{v}')" for k, v in CH.AA_NAMES.items())}) t(k,a)
- WHERE k=res) ELSE el END AS key,
- CASE WHEN section LIKE '%§22%' THEN (CASE sfx WHEN '_pK1' THEN 'pK1' WHEN '_pK2' THEN 'pK2' WHEN '_pKR' THEN 'pKR' WHEN '_side' THEN 'pKR'
-  ELSE (CASE WHEN res LIKE '%R%' THEN 'pKR' ELSE 'pK1' END) END) ELSE 'value' END AS slot FROM rec)
+ CASE WHEN p_size%5 IN (2,3) THEN {ELEMENTS!r}[p_partkey%5+1] ELSE {NAMES!r}[p_partkey%26+1]||{SUFFIX!r}[p_partkey%11%9+1] END AS name FROM part),
+ nm AS (SELECT *, upper(name) AS u, split_part(name,' ',1) AS el FROM rec),
+ rt AS (SELECT ord, value, CASE WHEN section LIKE '%§36%' THEN 'hydro' WHEN section LIKE '%§22%' THEN 'pka' WHEN section LIKE '%§25%' THEN 'vdw' WHEN section LIKE '%§26%' THEN 'polar' WHEN section LIKE '%§21%' THEN 'fold' END AS kind,
+ unnest(CASE WHEN section LIKE '%§36%' OR section LIKE '%§22%' THEN [{RES_SQL}] WHEN section LIKE '%§21%' THEN [name] ELSE list_distinct([el,upper(el)]) END) AS key,
+ CASE WHEN section NOT LIKE '%§22%' THEN 'value' WHEN contains(u,'PKR') OR contains(u,'PK_R') OR contains(u,'SIDE') THEN 'pKR' WHEN contains(u,'PK2') OR contains(u,'PK₂') OR contains(u,'PK_2') THEN 'pK2'
+  WHEN contains(u,'PK1') OR contains(u,'PK₁') OR contains(u,'PK_1') THEN 'pK1' WHEN contains(string_split(u,'_')[-1],'R') THEN 'pKR' WHEN contains(u,'2') OR contains(u,'₂') THEN 'pK2' ELSE 'pK1' END AS slot FROM nm)
 SELECT kind, key, {",".join(R(f"arg_max(value,ord) FILTER (slot='{s}')", s) for s in ("value", "pK1", "pK2", "pKR"))}
-FROM rt WHERE kind IS NOT NULL GROUP BY kind, key""")
+FROM rt WHERE kind IS NOT NULL AND key IS NOT NULL GROUP BY kind, key""")
 def section_router(spark, sf):
-    arr = lambda xs: F.array(*[F.lit(x) for x in xs])
-    pick = lambda xs, k: F.get(arr(xs), k.cast("int"))
+    pick = lambda xs, k: F.get(F.array(*[F.lit(x) for x in xs]), k.cast("int"))
     k = F.col("p_partkey")
-    section = pick(SECTIONS, F.col("p_size") % 5)
-    residue = F.concat(pick(NAMES3, k % 20), pick(SUFFIX, k % 7 % 5))
-    named = F.when(section.contains("§25") | section.contains("§26"), pick(ELEMENTS, k % 5)).otherwise(residue)
-    rec = table(spark, sf, "part").select(k.alias("ord"), section.alias("section"), named.alias("name"),
+    name = F.when((F.col("p_size") % 5).isin(2, 3), pick(ELEMENTS, k % 5)).otherwise(F.concat(pick(NAMES, k % 26), pick(SUFFIX, k % 11 % 9)))
+    rec = table(spark, sf, "part").select(k.alias("ord"), pick(SECTIONS, F.col("p_size") % 5).alias("section"), name.alias("name"),
                                           (F.col("p_retailprice") / 100).alias("value"))
     return CH.section_router(rec).select("kind", "key", *[r6(c) for c in ("value", "pK1", "pK2", "pKR")])
-
-

@@ -254,7 +254,8 @@ def lim(e, lo, hi):
 BIAS = "bias(cell_class,gene,bias) AS (VALUES " + ",".join(
     f"('{c}','{g}',{b})" for c, bs in C.CELL_BIAS.items() for g, b in zip(C.GENES, bs)) + ")"
 PHENO_COLS = ["n_channels", "d_eff", "fire_threshold", "refractory_steps", "adapt_step", "adapt_gain", "adapt_decay",
-              "resting_bias", "fi_stim", "vrest_mv", "composite_spin", "composite_charge"]
+              "resting_bias", "fi_stim", "vrest_mv", "composite_spin", "composite_charge",
+              "p_props", "scn_expression", "kcn_expression", "cacna_expression", "leak_expression"]
 PHENO_SQL = with_(DNA, UP, CODON_DIM, ALT, MUTATED, program_ctes("mutated"), BIAS) + f""",
 gx AS (SELECT seq_id//4 AS unit, ['scn','kcn','cacna','leak'][seq_id%4+1] AS gene,
  ['pyr','pv','sst','vip'][(seq_id//4)%4+1] AS cell_class, expression, spin, charge_balance FROM prog),
@@ -270,7 +271,8 @@ ph AS (SELECT unit, cell_class, 4.0*(0.75+0.25*(scn+kcn+ca+leak)/4.0) AS n_chann
  {lim(f"0.46+0.02*(scn-leak)*{cl('ETA')}", 0.3, 0.65)} AS resting_bias,
  {lim('0.5*(0.85+0.25*scn-0.10*kcn)', 0.25, 0.95)} AS fi_stim,
  {lim('-70.0-3.0*(leak-1)+1.5*(scn-1)', -80.0, -55.0)} AS vrest_mv,
- CASE WHEN sx>1e-12 THEN sw/sx ELSE 0 END AS composite_spin, sq/4.0 AS composite_charge FROM gp)
+ CASE WHEN sx>1e-12 THEN sw/sx ELSE 0 END AS composite_spin, sq/4.0 AS composite_charge,
+ {cl('NEURO_P')} AS p_props, scn AS scn_expression, kcn AS kcn_expression, ca AS cacna_expression, leak AS leak_expression FROM gp)
 SELECT unit, cell_class, {R('n_channels', 'n_channels')},
  {R(f"CASE WHEN cell_class='vip' THEN least(20.0,d_eff+0.3*{P}) ELSE d_eff END", 'd_eff')},
  {R("CASE WHEN cell_class='pv' THEN greatest(0.85,fire_threshold-0.04) ELSE fire_threshold END", 'fire_threshold')},
@@ -278,7 +280,8 @@ SELECT unit, cell_class, {R('n_channels', 'n_channels')},
  {R("CASE cell_class WHEN 'pv' THEN adapt_step*0.35 WHEN 'sst' THEN least(10.0,adapt_step*1.4) WHEN 'pyr' THEN adapt_step*1.05 ELSE adapt_step END", 'adapt_step')},
  {R('adapt_gain', 'adapt_gain')}, {R('adapt_decay', 'adapt_decay')}, {R('resting_bias', 'resting_bias')},
  {R("CASE cell_class WHEN 'pv' THEN least(0.95,fi_stim*1.15) WHEN 'vip' THEN fi_stim*0.9 ELSE fi_stim END", 'fi_stim')},
- {R('vrest_mv', 'vrest_mv')}, {R('composite_spin', 'composite_spin')}, {R('composite_charge', 'composite_charge', 4)} FROM ph"""
+ {R('vrest_mv', 'vrest_mv')}, {R('composite_spin', 'composite_spin')}, {R('composite_charge', 'composite_charge', 4)},
+ {",".join(R(k, k) for k in PHENO_COLS[12:])} FROM ph"""
 
 
 @query("phenotype_table", PHENO_SQL)

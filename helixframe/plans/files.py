@@ -11,7 +11,8 @@ from .. import dims
 from ..session import shared_folder
 from ..sources import pdb as PDB
 from ..sources import text as TX
-from .base import R, query, r6, spread, table, with_
+from .base import R, num, query, r6, spread, table, with_
+from .tracks import DET
 
 AA3L = list(C.AA3)[:20]
 HETL = ["ZN", "BEN", "HOH", "SEP", "MG", "NAG", "PSU"]
@@ -260,11 +261,29 @@ def write_results(spark, sf):
 TRK = "SELECT user_id%4 AS dataset, count(*) AS n_nodes, " + R("sum(value*0.40625)", "sum_um", 3) + " FROM events GROUP BY 1"
 
 
-@query("read_tracks", TRK)
+SCALED = f"""sc AS (SELECT r_regionkey AS dataset, CASE WHEN r_regionkey%2=0 THEN 1.0::DOUBLE+r_regionkey/10.0::DOUBLE END AS sz FROM region WHERE r_regionkey<3),
+at AS (SELECT node.*, z*coalesce(sz,{num(C.SCALE_ZYX[0])}) AS uz, y*{num(C.SCALE_ZYX[1])} AS uy, x*{num(C.SCALE_ZYX[2])} AS ux FROM node LEFT JOIN sc USING (dataset)),
+es AS (SELECT e.dataset, parent, count(*) OVER (PARTITION BY e.dataset, parent) AS k, sqrt(pow(a.uz-b.uz,2)+pow(a.uy-b.uy,2)+pow(a.ux-b.ux,2)) AS step FROM edge e
+ LEFT JOIN at a ON a.dataset=e.dataset AND a.id=parent LEFT JOIN at b ON b.dataset=e.dataset AND b.id=child)"""
+
+
+@query("read_tracks", with_(DET, SCALED.replace("at AS", '"at" AS').replace("JOIN at ", 'JOIN "at" ')) + f"""SELECT n.*, n_edges, n_divisions, {R('step_um', 'step_um', 3)} FROM (SELECT dataset, count(*) AS n_nodes, min(t) AS t_min, max(t) AS t_max,
+ {R('sum(uz)', 'z_um', 3)}, {R('sum(uy)', 'y_um', 3)}, {R('sum(ux)', 'x_um', 3)} FROM "at" GROUP BY dataset) n
+ JOIN (SELECT dataset, count(*) AS n_edges, count(DISTINCT parent) FILTER (k>=2) AS n_divisions, sum(step) AS step_um FROM es GROUP BY dataset) USING (dataset)""")
 def read_tracks(spark, sf):
-    """Node rows scaled from voxels to micrometres."""
-    n = table(spark, sf, "events").select((F.col("user_id") % 4).alias("dataset"), F.col("value").alias("x"))
-    return n.groupBy("dataset").agg(F.count("*").alias("n_nodes"), r6(F.sum(F.col("x") * C.SCALE_ZYX[2]), "sum_um", 3))
+    """Nodes and edges of each dataset in micrometres, with the datasets' own z scales where they have one."""
+    from ..operators import tracks as T
+    from .tracks import dets, edges, nodes
+
+    n = nodes(dets(spark, sf))
+    k = F.col("r_regionkey")
+    none = F.lit(None).cast("double")
+    scales = table(spark, sf, "region").filter(k < 3).select(k.alias("dataset"), F.when(k % 2 == 0, 1.0 + k / 10.0).alias("sz"), none.alias("sy"), none.alias("sx"))
+    at, steps = T.read_tracks(n, edges(n), scales)
+    a = at.groupBy("dataset").agg(F.count("*").alias("n_nodes"), F.min("t").alias("t_min"), F.max("t").alias("t_max"), *[r6(F.sum(f"u{c}"), f"{c}_um", 3) for c in "zyx"])
+    out = steps.groupBy("dataset", "parent").agg(F.count("*").alias("k"), F.sum("step").alias("step"))
+    e = out.groupBy("dataset").agg(F.sum("k").alias("n_edges"), F.count_if(F.col("k") >= 2).alias("n_divisions"), r6(F.sum("step"), "step_um", 3))
+    return a.join(e, "dataset")
 
 
 @query("materialise_cache", TRK)
