@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -137,30 +139,76 @@ def length_prefilter(pairs: DataFrame, lo: float = 0.5, hi: float = 1.8) -> Data
 def _align(a: str, b: str) -> list[tuple[int, int]]:
     """Global alignment, +1 / -1 / -1; diagonal, then up, then left on ties.
 
-    Each matrix row is one vector step: the left-gap chain is a running maximum.
+    Each matrix row is one vector step: the left-gap chain is a running maximum. Only every root-th row is kept; the trace walks back block by block
+    and computes a block's rows again, so memory is the root of one length times the other.
     """
     x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
     n, m = len(x), len(y)
     cols = np.arange(m + 1)
-    dp = np.empty((n + 1, m + 1), np.int32)
-    dp[0] = -cols
-    for i in range(1, n + 1):
-        best = np.empty(m + 1, np.int32)
-        best[0] = -i
-        best[1:] = np.maximum(dp[i - 1, :-1] + np.where(y == x[i - 1], 1, -1), dp[i - 1, 1:] - 1)
-        dp[i] = np.maximum.accumulate(best + cols) - cols
+
+    def rows(top: np.ndarray, start: int, stop: int):
+        """Matrix rows start + 1 to stop below row ``start``."""
+        for i in range(start + 1, stop + 1):
+            best = np.empty(m + 1, np.int64)
+            best[0] = -i
+            best[1:] = np.maximum(top[:-1] + np.where(y == x[i - 1], 1, -1), top[1:] - 1)
+            top = np.maximum.accumulate(best + cols) - cols
+            yield i, top
+
+    step = max(1, math.isqrt(n))
+    kept = {0: -cols}
+    for i, row in rows(kept[0], 0, n):
+        if i % step == 0:
+            kept[i] = row
     out, i, j = [], n, m
     while i and j:
-        if dp[i, j] == dp[i - 1, j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif dp[i, j] == dp[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
+        start = (i - 1) // step * step
+        dp = {start: kept[start], **dict(rows(kept[start], start, i))}
+        while i > start and j:
+            if dp[i][j] == dp[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
+                out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif dp[i][j] == dp[i - 1][j] - 1:
+                i -= 1
+            else:
+                j -= 1
     return out[::-1]
 
 
+def longest_common(a: str, b: str) -> tuple[int, int, int]:
+    """Length and starts of the longest common substring, first in (i, j) order; length 0 if there is none.
+
+    Substrings of twice a length are ranked by the ranks of their halves, so equal ranks are equal substrings. Doubling finds the power of two that
+    is still common, a search on the length the rest: any length is two overlapping ranks. Work is near (n + m) log n.
+    """
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64) for s in (a, b))
+    n, m = len(x), len(y)
+
+    def at(length: int):
+        """Keys of all substrings of one length, from the ranks of the largest power below."""
+        off = length - size
+        return x[:n - length + 1] * base + x[off:off + n - length + 1], y[:m - length + 1] * base + y[off:off + m - length + 1]
+
+    size, base = 1, 1 << 21
+    if not n or not m or not np.isin(x, y).any():
+        return 0, 0, 0
+    while 2 * size <= min(n, m):
+        p, q = at(2 * size)
+        if not np.isin(p, q).any():
+            break
+        _, ranks = np.unique(np.concatenate((p, q)), return_inverse=True)
+        x, y, size, base = ranks[:len(p)], ranks[len(p):], 2 * size, len(p) + len(q)
+        # ranks are of shorter arrays; lengths below still index the strings
+    low, high = size, min(n, m, 2 * size - 1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        p, q = at(middle)
+        low, high = (middle, high) if np.isin(p, q).any() else (low, middle - 1)
+    p, q = at(low)
+    i = int(np.flatnonzero(np.isin(p, q))[0])
+    return low, i, int(np.flatnonzero(q == p[i])[0])
+
+
 def pairwise_align(pairs: DataFrame) -> DataFrame:
     """Aligned index pairs of (query, homolog, qseq, hseq) rows, one task row at a time."""
     def run(batches):
@@ -187,17 +235,13 @@ def alignment_identity(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def diagonal_seed(pairs: DataFrame, min_seed: int = 4) -> DataFrame:
-    """Longest exact common substring of each candidate pair, first in (i, j) order.
+    """Longest exact common substring of each candidate pair, first in (i, j) order, where it has ``min_seed`` letters."""
+    def run(batches):
+        for pdf in batches:
+            got = np.array([longest_common(q, h) for q, h in zip(pdf["qseq"], pdf["hseq"], strict=True)], np.int64).reshape(-1, 3)
+            out = pd.DataFrame({"query": pdf["query"], "homolog": pdf["homolog"], "length": got[:, 0], "qi": got[:, 1], "ti": got[:, 2]})
+            yield out[out["length"] >= min_seed]
 
-    Letters are matched by an equi-join inside the pair, and runs on a diagonal are
-    islands; the pair's sequence lengths bound each group.
-    """
-    q = pairs.select("query", "homolog", F.posexplode(letters_of("qseq")).alias("i", "aa"))
-    h = pairs.select("query", "homolog", F.posexplode(letters_of("hseq")).alias("j", "aa"))
-    hit = q.join(h, ["query", "homolog", "aa"]).withColumn("dg", F.col("i") - F.col("j"))
-    w = W.partitionBy("query", "homolog", "dg").orderBy("i")
-    runs = hit.withColumn("g", F.col("i") - F.row_number().over(w)).groupBy("query", "homolog", "dg", "g").agg(
-        F.count("*").alias("length"), F.min("i").alias("qi"), F.min("j").alias("ti"))
-    best = runs.groupBy("query", "homolog").agg(F.max_by(
-        F.struct("length", "qi", "ti"), F.struct(F.col("length"), -F.col("qi"), -F.col("ti"))).alias("b"))
-    return best.select("query", "homolog", "b.*").filter(F.col("length") >= min_seed)
+    t = lambda c: pairs.schema[c].dataType.simpleString()
+    return pairs.select("query", "homolog", "qseq", "hseq").mapInPandas(
+        run, f"query {t('query')}, homolog {t('homolog')}, length bigint, qi bigint, ti bigint")

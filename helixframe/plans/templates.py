@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structures as ST
 from ..operators import templates as TP
+from ..session import stored
 from .base import CHAINS, P, R, chains, num, query, r6, spread, table, with_
 from .structures import EN, KEYS, PTS, SCORE, kabsch_sql, others, pair_rmsd, points, reference, scores
 
@@ -24,7 +25,7 @@ def candidates(spark, sf):
     c = spread(chains(spark, sf), "seq_id")
     q = c.select(F.col("seq_id").alias("query"), F.col("seq").alias("qseq"))
     h = c.select(F.col("seq_id").alias("homolog"), F.col("seq").alias("hseq"))
-    return spread(TP.length_prefilter(TP.kmer_seeds(c, c).join(q, "query").join(h, "homolog")), "query", "homolog")
+    return stored(spread(TP.length_prefilter(TP.kmer_seeds(c, c).join(q, "query").join(h, "homolog")), "query", "homolog"))
 
 
 @query("length_prefilter", with_(CHAINS, MERS) + "SELECT query, homolog, shared FROM cand")
@@ -34,14 +35,14 @@ def length_prefilter(spark, sf):
 
 @query("pairwise_align")
 def pairwise_align(spark, sf):
-    return TP.pairwise_align(candidates(spark, sf)).select("query", "homolog", F.size("qi").alias("n_pairs"), F.md5(
+    return TP.pairwise_align(spread(candidates(spark, sf), "query", "homolog")).select("query", "homolog", F.size("qi").alias("n_pairs"), F.md5(
         F.concat_ws(",", F.transform("qi", lambda x: x.cast("string")), F.transform("ti", lambda x: x.cast("string")))).alias("path"))
 
 
 @query("alignment_identity")
 def alignment_identity(spark, sf):
     c = candidates(spark, sf)
-    a = TP.alignment_identity(TP.pairwise_align(c), c)
+    a = TP.alignment_identity(stored(TP.pairwise_align(spread(c, "query", "homolog"))), c)
     return a.select("query", "homolog", "n_pairs", "n_same", r6("identity"), r6("coverage"), r6("score"))
 
 
@@ -51,14 +52,14 @@ def alignment_identity(spark, sf):
  rn AS (SELECT query, homolog, count(*) AS length, min(i) AS qi, min(j) AS ti FROM hit GROUP BY query, homolog, i-j, g)
 SELECT query, homolog, length, qi, ti FROM (SELECT *, row_number() OVER (PARTITION BY query, homolog ORDER BY length DESC, qi, ti) AS k FROM rn) WHERE k=1 AND length>=4""")
 def diagonal_seed_align(spark, sf):
-    return TP.diagonal_seed(candidates(spark, sf)).select("query", "homolog", "length", "qi", "ti")
+    return TP.diagonal_seed(spread(candidates(spark, sf), "query", "homolog")).select("query", "homolog", "length", "qi", "ti")
 
 
 @query("provenance_class")
 def provenance_class(spark, sf):
     """Residues of each query by what its best homolog says of them."""
     c = candidates(spark, sf)
-    al = TP.pairwise_align(c)
+    al = stored(TP.pairwise_align(spread(c, "query", "homolog")))
     best = TP.alignment_identity(al, c).groupBy("query").agg(F.max_by("homolog", F.struct(F.round("score", 9), -F.col("homolog"))).alias("homolog"))
     z = al.join(best, ["query", "homolog"]).join(c, ["query", "homolog"]).select("query", "qseq", "hseq", F.explode(F.arrays_zip("qi", "ti")).alias("z"))
     same = F.substr("qseq", F.col("z.qi") + 1, F.lit(1)) == F.substr("hseq", F.col("z.ti") + 1, F.lit(1))
