@@ -99,7 +99,7 @@ def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "v
     r = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
     r = r.select("b", value, w.alias("w"))
     if stat == "median":
-        m = r.filter("w > 0").groupBy("b").agg(F.percentile(value, 0.5, "w").alias("m"))
+        m = r.filter("w > 0").groupBy("b").agg(F.percentile(value, 0.5, F.col("w")).alias("m"))
     else:
         m = r.groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w").cast("double")).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.count("m").alias("draws"))

@@ -209,6 +209,32 @@ def consensus(points: DataFrame, reference: DataFrame, weights: DataFrame, group
         *[(F.sum(F.col("w") * F.col(k)) / F.sum("w")).alias(k) for k in XYZ], F.count("*").alias("n_models"))
 
 
+#: How the models of a target are ordered, best first, and weighted.
+RULES = {
+    "score_power": (lambda: -F.col("score"), lambda: F.pow("score", F.lit(C.PHI**6))),
+    "residual": (lambda: F.round("energy", 9), lambda: 1.0 / F.greatest("energy", F.lit(1e-12))),
+    "agreement": (lambda: -(F.col("identity") * F.col("coverage")), lambda: F.pow(F.col("identity") * F.col("coverage"), F.lit(8.0))),
+}
+
+
+def template_consensus(points: DataFrame, models: DataFrame, lengths: DataFrame, rule: str, group: list[str], each: list[str], top_k: int = 4,
+                       min_common: int = 8) -> DataFrame:
+    """Weighted mean of a target's best models, fitted to the best one, with gaps filled.
+
+    ``models`` is (group, each, score, identity, coverage, energy). By ``rule`` the ``top_k`` best are taken; a model that shares ``min_common`` residues
+    with the best is fitted on them. Residues that no fitted model covers are filled along the chain of ``lengths``. Ties go by score, then model.
+    """
+    order, weight = RULES[rule]
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(order(), F.desc("score"), *each))
+    top = models.withColumn("rank", rank).filter(F.col("rank") <= top_k).select(*group, *each, "rank", weight().alias("w"))
+    own = points.select(*group, *each, "idx", *XYZ).join(top, [*group, *each])
+    best = own.filter("rank = 1").select(*group, "idx", *XYZ)
+    fit = rotations(match_points(own, best, [*group, "idx"]), [*group, *each], min_common)
+    moved = apply_rotation(own, fit, [*group, *each])
+    mean = moved.groupBy(*group, "idx").agg(*[(F.sum(F.col("w") * F.col(k)) / F.sum("w")).alias(k) for k in XYZ])
+    return gap_fill(mean, group, lengths)
+
+
 def consensus_atoms(atoms: DataFrame, reference: DataFrame, group: list[str], each: list[str], primary) -> DataFrame:
     """Mean of an agreeing named atom, else the primary model's atom."""
     al = superpose(atoms, reference, group, each)

@@ -9,6 +9,7 @@ from ..functions.common import freeze
 from ..operators import evaluate as EV
 from ..operators import pairs as PR
 from ..operators.ranking import quantiles, with_quantiles
+from ..session import stored
 from .base import R, num, query, r6, table, with_
 from .pairs import EV as EVSQL
 from .pairs import P1, P3, chain_sql, scored
@@ -45,10 +46,13 @@ for _k in range(20):
 
 
 @query("bootstrap_ci", with_(SS, ACC) + f""", w AS (SELECT b, a, CASE {" ".join(POIS)} ELSE 20 END AS w FROM (SELECT b, a, ((g*7919+b*104729+g*b%99991)%1000003*48271%1000003+0.5::DOUBLE)/1000003.0::DOUBLE AS u FROM acc, range(2000) t(b))),
- m AS (SELECT b, sum(a*w)/nullif(sum(w),0)::DOUBLE AS m FROM w GROUP BY b) SELECT {R('quantile_cont(m,0.025)', 'lo')}, {R('quantile_cont(m,0.975)', 'hi')}, count(m) AS draws FROM m""")
+ m AS (SELECT b, sum(a*w)/nullif(sum(w),0)::DOUBLE AS m FROM w GROUP BY b), md AS (SELECT b, median(a) AS m FROM (SELECT b, a, unnest(range(w)) AS k FROM w) GROUP BY b)
+SELECT {R('quantile_cont(m,0.025)', 'lo')}, {R('quantile_cont(m,0.975)', 'hi')}, count(m) AS draws, (SELECT {R('quantile_cont(m,0.025)', 'x')} FROM md) AS median_lo, (SELECT {R('quantile_cont(m,0.975)', 'x')} FROM md) AS median_hi FROM m""")
 def bootstrap_ci(spark, sf):
     acc = ss(spark, sf).groupBy("g").agg(F.avg((F.col("obs") == F.col("pred")).cast("double")).alias("value")).withColumnRenamed("g", "id")
-    return EV.bootstrap_ci(acc, 2000).select(r6("lo"), r6("hi"), "draws")
+    acc = stored(acc)
+    median = EV.bootstrap_ci(acc, 2000, stat="median").select(F.struct(r6("lo"), r6("hi"))).scalar()
+    return EV.bootstrap_ci(acc, 2000).select(r6("lo"), r6("hi"), "draws", median["lo"].alias("median_lo"), median["hi"].alias("median_hi"))
 
 
 @query("permutation_enrichment", with_(SS, ACC) + f""", pc AS MATERIALIZED (SELECT g, s_nationkey AS kind, s_acctbal>5000 AS picked, (rank() OVER (ORDER BY a)-1)/count(*) OVER ()::DOUBLE AS pct FROM acc JOIN supplier ON s_suppkey=g),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import structures as ST
+from ..session import stored
 from .base import P, PI_, R, num, query, r6, spread, table, with_
 
 PTS = """raw AS (SELECT vec_id//8 AS target, vec_id%8 AS model, label, k AS idx, embedding[3*k+1]::DOUBLE AS ex, embedding[3*k+2]::DOUBLE AS ey, embedding[3*k+3]::DOUBLE AS ez
@@ -205,10 +206,20 @@ def superposed_mask(spark, sf):
 
 @query("consensus_coords")
 def consensus_coords(spark, sf):
+    """The consensus of each target's models by every rule; the chain is two residues longer than the models."""
     p = points(spark, sf)
-    w = scores(p).select("target", "model", F.pow("score", F.lit(C.PHI**6)).alias("w"))
-    c = ST.consensus(p.select("target", "model", "idx", "x", "y", "z"), reference(p), w, ["target"], ["model"])
-    return c.select("target", "idx", "n_models", r6("x"), r6("y"), r6("z"))
+    high = p.groupBy(*KEYS).agg(F.max("z").alias("top"))
+    measured = p.join(high, KEYS).filter("z < top").select(*KEYS, "idx", "x", "y", "z")
+    s = F.col("score")
+    models = scores(p).join(ST.interface_energy(p, KEYS).select(*KEYS, "energy"), KEYS).select(
+        *KEYS, "score", (0.4 + 0.6 * s).alias("identity"), (1.0 / (1.0 + F.col("model") / 8)).alias("coverage"), "energy")
+    measured, models = stored(measured), stored(models)
+    n = models.select("target").distinct().withColumn("n", F.lit(23))
+    out = None
+    for rule in ST.RULES:
+        c = ST.template_consensus(measured, models, n, rule, ["target"], ["model"]).select(F.lit(rule).alias("rule"), "target", "idx", r6("x"), r6("y"), r6("z"))
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 @query("consensus_atoms")

@@ -1,4 +1,4 @@
-"""Loop rebuilding and gap filling against residue loops."""
+"""Loop rebuilding, consensus and gap filling against residue loops."""
 
 import numpy as np
 
@@ -72,3 +72,51 @@ def test_loop_rebuild(spark):
     for target, w in want.items():
         mine = np.array([(r.x, r.y, r.z) for r in sorted((r for r in got if r.target == target), key=lambda r: r.idx)])
         assert mine.shape == w.shape and np.allclose(mine, w, atol=1e-6), target
+
+
+def test_template_consensus(spark):
+    points, models, want = [], [], {}
+    weights = {"score_power": lambda m: m[0] ** C.PHI**6, "residual": lambda m: 1 / max(m[3], 1e-12), "agreement": lambda m: (m[1] * m[2]) ** 8}
+    orders = {"score_power": lambda m: -m[0], "residual": lambda m: m[3], "agreement": lambda m: -m[1] * m[2]}
+    for target in range(4):
+        n = 22
+        x = np.cumsum(rng.normal(0, 2, (n, 3)), 0)
+        pool = []
+        for m in range(7):
+            q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+            q *= np.sign(np.linalg.det(q))
+            seen = (rng.random(n) < .8) & (np.arange(n) > 1) & (np.arange(n) < 20)
+            if m == 3:
+                seen[8:] = False
+            y = (x + rng.normal(0, .3, x.shape)) @ q + rng.normal(0, 5, 3)
+            facts = tuple(float(v) for v in rng.uniform(.3, 1, 3)) + (float(rng.uniform(0, 3)),)
+            pool.append((facts, y, seen))
+            models.append((target, m, *facts))
+            points += [(target, m, int(i), *map(float, y[i])) for i in np.flatnonzero(seen)]
+        for rule in weights:
+            top = sorted(pool, key=lambda c: orders[rule](c[0]))[:4]
+            acc, total, ref = np.zeros((n, 3)), np.zeros(n), top[0]
+            for facts, y, seen in top:
+                common = np.flatnonzero(seen & ref[2])
+                if len(common) < 8:
+                    continue
+                a, b = y[common], ref[1][common]
+                u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
+                r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+                moved = (y - a.mean(0)) @ r.T + b.mean(0)
+                acc[seen] += weights[rule](facts) * moved[seen]
+                total[seen] += weights[rule](facts)
+            covered = total > 0
+            mean = np.zeros((n, 3))
+            mean[covered] = acc[covered] / total[covered, None]
+            if covered.sum() > 1:
+                want[rule, target] = fill(mean, ~covered)
+    p = spark.createDataFrame(points, "target int, model int, idx int, x double, y double, z double")
+    m = spark.createDataFrame(models, "target int, model int, score double, identity double, coverage double, energy double")
+    n = m.select("target").distinct().selectExpr("target", "22 n")
+    for rule in weights:
+        got = ST.template_consensus(p, m, n, rule, ["target"], ["model"]).collect()
+        assert {r.target for r in got} == {t for k, t in want if k == rule}
+        for target in {r.target for r in got}:
+            mine = np.array([(r.x, r.y, r.z) for r in sorted((r for r in got if r.target == target), key=lambda r: r.idx)])
+            assert np.allclose(mine, want[rule, target], atol=1e-6), (rule, target)

@@ -10,7 +10,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 KEYS = ["genome_observables", "codon_usage", "translate_orf", "phenotype_table", "aa_dim_join", "region_tunnel", "region_runs",
         "region_viterbi", "domain_slices", "proximity_channels", "top_l_precision", "msa_column_stats", "mutual_information",
         "variant_score", "kabsch_rmsd", "ss_geometry", "gap_interpolate", "contact_join", "frame_step_join", "confusion",
-        "spearman", "read_pdb_atoms", "read_stockholm", "stream_genome_observables", "kmer_seed_join"]
+        "spearman", "read_pdb_atoms", "read_stockholm", "stream_genome_observables", "kmer_seed_join",
+        "hinge_split", "leader_cluster", "neff_clusters", "category_summary", "section_router", "read_tracks", "interface_card", "interface_mae",
+        "permutation_enrichment", "diagonal_seed_align", "measured_springs", "region_membership", "stream_frame_steps", "bootstrap_ci", "profile_fallback"]
 
 
 def plain(v):
