@@ -34,7 +34,7 @@ from .bwt import merged_blocks
 from .common import stored, task_count
 from .textcore import U, flat, grams, slices, word_hashes
 
-LENGTH, GRAM = 100, 28
+LENGTH, GRAM = 100, 40
 BUCKET, GROUP, PIECE = 250_000, 16 << 20, 8 << 20
 #: Fragment bytes of a bucket on average, and of one merge.
 FRAGMENTS, MERGE = 1 << 20, 1 << 18
