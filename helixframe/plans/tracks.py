@@ -143,10 +143,27 @@ def link_staged(spark, sf):
     return T.link_staged(dets(spark, sf))
 
 
-@query("greedy_match")
+def greedy_sql(passes: list[tuple[float, int]]) -> str:
+    """Passes of (radius, tier): in id order the truth rows left take their nearest detection left, frame by frame."""
+    out, done = [], "SELECT NULL::BIGINT AS dataset, NULL::BIGINT AS gt, NULL::BIGINT AS det_id, NULL::DOUBLE AS d WHERE false"
+    for i, (r, tier) in enumerate(passes):
+        out.append(f"""k{i} AS MATERIALIZED ({done}),
+o{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY gt) AS k FROM (SELECT dataset, t, gt, list({{'det_id': det_id, 'd': d}} ORDER BY d, det_id) AS c FROM gm
+ WHERE d<={num(r)} AND tier={tier} AND NOT EXISTS (SELECT 1 FROM k{i} x WHERE x.dataset=gm.dataset AND x.gt=gm.gt) AND NOT EXISTS (SELECT 1 FROM k{i} x WHERE x.dataset=gm.dataset AND x.det_id=gm.det_id) GROUP BY dataset, t, gt)),
+r{i} AS (SELECT DISTINCT dataset, t, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS gt, NULL::STRUCT(det_id BIGINT, d DOUBLE) AS got FROM o{i}
+ UNION ALL SELECT dataset, t, k, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.det_id) END, gt, got FROM (SELECT o.dataset, o.t, o.k, used, o.gt, list_filter(c, lambda x: NOT list_contains(used, x.det_id))[1] AS got
+  FROM r{i} r JOIN o{i} o ON o.dataset=r.dataset AND o.t=r.t AND o.k=r.k+1))""")
+        done = f"SELECT * FROM k{i} UNION ALL SELECT dataset, gt, got.det_id, got.d FROM r{i} WHERE got IS NOT NULL"
+    return ",\n".join(out) + ",\nfound AS (" + done + ")"
+
+
+GREEDY = greedy_sql([(r, tier) for r in (C.NMS_UM, C.MATCH_UM) for tier in (1, 2)])
+
+
+@query("greedy_match", with_(DET, GT, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT dataset, gt, det_id, {R('d', 'd')} FROM found")
 def greedy_match(spark, sf):
     d = dets(spark, sf)
-    return T.greedy_match(nodes(d), d, seed=C.NMS_UM, primary=True, fill=True)
+    return T.greedy_match(nodes(d), d, seed=C.NMS_UM, primary=True, fill=True).select("dataset", "gt", "det_id", r6("d"))
 
 
 @query("centroid_recall")
