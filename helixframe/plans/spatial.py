@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.common import dist
 from ..operators import spatial as SP
-from ..session import cut_lineage
+from ..session import stored
 from ..operators import structures as ST
 from .base import R, num, query, r6, table, with_
 from .structures import PTS, kabsch_sql, points
@@ -51,33 +51,38 @@ def trace(a):
     return protein(a).groupBy("structure", "chain", "idx").agg(*[F.min(k).alias(k) for k in "xyz"])
 
 
-def contacts(spark, sf):
-    """Contacts of protein atoms with partners of every kind, from one pass: a partner row brings its own radius and grid.
+RADIUS = {**RADII, "ppi": C.CONTACT}
 
-    Returned with the atoms, both stored once.
+
+def contacts(spark, sf, *kinds):
+    """Contacts of protein atoms with partners of the given kinds (all without), from one pass: a partner row brings its own radius.
+
+    Returned with the atoms, which are stored once. A protein atom is in one cell of a grid for all kinds, and a partner in
+    those within its own radius; contacts themselves are not stored, queries aggregate them.
     """
-    a = cut_lineage(atoms(spark, sf))
-    radius = {**RADII, "ppi": C.CONTACT}
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(r)).alias("r")) for k, r in radius.items()])
-    left = side(protein(a), "l", "chain", "idx").withColumn("k", F.explode(kinds)).select("*", "k.*").drop("k")
-    r = F.lit(None).cast("double")
-    for k, v in radius.items():
-        r = F.when(F.col("kind") == k, float(v)).otherwise(r)
+    a = stored(atoms(spark, sf))
+    left = SP.with_cell(side(protein(a), "l", "chain", "idx"), "l", C.CONTACT)
     right = side(a.withColumns({"other": F.when(F.col("kind") == "protein", F.col("chain")), "kind": F.when(F.col("kind") == "protein", "ppi").otherwise(F.col("kind"))}),
-                 "r", "kind", "other", F.col("serial").alias("partner")).withColumn("own", r)
-    right = SP.with_cell(right, "r", F.col("own"), spread=True)
-    j = SP.with_cell(left, "l", F.col("r")).join(right, ["structure", "kind", *SP.CELL]).withColumn("d", dist("l", "r")).filter(F.col("d") <= F.col("r"))
+                 "r", "kind", "other", F.col("serial").alias("partner"))
+    own = F.lit(None).cast("double")
+    for k in kinds or RADIUS:
+        own = F.when(F.col("kind") == k, float(RADIUS[k])).otherwise(own)
+    right = SP.spread_cells(right.filter(F.col("kind").isin(*(kinds or RADIUS))), "r", own, C.CONTACT * SP.SIDE)
+    j = left.join(right.hint("merge"), ["structure", *SP.CELL]).withColumn("d", dist("l", "r")).filter(F.col("d") <= own)
     j = j.filter(F.col("other").isNull() | (F.col("chain") != F.col("other")))
-    return cut_lineage(j.select("structure", "kind", "chain", "idx", "partner", "d")), a
+    return j.select("structure", "kind", "chain", "idx", "partner", "d"), a
 
 
 @query("contact_join", BASE + " UNION ALL ".join(
     f"SELECT structure, '{k}' AS kind, count(*) AS n_contacts, count(DISTINCT chain||idx) AS n_residues, {R('min(d)', 'min_d')}, {R('avg(d)', 'mean_d')} FROM h_{k} GROUP BY structure"
     for k in (*RADII, "ppi")))
 def contact_join(spark, sf):
-    return contacts(spark, sf)[0].groupBy("structure", "kind").agg(
-        F.count("*").alias("n_contacts"), F.count_distinct(F.concat("chain", F.col("idx").cast("string"))).alias("n_residues"),
-        r6(F.min("d"), "min_d"), r6(F.avg("d"), "mean_d"))
+    # a residue at a time first: what then travels grows with the residues and not with their contacts
+    r = contacts(spark, sf)[0].groupBy("structure", "kind", "chain", "idx").agg(
+        F.count("*").alias("n"), F.min("d").alias("least"), F.sum("d").alias("total"))
+    return r.groupBy("structure", "kind").agg(
+        F.sum("n").alias("n_contacts"), F.count_distinct(F.concat("chain", F.col("idx").cast("string"))).alias("n_residues"),
+        r6(F.min("least"), "min_d"), r6(F.sum("total") / F.sum("n"), "mean_d"))
 
 
 SPRINGS = " UNION ALL ".join(f"""SELECT '{k}' AS source, c.structure, c.chain, c.i, c.j, c.partner, sqrt(pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2)) AS d0, {num(SP.RESIDUAL_OF[k])} AS r FROM
@@ -89,13 +94,12 @@ SEPS = {"metal": 1, "ligand": 2, "dna": 3}
 
 
 def springs(spark, sf, *kinds):
-    found, a = contacts(spark, sf)
-    ca, out = trace(a), None
-    for k in kinds:
-        c = found.filter(F.col("kind") == k).select("structure", "chain", "partner", F.col("idx").alias("i"))
-        d = SP.shared_contact_springs(c, ca, ["structure", "chain"], SEPS[k]).withColumns({"source": F.lit(k), "r": F.lit(SP.RESIDUAL_OF[k])})
-        out = d if out is None else out.unionByName(d)
-    return out, ca
+    found, a = contacts(spark, sf, *kinds)
+    c = found.select(F.col("kind").alias("source"), "structure", "chain", "partner", F.col("idx").alias("i"))
+    pick = lambda of: F.element_at(F.create_map(*[F.lit(x) for k in kinds for x in (k, of[k])]), F.col("source"))
+    ca = stored(trace(a))
+    out = SP.shared_contact_springs(c, ca, ["structure", "chain"], pick(SEPS), ["source"])
+    return out.withColumn("r", pick(SP.RESIDUAL_OF)), ca
 
 
 @query("shared_contact_springs", BASE + f", spr AS ({SPRINGS}) SELECT source, structure, chain, i, j, partner, {R('d0', 'd0')}, {R('r', 'r')} FROM spr")
@@ -200,8 +204,8 @@ def burial_count(spark, sf):
 SELECT n.structure, n.chain, n AS n_residues, {R('(SELECT count(*) FROM oc WHERE oc.structure=n.structure AND oc.chain=n.chain)/n::DOUBLE', 'near_chain')},
  {R('(SELECT count(*) FROM het WHERE het.structure=n.structure AND het.chain=n.chain)/n::DOUBLE', 'near_hetero')} FROM n""")
 def structure_context(spark, sf):
-    a = atoms(spark, sf)
-    ca = trace(a)
+    a = stored(atoms(spark, sf))
+    ca = stored(trace(a))
     left = side(ca, "l", "chain", "idx")
     keys = ["structure", "chain", "idx"]
     other = SP.contact_join(left, side(protein(a), "r", F.col("chain").alias("oc")), 6.0, ["structure"], strict=True).filter("chain <> oc")

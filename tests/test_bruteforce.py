@@ -101,6 +101,26 @@ def test_contact_join_copies_few_and_broadcasts_none(spark):
     assert SP.with_cell(right, "r", 5.0, spread=True).count() < 200 * 27 / 3
 
 
+def test_springs_shuffle_pairs_once(spark):
+    """Places come along with the contacts, so nothing is joined to the pairs."""
+    touch = {(str(k), int(p), int(i)) for k, p, i in zip(rng.choice(["a", "b"], 300), rng.integers(0, 20, 300), rng.integers(0, 40, 300))}
+    at = rng.random((38, 3)) * 30
+    c = spark.createDataFrame([(k, 0, p, i) for k, p, i in touch] * 2, "source string, s int, partner int, i int")
+    ca = spark.createDataFrame([(0, k, *map(float, v)) for k, v in enumerate(at)], "s int, idx int, x double, y double, z double")
+    sep = {"a": 1, "b": 4}
+    got = SP.shared_contact_springs(c, ca, ["s"], F.when(F.col("source") == "a", 1).otherwise(4), ["source"])
+    want = {}
+    for k, p, i in touch:
+        for l, q, j in touch:
+            if k == l and p == q and j - i >= sep[k] and j < 38:
+                want[k, i, j] = min(p, want.get((k, i, j), p))
+    rows = got.collect()
+    assert {(r.source, r.i, r.j): r.partner for r in rows} == want and len(rows) == len(want)
+    assert all(abs(r.d0 - np.linalg.norm(at[r.i] - at[r.j])) < 1e-9 for r in rows)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1
+
+
 def test_superpose_recovers_a_rotation(spark):
     p = rng.random((12, 3)) * 10
     th = 0.7
