@@ -174,3 +174,15 @@ def test_peak_detect_finds_blobs(spark):
     v = spark.createDataFrame(rows, "dataset bigint, t bigint, z bigint, y bigint, x bigint, v double")
     first = sorted((round(r.z), round(r.y), round(r.x)) for r in T.peak_detect(v).filter("tier = 1").collect())
     assert first == [(3, 30, 28), (4, 10, 10)]
+
+
+def test_first_models_do_not_make_lines_travel(spark):
+    """Where few files hold several models, their ends are sent to the lines."""
+    from helixframe.sources import pdb as PDB
+
+    atom = "ATOM  %5d CA   ALA A%4d    %8.3f%8.3f%8.3f"
+    rows = [(f"p{f}", k, "ENDMDL" if f == 3 and k in (4, 8) else atom % (k, k, k, k, f)) for f in range(6) for k in range(12)]
+    lines = spark.createDataFrame(rows, "pdb_id string, line_no int, value string")
+    got = PDB.atoms(lines)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.pdb_id, r.line_no) for r in got.collect()) == sorted((p, k) for p, k, _ in rows if p != "p3" or k < 4)
