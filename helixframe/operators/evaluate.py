@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ranking import rank_within, top_n, value_ranks, with_quantiles
+from .sequences import spread
 
 
 def pearson(x, y) -> Column:
@@ -115,15 +116,16 @@ def permutation_enrichment(values: DataFrame, trials: int = 20_000) -> DataFrame
     pc = v.join(value_ranks(v, ["all"], "value"), ["all", "value"]).select("all", "id", "kind", "picked", (F.col("below") / F.col("total")).alias("pct"))
     pc = cut_lineage(pc)
     seen = pc.filter("picked").groupBy("all").agg(F.count("*").alias("k"), F.avg("pct").alias("obs"))
-    trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)).cast("array<bigint>")).alias("t")
-    t = pc.select("all", "id", "pct", trial).join(seen, "all")
+    # joined and not exploded, so that Spark's estimate counts the trials and no side of that size is broadcast
+    trial = F.broadcast(pc.sparkSession.range(trials).withColumnRenamed("id", "t"))
+    t = spread(pc.select("all", "id", "pct"), "id").crossJoin(trial).join(F.broadcast(seen), "all")
     t = t.withColumn("score", -((F.col("id") * 7919 + F.col("t") * 104729 + F.col("id") * F.col("t") % 6007) % 100003).cast("double"))
     reach = lambda name: F.avg((F.round("m", 12) >= F.round("obs", 12)).cast("double")).alias(name)
     free = top_n(t, ["t"], "score", "k", ["id"], step=1000.0).groupBy("t", "k", "obs").agg(F.avg("pct").alias("m"))
     free = free.agg(F.max("k").alias("n_set"), F.max("obs").alias("observed"), reach("p_value"))
     place = rank_within(pc.select("kind", "id", "pct", (-F.col("id")).alias("_s")), ["kind"], "_s", ["id"]).select("kind", (F.col("rank") - 1).alias("o"), "pct")
     size = pc.groupBy("kind").agg(F.count("*").alias("size"))
-    drawn = pc.filter("picked").join(size, "kind").select("kind", "id", "size", trial)
+    drawn = spread(pc.filter("picked").select("kind", "id").join(size, "kind"), "id").crossJoin(trial)
     drawn = drawn.withColumn("o", (F.col("id") * 48271 + F.col("t") * 104729 + 7) % 2147483647 * 69621 % 2147483647 % F.col("size"))
     same = drawn.join(place, ["kind", "o"]).groupBy("t").agg(F.avg("pct").alias("m")).withColumn("all", F.lit(0)).join(seen, "all").agg(reach("p_same_kind"))
     return free.withColumn("p_same_kind", same.scalar())

@@ -186,3 +186,19 @@ def test_first_models_do_not_make_lines_travel(spark):
     got = PDB.atoms(lines)
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.pdb_id, r.line_no) for r in got.collect()) == sorted((p, k) for p, k, _ in rows if p != "p3" or k < 4)
+
+
+def test_permutation_trials_are_counted_in_estimates(spark):
+    """Rows times trials must look as large as they are, or they are broadcast through the driver."""
+    from helixframe.operators import evaluate as EV
+
+    v = spark.createDataFrame([(k, float(k * 37 % 101), k % 3, k % 2 == 0) for k in range(40)], "id bigint, value double, kind int, picked boolean")
+    got = EV.permutation_enrichment(v, 50)
+    assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+    r = got.first()
+    pct = {k: sum(j * 37 % 101 < k * 37 % 101 for j in range(40)) / 40 for k in range(40)}
+    obs = np.mean([pct[k] for k in range(0, 40, 2)])
+    score = lambda k, t: ((k * 7919 + t * 104729 + k * t % 6007) % 100003, k)
+    free = [np.mean([pct[k] for k in sorted(range(40), key=lambda k: score(k, t))[:20]]) for t in range(50)]
+    assert r.n_set == 20 and abs(r.observed - obs) < 1e-9
+    assert abs(r.p_value - np.mean([round(m, 12) >= round(obs, 12) for m in free])) < 1e-9
