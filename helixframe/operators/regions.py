@@ -147,6 +147,27 @@ def residue_regions(labels) -> Column:
     return F.flatten(F.transform(run_array(labels), paint))
 
 
+def membership_array(labels) -> Column:
+    """Numbered region of every residue in order, as ``region_array`` counts them; NULL outside regions."""
+    none = F.lit(None).cast("struct<region:int,kind:string,start:int,end:int>")
+
+    def paint(found: Column, n: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(found, k - 1)["end"], F.lit(-1))
+        parts = F.transform(found, lambda r, k: F.concat(
+            F.array_repeat(none, r["start"] - before(k) - 1), F.array_repeat(r, r["end"] - r["start"] + 1)))
+        return F.concat(F.flatten(parts), F.array_repeat(none, n - 1 - before(F.size(found))))
+
+    return let(col(labels), lambda s: let(region_array(s), lambda found: paint(found, F.length(s))))
+
+
+def sequence_membership(seqs: DataFrame, mode: str = "frustrated") -> DataFrame:
+    """Every residue with the region that holds it, as ``region_membership`` gives it for ``detect_regions``, without leaving the row."""
+    labels = viterbi_labels("seq") if mode == "viterbi" else tunnel_labels("seq", mode)
+    both = F.arrays_zip(letters_of("seq").alias("aa"), membership_array(labels).alias("r"))
+    return (seqs.filter(F.length("seq") > 0).select("seq_id", F.posexplode(both).alias("pos", "p"))
+            .select("seq_id", "pos", F.col("p.aa").alias("aa"), *[F.col(f"p.r.{k}").alias(k) for k in ("region", "kind", "start", "end")]))
+
+
 def painted(labels) -> Column:
     """Labels with runs too short to be a region turned to coil, same length."""
     s = col(labels)

@@ -160,8 +160,7 @@ SELECT l.seq_id, l.pos, l.aa, r.region, r.kind FROM lab l LEFT JOIN (SELECT seq_
  ON r.seq_id=l.seq_id AND r.pos=l.pos""")
 def region_membership(spark, sf):
     t = spread_if_few(turns(spark, sf), "seq_id")
-    res = t.select("seq_id", F.posexplode(letters_of("seq")).alias("pos", "aa"))
-    return RG.region_membership(res, RG.detect_regions(t)).select("seq_id", "pos", "aa", "region", "kind")
+    return RG.sequence_membership(t).select("seq_id", "pos", "aa", "region", "kind")
 
 
 LOGS = ",".join("('{}',{!r}::DOUBLE,{!r}::DOUBLE,{!r}::DOUBLE)".format(a, *(math.log(x) for x in RG.propensity(a, True))) for a in C.AA20)

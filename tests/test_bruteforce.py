@@ -202,3 +202,15 @@ def test_permutation_trials_are_counted_in_estimates(spark):
     free = [np.mean([pct[k] for k in sorted(range(40), key=lambda k: score(k, t))[:20]]) for t in range(50)]
     assert r.n_set == 20 and abs(r.observed - obs) < 1e-9
     assert abs(r.p_value - np.mean([round(m, 12) >= round(obs, 12) for m in free])) < 1e-9
+
+
+def test_membership_stays_in_the_row(spark):
+    from helixframe.functions.bases import letters_of
+    from helixframe.operators import regions as RG
+
+    seqs = spark.createDataFrame([(k, "".join(rng.choice(list(C.AA20), n))) for k, n in enumerate([0, 1, 3, 4, 70, 400])] + [(9, "A" * 6), (10, None)], "seq_id int, seq string")
+    got = RG.sequence_membership(seqs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    res = seqs.select("seq_id", F.posexplode(letters_of("seq")).alias("pos", "aa")).filter("aa <> ''")
+    want = RG.region_membership(res, RG.detect_regions(seqs))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
