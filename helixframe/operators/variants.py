@@ -131,8 +131,12 @@ def classify_codon_change(df: DataFrame) -> DataFrame:
 
 
 def position_domain(variants: DataFrame, domains: DataFrame, block: int = 16) -> DataFrame:
-    """First domain (by ord) containing the position, else the gene default."""
-    cut = domains.withColumn("_b", F.explode(F.sequence(
+    """First domain (by ord) containing the position, else the gene default.
+
+    Of domains with the same ends only the first can be asked for, so a block holds no more rows than there are pairs of ends.
+    """
+    ends = domains.groupBy("gene", "start", "end").agg(F.min("ord").alias("ord"), F.min_by("pfam", "ord").alias("pfam"))
+    cut = ends.withColumn("_b", F.explode(F.sequence(
         F.floor(F.col("start") / block), F.floor(F.col("end") / block)))).select("gene", "_b", "ord", "pfam", "start", "end")
     keys = variants.columns
     j = variants.withColumn("_b", F.floor(F.col("pos") / block)).join(cut, ["gene", "_b"], "left")

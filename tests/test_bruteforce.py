@@ -214,3 +214,14 @@ def test_membership_stays_in_the_row(spark):
     res = seqs.select("seq_id", F.posexplode(letters_of("seq")).alias("pos", "aa")).filter("aa <> ''")
     want = RG.region_membership(res, RG.detect_regions(seqs))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_domains_of_the_same_ends_meet_positions_once(spark):
+    from helixframe.operators import variants as V
+
+    doms = spark.createDataFrame([(0, 3, 9, k, f"d{k}") for k in range(7, 60)] + [(0, 5, 6, 2, "first")], "gene int, start int, end int, ord int, pfam string")
+    pos = spark.createDataFrame([(0, p) for p in (2, 3, 5, 9, 10)], "gene int, pos int")
+    got = V.position_domain(pos, doms)
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "Aggregate" in below
+    assert [r.pfam for r in got.orderBy("pos").collect()] == ["default_0", "d7", "first", "d7", "default_0"]
