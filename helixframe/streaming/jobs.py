@@ -50,33 +50,64 @@ def frame_steps(dets: DataFrame, delay: str) -> DataFrame:
 
 
 LINK_ROWS = "dataset long, t long, version long, src long, dst long, d double"
-_FRAME = "t long, det_id long, z double, y double, x double, intensity double, pz double, py double, px double"
-_FRAME_COLS = [c.split()[0] for c in _FRAME.split(", ")]
+#: A detection of a frame, and the place of the parent of one, as they lie in the state.
+DETECTION = np.dtype([("det_id", "<i8"), *((k, "<f8") for k in ("x", "y", "z", "intensity"))])
+PARENT = np.dtype([("det_id", "<i8"), *((k, "<f8") for k in ("pz", "py", "px"))])
+#: Rows of a batch that are kept in memory before they go to the state.
+WAITING = 1_000_000
+
+
+def _dense(v: np.ndarray) -> np.ndarray:
+    """Cell numbers from 1 up without wide gaps; neighbours stay neighbours and others do not become ones."""
+    u, at = np.unique(v, return_inverse=True)
+    return np.concatenate([[1], 1 + np.cumsum(np.minimum(np.diff(u), 2))]).astype(np.int64)[at]
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of points within r, by grid cells."""
-    cells: dict[tuple, list[int]] = {}
-    for j, c in enumerate(map(tuple, np.floor(b / r).astype(int).tolist())):
-        cells.setdefault(c, []).append(j)
-    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    """Positions of all pairs of points within r, by grid cells.
+
+    The points of ``b`` are sorted by cell, so the three cells along the last axis are one range of them.
+    """
+    at, bt = (np.flatnonzero(np.isfinite(p).all(axis=1)) for p in (a, b))
+    if not len(at) or not len(bt):
+        return np.empty(0, int), np.empty(0, int)
+    cells = np.floor(np.concatenate([a[at], b[bt]]) / (r * (1 + 1e-9)))
+    ca, cb = np.split(np.column_stack([_dense(c) for c in cells.T]), [len(at)])
+    wide = np.maximum(ca.max(axis=0), cb.max(axis=0)) + 2
+    known, place = np.unique(cb[:, 0] * wide[1] + cb[:, 1], return_inverse=True)
+    key = place * wide[2] + cb[:, 2]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     left, right = [], []
-    for i, (x, y, z) in enumerate(np.floor(a / r).astype(int).tolist()):
-        for dx, dy, dz in around:
-            for j in cells.get((x + dx, y + dy, z + dz), ()):
-                left.append(i)
-                right.append(j)
-    left, right = np.array(left, int), np.array(right, int)
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            column = (ca[:, 0] + dx) * wide[1] + ca[:, 1] + dy
+            k = np.minimum(np.searchsorted(known, column), len(known) - 1)
+            i = np.flatnonzero(known[k] == column)
+            mid = k[i] * wide[2] + ca[i, 2]
+            lo, hi = np.searchsorted(key, mid - 1, "left"), np.searchsorted(key, mid + 1, "right")
+            n = hi - lo
+            left.append(np.repeat(i, n))
+            right.append(order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    left, right = at[np.concatenate(left)], bt[np.concatenate(right)]
     near = np.sqrt(((a[left] - b[right]) ** 2).sum(axis=1)) <= r
     return left[near], right[near]
 
 
+def _packed(columns: pd.DataFrame, kind: np.dtype) -> bytes:
+    out = np.empty(len(columns), kind)
+    for k in kind.names:
+        out[k] = columns[k].to_numpy()
+    return out.tobytes()
+
+
 class FrameLinker(StatefulProcessor):
-    """Links of one dataset's open frames, with the places of the parents of its last closed frame.
+    """Links of one dataset's open frames, with the places of the parents of their detections.
 
-    The state holds the frames that the watermark has not passed and the one before them. Every batch links them anew and
-    writes the links of each open step with a higher version, so a detection that comes late, but within the delay, changes what follows from it. A timer at the end
-    of each frame closes it: what is before it leaves the state.
+    The state holds the frames that the watermark has not passed and the one before them, each under its own keys, and the parents of each
+    frame. A batch links the steps that its detections touch, two frames in memory at a time, and those after them as long as the
+    parents differ from what was known, and writes their links with a higher version. So a detection that comes late, but within the delay, changes what
+    follows from it and nothing else is done again. A timer at the end of each frame closes it: what is before it leaves the state.
     """
 
     def __init__(self, gate: float, step_ms: int):
@@ -84,63 +115,81 @@ class FrameLinker(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.frames = handle.getListState("frames", _FRAME)
+        self.held = handle.getListState("held", "t long, parts long")
+        self.frames = handle.getMapState("frames", "t long, part long", "rows binary")
+        self.parents = handle.getMapState("parents", "t long", "rows binary")
         self.version = handle.getValueState("version", "n long")
 
-    def _held(self) -> pd.DataFrame:
-        rows = [tuple(r) for r in self.frames.get()] if self.frames.exists() else []
-        return pd.DataFrame(rows, columns=_FRAME_COLS)
+    def _held(self) -> dict[int, int]:
+        return {int(r[0]): int(r[1]) for r in self.held.get()} if self.held.exists() else {}
 
-    def _steps(self, held: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        frames = dict(list(held.groupby("t")))
-        for t in sorted(frames):
-            if t + 1 not in frames:
-                continue
-            a, b = frames[t], frames[t + 1]
-            i, j = near_pairs(a[["z", "y", "x"]].to_numpy(), b[["z", "y", "x"]].to_numpy(), C.STEP_UM)
-            left, right = a.iloc[i].reset_index(drop=True), b.iloc[j].reset_index(drop=True)
-            part = pd.DataFrame({"t": left["t"], "src": left["det_id"], "dst": right["det_id"], "li": left["intensity"], "ri": right["intensity"]})
-            for k in "zyx":
-                part[f"l{k}"], part[f"r{k}"], part[f"p{k}"] = left[k], right[k], left[f"p{k}"]
-            part["d"] = np.sqrt(sum((part[f"l{k}"] - part[f"r{k}"]) ** 2 for k in "zyx"))
-            parts.append(part)
-        out = pd.concat(parts) if parts else pd.DataFrame(columns=["t", "src", "dst", "d", *(f"{s}{k}" for s in "lr" for k in "zyxi"), "pz", "py", "px"])
-        return out.assign(dataset=0, gate=self.gate)
-
-    def _links(self, held: pd.DataFrame) -> pd.DataFrame:
-        own = held[held["pz"].notna()]
-        return step_links(self._steps(held), dict(zip(own["det_id"].tolist(), zip(own["pz"], own["py"], own["px"], strict=True), strict=True)))
+    def _frame(self, t: int, parts: int) -> np.ndarray:
+        return np.frombuffer(b"".join(bytes(self.frames.getValue((t, k))[0]) for k in range(parts)), DETECTION)
+
+    def _parents(self, t: int) -> bytes:
+        return bytes(self.parents.getValue((t,))[0]) if self.parents.containsKey((t,)) else b""
+
+    def _step(self, t: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        i, j = near_pairs(*(np.column_stack([p[k] for k in "xyz"]) for p in (a, b)), C.STEP_UM)
+        left, right = a[i], b[j]
+        part = {"t": t, "src": left["det_id"], "dst": right["det_id"], "li": left["intensity"], "ri": right["intensity"], "gate": self.gate, "dataset": 0}
+        for k in "zyx":
+            part[f"l{k}"], part[f"r{k}"] = left[k], right[k]
+        return pd.DataFrame({**part, "d": np.sqrt(sum((left[k] - right[k]) ** 2 for k in "xyz"))})
+
+    def _store(self, held: dict[int, int], waiting: dict[int, list[bytes]]) -> None:
+        for t, parts in waiting.items():
+            self.frames.updateValue((t, held.get(t, 0)), (b"".join(parts),))
+            held[t] = held.get(t, 0) + 1
+        waiting.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        for t in new["t"].unique():
-            self.handle.registerTimer(int(t + 1) * self.step_ms)
-        self.frames.appendList([(int(r.t), int(r.det_id), float(r.z), float(r.y), float(r.x), float(r.intensity), None, None, None) for r in new.itertuples()])
+        held, new, waiting, n = self._held(), set(), {}, 0
+        for pdf in rows:
+            for t, part in pdf.groupby("t"):
+                waiting.setdefault(int(t), []).append(_packed(part, DETECTION))
+            new.update(waiting)
+            n += len(pdf)
+            if n >= WAITING:
+                self._store(held, waiting)
+                n = 0
+        self._store(held, waiting)
+        self.held.put(sorted(held.items()))
+        for t in new:
+            self.handle.registerTimer((t + 1) * self.step_ms)
         version = (self.version.get()[0] if self.version.exists() else 0) + 1
         self.version.update((version,))
-        held = self._held()
-        links = self._links(held)
-        steps = pd.DataFrame({"t": [t for t in sorted(held["t"].unique())]})
-        # a step without links still says so: an earlier version may have had some
-        out = steps.merge(links[["t", "src", "dst", "d"]].astype({"t": "int64"}), on="t", how="left")
-        out.insert(0, "dataset", key[0])
-        out.insert(2, "version", version)
-        yield out.astype({"src": "Int64", "dst": "Int64"})
+        ready, changed = (None, None), None
+        for t in sorted(held):
+            if not (t in new or t + 1 in new or t == changed):
+                continue
+            links, frame = None, None
+            if t + 1 in held:
+                own = np.frombuffer(self._parents(t), PARENT)
+                frame = self._frame(t + 1, held[t + 1])
+                before = ready[1] if ready[0] == t else self._frame(t, held[t])
+                links = step_links(self._step(t, before, frame), dict(zip(own["det_id"].tolist(), zip(*(own[k].tolist() for k in ("pz", "py", "px")), strict=True), strict=True)))
+                after = _packed(links.rename(columns={"dst": "det_id"}).sort_values("det_id"), PARENT)
+                if after != self._parents(t + 1):
+                    self.parents.updateValue((t + 1,), (after,))
+                    changed = t + 1
+            ready = (t + 1, frame)
+            # a step without links still says so: an earlier version may have had some
+            out = links[["src", "dst", "d"]] if links is not None and len(links) else pd.DataFrame({"src": [None], "dst": [None], "d": [None]})
+            out = out.assign(dataset=key[0], t=t, version=version)[["dataset", "t", "version", "src", "dst", "d"]]
+            yield out.astype({"src": "Int64", "dst": "Int64", "d": "float64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = expiredTimerInfo.getExpiryTimeInMs() // self.step_ms - 1
         held = self._held()
-        # the frame stays until the next one closes: what comes may still be linked to it
-        keep = held[held["t"] >= last]
-        if len(keep) < len(held):
-            links = self._links(held[held["t"] <= last])
-            parents = {r.dst: (r.pz, r.py, r.px) for r in links[links["t"] == last - 1].itertuples()}
-            rows = []
-            for r in keep.itertuples(index=False):
-                p = parents.get(r.det_id) if r.t == last else None
-                rows.append((int(r.t), int(r.det_id), r.z, r.y, r.x, r.intensity, *(map(float, p) if p else (None, None, None))))
-            self.frames.put(rows)
+        # the frame and its parents stay until the next one closes: what comes may still be linked to it
+        gone = [t for t in held if t < last]
+        for t in gone:
+            for part in range(held.pop(t)):
+                self.frames.removeKey((t, part))
+            self.parents.removeKey((t,))
+        if gone:
+            self.held.put(sorted(held.items()))
         return iter(())
 
     def close(self) -> None:

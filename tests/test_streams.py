@@ -1,11 +1,12 @@
 """Streams read a table whether it is one file or a folder of part files."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe import constants as C
-from helixframe.operators.tracks import link_frames
+from helixframe.operators.tracks import assign, link_frames
 from helixframe.plans import load
 from helixframe.streaming import jobs as J
 
@@ -61,3 +62,87 @@ def test_registered_stream_equals_the_batch(spark):
     queries = load()[0]
     rows = lambda name: sorted(map(tuple, queries[name](spark, SF).select("dataset", "src", "dst").collect()))
     assert rows("stream_link_frames") == rows("link_frames") != []
+
+
+class _Kept:
+    """State of one key in plain memory that counts what is read."""
+
+    def __init__(self, reads):
+        self.reads, self.rows, self.at = reads, [], {}
+
+    exists = lambda self: bool(self.rows)
+
+    def get(self):
+        self.reads.append(len(self.rows) if isinstance(self.rows, list) else 1)
+        return self.rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def update(self, row):
+        self.rows = row
+
+    def appendList(self, rows):
+        self.rows.extend(rows)
+
+    def containsKey(self, k):
+        return k in self.at
+
+    def getValue(self, k):
+        self.reads.append(len(self.at[k][0]) // J.DETECTION.itemsize)
+        return self.at[k]
+
+    def updateValue(self, k, v):
+        self.at[k] = v
+
+    def removeKey(self, k):
+        self.at.pop(k, None)
+
+
+class _Handle:
+    def __init__(self):
+        self.reads, self.timers = [], set()
+
+    getListState = getMapState = getValueState = lambda self, *a: _Kept(self.reads)
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+def run_linker(pdf, chunk=10_000):
+    linker, handle = J.FrameLinker(C.LINK_UM, 1000), _Handle()
+    linker.init(handle)
+    parts = (pdf.iloc[k:k + chunk] for k in range(0, len(pdf), chunk))
+    out = list(linker.handleInputRows((0,), parts, None))
+    for ms in sorted(handle.timers):
+        list(linker.handleExpiredTimer((0,), None, type("E", (), {"getExpiryTimeInMs": lambda _, ms=ms: ms})()))
+    return pd.concat(out), handle
+
+
+def test_a_batch_of_many_frames_reads_each_a_few_times():
+    rng = np.random.default_rng(3)
+    n, frames = 40, 60
+    pdf = pd.DataFrame({"t": np.repeat(np.arange(frames), n), "det_id": np.arange(n * frames), "intensity": rng.uniform(1, 9, n * frames),
+                        **{k: rng.uniform(0, 60, n * frames) for k in "xyz"}})
+    out, handle = run_linker(pdf, 500)
+    assert out["src"].notna().sum() > 300 and out["t"].nunique() == frames
+    # closing a frame used to read and link everything held again
+    assert sum(handle.reads) < 6 * len(pdf)
+
+
+def test_near_pairs_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    for scale, r in ((30, 5.0), (1e9, 5.0), (3, 5.0)):
+        a, b = np.round(rng.uniform(-scale, scale, (200, 3))), np.round(rng.uniform(-scale, scale, (300, 3)))
+        b[:50] = a[:50] + [[r, 0, 0]]
+        a[60], b[60] = np.nan, np.inf
+        want = np.argwhere(np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) <= r)
+        assert sorted(zip(*(x.tolist() for x in J.near_pairs(a, b, r)))) == sorted(map(tuple, want.tolist())) != []
+    assert len(J.near_pairs(a[:0], b, 5.0)[0]) == 0
+
+
+def test_candidates_alone_are_chosen_with_the_rest():
+    rng = np.random.default_rng(5)
+    row, col = np.array([0, 1, 1, 2, 7]), np.array([3, 4, 5, 5, 9])
+    assert sorted(assign(row, col, np.array([1.0, 1.0, 3.0, 2.5, 9.0]), 10.0).tolist()) == [0, 1, 3, 4]
+    assert len(assign(row[:0], col[:0], rng.uniform(size=0), 10.0)) == 0
