@@ -16,7 +16,6 @@ from .. import constants as C
 from ..operators.sequences import COUNTS, base_counts
 from ..operators.spatial import CELL, with_cell
 from ..operators.tracks import step_links, to_um
-from ..functions.common import dist
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,24 +30,6 @@ def genome_observables(chunks: DataFrame) -> DataFrame:
     return base_counts(chunks).groupBy("seq_id").agg(*[F.sum(k).alias(k) for k in COUNTS])
 
 
-def frame_steps(dets: DataFrame, delay: str) -> DataFrame:
-    """Stream-stream join of detections with those one frame later, within the gate.
-
-    ``dets`` has an event time ``ft`` at the start of its six-hour frame. Both sides
-    are watermarked and the time condition lets Spark drop frames that can no
-    longer match, so the state holds about one frame per cell.
-    """
-    step = F.expr("INTERVAL 6 HOURS")
-    a = with_cell(to_um(dets.withWatermark("ft", delay), "l", "dataset", F.col("ft").alias("lt"), F.col("det_id").alias("src")), "l", C.STEP_UM)
-    b = with_cell(to_um(dets.withWatermark("ft", delay), "r", F.col("dataset").alias("rd"), F.col("ft").alias("rt"), F.col("det_id").alias("dst")), "r", C.STEP_UM, spread=True)
-    b = b.withColumnsRenamed({c: f"r_{c}" for c in CELL})
-    same = F.col("dataset") == F.col("rd")
-    for c in CELL:
-        same = same & (F.col(c) == F.col(f"r_{c}"))
-    j = a.join(b, same & (F.col("rt") == F.col("lt") + step))
-    return j.withColumn("d", dist("l", "r")).filter(F.col("d") <= C.STEP_UM).select("dataset", "src", "dst", "d")
-
-
 LINK_ROWS = "dataset long, t long, version long, src long, dst long, d double"
 #: A detection of a frame, and the place of the parent of one, as they lie in the state.
 DETECTION = np.dtype([("det_id", "<i8"), *((k, "<f8") for k in ("x", "y", "z", "intensity"))])
@@ -101,6 +82,106 @@ def _packed(columns: pd.DataFrame, kind: np.dtype) -> bytes:
     return out.tobytes()
 
 
+STEP_ROWS = "dataset long, src long, dst long, d double"
+#: Side of a tile of the step stream, in radii, and the rows that one of its output batches may hold.
+TILE, OUT_ROWS = 64.0, 100_000
+#: A detection in a tile; ``home`` tells the tile it lies in from those it only comes near to.
+TILED = np.dtype([("det_id", "<i8"), *((k, "<f8") for k in "xyz"), ("home", "?")])
+
+
+class StepFinder(StatefulProcessor):
+    """Pairs of detections in consecutive frames of one tile, within the radius.
+
+    The state holds a tile's open frames, each packed in one value. A batch meets what it brings with the frames before and after, old and new, so
+    every pair is written once, when its later detection comes. Frames that can have no more partners leave the state.
+    """
+
+    def __init__(self, r: float, step_ms: int):
+        self.r, self.step_ms = r, step_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "t long")
+        self.frames = handle.getMapState("frames", "t long", "rows binary")
+
+    def _held(self) -> set[int]:
+        return {int(r[0]) for r in self.held.get()} if self.held.exists() else set()
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        a = a[a["home"]]
+        if not len(a) or not len(b):
+            return []
+        i, j = near_pairs(*(np.column_stack([p[k] for k in "xyz"]) for p in (a, b)), self.r)
+        return [(a["det_id"][i], b["det_id"][j], np.sqrt(sum((a[k][i] - b[k][j]) ** 2 for k in "xyz")))]
+
+    def _drop(self, held: set[int], end_ms: int) -> None:
+        """Forget the frames whose next one is over at ``end_ms``."""
+        gone = {t for t in held if (t + 2) * self.step_ms <= end_ms}
+        for t in gone:
+            self.frames.removeKey((t,))
+        if gone == held:
+            self.held.clear()
+        elif gone:
+            self.held.put([(t,) for t in sorted(held - gone)])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts: dict[int, list[bytes]] = {}
+        for pdf in rows:
+            for t, part in pdf.groupby("t"):
+                parts.setdefault(int(t), []).append(_packed(part, TILED))
+        new = {t: np.frombuffer(b"".join(p), TILED) for t, p in parts.items()}
+        held, none = self._held(), np.empty(0, TILED)
+        near = {t + k for t in new for k in (-1, 0, 1)}
+        old = {t: np.frombuffer(bytes(self.frames.getValue((t,))[0]), TILED) for t in held & near}
+        out, n = [], 0
+        for t in sorted(near):
+            late, after = new.get(t + 1, none), old.get(t + 1, none)
+            found = self._pairs(new.get(t, none), np.concatenate([after, late])) + self._pairs(old.get(t, none), late)
+            out, n = out + found, n + sum(len(f[0]) for f in found)
+            if n >= OUT_ROWS:
+                yield self._rows(key, out)
+                out, n = [], 0
+        if n:
+            yield self._rows(key, out)
+        for t, rows_ in new.items():
+            self.frames.updateValue((t,), (old[t].tobytes() + rows_.tobytes() if t in old else rows_.tobytes(),))
+        held |= new.keys()
+        self.held.put([(t,) for t in sorted(held)])
+        self.handle.registerTimer((max(held) + 2) * self.step_ms)
+        self._drop(held, timerValues.getCurrentWatermarkInMs())
+
+    def _rows(self, key, found: list[tuple]) -> pd.DataFrame:
+        src, dst, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"dataset": key[0], "src": src, "dst": dst, "d": d})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._drop(self._held(), expiredTimerInfo.getExpiryTimeInMs())
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def frame_steps(dets: DataFrame, delay: str, step_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """Detections of a stream with those one frame later, within the gate.
+
+    ``dets`` has an event time ``ft`` at the start of its frame; frames are ``step_ms`` long. Space is cut into wide tiles, and a detection
+    is sent to every tile it comes within the gate of, so a pair meets in the tile of its first detection.
+    """
+    timed = dets.withWatermark("ft", delay).withColumn("t", F.floor(F.unix_millis("ft") / step_ms))
+    points = to_um(timed, "", "dataset", "ft", "t", "det_id").dropna(subset=["dataset", "t", "det_id", *"xyz"])
+    tiles = with_cell(points, "", C.STEP_UM, spread=True, side=TILE)
+    home = [F.floor(F.col(k) / (C.STEP_UM * TILE)) == F.col(c) for k, c in zip("xyz", CELL)]
+    rocksdb(dets.sparkSession)
+    return (tiles.withColumn("home", home[0] & home[1] & home[2]).groupBy("dataset", *CELL)
+            .transformWithStateInPandas(StepFinder(C.STEP_UM, step_ms), STEP_ROWS, outputMode="append", timeMode="eventTime"))
+
+
+def rocksdb(spark: SparkSession) -> None:
+    """The state store that arbitrary state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 class FrameLinker(StatefulProcessor):
     """Links of one dataset's open frames, with the places of the parents of their detections.
 
@@ -203,8 +284,7 @@ def frame_links(dets: DataFrame, delay: str, gate: float = C.LINK_UM, step_ms: i
     ones; what is later is dropped by the watermark and counted by ``run_to_table``. ``latest_links`` keeps the last version of each step.
     """
     points = to_um(dets.withColumn("t", F.floor(F.unix_millis("ft") / step_ms)), "", "dataset", "ft", "t", "det_id", "intensity")
-    spark = dets.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rocksdb(dets.sparkSession)
     return (points.withWatermark("ft", delay).groupBy("dataset")
             .transformWithStateInPandas(FrameLinker(gate, step_ms), LINK_ROWS, outputMode="append", timeMode="eventTime"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe import constants as C
-from helixframe.operators.tracks import assign, link_frames
+from helixframe.operators.tracks import assign, frame_step_join, link_frames
 from helixframe.plans import load
 from helixframe.streaming import jobs as J
 
@@ -146,3 +146,25 @@ def test_candidates_alone_are_chosen_with_the_rest():
     row, col = np.array([0, 1, 1, 2, 7]), np.array([3, 4, 5, 5, 9])
     assert sorted(assign(row, col, np.array([1.0, 1.0, 3.0, 2.5, 9.0]), 10.0).tolist()) == [0, 1, 3, 4]
     assert len(assign(row[:0], col[:0], rng.uniform(size=0), 10.0)) == 0
+
+
+def test_step_stream_equals_the_batch_with_packed_state(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    n, frames = 80, 6
+    pdf = pd.DataFrame({"dataset": 1, "t": np.repeat(np.arange(frames), n), "det_id": np.arange(n * frames), "intensity": 1.0,
+                        **{k: rng.uniform(-40, 60, n * frames) / s for k, s in zip("zyx", C.SCALE_ZYX, strict=True)}})
+    dets = spark.createDataFrame(pdf).withColumn("ft", F.timestamp_seconds(1_704_067_200 + F.col("t") * 21_600)).cache()
+    want = sorted((r.src, r.dst, round(r.d, 9)) for r in frame_step_join(dets, dets, C.STEP_UM).collect())
+    for t in (1, 0, 2, 4, 3, 5):
+        # two files a frame, so that a frame's later detections meet earlier ones of both neighbours
+        for k in (0, 1):
+            dets.filter((F.col("t") == t) & (F.col("det_id") % 2 == k)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(dets.schema).option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/in")
+    got, state = [], []
+    q = J.frame_steps(stream, "1 day").writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(
+        lambda b, _: got.extend((r.src, r.dst, round(r.d, 9)) for r in b.collect())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    state = [s.numRowsTotal for p in q.recentProgress for s in p.stateOperators]
+    assert sorted(got) == want != []
+    # the joined stream held each detection several times
+    assert 0 < max(state) < n * frames / 2
