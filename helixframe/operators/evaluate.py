@@ -82,7 +82,7 @@ def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "v
 
     Every row draws one weight per replicate from a hash of (row, replicate), so
     rows never meet: a replicate is two partial sums, and the shuffle carries one
-    row per replicate and task.
+    row per replicate and task. Few rows in one file are dealt out before they draw.
     """
     h = F.pmod(F.col(key) * 7919 + F.col("b") * 104729 + F.col(key) * F.col("b") % 99991, F.lit(1000003))
     u = (h * 48271 % 1000003 + 0.5) / 1000003.0
@@ -97,7 +97,7 @@ def bootstrap_ci(values: DataFrame, draws: int, key: str = "id", value: str = "v
         p /= k + 1
     for k, c in reversed(steps):
         w = F.when(u < c, k).otherwise(w)
-    r = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
+    r = spread(values.select(key, value), key).select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
     r = r.select("b", value, w.alias("w"))
     if stat == "median":
         m = r.filter("w > 0").groupBy("b").agg(F.percentile(value, 0.5, F.col("w")).alias("m"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe import constants as C
+from helixframe.operators import evaluate as EV
 from helixframe.operators import ranking as RK
 from helixframe.operators import spatial as SP
 from helixframe.operators import structures as ST
@@ -225,3 +226,13 @@ def test_domains_of_the_same_ends_meet_positions_once(spark):
     below = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert "Aggregate" in below
     assert [r.pfam for r in got.orderBy("pos").collect()] == ["default_0", "d7", "first", "d7", "default_0"]
+
+
+def test_bootstrap_rows_draw_in_many_tasks(spark):
+    v = spark.range(400).coalesce(1).select("id", (F.col("id") % 37 / 37).alias("value"))
+    for stat in ("mean", "median"):
+        out = EV.bootstrap_ci(v, 50, stat=stat)
+        assert out.first()["draws"] == 50
+        # one file of few rows used to draw all its weights in one task: no exchange lay below the generator
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan[plan.index("Generate"):]
