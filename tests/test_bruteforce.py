@@ -236,3 +236,11 @@ def test_bootstrap_rows_draw_in_many_tasks(spark):
         # one file of few rows used to draw all its weights in one task: no exchange lay below the generator
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan[plan.index("Generate"):]
+
+
+def test_pdb_lines_travel_before_they_are_grouped(spark):
+    """No read task holds its lines in a map: the grouping follows the only shuffle."""
+    from helixframe.plans import files
+
+    plan = files.lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan.split("Exchange")[1]
