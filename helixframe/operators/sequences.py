@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,16 +105,39 @@ def codon_usage(seqs: DataFrame, *keys: str) -> DataFrame:
     return counts.join(dim, "codon", "left").withColumn("aa", F.coalesce("aa", F.lit("X")))
 
 
+def _neighbours(batches):
+    """Pairs of neighbouring characters of each row, counted by one pass over its codes."""
+    for batch in batches:
+        at, first, second, n = [], [], [], []
+        for k, s in enumerate(batch.column("s").to_pylist()):
+            if s is None or len(s) < 2:
+                continue
+            if s.isascii():
+                x, base = np.frombuffer(s.encode(), np.uint8).astype(np.int64), 128
+                count = np.bincount(x[:-1] * base + x[1:])
+                pair = np.flatnonzero(count)
+                count = count[pair]
+            else:
+                x, base = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64), 1 << 21
+                pair, count = np.unique(x[:-1] * base + x[1:], return_counts=True)
+            at += [k] * len(pair)
+            first += [chr(p) for p in pair // base]
+            second += [chr(p) for p in pair % base]
+            n += count.tolist()
+        yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(pa.array(at, pa.int64())), pa.array(first, pa.string()), pa.array(second, pa.string()),
+                                          pa.array(n, pa.int64())], ["seq_id", "b1", "b2", "n"])
+
+
+def neighbours(seqs: DataFrame) -> DataFrame:
+    """Counts of neighbouring base pairs of each row; rows of one sequence are not yet added up, and line ends are no letters."""
+    s = F.translate(F.translate(F.upper(F.col("seq")), "U", "T"), "\n\r\u0085\u2028\u2029", "")
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return seqs.select("seq_id", s.alias("s")).mapInArrow(_neighbours, f"seq_id {kind}, b1 string, b2 string, n bigint")
+
+
 def base_pairs(seqs: DataFrame) -> DataFrame:
-    """Counts of neighbouring base pairs, formed inside the row."""
-    letters = B.letters_of(F.translate(F.upper(F.col("seq")), "U", "T"))
-    two = seqs.select("seq_id", letters.alias("b")).filter(F.size("b") > 1)
-    n = F.size("b")
-    z = F.arrays_zip(F.slice("b", 1, n - 1).alias("b1"), F.slice("b", 2, n - 1).alias("b2"))
-    return (
-        two.select("seq_id", F.explode(z).alias("z")).select("seq_id", "z.b1", "z.b2")
-        .groupBy("seq_id", "b1", "b2").agg(F.count("*").alias("n"))
-    )
+    """Counts of neighbouring base pairs of each sequence."""
+    return neighbours(seqs).groupBy("seq_id", "b1", "b2").agg(F.sum("n").alias("n"))
 
 
 def duplex_stack_energy(seqs: DataFrame) -> DataFrame:

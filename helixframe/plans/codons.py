@@ -116,7 +116,7 @@ BIGRAMS = with_(DNA, UP, """bg AS (SELECT seq_id, b AS b1, lead(b) OVER (PARTITI
 
 
 def bigrams(spark, sf):
-    return S.base_pairs(dna(spark, sf)).groupBy("b1", "b2").agg(F.sum("n").alias("n"))
+    return S.neighbours(dna(spark, sf)).groupBy("b1", "b2").agg(F.sum("n").alias("n"))
 
 
 @query("pair_hbonds", BIGRAMS + "SELECT b1, b2, count(*) AS n, h AS hbonds FROM hb GROUP BY ALL")

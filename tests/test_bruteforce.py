@@ -244,3 +244,17 @@ def test_pdb_lines_travel_before_they_are_grouped(spark):
 
     plan = files.lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan.split("Exchange")[1]
+
+
+def test_base_pairs_are_counted_without_a_row_per_position(spark):
+    from helixframe.operators import sequences as S
+
+    rows = [(0, "AAAAC"), (1, "gaucUXn"), (2, ""), (3, None), (4, "A"), (5, "AC\nGT"), (6, "Aé\U0001f600Aé"), (0, "CA"), (7, "ACGTN" * 50)]
+    want = {}
+    for k, s in rows:
+        s = (s or "").upper().replace("U", "T").replace("\n", "")
+        for a, b in zip(s, s[1:]):
+            want[k, a, b] = want.get((k, a, b), 0) + 1
+    got = S.base_pairs(spark.createDataFrame(rows, "seq_id long, seq string"))
+    assert {(r.seq_id, r.b1, r.b2): r.n for r in got.collect()} == want and dict(got.dtypes)["n"] == "bigint"
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
