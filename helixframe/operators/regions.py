@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,11 +179,33 @@ def painted(labels) -> Column:
     return s
 
 
+def _regions(batches):
+    """The regions of each row's labels; the starts of runs are found in one pass over the bytes."""
+    for batch in batches:
+        at, parts = [], [[] for _ in range(4)]
+        for k, s in enumerate(batch.column("labels").to_pylist()):
+            if not s:
+                continue
+            x = np.frombuffer(s.encode(), np.uint8)
+            start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            end = np.r_[start[1:], len(x)] - 1
+            n, kind = end - start + 1, x[start]
+            keep = ((kind == ord("H")) & (n >= MIN_HELIX)) | ((kind == ord("E")) & (n >= MIN_STRAND))
+            for part, v in zip(parts, (np.arange(keep.sum()), kind[keep], start[keep], end[keep])):
+                part.append(v)
+            at.append(np.full(keep.sum(), k))
+        flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, *parts)]
+        region, start, end = (pa.array(v.astype(np.int32)) for v in (flat[1], flat[3], flat[4]))
+        kind = pa.array(np.where(flat[2] == ord("H"), "H", "E").tolist(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(pa.array(flat[0].astype(np.int64))), region, kind, start, end],
+                                         ["seq_id", "region", "kind", "start", "end"])
+
+
 def detect_regions(seqs: DataFrame, mode: str = "frustrated") -> DataFrame:
     """One row per region: (seq_id, region, kind, start, end), 0-based inclusive."""
     labels = viterbi_labels("seq") if mode == "viterbi" else tunnel_labels("seq", mode)
-    return (seqs.select("seq_id", labels.alias("labels"))
-            .select("seq_id", F.explode(region_array("labels")).alias("r")).select("seq_id", "r.*"))
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return seqs.select("seq_id", labels.alias("labels")).mapInArrow(_regions, f"seq_id {kind}, region int, kind string, `start` int, `end` int")
 
 
 def label_sequence(seqs: DataFrame, cooperative: bool = False) -> DataFrame:

@@ -258,3 +258,15 @@ def test_base_pairs_are_counted_without_a_row_per_position(spark):
     got = S.base_pairs(spark.createDataFrame(rows, "seq_id long, seq string"))
     assert {(r.seq_id, r.b1, r.b2): r.n for r in got.collect()} == want and dict(got.dtypes)["n"] == "bigint"
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regions_are_found_without_arrays_of_positions(spark):
+    from helixframe.operators import regions as RG
+
+    letters = "".join(C.AA20)
+    rows = [(0, ""), (1, None), (2, "A"), (3, "AAAA"), (4, "VVV"), (5, "AAA"), *[(6 + k, "".join(rng.choice(list(letters), 300, p=None))) for k in range(20)]]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    got = RG.detect_regions(df)
+    want = df.select("seq_id", F.explode(RG.region_array(RG.tunnel_labels("seq"))).alias("r")).select("seq_id", "r.*")
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and got.count() > 20
+    assert "transform" not in got._jdf.queryExecution().executedPlan().toString()
