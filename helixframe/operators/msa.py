@@ -12,6 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
 
 from .. import constants as C
 from ..session import cut_lineage
@@ -138,66 +141,177 @@ def neff_analytic(rows: DataFrame, per_row: int) -> DataFrame:
         F.when(F.col("mean_id").isNull(), n).otherwise(n / (1 + (n - 1) * m)).alias("neff_analytic"))
 
 
-def near_codes(m: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Rows of ``m`` that share ten filled columns or more with ``row`` and agree on 1/e of them or more."""
-    both = (m != GAP) & (row != GAP)
-    shared = both.sum(1)
-    return (shared >= 10) & (((m == row) & both).sum(1) >= shared / math.e)
+#: Bits of a code; rows and leaders that are compared at a time; leaders in a stored row.
+PLANES, TILE, HEAD, PART = 5, 8192, 512, 4096
+GAP_WORD = np.array([-(GAP >> k & 1) for k in range(PLANES)], "<i8").tobytes()
+
+
+@pandas_udf(T.BinaryType())
+def packed_codes(codes: pd.Series) -> pd.Series:
+    """Codes as bits: for every 64 columns one word per bit of the code. Null codes and missing columns are gaps."""
+    codes = codes.map(lambda c: () if c is None else c)
+    width = codes.map(len).to_numpy()
+    out = np.empty(len(codes), object)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        words = max(1, -(-int(w) // 64))
+        m = np.full((len(at), 64 * words), GAP, np.uint8)
+        if w:
+            given = np.stack(codes.iloc[at].to_numpy()).astype("float64")
+            given[np.isnan(given)] = GAP
+            if not ((given >= 0) & (given <= GAP)).all():
+                raise ValueError(f"codes are 0 to {GAP}")
+            m[:, :w] = given
+        raw = np.stack([np.packbits(m >> k & 1, axis=1, bitorder="little").view("<u8") for k in range(PLANES)], -1).tobytes()
+        size = words * len(GAP_WORD)
+        out[at] = [raw[k:k + size] for k in range(0, len(raw), size)]
+    return pd.Series(out)
+
+
+class Packed:
+    """Packed rows side by side: ``bits`` (word, plane, row), and their filled columns as words and in number."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.full = ~(bits[:, 2] & bits[:, 4])  # a gap is 10100; no other code has both bits
+        self.filled = np.bitwise_count(self.full).sum(0, dtype=np.int64)
+
+    @classmethod
+    def of(cls, rows, words: int = 1) -> Packed:
+        """Rows as bytes, at ``words`` words or at the widest row's; narrower ones end in gaps."""
+        words = max([words, *(len(r) // len(GAP_WORD) for r in rows)])
+        raw = b"".join(r + GAP_WORD * (words - len(r) // len(GAP_WORD)) for r in rows)
+        return cls(np.ascontiguousarray(np.frombuffer(raw, "<u8").reshape(-1, words, PLANES).transpose(1, 2, 0)))
+
+    def __len__(self) -> int:
+        return self.bits.shape[2]
+
+    def __getitem__(self, at) -> Packed:
+        return Packed(np.ascontiguousarray(self.bits[:, :, at]))
+
+    def to_bytes(self) -> bytes:
+        return self.bits.transpose(2, 0, 1).tobytes()
+
+
+def nearness(rows: Packed, leaders: Packed):
+    """A function from a leader's position to the rows near it.
+
+    Rows are near that share ten filled columns or more and agree on 1/e of them or more. Rows with f and g filled columns share f + g - used at least, of the
+    used columns, so the number of columns that agree rules out nearly all rows; shared columns are counted for what is left.
+    """
+    words, columns = len(rows.bits), 64 * len(rows.bits)
+    used = int(np.bitwise_count(np.bitwise_or.reduce(rows.full, 1) | np.bitwise_or.reduce(leaders.full, 1)).sum())
+    # a leader's gaps get a code of their own, so that they agree with nothing
+    lead = leaders.bits.copy()
+    lead[:, 0] |= ~leaders.full
+    differ, plane = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint64)
+    most, none = {}, np.empty(0, np.int64)
+
+    def near(k: int) -> np.ndarray:
+        f = leaders.filled[k]
+        if f not in most:
+            least = np.ceil(np.maximum(rows.filled + f - used, 10) / math.e)
+            most[f] = (columns - least).astype(np.uint8 if words == 1 else np.int64)
+        n = 0
+        for w in range(words):
+            np.bitwise_xor(rows.bits[w, 0], lead[w, 0, k], out=differ)
+            for b in range(1, PLANES):
+                np.bitwise_xor(rows.bits[w, b], lead[w, b, k], out=plane)
+                np.bitwise_or(differ, plane, out=differ)
+            one = np.bitwise_count(differ)
+            n = one if words == 1 else n + one.astype(np.int64)
+        agree = n <= most[f]
+        at = np.flatnonzero(agree) if agree.any() else none
+        if len(at):
+            shared = np.bitwise_count(rows.full[:, at] & leaders.full[:, k, None]).sum(0, dtype=np.int64)
+            at = at[(shared >= 10) & (columns - n[at].astype(np.int64) >= shared / math.e)]
+        return at
+
+    return near
+
+
+def far_rows(rows: Packed, leaders: Packed) -> np.ndarray:
+    """Positions of the rows that are near none of the leaders, found a tile of rows at a time."""
+    out = [np.empty(0, np.int64)]
+    heads = [leaders[k:k + HEAD] for k in range(0, len(leaders), HEAD)]
+    for start in range(0, len(rows), TILE):
+        left = np.arange(start, min(start + TILE, len(rows)))
+        for head in heads:
+            if not len(left):
+                break
+            near, far = nearness(rows[left], head), np.ones(len(left), bool)
+            for k in range(len(head)):
+                far[near(k)] = False
+            left = left[far]
+        out.append(left)
+    return np.concatenate(out)
+
+
+def first_leaders(rows: Packed) -> np.ndarray:
+    """Positions of the rows that are near no earlier leader: a head of rows one by one, then the rows after it against the head's leaders."""
+    left, found = np.arange(len(rows)), [np.empty(0, np.int64)]
+    while len(left):
+        head, left = left[:HEAD], left[HEAD:]
+        some = rows[head]
+        near, free, leads = nearness(some, some), np.ones(len(head), bool), []
+        for k in range(len(head)):
+            if free[k]:
+                leads.append(k)
+                free[near(k)] = False
+        found.append(head[leads])
+        left = left[far_rows(rows[left], some[leads])]
+    return np.concatenate(found)
 
 
 def _lead(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The leaders among a block's rows, in row order."""
-    pdf = pdf.sort_values("row_id")
-    m = np.stack(pdf["codes"].to_numpy())
-    free, leaders = np.ones(len(m), bool), []
-    for i in range(len(m)):
-        if free[i]:
-            leaders.append(i)
-            free[i:] &= ~near_codes(m[i:], m[i])
-    return pdf.iloc[leaders][["family", "row_id", "codes"]]
+    """The leaders among a block's rows, in row order, a part of them a row."""
+    pdf = pdf.sort_values("ord")
+    rows = Packed.of(pdf["bits"])
+    at = first_leaders(rows)
+    parts = [at[k:k + PART] for k in range(0, len(at), PART)]
+    return pd.DataFrame({"family": pdf["family"].iloc[:len(parts)].to_numpy(), "row_ids": [pdf["row_id"].iloc[p].tolist() for p in parts],
+                         "words": len(rows.bits), "bits": [rows[p].to_bytes() for p in parts]})
 
 
 def _uncovered(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a chunk that are near none of the leaders."""
+    """Rows of a chunk that are near none of the leaders; a chunk that gets no leaders was in the block."""
     if not len(rows) or not len(leaders):
-        return rows[["family", "row_id", "ord", "codes"]]
-    m = np.stack(rows["codes"].to_numpy())
-    left = np.arange(len(m))
-    for row in leaders["codes"]:
-        if not len(left):
-            break
-        left = left[~near_codes(m[left], row)]
-    return rows.iloc[left][["family", "row_id", "ord", "codes"]]
-
-
-def identity_leaders(rows: DataFrame, block: int = 2048) -> DataFrame:
+        return rows.iloc[:0]
+    words = int(leaders["words"].max())
+    own = Packed.of(rows["bits"], words)
+    left = np.arange(len(rows))
+    for n, bits in zip(leaders["words"], leaders["bits"]):
+        size = n * len(GAP_WORD)
+        some = Packed.of([bits[k:k + size] for k in range(0, len(bits), size)], len(own.bits))
+        left = left[far_rows(own[left], some)]
+    return rows.iloc[left]
+
+
+def identity_leaders(rows: DataFrame, block: int = 32_768) -> DataFrame:
     """The greedy leaders of each family: in row order, every row that is near no earlier leader.
 
-    A round takes the first ``block`` rows of each family that are left, finds the leaders among them, and drops from the rest what is near one of these, chunk
-    by chunk of ``block`` rows. It ends when nothing is left. So no group holds more than a block and a block's leaders; the work is that of the greedy rule,
-    rows times leaders.
+    Rows travel as bits, so that two of them are compared by a few operations on words. A round takes the first ``block`` rows of each family that are left, in
+    whole chunks, finds the leaders among them, and drops from the other chunks what is near one of these. It ends when nothing is left. So no group holds more
+    than a block, or a chunk and a block's leaders; the work is that of the greedy rule, rows times leaders, spread over the chunks.
     """
-    left = cut_lineage(numbered_rows(rows).select("family", "row_id", "ord", "codes"))
-    kind = rows.schema["family"].dataType.simpleString()
-    codes = rows.schema["codes"].dataType.simpleString()
-    id_kind = rows.schema["row_id"].dataType.simpleString()
-    found = None
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("family", "row_id")}
+    shape = f"family {kind['family']}, row_id {kind['row_id']}, ord bigint, chunk bigint, bits binary"
+    bits = rows.select("family", "row_id", packed_codes("codes").alias("bits"), (-F.col("row_id")).alias("_s"))
+    place = F.col("rank") - 1
+    left = rank_within(bits.filter("family IS NOT NULL AND row_id IS NOT NULL"), ["family"], "_s", ["row_id"])
+    left = cut_lineage(left.select("family", "row_id", place.alias("ord"), F.floor(place / max(1, block // 4)).alias("chunk"), "bits"))
+    found = left.select("family", "row_id").limit(0)
     while True:
-        first = cut_lineage(top_n(left.withColumn("_s", -F.col("ord").cast("double")), ["family"], "_s", block, ["row_id"], step=float(block)).drop("_s", "rank"))
-        if first.isEmpty():
-            return found if found is not None else left.select("family", "row_id")
-        leaders = cut_lineage(first.groupBy("family").applyInPandas(_lead, f"family {kind}, row_id {id_kind}, codes {codes}"))
-        new = leaders.select("family", "row_id")
-        found = new if found is None else found.unionByName(new)
-        last = first.groupBy(F.col("family").alias("own")).agg(F.max("ord").alias("last"))
-        rest = left.join(last, F.col("family") == F.col("own")).filter("ord > last").withColumn("chunk", F.floor(F.col("ord") / block)).drop("own", "last")
-        rest = cut_lineage(rest)
-        if rest.isEmpty():
+        counts = left.groupBy("family", "chunk").agg(F.count("*").alias("n"))
+        so_far = F.sum("n").over(W.partitionBy("family").orderBy("chunk"))
+        counts = cut_lineage(counts.select("family", "chunk", ((so_far <= block) | (so_far == F.col("n"))).alias("now")))
+        if counts.isEmpty():
             return found
-        chunks = rest.groupBy(F.col("family").alias("to"), F.col("chunk").alias("part")).count()
-        sent = leaders.join(chunks, F.col("family") == F.col("to")).select("to", "part", "codes")
-        left = cut_lineage(rest.groupBy("family", "chunk").cogroup(sent.groupBy("to", "part")).applyInPandas(
-            _uncovered, f"family {kind}, row_id {id_kind}, ord bigint, codes {codes}"))
+        first = left.join(counts.filter("now"), ["family", "chunk"]).select("family", "row_id", "ord", "bits")
+        leaders = cut_lineage(first.groupBy("family").applyInPandas(_lead, f"family {kind['family']}, row_ids array<{kind['row_id']}>, words int, bits binary"))
+        found = found.unionByName(leaders.select("family", F.explode("row_ids").alias("row_id")))
+        sent = counts.filter("NOT now").join(leaders, "family").select(F.col("family").alias("to"), F.col("chunk").alias("part"), "words", "bits")
+        left = cut_lineage(left.groupBy("family", "chunk").cogroup(sent.groupBy("to", "part")).applyInPandas(_uncovered, shape))
 
 
 def neff_clusters(rows: DataFrame, sample: int | None = None) -> DataFrame:

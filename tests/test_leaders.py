@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from helixframe.operators import msa as M
@@ -58,6 +59,53 @@ def test_neff_clusters_counts_leaders(spark, mats):
     assert M.neff_clusters(df.limit(0)).collect() == []
 
 
+def near_rows(m, row):
+    both = (m != M.GAP) & (row != M.GAP)
+    return (both.sum(1) >= 10) & (((m == row) & both).sum(1) >= both.sum(1) / math.e)
+
+
+@pytest.mark.parametrize("width", [5, 30, 64, 65, 130])
+def test_packed_rows_are_near_as_codes_are(width):
+    own = np.random.default_rng(width)
+    m = own.integers(0, 20, (8, width))[own.integers(0, 8, 600)]
+    m = np.where(own.random(m.shape) < own.choice([.2, .6, .7], (600, 1)), own.integers(0, 20, m.shape), m)
+    m = np.where(own.random(m.shape) < own.choice([0, .1, .75], (600, 1)), M.GAP, m)
+    packed = M.packed_codes.func(pd.Series(list(m)))
+    assert {len(b) for b in packed} == {40 * -(-width // 64)}
+    rows = M.Packed.of(packed)
+    near = M.nearness(rows, rows)
+    for k in range(600):
+        assert near(k).tolist() == np.flatnonzero(near_rows(m, m[k])).tolist()
+
+
+def test_missing_codes_are_gaps():
+    whole = list(range(12))
+    rows = M.Packed.of(M.packed_codes.func(pd.Series([np.array(x, float) if x is not None else None for x in (
+        whole, [*whole, *[M.GAP] * 60], [*whole[:9], None, None, None], None, [])])))
+    near = M.nearness(rows, rows)
+    assert [near(k).tolist() for k in range(5)] == [[0, 1], [0, 1], [], [], []]
+    with pytest.raises(ValueError):
+        M.packed_codes.func(pd.Series([np.array([21])]))
+
+
+def test_large_families_take_few_rounds(spark, monkeypatch):
+    """Rounds and stored tables follow the block, and a family of some thousand distinct rows is one block."""
+    own = np.random.default_rng(4)
+    m = own.integers(0, 20, (5000, 64))
+    m[own.integers(0, 5000, 300)] = m[own.integers(0, 5000, 300)]
+    free, want = np.ones(5000, bool), set()
+    for i in range(5000):
+        if free[i]:
+            want.add(i)
+            free[i:] &= ~near_rows(m[i:], m[i])
+    df = spark.createDataFrame([("a", i, c) for i, c in enumerate(m.tolist())], "family string, row_id bigint, codes array<int>").repartition(4)
+    stored = []
+    monkeypatch.setattr(M, "cut_lineage", lambda d, keep=M.cut_lineage: stored.append(1) or keep(d))
+    assert {r.row_id for r in M.identity_leaders(df).collect()} == want
+    assert len(stored) <= 5
+    assert {r.row_id for r in M.identity_leaders(df, 2000).collect()} == want
+
+
 def test_leader_clusters_follow_the_score_order(spark):
     scored, pairs, want = [], [], {}
     for target in range(6):
