@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import tracks as T
 from ..operators.ranking import with_quantiles
-from ..session import cut_lineage
+from ..session import stored
 from .base import P, R, num, query, r6, table, with_
 
 SZ, SY, SX = (num(s) for s in C.SCALE_ZYX)
@@ -169,7 +169,7 @@ def greedy_match(spark, sf):
 @query("centroid_recall")
 def centroid_recall(spark, sf):
     d = dets(spark, sf)
-    m = with_quantiles(cut_lineage(T.optimal_match(nodes(d), d)), ["dataset"], {"median_um": ("d", 0.5)}, F.count("*").alias("n_matched"), F.avg("d").alias("mean_um"))
+    m = with_quantiles(stored(T.optimal_match(nodes(d), d)), ["dataset"], {"median_um": ("d", 0.5)}, F.count("*").alias("n_matched"), F.avg("d").alias("mean_um"))
     n = nodes(d).groupBy("dataset").agg(F.count("*").alias("n_gt"))
     return n.join(m, "dataset", "left").select("dataset", "n_gt", "n_matched", r6(F.col("n_matched") / F.col("n_gt"), "recall"), r6("median_um"), r6("mean_um"))
 
