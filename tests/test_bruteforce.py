@@ -270,3 +270,32 @@ def test_regions_are_found_without_arrays_of_positions(spark):
     want = df.select("seq_id", F.explode(RG.region_array(RG.tunnel_labels("seq"))).alias("r")).select("seq_id", "r.*")
     assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and got.count() > 20
     assert "transform" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 7, "segment": 5, "chunk": 16, "left": 1}])
+def test_permutation_in_blocks(spark, sizes, monkeypatch):
+    """Both nulls row by row, whatever the blocks of rows, segments of kinds and chunks of trials are; no row per row and trial."""
+    from helixframe.operators import evaluate as EV
+
+    n, trials = 60, 50
+    v = spark.createDataFrame([(k * 31 - 40, float(k * 37 % 23), k % 3, k % 4 == 0) for k in range(n)], "id bigint, value double, kind int, picked boolean")
+    r = EV.permutation_enrichment(v, trials, **sizes).first()
+    rows = [(k * 31 - 40, sum(j * 37 % 23 < k * 37 % 23 for j in range(n)) / n, k % 3, k % 4 == 0) for k in range(n)]
+    picked = [x for x in rows if x[3]]
+    obs = np.mean([x[1] for x in picked])
+    rem = lambda a, b: int(np.fmod(a, b))
+    order = lambda x, t: (rem(x[0] * 7919 + t * 104729 + rem(x[0] * t, 6007), 100003), x[0])
+    free = [np.mean([x[1] for x in sorted(rows, key=lambda x: order(x, t))[:len(picked)]]) for t in range(trials)]
+    same = []
+    for t in range(trials):
+        drawn = []
+        for x in picked:
+            kind = sorted(y[:2] for y in rows if y[2] == x[2])
+            o = rem(rem(rem(x[0] * 48271 + t * 104729 + 7, 2147483647) * 69621, 2147483647), len(kind))
+            drawn += [kind[o][1]] if o >= 0 else []
+        same.append(np.mean(drawn))
+    share = lambda means: np.mean([round(m, 12) >= round(obs, 12) for m in means])
+    assert r.n_set == len(picked) and abs(r.observed - obs) < 1e-9
+    assert abs(r.p_value - share(free)) < 1e-9 and abs(r.p_same_kind - share(same)) < 1e-9
+    none = EV.permutation_enrichment(v.withColumn("picked", v.picked & False), trials).first()
+    assert tuple(none) == (None,) * 4
