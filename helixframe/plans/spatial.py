@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import constants as C
 from ..functions.common import dist
@@ -27,16 +28,18 @@ HITS += f""",h_ppi AS (SELECT a.structure, a.chain, a.idx, b.serial AS partner,
 BASE = with_(ATOMS, PROT, CA, HITS)
 
 
-def atoms(spark, sf):
+def atoms(spark, sf, *by):
+    """Distinct atoms; with ``by`` they are dealt out by these columns before they are compared."""
     li = table(spark, sf, "lineitem")
     flag, n = F.col("l_returnflag") == "R", F.col("l_linenumber")
-    return li.select(
+    a = li.select(
         F.floor(F.col("l_orderkey") / 500).alias("structure"),
         F.when(flag & (n <= 2), "metal").when(flag & (n <= 5), "ligand").when(flag, "dna").otherwise("protein").alias("kind"),
         F.when(F.col("l_linestatus") == "O", "A").otherwise("B").alias("chain"), (F.col("l_partkey") % 150).alias("idx"),
         F.col("l_suppkey").alias("serial"), F.round(F.col("l_quantity") * 2.0, 3).alias("x"),
         (F.col("l_extendedprice") / 1000).alias("y"),
-        F.round((F.col("l_partkey") % 61) * 1.5 + F.col("l_discount") * 10, 3).alias("z")).distinct()
+        F.round((F.col("l_partkey") % 61) * 1.5 + F.col("l_discount") * 10, 3).alias("z"))
+    return (a.repartition(*by) if by else a).distinct()
 
 
 def side(df, p, *keep):
@@ -94,12 +97,20 @@ SEPS = {"metal": 1, "ligand": 2, "dna": 3}
 
 
 def springs(spark, sf, *kinds):
-    found, a = contacts(spark, sf, *kinds)
-    c = found.select(F.col("kind").alias("source"), "structure", "chain", "partner", F.col("idx").alias("i"))
-    pick = lambda of: F.element_at(F.create_map(*[F.lit(x) for k in kinds for x in (k, of[k])]), F.col("source"))
-    ca = stored(trace(a))
-    out = SP.shared_contact_springs(c, ca, ["structure", "chain"], pick(SEPS), ["source"])
-    return out.withColumn("r", pick(SP.RESIDUAL_OF)), ca
+    """Springs of the given kinds, with the atoms.
+
+    Lines travel to their structure once; its atoms, contacts and pairs then stay in their task, group by group.
+    """
+    a = atoms(spark, sf, "structure")
+    p = F.col("kind") == "protein"
+    at = {f"i_{k}": F.min(F.when(p, F.col(k))).over(W.partitionBy("structure", "chain", "idx")) for k in "xyz"}
+    pick = lambda of, key: F.element_at(F.create_map(*[F.lit(x) for k in kinds for x in (k, of[k])]), F.col(key))
+    residue = F.when(p, F.struct("chain", F.col("idx").alias("i"), *at, *"xyz"))
+    partner = F.when(F.col("kind").isin(*kinds), F.struct(F.col("kind").alias("source"), F.col("serial").alias("partner"), pick(RADIUS, "kind").alias("own"), *"xyz"))
+    found = SP.gathered_contacts(a.withColumns(at).filter(F.col("kind").isin("protein", *kinds)), ["structure"], C.CONTACT * SP.SIDE, residue, partner)
+    c = found.select("structure", "partner.source", "residue.chain", "partner.partner", "residue.i", *[f"residue.{k}" for k in at])
+    out = SP.shared_contact_springs(c, None, ["structure", "chain"], pick(SEPS, "source"), ["source"])
+    return out.withColumn("r", pick(SP.RESIDUAL_OF, "source")), a
 
 
 @query("shared_contact_springs", BASE + f", spr AS ({SPRINGS}) SELECT source, structure, chain, i, j, partner, {R('d0', 'd0')}, {R('r', 'r')} FROM spr")
@@ -119,16 +130,16 @@ AL = "(SELECT DISTINCT structure, chain, idx AS ti, (idx*7+3)%149 AS qi FROM ca)
  JOIN {AL} b ON b.structure=s.structure AND b.chain=s.chain AND b.ti=s.j WHERE source='ligand' AND a.qi<>b.qi)
 SELECT structure, chain, a, b, {R('d0', 'd0')} FROM (SELECT *, row_number() OVER (PARTITION BY structure, chain, a, b ORDER BY i, j) AS k FROM m) WHERE k=1""")
 def remap_springs(spark, sf):
-    s, ca = springs(spark, sf, "ligand")
-    return SP.remap_springs(s, aligned(ca), ["structure", "chain"]).select("structure", "chain", "a", "b", r6("d0"))
+    s, a = springs(spark, sf, "ligand")
+    return SP.remap_springs(s, aligned(trace(a)), ["structure", "chain"]).select("structure", "chain", "a", "b", r6("d0"))
 
 
 @query("observer_springs", BASE + f""", spr AS ({SPRINGS}), m AS (SELECT s.structure, s.chain, s.i, s.j, d0, least(a.qi,b.qi) AS a, greatest(a.qi,b.qi) AS b FROM spr s JOIN {AL} a ON a.structure=s.structure AND a.chain=s.chain AND a.ti=s.i
  JOIN {AL} b ON b.structure=s.structure AND b.chain=s.chain AND b.ti=s.j WHERE source='dna' AND a.qi<>b.qi)
 SELECT structure, chain, count(DISTINCT a*1000+b) AS n_springs FROM m GROUP BY ALL""")
 def observer_springs(spark, sf):
-    s, ca = springs(spark, sf, "dna")
-    return SP.remap_springs(s, aligned(ca), ["structure", "chain"]).groupBy("structure", "chain").agg(F.count("*").alias("n_springs"))
+    s, a = springs(spark, sf, "dna")
+    return SP.remap_springs(s, aligned(trace(a)), ["structure", "chain"]).groupBy("structure", "chain").agg(F.count("*").alias("n_springs"))
 
 
 @query("ptm_attach", BASE + f""", g AS (SELECT structure, serial, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms WHERE kind='ligand' GROUP BY ALL),

@@ -299,3 +299,25 @@ def test_permutation_in_blocks(spark, sizes, monkeypatch):
     assert abs(r.p_value - share(free)) < 1e-9 and abs(r.p_same_kind - share(same)) < 1e-9
     none = EV.permutation_enrichment(v.withColumn("picked", v.picked & False), trials).first()
     assert tuple(none) == (None,) * 4
+
+
+def test_spring_pairs_stay_with_their_structure(spark):
+    """Contacts and pairs of points that are dealt out by structure are made without a further shuffle."""
+    rows = [(s, k, "protein" if k % 3 else "metal", int(rng.integers(0, 12)), *map(float, rng.random(3) * 25)) for s in range(3) for k in range(60)]
+    points = spark.createDataFrame(rows, "s int, serial int, kind string, i int, x double, y double, z double").repartition(4, "s")
+    p = F.col("kind") == "protein"
+    residue = F.when(p, F.struct("i", *[F.col("i").cast("double").alias(f"i_{k}") for k in "xyz"], *"xyz"))
+    partner = F.when(~p, F.struct(F.col("serial").alias("partner"), F.lit(6.0).alias("own"), *"xyz"))
+    found = SP.gathered_contacts(points, ["s"], 18.0, residue, partner)
+    got = SP.shared_contact_springs(found.select("s", "partner.partner", "residue.i", *[f"residue.i_{k}" for k in "xyz"]), None, ["s"], 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    touch = {(a[0], b[1], a[3]) for a in rows for b in rows if a[0] == b[0] and a[2] == "protein" and b[2] == "metal" and np.linalg.norm(np.subtract(a[4:], b[4:])) <= 6}
+    want = {}
+    for s, m, i in touch:
+        for t, n, j in touch:
+            if s == t and m == n and j - i >= 2:
+                want[s, i, j] = min(m, want.get((s, i, j), m))
+    rows_ = got.collect()
+    assert {(r.s, r.i, r.j): r.partner for r in rows_} == want and len(rows_) == len(want) > 20
+    assert all(abs(r.d0 - (r.j - r.i) * 3 ** .5) < 1e-9 for r in rows_)
